@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from tidemark.llm import quality_rules
+from tidemark.llm import pfair, quality_rules, url_cascade
 
 
 def queries():
     return {
+        "op4_pfair_mixing": pfair.query,
+        "op5_url_bloom_cascade": url_cascade.query,
         "op10_quality_rules": quality_rules.query,
     }
 
 
 def oracle_sql():
     return {
+        "op5_url_bloom_cascade": url_cascade.oracle(),
         "op10_quality_rules": quality_rules.oracle(),
     }
