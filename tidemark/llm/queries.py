@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import pfair, quality_rules, url_cascade
+from tidemark.llm import language_id, pfair, quality_rules, url_cascade
 
 
 def queries():
     return {
+        "op1_language_id": language_id.query,
         "op4_pfair_mixing": pfair.query,
         "op5_url_bloom_cascade": url_cascade.query,
         "op10_quality_rules": quality_rules.query,
