@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import language_id, pfair, quality_rules, url_cascade
+from tidemark.llm import language_id, pfair, quality_ranking, quality_rules, toxicity, url_cascade
 
 
 def queries():
     return {
         "op1_language_id": language_id.query,
+        "op2_quality_ranking": quality_ranking.query,
+        "op3_toxicity": toxicity.query,
         "op4_pfair_mixing": pfair.query,
         "op5_url_bloom_cascade": url_cascade.query,
         "op10_quality_rules": quality_rules.query,
