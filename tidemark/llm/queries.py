@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, language_id, pfair, quality_ranking, quality_rules, substring_dedup, token_files, toxicity, url_cascade
+from tidemark.llm import decontaminate, language_id, near_dedup, pfair, quality_ranking, quality_rules, substring_dedup, token_files, toxicity, url_cascade
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_toxicity": toxicity.query,
         "op4_pfair_mixing": pfair.query,
         "op5_url_bloom_cascade": url_cascade.query,
+        "op6_near_dedup": near_dedup.query,
         "op7_substring_dedup": substring_dedup.query,
         "op8_decontaminate": decontaminate.query,
         "op9_token_files": token_files.query,
