@@ -37,7 +37,7 @@ MAGIC = b"TIDETOK1"
 HEADER = struct.Struct("<8sIIqqq")  # magic, bits, block, documents, tokens, blocks
 BLOCK = 4096  # tokens; a multiple of 8, so a block ends at a byte
 END_ID = 2
-REMEMBERED = 400_000  # words
+REMEMBERED = 1_000_000  # words of a worker process, about 200 MB
 FILE_MB = 64
 TOKENIZER = "word_bpe_49k.json"
 
@@ -120,24 +120,34 @@ def _tokenizer(name: str):
 
 
 class Encoder:
+    """Ids of texts; words once met are remembered, up to ``REMEMBERED`` of them."""
+
     def __init__(self, tokenizer: str = TOKENIZER):
         self.tokenizer = _tokenizer(tokenizer)
         self.bits = width(self.tokenizer.get_vocab_size())
         self.known: dict[bytes, bytes] = {}
 
-    def __call__(self, text: bytes) -> bytes:
-        """The text's ids as little-endian 32-bit integers."""
-        words = text.split()
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit integers."""
+        words = [t.split() for t in texts]
         known = self.known
-        new = {w for w in words if w not in known}
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = set(words)
-            order = list(new)
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in order], add_special_tokens=False)
-            known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(order, coded, strict=True))
-        return b"".join([known[w] for w in words])
+        if new := list(set().union(*words).difference(known)):
+            coded = self.tokenizer.encode([w.decode("utf-8") for w in new], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(coded.ids, "<u4").tobytes()
+            of = np.array(coded.word_ids, np.int64) if ids else np.zeros(0, np.int64)
+            ends = (np.searchsorted(of, np.arange(len(new) + 1)) * 4).tolist()
+            made = {w: ids[p:q] for w, p, q in zip(new, ends[:-1], ends[1:], strict=True)}
+            if len(known) + len(made) <= REMEMBERED:
+                known.update(made)
+            else:
+                known = {**{w: known[w] for w in set().union(*words).intersection(known)}, **made}
+        return [b"".join(map(known.__getitem__, w)) for w in words]
+
+
+@functools.cache
+def encoder_of(tokenizer: str) -> Encoder:
+    """One for each worker process, whichever tasks it runs."""
+    return Encoder(tokenizer)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, order: tuple[str, ...] = ("doc_id",), doc_id: str = "doc_id", text: str = "text", files: int | None = None) -> DataFrame:
@@ -150,7 +160,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int =
     rows = rows.repartitionByRange(files, *names).sortWithinPartitions(*names, F.xxhash64("_text")).select("_id", "_text")
 
     def run(batches):
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         kind = "<u4" if encoder.bits > 16 else "<u2"
         place, files_made = TaskContext.get().partitionId(), 0
@@ -172,8 +182,8 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int =
             doc_ids += batch.column(0).to_pylist()
             data, offs = _text.utf8(batch.column(1))
             raw = data.tobytes()
-            for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-                ids = encoder(raw[a:b]) + end
+            for ids in encoder([raw[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]):
+                ids += end
                 counts.append(len(ids) // 4)
                 parts.append(np.frombuffer(ids, "<u4").astype(kind).tobytes())
                 size += len(parts[-1])
