@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.windows import event_us
 from tidemark.operators import history
 from tidemark.plans import feature_oracles as fo
+from tidemark.plans import queries as others
 from tidemark.plans import transactions
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,18 +31,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Doubles rounded: engines add them up in different orders."""
-    return df.select(*[(F.round(f.name, digits).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name)) for f in df.schema.fields])
-
-
 def _family(name: str, view) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         family = history.FAMILIES[name]
         need = [c for c in transactions.COLUMNS if c in (*family.needs, "transaction_id", "customer_id", "timestamp")]
         rows = view(spark, sf_dir).select(*need)
         out = history.features(rows, [name])
-        cols = [F.round(c, 6 if "seconds" in c else DIGITS).alias(c) if fo.is_float(c) else F.col(c).cast("long").alias(c) for c in family.columns()]
+        cols = [F.round(F.col(c) + fo.NUDGE, fo.digits_of(c, DIGITS)).alias(c) if fo.is_float(c) else F.col(c).cast("long").alias(c) for c in family.columns()]
         return out.select("transaction_id", F.col("customer_id").alias("customer_key"), event_us(F.col("timestamp")).alias("us"), *cols)
 
     return run
@@ -54,6 +50,10 @@ for _name in history.FAMILIES:
         query(f"{_name}_events", fo.family_sql(_name, fo.EVENTS, DIGITS))(_family(_name, transactions.event_stream))
 
 
+for _name, (_fn, _sql) in others.registry().items():
+    query(_name, _sql)(_fn)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return _QUERIES
 

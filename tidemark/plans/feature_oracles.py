@@ -145,6 +145,14 @@ def is_float(name: str) -> bool:
     return any(w in name for w in ("seconds", "mean", "share", "ratio", "std", "zscore", "log", "_transactions")) and "transactions_" not in name and not name.endswith("transaction_count")
 
 
+def digits_of(name: str, digits: int = 5) -> int:
+    """Whole microseconds stay as they are; sums of amounts carry most of the noise of addition."""
+    return 6 if "seconds" in name else 3 if "mean_amount" in name else digits
+
+
+#: Added before rounding, so that a value halfway between two roundings isn't left to the last bit of a sum.
+NUDGE = 1e-7
+
+
 def rounded(name: str, expr: str, digits: int) -> str:
-    digits = 6 if "seconds" in name else digits  # whole microseconds: nothing to round
-    return f"round({expr}, {digits}) as {name}" if is_float(name) else f"cast({expr} as bigint) as {name}"
+    return f"round({expr} + {NUDGE}, {digits_of(name, digits)}) as {name}" if is_float(name) else f"cast({expr} as bigint) as {name}"
