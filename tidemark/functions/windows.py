@@ -70,14 +70,14 @@ def windowed_distinct(df: DataFrame, key: str, partner: str, width: int, name: s
     w = Window.partitionBy(key, partner).orderBy(us)
     reach = width - int(open_left)
     d = df.select(key, partner, us).distinct()
-    d = d.withColumn("_b", F.coalesce((F.col(us) - F.lag(us).over(w) > reach).cast("int"), F.lit(1)))
-    d = d.withColumn("_e", F.coalesce((F.lead(us).over(w) - F.col(us) > reach).cast("int"), F.lit(1)))
-    starts = d.filter("_b = 1").select(key, F.col(us).alias("_t"), F.lit(1).alias("_d"))
-    ends = d.filter("_e = 1").select(key, (F.col(us) + reach).alias("_t"), F.lit(-1).alias("_d"))
-    rows = df.select("*", F.col(us).alias("_t"), F.lit(0).alias("_d"), F.lit(True).alias("_row"))
+    d = d.withColumn("__b", F.coalesce((F.col(us) - F.lag(us).over(w) > reach).cast("int"), F.lit(1)))
+    d = d.withColumn("__e", F.coalesce((F.lead(us).over(w) - F.col(us) > reach).cast("int"), F.lit(1)))
+    starts = d.filter("__b = 1").select(key, F.col(us).alias("__t"), F.lit(1).alias("__n"))
+    ends = d.filter("__e = 1").select(key, (F.col(us) + reach).alias("__t"), F.lit(-1).alias("__n"))
+    rows = df.select("*", F.col(us).alias("__t"), F.lit(0).alias("__n"), F.lit(True).alias("__row"))
     both = rows.unionByName(starts.unionByName(ends), allowMissingColumns=True)
-    total = F.coalesce(F.sum("_d").over(past(key, us="_t")), F.lit(0)).cast("long")
-    return both.withColumn(name, total).filter("_row").drop("_t", "_d", "_row")
+    total = F.coalesce(F.sum("__n").over(past(key, us="__t")), F.lit(0)).cast("long")
+    return both.withColumn(name, total).filter("__row").drop("__t", "__n", "__row")
 
 
 def split_past(df: DataFrame, key: str, sums: dict[str, Column], bucket: int = 30 * DAY, us: str = "us") -> DataFrame:
