@@ -1,9 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Items and documents are lower-case words of letters and digits. Each item is
-cut into stretches of ``STRETCH`` word n-grams, and the n-gram of a stretch that
-is in the fewest documents of the corpus becomes its seed, so an item always
-has seeds all along, however common its text is. A document with a seed is
+Items and documents are lower-case words of letters and digits. Seeds are the
+item's word n-grams that are in few documents of the corpus (``RARE`` of them at
+most, as a share or ``FEW``); an item is also cut into stretches of ``STRETCH``
+n-grams, and those of a stretch that are not much more frequent than its rarest
+(``NEAR`` times) are seeds too, so an item has seeds all along, however common
+its text is, and an edit that spares an n-gram leaves a seed. A document with a seed is
 aligned with the item around it (local alignment of words: ``MATCH``,
 ``-MISMATCH``, ``-GAP``); its score is the alignment's share of what the whole
 item would score. Pairs of at least ``THRESHOLD`` are returned.
@@ -29,6 +31,7 @@ from tidemark.llm import _features, _spark, _text
 
 GRAM = 3
 STRETCH = 4
+RARE, FEW, NEAR = 1e-4, 100, 4
 MIN_WORDS = 6
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, 1, 1
@@ -78,12 +81,13 @@ def _hits(h: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def counts(docs: DataFrame, grams: np.ndarray) -> dict[int, int]:
-    """In how many documents each of the n-grams is."""
+    """In how many documents each of the n-grams is (by place), and how many documents there are (-1)."""
     shared = docs.sparkSession.sparkContext.broadcast(grams)
 
     def run(batches):
-        total = np.zeros(len(shared.value), np.int64)
+        total, n = np.zeros(len(shared.value), np.int64), 0
         for batch in batches:
+            n += batch.num_rows
             for part in _text.slices(batch, "_text"):
                 w, h = words(part.column(1))
                 g, inside = w.grams(h, GRAM)
@@ -93,24 +97,24 @@ def counts(docs: DataFrame, grams: np.ndarray) -> dict[int, int]:
                     pairs = np.unique(w.doc[at] * len(total) + which)
                     total += np.bincount(pairs % len(total), minlength=len(total))
         there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["g", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(there, -1)), pa.array(np.append(total[there], n))], ["g", "n"])
 
     rows = docs.select("_id", "_text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()
     return {r["g"]: r["n"] for r in rows}  # one row at most for each n-gram of the items
 
 
 def seeds(items: Items, docs: DataFrame) -> None:
-    """Keeps the rarest n-gram of each stretch."""
+    """Keeps the rare n-grams; those that no document has are of no use."""
     if not len(items.gram):
         return
     grams = np.unique(items.gram)
     found = counts(docs, grams)
-    rarity = np.array([found.get(int(k), 0) for k in np.searchsorted(grams, items.gram)])
-    order = np.lexsort((items.place, rarity, items.place // STRETCH, items.item))
-    item, stretch = items.item[order], items.place[order] // STRETCH
-    first = np.ones(len(order), bool)
-    first[1:] = (item[1:] != item[:-1]) | (stretch[1:] != stretch[:-1])
-    items.select(order[first])
+    n = np.array([found.get(int(k), 0) for k in np.searchsorted(grams, items.gram)])
+    _, stretch = np.unique(np.column_stack([items.item, items.place // STRETCH]), axis=0, return_inverse=True)
+    least = np.full(stretch.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, stretch, np.where(n > 0, n, least[0]))
+    rare = np.maximum(max(FEW, RARE * found.get(-1, 0)), NEAR * least[stretch].clip(max=1 << 50))
+    items.select(np.flatnonzero((n > 0) & (n <= rare)))
 
 
 def align(queries: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
