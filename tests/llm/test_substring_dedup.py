@@ -2,7 +2,10 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tidemark.llm import substring_dedup
 
@@ -31,6 +34,26 @@ def test_equals_brute_force(docs_of, odd_texts, window, anchor):
     assert [tuple(r)[1:] for r in got] == brute(texts, window)
 
 
+def test_longer_prefixes_for_frequent_anchors(docs_of, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HEAVY", 2)
+    r = random.Random(3)
+    passage = prose(r, 20)
+    texts = [f"{prose(r, 9)} {passage} {prose(r, r.randrange(20))}" for _ in range(12)] + ["a b c d " * 9]
+    got = substring_dedup.remove(docs_of(texts), window=12, anchor=4).orderBy("doc_id").collect()
+    assert [tuple(x)[1:] for x in got] == brute(texts, 12)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), min_size=1, max_size=12), min_size=1, max_size=6), st.integers(2, 7))
+def test_deepest_nodes(rows, window):
+    symbols = np.array([x for row in rows for x in row], np.uint32)
+    left = np.array([len(row) - i for row in rows for i in range(len(row))])
+    paths = [tuple(row[i : i + window]) if len(row) - i >= window else None for row in rows for i in range(len(row))]
+    seen = collections.Counter(p for p in paths if p)
+    want = [p is not None and seen[p] > 1 for p in paths]
+    assert substring_dedup.deepest(symbols, left, window).tolist() == want
+
+
 def test_long_repeated_and_empty(docs_of, odd_texts):
     docs = docs_of(odd_texts)
     got = {r["doc_id"]: r for r in substring_dedup.remove(docs).collect()}

@@ -1,35 +1,40 @@
 """Substring dedup: repeated word windows by prefix-partitioned suffix trees.
 
 A word is removed if a window of ``WINDOW`` consecutive words that covers it
-has a word sequence that also starts anywhere else. Windows with an equal start
-are what hangs below a node of depth ``WINDOW`` in the suffix tree of all texts,
-so only the top ``WINDOW`` words of each suffix matter.
-
-* Suffixes are taken at anchors, the least ``ANCHOR``-word n-gram of a window
-  by hash. Equal windows choose equal anchors at equal offsets, so every repeat
-  of a window is found among the suffixes that start with one anchor's prefix.
-  An anchor serves about ``(WINDOW - ANCHOR) / 2`` windows in a row; they travel
-  as one row, with the path labels (hashes) of the windows.
-* The prefix of ``ANCHOR`` words is the partition key; suffixes of a prefix with
-  many continuations are split by longer prefixes: the offset within the window
-  and the label are added to the key inside a task, which works through sorted
-  prefixes in bounded batches.
-* In each batch the suffixes form a tree of prefix, offset and path label.
-  Nodes of full depth with two suffixes or more are the repeats; windows next
-  to each other merge to maximal ones.
-* Windows repeated within one map task are known there: one copy travels, so
-  a sequence with any number of copies reaches a task once from each map task.
-
-Paths are compared by a 64-bit hash of the prefix and ``LABEL`` bytes of the
-window's hash. Null and empty texts have no words and keep none. Repeated rows
-count as rows: their windows repeat. Other columns of the input may have any
-name. Rows with equal ids are judged alike if their texts are equal; ids are
-expected to be unique.
+has a word sequence that also starts anywhere else. Such windows hang below a
+node of depth ``WINDOW`` in the suffix tree of all texts with two suffixes or
+more, so only the top ``WINDOW`` words of suffixes matter, and suffixes whose
+prefix is unique need not be looked at further.
+
+1. Prefixes. Each window has an anchor, its least ``ANCHOR``-word n-gram by hash
+   (the leftmost on ties), so equal windows have equal anchors at equal
+   offsets. Anchors are counted over the corpus; a window whose anchor is
+   nowhere else is a leaf and drops out.
+2. Partitions. The rest is dealt by prefixes of variable length: the anchor, or,
+   where an anchor is at more than ``HEAVY`` places, all words of the window, so
+   that no partition outgrows a task's memory. An anchor serves about
+   ``(WINDOW - ANCHOR) / 2`` windows in a row; they travel as one fragment of
+   32-bit word symbols, which holds the suffixes of all of them.
+3. Subtrees. A task takes whole prefixes up to ``BATCH`` windows and splits their
+   suffixes by 2, 4, 8 ... words (each level names pairs of the level before),
+   leaving out those that have become unique, down to ``WINDOW`` words. A name
+   is a node of the subtree, and a deepest node with two suffixes or more is a
+   repeat; repeats that start one after the other merge to maximal ones.
+
+Windows repeated within one map task are known there (by a 64-bit hash): one of
+them travels, so a sequence with any number of copies reaches a partition once
+from each map task. A node is compared by its words' 32-bit hashes; unequal
+windows would have to collide in all their differing words.
+
+Null and empty texts have no words and keep none. Repeated rows count as rows:
+their windows repeat. Other columns of the input may have any name. Ids are
+expected to be unique: of rows that share an id but not their text, each loses
+the words at the places where either repeats. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
-import hashlib
 from itertools import compress
 
 import numpy as np
@@ -41,12 +46,12 @@ from tidemark.llm import _spark, _text
 
 WINDOW = 35
 ANCHOR = 8
-LABEL = 5  # bytes
-HELD = 1_500_000  # windows that a map task compares with each other
-BATCH = 400_000  # suffix rows' windows that a tree holds at once, more only for one prefix
+HELD = 800_000  # windows that a map task compares with each other
+HEAVY = 5_000  # places of an anchor from which its windows are dealt by all their words
+BATCH = 300_000  # windows of a subtree batch, more only for one prefix
 
 
-def anchors(w: _text.Words, h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR):
+def anchors(w: _text.Words, h: np.ndarray, window: int, anchor: int):
     """Of each window: its first word, its anchor's first word, the anchor's hash and the window's hash."""
     full, inside = w.grams(h, window)
     start = np.flatnonzero(inside)
@@ -64,89 +69,161 @@ def anchors(w: _text.Words, h: np.ndarray, window: int = WINDOW, anchor: int = A
     return start, at[start], gram[at[start]], full[start]
 
 
-def _runs(doc_id, w, h, window, anchor):
-    """Windows of a slice, and the rows of windows with one anchor."""
-    start, at, prefix, label = anchors(w, h, window, anchor)
-    doc = w.doc[start]
-    return start - w.first[:-1][doc], at - start, prefix, label, doc_id[doc]
+def _words(col: pa.Array) -> tuple[_text.Words, np.ndarray]:
+    w = _text.Words(*_text.utf8(col))
+    return w, w.hashes()
 
 
-def suffix_rows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """Rows ``_id, word, prefix, offset, labels``: the windows from ``word`` on, of one anchor.
+def _base(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows as each step reads them, so that they can share one exchange."""
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_text"))
 
-    Rows with a null ``prefix`` tell of windows known to repeat (``labels`` has a
-    byte for each: 1 if so).
-    """
+
+def anchor_places(rows: DataFrame, window: int, anchor: int) -> DataFrame:
+    """``prefix, places``: where each anchor is, one row for each map task's share of it."""
 
     def flush(held):
-        word, offset, prefix, label, doc_id = (np.concatenate(x) for x in zip(*held, strict=True))
-        both = _text.mix(label ^ _text.mix(prefix + offset.astype(np.uint64)))
-        _, first, which, count = np.unique(both, return_index=True, return_inverse=True, return_counts=True)
+        prefix, doc_id, word = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(prefix, kind="stable")
+        prefix = prefix[order]
+        new = np.ones(len(prefix), bool)
+        new[1:] = prefix[1:] != prefix[:-1]
+        at = np.flatnonzero(new)
+        places = pa.StructArray.from_arrays([pa.array(doc_id[order]), pa.array(word[order].astype(np.int32))], ["_id", "word"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(prefix)).astype(np.int32)), places)
+        yield pa.RecordBatch.from_arrays([pa.array(prefix[at].view(np.int64)), lists], ["prefix", "places"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            for part in _text.slices(batch, "_text"):
+                w, h = _words(part.column(1))
+                _, at, prefix, _ = anchors(w, h, window, anchor)
+                at, first = np.unique(at, return_index=True)
+                if len(at):
+                    doc = w.doc[at]
+                    held.append((prefix[first], part.column(0).to_numpy(zero_copy_only=False)[doc], at - w.first[:-1][doc]))
+                    n += len(at)
+            if n >= HELD:
+                yield from flush(held)
+                held, n = [], 0
+        if held:
+            yield from flush(held)
+
+    known = rows.select(F.col("doc_id").cast("long").alias("_id"), "_text").filter("_text is not null and _id is not null")
+    return known.mapInArrow(run, "prefix long, places array<struct<_id: long, word: int>>")
+
+
+def fragments(marked: DataFrame, window: int, anchor: int) -> DataFrame:
+    """Rows ``_id, word, key, offset, known, symbols``: windows from ``word`` on, of one anchor.
+
+    ``known`` has a bit for each window that is known to repeat. A row with a
+    null ``key`` tells only of ``known`` windows in a row that repeat.
+    """
+
+    def flush(held, symbols):
+        word, offset, prefix, label, doc_id, heavy, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        words = np.concatenate(symbols)
+        path = _text.mix(label ^ _text.mix(prefix + offset.astype(np.uint64)))
+        _, first, which, count = np.unique(path, return_index=True, return_inverse=True, return_counts=True)
         known = (count > 1)[which]
         sent = np.zeros(len(word), bool)
         sent[first] = True
 
-        def rows(mask, body, width, with_prefix):
-            k = np.flatnonzero(mask)
-            if not len(k):
-                return None
+        def runs(k, one_anchor):
             new = np.ones(len(k), bool)
             new[1:] = (np.diff(k) != 1) | (doc_id[k[1:]] != doc_id[k[:-1]]) | (word[k[1:]] != word[k[:-1]] + 1)
-            if with_prefix:
-                new[1:] |= (prefix[k[1:]] != prefix[k[:-1]]) | (offset[k[1:]] != offset[k[:-1]] - 1)
-            at = k[new]
-            bounds = np.append(np.flatnonzero(new), len(k)) * width
-            labels = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(body[k].tobytes())])
-            none = pa.nulls(len(at), pa.int64())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(doc_id[at]), pa.array(word[at]), pa.array(prefix[at].view(np.int64)) if with_prefix else none, pa.array(offset[at].astype(np.int8)), labels],
-                ["_id", "word", "prefix", "offset", "labels"],
-            )
-
-        # the lowest bit of a label says that the window is known to repeat
-        body = np.ascontiguousarray(((label & ~np.uint64(1)) | known.astype(np.uint64)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :LABEL])
-        yield rows(sent, body, LABEL, True)
-        yield rows(known, np.ones(len(word), np.uint8), 1, False)
+            if one_anchor:
+                new[1:] |= (prefix[k[1:]] != prefix[k[:-1]]) | (offset[k[1:]] != offset[k[:-1]] - 1) | heavy[k[1:]]
+            at = np.flatnonzero(new)
+            return k[at], at, np.diff(np.append(at, len(k)))
+
+        k = np.flatnonzero(sent)
+        head, at, n = runs(k, True)
+        bits = np.add.reduceat(known[k].astype(np.int64) << (np.arange(len(k)) - np.repeat(at, n)), at)
+        size = n + window - 1
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        take = np.arange(bounds[-1]) + np.repeat(place[head] - bounds[:-1], size)
+        body = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer((bounds * 4).astype(np.int32).tobytes()), pa.py_buffer(words[take].tobytes())])
+        key = np.where(heavy[head], path[head], prefix[head]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(doc_id[head]), pa.array(word[head].astype(np.int32)), pa.array(key), pa.array(bits), body], _FRAGMENT)
+        k = np.flatnonzero(known)
+        if len(k):
+            head, _, n = runs(k, False)
+            yield pa.RecordBatch.from_arrays([pa.array(doc_id[head]), pa.array(word[head].astype(np.int32)), pa.nulls(len(head), pa.int64()), pa.array(n), pa.nulls(len(head), pa.binary())], _FRAGMENT)
 
     def run(batches):
-        held, n = [], 0
+        held, symbols, n, total = [], [], 0, 0
         for batch in batches:
             for part in _text.slices(batch, "_text"):
-                w = _text.Words(*_text.utf8(part.column(1)))
-                made = _runs(part.column(0).to_numpy(zero_copy_only=False), w, w.hashes(), window, anchor)
-                if len(made[0]):
-                    held.append(made)
-                    n += len(made[0])
-            if n >= HELD:
-                yield from (x for x in flush(held) if x is not None)
-                held, n = [], 0
+                w, h = _words(part.column(1))
+                start, at, prefix, label = anchors(w, h, window, anchor)
+                marks = part.column(2)
+                inner = marks.flatten()
+                owner = np.repeat(np.arange(part.num_rows), marks.value_lengths().fill_null(0).to_numpy())
+                where = w.first[:-1][owner] + inner.field(0).to_numpy()
+                mark = np.zeros(len(h) + 1, np.int8)
+                mark[where] = 1 + inner.field(1).to_numpy(zero_copy_only=False).astype(np.int8)
+                keep = mark[at] > 0
+                start, at, prefix, label = start[keep], at[keep], prefix[keep], label[keep]
+                if len(start):
+                    doc = w.doc[start]
+                    held.append((start - w.first[:-1][doc], at - start, prefix, label, part.column(0).to_numpy()[doc], mark[at] == 2, start + total))
+                    symbols.append((h & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+                    n += len(start)
+                    total += len(h)
+            if n >= HELD or total >= 4 * HELD:
+                if held:
+                    yield from flush(held, symbols)
+                held, symbols, n, total = [], [], 0, 0
         if held:
-            yield from (x for x in flush(held) if x is not None)
-
-    return docs.mapInArrow(run, "_id long, word long, prefix long, offset tinyint, labels binary")
-
-
-def _tree(batch: pa.Table) -> pa.RecordBatch:
-    """Windows below nodes of full depth with two suffixes or more, that weren't known before."""
-    n = batch.num_rows
-    labels = batch.column("labels").combine_chunks()
-    bounds = np.frombuffer(labels.buffers()[1], np.int32)[labels.offset : labels.offset + n + 1].astype(np.int64)
-    raw = np.frombuffer(labels.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].reshape(-1, LABEL)
-    sizes = np.diff(bounds) // LABEL
-    row = np.repeat(np.arange(n), sizes)
-    step = np.arange(len(row)) - np.repeat((bounds[:-1] - bounds[0]) // LABEL, sizes)
-    wide = np.zeros((len(row), 8), np.uint8)
-    wide[:, :LABEL] = raw
-    label = wide.view("<u8").ravel()
-    known = (label & np.uint64(1)).astype(bool)
-    prefix = batch.column("prefix").to_numpy().view(np.uint64)[row]
-    offset = (batch.column("offset").to_numpy().astype(np.int64)[row] - step).astype(np.uint64)
-    path = _text.mix((label & ~np.uint64(1)) ^ _text.mix(prefix + offset))
-    _, which, count = np.unique(path, return_inverse=True, return_counts=True)
-    hit = (count > 1)[which]
-    found = np.flatnonzero(hit & ~known)
-    doc, word = batch.column("_id").to_numpy()[row[found]], batch.column("word").to_numpy()[row[found]] + step[found]
-    return doc, word
+            yield from flush(held, symbols)
+
+    return marked.mapInArrow(run, "_id long, word int, key long, known long, symbols binary")
+
+
+_FRAGMENT = ["_id", "word", "key", "known", "symbols"]
+
+
+def deepest(symbols: np.ndarray, left: np.ndarray, window: int) -> np.ndarray:
+    """Which of the suffixes share their first ``window`` words with another.
+
+    ``left`` has the number of words from each place to its fragment's end. Names
+    of 2, 4, 8 ... words are made from pairs of names; a suffix whose name is
+    alone is a leaf, and so is one whose second half is.
+    """
+    name, depth = symbols.astype(np.uint64), 1
+    shared = np.ones(len(symbols), bool)
+    while depth < window:
+        step = min(depth, window - depth)
+        at = np.flatnonzero(shared & (left >= depth + step))
+        at = at[shared[at + step]]
+        pair = name[at] << np.uint64(32) | name[at + step]
+        _, which, count = np.unique(pair, return_inverse=True, return_counts=True)
+        shared = np.zeros(len(symbols), bool)
+        shared[at] = (count > 1)[which]
+        name = np.zeros(len(symbols), np.uint64)
+        name[at] = which
+        depth += step
+    return shared & (left >= window)
+
+
+def _tree(rows: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document and first word of the windows that repeat and weren't known to."""
+    n = rows.num_rows
+    body = rows.column("symbols").combine_chunks()
+    if isinstance(body, pa.ChunkedArray):
+        body = body.chunk(0)
+    bounds = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + n + 1].astype(np.int64)
+    symbols = np.frombuffer(body.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view("<u4")
+    size = np.diff(bounds) // 4
+    row = np.repeat(np.arange(n), size)
+    step = np.arange(len(row)) - np.repeat((bounds[:-1] - bounds[0]) // 4, size)
+    hit = np.flatnonzero(deepest(symbols, size[row] - step, window))
+    row, step = row[hit], step[hit]
+    new = rows.column("known").to_numpy()[row] >> step & 1 == 0
+    row, step = row[new], step[new]
+    return rows.column("_id").to_numpy()[row], rows.column("word").to_numpy()[row] + step
 
 
 def _islands(doc: np.ndarray, word: np.ndarray, window: int) -> pa.RecordBatch:
@@ -154,48 +231,48 @@ def _islands(doc: np.ndarray, word: np.ndarray, window: int) -> pa.RecordBatch:
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (word[1:] != word[:-1] + 1)
     last = np.append(np.flatnonzero(new)[1:], len(doc)) - 1
-    return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(word[new]), pa.array(word[last] + window if len(doc) else word)], ["_id", "first", "last"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(word[new].astype(np.int64)), pa.array((word[last] + window if len(doc) else word).astype(np.int64))], ["_id", "first", "last"])
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``_id, first, last``: stretches of words covered by repeated windows; they may touch or overlap."""
+    if not 0 <= window - anchor < 62 or anchor < 1:
+        raise ValueError("the anchor must be shorter than the window, by 61 words at most")
     _spark.small_batches(docs.sparkSession)
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_text")).filter("_text is not null and _id is not null")
-    made = suffix_rows(rows, window, anchor)
-    # suffixes are dealt by prefix; what is known already only has to find its document
-    dealt = made.withColumn("_key", F.coalesce("prefix", F.xxhash64("_id", "word"))).repartition("_key").sortWithinPartitions("prefix").drop("_key")
+    rows = _base(docs, doc_id, text)
+    places = _spark.stored(anchor_places(rows, window, anchor))
+    counts = places.groupBy("prefix").agg(F.sum(F.size("places").cast("long")).alias("n")).filter("n > 1")
+    shared = places.join(counts, "prefix").select(F.explode("places").alias("p"), (F.col("n") > HEAVY).alias("heavy"))
+    marks = shared.groupBy(F.col("p._id").alias("_id")).agg(F.collect_list(F.struct(F.col("p.word").alias("word"), "heavy")).alias("_marks"))
+    marked = rows.join(marks, F.col("doc_id").cast("long") == F.col("_id")).select("_id", "_text", "_marks")
+    made = fragments(marked.filter("_text is not null"), window, anchor)
+    # what is known already only has to find its document
+    dealt = made.withColumn("_deal", F.coalesce("key", F.xxhash64("_id", "word"))).repartition("_deal").sortWithinPartitions("key").drop("_deal")
 
     def grow(batches):
         kept: list[pa.RecordBatch] = []
-
-        def work(tables):
-            rows = pa.Table.from_batches(tables)
-            if rows.num_rows:
-                yield _islands(*_tree(rows), window)
-
         size = 0
         for batch in batches:
             told = np.asarray(batch.column(2).is_null())
             if told.any():
                 gone = batch.filter(pa.array(told))
-                first = gone.column(1).to_numpy()
-                length = np.array([len(x) for x in gone.column(4).to_pylist()], np.int64)
-                yield pa.RecordBatch.from_arrays([gone.column(0), pa.array(first), pa.array(first + length - 1 + window)], ["_id", "first", "last"])
+                first = gone.column(1).to_numpy().astype(np.int64)
+                yield pa.RecordBatch.from_arrays([gone.column(0), pa.array(first), pa.array(first + gone.column(3).to_numpy() - 1 + window)], ["_id", "first", "last"])
                 batch = batch.filter(pa.array(~told))
             if not batch.num_rows:
                 continue
             kept.append(batch)
-            size += batch.column(4).nbytes // LABEL
-            if size >= BATCH:
+            size += batch.column(4).nbytes // 4
+            if size >= 3 * BATCH:
                 rows = pa.Table.from_batches(kept)
-                prefix = rows.column("prefix").to_numpy()
-                cut = int(np.searchsorted(prefix, prefix[-1], "left"))  # the last prefix may go on
+                key = rows.column("key").to_numpy()
+                cut = int(np.searchsorted(key, key[-1], "left"))  # the last prefix may go on
                 if cut:
-                    yield from work(rows.slice(0, cut).to_batches())
+                    yield _islands(*_tree(rows.slice(0, cut), window), window)
                     kept = rows.slice(cut).combine_chunks().to_batches()
-                    size = sum(b.column(4).nbytes for b in kept) // LABEL
+                    size = sum(b.column(4).nbytes for b in kept) // 4
         if kept:
-            yield from work(kept)
+            yield _islands(*_tree(pa.Table.from_batches(kept), window), window)
 
     return dealt.mapInArrow(grow, "_id long, first long, last long")
 
@@ -204,7 +281,7 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     """``doc_id, n_words, n_removed, kept`` of every row: ``kept`` has the words left, joined by one space."""
     found = repeats(docs, doc_id, text, window, anchor)
     spans = found.groupBy("_id").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_text"))
+    rows = _base(docs, doc_id, text)
     joined = rows.join(spans, F.col("doc_id").cast("long") == F.col("_id"), "left").select("doc_id", "_text", "_spans")
 
     def run(batches):
