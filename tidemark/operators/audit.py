@@ -128,6 +128,12 @@ def time_profile(df: DataFrame, time: str, ordinal: str) -> DataFrame:
     return whole.crossJoin(backward)  # one row each
 
 
+def require_time_sorted(df: DataFrame, time: str, ordinal: str) -> DataFrame:
+    if time_profile(df, time, ordinal).first()["backward"]:
+        raise ValueError(f"{time} must not go back")
+    return df
+
+
 def time_overlap(a: DataFrame, b: DataFrame, time: str) -> DataFrame:
     """Both ranges, and whether they overlap."""
     x, y = (d.agg(F.min(time).alias(f"{t}_first"), F.max(time).alias(f"{t}_last")) for d, t in ((a, "a"), (b, "b")))
@@ -178,3 +184,32 @@ def column_roles(df: DataFrame) -> dict[str, list[str]]:
 def mean_and_std(scores: Sequence[float]) -> tuple[float, float]:
     m = math.fsum(scores) / len(scores)
     return m, math.sqrt(math.fsum((x - m) ** 2 for x in scores) / len(scores))
+
+
+def report(train: DataFrame, test: DataFrame | None = None, numbers: Sequence[str] = (), categories: Sequence[str] = (), target: str | None = None, time: str | None = None) -> str:
+    """A markdown audit of a table, and of its drift to another."""
+
+    def grid(df: DataFrame) -> list[str]:
+        cell = lambda v: "" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v).replace("|", "/").replace("\n", " ")[:180]
+        rows = df.limit(200).collect()
+        return [f"| {' | '.join(df.columns)} |", "|" + "-|" * len(df.columns), *[f"| {' | '.join(map(cell, r))} |" for r in rows], ""]
+
+    out = ["# Data audit", "", f"Columns by name: {column_roles(train)}", "", "## Missing values", "", *grid(missingness(train))]
+    out += ["## Duplicate rows", "", *grid(duplicates(train))]
+    if numbers:
+        out += ["## Numbers", "", *grid(numeric_profile(train, numbers))]
+    if categories:
+        out += ["## Categories", "", *grid(categorical_profile(train, categories))]
+    if target:
+        out += ["## Target", "", *grid(value_counts(train, target)), *grid(target_leaks(train, target, [c for c in (*numbers, *categories) if c != target]))]
+    if test is not None:
+        shared = [c for c in (*numbers, *categories) if c in test.columns]
+        for c in (c for c in categories if c in shared):
+            out += [f"## Drift of {c}", "", *grid(tv_drift(train, test, c))]
+        if own := [c for c in numbers if c in shared]:
+            out += ["## Drift of numbers", "", *grid(numeric_drift(train, test, own))]
+        if shared:
+            out += ["## Overlap", "", *grid(entity_overlap(train, test, shared)), f"Equal rows: {vector_overlap(train, test, shared).count()}", ""]
+        if time:
+            out += ["## Time", "", *grid(time_overlap(train, test, time))]
+    return "\n".join(out)

@@ -125,3 +125,33 @@ def custom(df: DataFrame, metric: Callable, columns: Sequence[str], by: Sequence
 
     schema = df.select(*by).schema.add(name, "double")
     return df.groupBy(*by).applyInPandas(run, schema)
+
+
+#: Metrics by name: the function, whether a higher value is better, and what it is computed from.
+REGISTRY: dict[str, tuple[Callable[..., DataFrame], bool, str]] = {
+    **{m: (regression, m == "r2", "value") for m in ("mae", "mse", "rmse", "r2")},
+    **{m: (classification, True, "label") for m in ("accuracy", "precision", "recall", "f1")},
+    "log_loss": (log_loss, False, "probability"),
+    "roc_auc": (roc_auc, True, "score"),
+    "average_precision": (average_precision, True, "score"),
+}
+
+
+def score(df: DataFrame, metric: str, label: str, prediction: str, average: str | None = None) -> float | None:
+    """One metric of the whole table. ``f1``, ``precision`` and ``recall`` need an ``average``; ``module:function`` is a user's own."""
+    if ":" in metric:
+        import importlib
+
+        module, _, name = metric.partition(":")
+        own = getattr(importlib.import_module(module), name)
+        return custom(df.withColumn("_all", F.lit(1)), own, [label, prediction], ["_all"]).first()["score"]
+    if metric not in REGISTRY:
+        raise ValueError(f"unknown metric {metric!r}; known: {sorted(REGISTRY)}")
+    fn, _, _ = REGISTRY[metric]
+    if fn is classification:
+        if metric != "accuracy" and average is None:
+            raise ValueError(f"{metric} needs an average")
+        return fn(df, label, prediction, average or "micro").first()[metric]
+    if metric == "log_loss" and sum(probability_faults(df, [prediction]).first()[c] for c in ("out_of_range", "not_summing")):
+        raise ValueError("a probability is missing or out of range")
+    return fn(df, label, prediction).first()[metric]

@@ -113,3 +113,37 @@ def recency_weight(df: DataFrame, half_life_days: float = 60.0, time: str = "tim
     mean = weighed.groupBy(*by).agg(F.avg("_w").alias("_mean"))
     both = weighed.join(mean, list(by)) if by else weighed.crossJoin(F.broadcast(mean))
     return both.withColumn("weight", F.col("_w") / F.col("_mean")).drop("_w", "_mean", "_last")
+
+
+KINDS = ("kfold", "stratified", "group", "stratified_group", "time", "time_holdout", "calendar_time")
+
+
+def make_splits(df: DataFrame, kind: str, key: Sequence[str], k: int = 5, seed: int = 42, label: str | None = None, group: str | None = None, time: str = "timestamp", fraction: float = 0.2, gap: int = 0, bounds: Sequence[tuple[str, str]] = ()) -> tuple[DataFrame, str]:
+    """The table with its fold column, checked, and a signature of settings and assignment.
+
+    Every row gets one fold; a group lies in one fold; folds in time don't start
+    before their training rows end.
+    """
+    from tidemark.sources.tables import content_hash, object_hash
+
+    if kind not in KINDS:
+        raise ValueError(f"unknown kind {kind!r}; known: {KINDS}")
+    if kind == "kfold":
+        out = kfold(df, k, key, seed)
+    elif kind == "stratified":
+        out = kfold(df, k, key, seed, label)
+    elif kind in ("group", "stratified_group"):
+        out = group_fold(df, k, group, seed, label if kind == "stratified_group" else None)
+    elif kind == "time":
+        out = time_folds(df, k, [time, *key], gap)
+    elif kind == "time_holdout":
+        held = time_holdout(df, fraction, [time, *key], gap)
+        out = held.withColumn(FOLD, F.when(F.col("split") == "valid", 0).when(F.col("split") == "gap", -2).otherwise(-1)).drop("split")
+    else:
+        out = calendar_folds(df, bounds, time)
+    if kind in ("time", "time_holdout", "calendar_time"):
+        edges = out.groupBy(FOLD).agg(F.min(time).alias("a"), F.max(time).alias("b")).filter(f"{FOLD} >= 0").collect()
+        for e in edges:
+            check_boundary(out.filter((F.col(FOLD) < e[FOLD]) & (F.col(time) <= e["b"]) & (F.col(FOLD) != -2)), out.filter(F.col(FOLD) == e[FOLD]), time)
+    settings = [kind, list(key), k, seed, label, group, time, fraction, gap, list(map(list, bounds))]
+    return out, object_hash([settings, content_hash(out, [*key, FOLD])])
