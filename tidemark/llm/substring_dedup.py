@@ -29,8 +29,8 @@ windows would have to collide in all their differing words.
 Null and empty texts have no words and keep none. Repeated rows count as rows:
 their windows repeat. Other columns of the input may have any name. Ids are
 expected to be unique: of rows that share an id but not their text, each loses
-the words at the places where either repeats. An empty table gives an empty
-result.
+the words at the places where either repeats. Rows with a null id keep their
+words and aren't compared. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -74,9 +74,10 @@ def _words(col: pa.Array) -> tuple[_text.Words, np.ndarray]:
     return w, w.hashes()
 
 
-def _base(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The rows as each step reads them, so that they can share one exchange."""
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_text"))
+def _base(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with id and text, as both joins read them so that they share one exchange; and the others."""
+    rows = lambda: docs.select(F.col(f"`{doc_id}`").alias("_doc"), F.col(f"`{text}`").alias("_text"))
+    return rows().filter("_doc is not null and _text is not null"), rows().filter("_doc is null or _text is null")
 
 
 def anchor_places(rows: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -110,8 +111,7 @@ def anchor_places(rows: DataFrame, window: int, anchor: int) -> DataFrame:
         if held:
             yield from flush(held)
 
-    known = rows.select(F.col("doc_id").cast("long").alias("_id"), "_text").filter("_text is not null and _id is not null")
-    return known.mapInArrow(run, "prefix long, places array<struct<_id: long, word: int>>")
+    return rows.select(F.col("_doc").cast("long").alias("_id"), "_text").mapInArrow(run, "prefix long, places array<struct<_id: long, word: int>>")
 
 
 def fragments(marked: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -239,13 +239,13 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     if not 0 <= window - anchor < 62 or anchor < 1:
         raise ValueError("the anchor must be shorter than the window, by 61 words at most")
     _spark.small_batches(docs.sparkSession)
-    rows = _base(docs, doc_id, text)
+    rows, _ = _base(docs, doc_id, text)
     places = _spark.stored(anchor_places(rows, window, anchor))
     counts = places.groupBy("prefix").agg(F.sum(F.size("places").cast("long")).alias("n")).filter("n > 1")
     shared = places.join(counts, "prefix").select(F.explode("places").alias("p"), (F.col("n") > HEAVY).alias("heavy"))
     marks = shared.groupBy(F.col("p._id").alias("_id")).agg(F.collect_list(F.struct(F.col("p.word").alias("word"), "heavy")).alias("_marks"))
-    marked = rows.join(marks, F.col("doc_id").cast("long") == F.col("_id")).select("_id", "_text", "_marks")
-    made = fragments(marked.filter("_text is not null"), window, anchor)
+    marked = rows.join(marks, F.col("_doc").cast("long") == F.col("_id")).select("_id", "_text", "_marks")
+    made = fragments(marked, window, anchor)
     # what is known already only has to find its document
     dealt = made.withColumn("_deal", F.coalesce("key", F.xxhash64("_id", "word"))).repartition("_deal").sortWithinPartitions("key").drop("_deal")
 
@@ -281,8 +281,9 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     """``doc_id, n_words, n_removed, kept`` of every row: ``kept`` has the words left, joined by one space."""
     found = repeats(docs, doc_id, text, window, anchor)
     spans = found.groupBy("_id").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
-    rows = _base(docs, doc_id, text)
-    joined = rows.join(spans, F.col("doc_id").cast("long") == F.col("_id"), "left").select("doc_id", "_text", "_spans")
+    rows, others = _base(docs, doc_id, text)
+    joined = rows.join(spans, F.col("_doc").cast("long") == F.col("_id"), "left").select("_doc", "_text", "_spans")
+    joined = joined.unionByName(others.withColumn("_spans", F.lit(None).cast("array<struct<first: long, last: long>>")))
 
     def run(batches):
         for batch in batches:
