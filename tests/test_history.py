@@ -133,6 +133,13 @@ def test_sweep_and_split_equal_frames(spark):
     a = df.select("i", F.count("*").over(w).alias("n"), F.min("us").over(w).alias("lo"), F.max("us").over(w).alias("hi"), F.sum("_x").over(w).alias("x"))
     b = split_past(df, "_c", {"x": F.col("_x")}, bucket=2 * DAY).select("i", F.col("prior_count").alias("n"), F.col("prior_first").alias("lo"), F.col("prior_last").alias("hi"), "x")
     assert sorted(a.collect(), key=str) == sorted(b.collect(), key=str)
+    from tidemark.functions.windows import split_trailing, trailing
+
+    for open_left, bucket in ((False, None), (True, 5 * DAY)):
+        w = trailing(2 * DAY, "_c", open_left=open_left)
+        a = df.select("i", F.count("*").over(w).alias("n"), F.sum("_x").over(w).alias("x"))
+        b = split_trailing(df, "_c", 2 * DAY, {"x": F.col("_x")}, open_left, bucket).select("i", F.col("recent_count").alias("n"), "x")
+        assert sorted(a.collect(), key=str) == sorted(b.collect(), key=str)
 
 
 def test_few_shuffles(spark, data):

@@ -103,3 +103,20 @@ def split_past(df: DataFrame, key: str, sums: dict[str, Column], bucket: int = 3
     for name in names:
         made[name] = F.when(F.col("_cn") + F.count(F.lit(1)).over(own) > 0, F.coalesce(F.sum(f"_v_{name}").over(own), F.lit(0)) + F.coalesce(F.col(f"_c_{name}"), F.lit(0)))
     return both.withColumns(made).drop("_bucket", "_key", "_at", "_cn", "_clo", "_chi", *[f"_{p}_{n}" for p in "vc" for n in names])
+
+
+def split_trailing(df: DataFrame, key: str, width: int, sums: dict[str, Column], open_left: bool = False, bucket: int | None = None, us: str = "us") -> DataFrame:
+    """Count and sums over ``[t - width, t)`` of a key that may hold any share of the rows.
+
+    Rows are dealt by key and time bucket of at least ``width``; each also goes to
+    the next bucket, so a frame lies within one. Rows gain ``recent_count`` and a
+    column for each of ``sums`` (NULL over no rows).
+    """
+    size = max(width, bucket or width)
+    names = list(sums)
+    own = df.withColumns({f"_v_{n}": c for n, c in sums.items()} | {"_bucket": F.floor(F.col(us) / size), "_own": F.lit(True)})
+    again = own.select(key, us, *[f"_v_{n}" for n in names], (F.col("_bucket") + 1).alias("_bucket"), F.lit(False).alias("_own"))
+    w = trailing(width, key, "_bucket", open_left=open_left, us=us)
+    both = own.unionByName(again, allowMissingColumns=True)
+    made = {"recent_count": F.count(F.lit(1)).over(w)} | {n: F.sum(f"_v_{n}").over(w) for n in names}
+    return both.withColumns(made).filter("_own").drop("_bucket", "_own", *[f"_v_{n}" for n in names])

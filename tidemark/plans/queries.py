@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import DAY, split_past, windowed_distinct
+from tidemark.functions.windows import DAY, split_past, split_trailing, windowed_distinct
 from tidemark.operators import audit, blend, history, learning, metrics, splits, static
 from tidemark.plans import feature_oracles as fo
 from tidemark.plans import transactions
@@ -109,6 +109,14 @@ def split_key_history(spark, d):
     return out.select("transaction_id", F.col("customer_id").alias("customer_key"), "us", "prior_count", F.coalesce("cents", F.lit(0)).alias("prior_cents"), F.round((F.col("us") - F.col("prior_last")) / 1e6, 6).alias("since_last"))
 
 
+@query(f"with {fo.ORDER_LINES}, {fo.MORE} select transaction_id, us, m as merchant_key, {fo.n(fo.R(30 * fo.D, 'm'))} as recent_count, cast(coalesce(sum(cast(round(x * 100) as bigint)) {fo.R(30 * fo.D, 'm')}, 0) as bigint) as recent_cents from t")
+def split_key_trailing(spark, d):
+    """Thirty days of a merchant, with each merchant dealt by time bucket."""
+    rows = history.prepare(transactions.order_lines(spark, d).select("transaction_id", "merchant_id", "amount", "timestamp"))
+    out = split_trailing(rows, "_m", 30 * DAY, {"cents": F.round(F.col("_x") * 100).cast("long")}, bucket=90 * DAY)
+    return out.select("transaction_id", "us", F.col("_m").alias("merchant_key"), "recent_count", F.coalesce("cents", F.lit(0)).alias("recent_cents"))
+
+
 @query(f"with {fo.ORDER_LINES}, {fo.MORE} select transaction_id, us, m as merchant_key, cast(count(distinct c) {fo.R(30 * fo.D, 'm')} as bigint) as customers_30d from t")
 def windowed_distinct_sweep(spark, d):
     rows = history.prepare(transactions.order_lines(spark, d).select("transaction_id", "customer_id", "merchant_id", "amount", "timestamp"))
@@ -438,7 +446,7 @@ def ranked_interval(spark, d):
 
     o = _read(spark, d, "orders").filter((F.col("o_orderdate") >= _at("1996-01-01")) & (F.col("o_orderdate") < _at("1996-02-01")))
     top = o.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50)  # so the window below has 50 rows
-    return top.select("o_orderkey", "o_totalprice", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("place"))
+    return top.select("o_orderkey", "o_totalprice", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long").alias("place"))
 
 
 def registry() -> dict[str, tuple]:
