@@ -240,7 +240,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
         raise ValueError("the anchor must be shorter than the window, by 61 words at most")
     _spark.small_batches(docs.sparkSession)
     rows, _ = _base(docs, doc_id, text)
-    places = _spark.stored(anchor_places(rows, window, anchor))
+    # made twice: hashing the texts again costs less than a table of all anchors
+    places = anchor_places(rows, window, anchor)
     counts = places.groupBy("prefix").agg(F.sum(F.size("places").cast("long")).alias("n")).filter("n > 1")
     shared = places.join(counts, "prefix").select(F.explode("places").alias("p"), (F.col("n") > HEAVY).alias("heavy"))
     marks = shared.groupBy(F.col("p._id").alias("_id")).agg(F.collect_list(F.struct(F.col("p.word").alias("word"), "heavy")).alias("_marks"))
