@@ -145,5 +145,5 @@ def test_sweep_and_split_equal_frames(spark):
 def test_few_shuffles(spark, data):
     """All families of a key share one exchange."""
     df = spark.createDataFrame(stream(3), SCHEMA)
-    plan = history.features(df, ["customer_history", "customer_device", "customer_merchant", "amount_30d"])._jdf.queryExecution().executedPlan().toString()
+    plan = history.features(df, ["customer_history", "customer_device", "customer_merchant", "amount_30d", "customer_new_merchants"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1

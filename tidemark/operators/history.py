@@ -158,7 +158,7 @@ def _e10() -> dict[str, Column]:
 
 
 def _e12() -> dict[str, Column]:
-    flag, out = F.col(_flag("m", "c")), {}
+    flag, out = F.col(_flag("c", "m")), {}
     for name, days in (("7d", 7), ("30d", 30)):
         w = trailing(days * DAY, "_c", open_left=True)
         new = F.coalesce(F.sum(flag).over(w), F.lit(0))
@@ -211,7 +211,7 @@ FAMILIES: dict[str, Family] = {
         Family("merchant_history", _e9, "_m", ("customer_id", "merchant_id"), (("m", "c"),)),
         Family("device_sharing", _e10, "_d", ("customer_id", "device_id"), (("d", "c"),)),
         Family("merchant_amount", lambda: _amounts("_m", "merchant"), "_m", ("merchant_id", "amount")),
-        Family("customer_new_merchants", _e12, "_c", ("customer_id", "merchant_id"), (("m", "c"),)),
+        Family("customer_new_merchants", _e12, "_c", ("customer_id", "merchant_id"), (("c", "m"),)),
         Family("merchant_new_customers", _e13, "_m", ("customer_id", "merchant_id"), (("m", "c"),)),
         Family("device_location", lambda: _pair("_d", "_l", "device_location", None, "is_new"), "_d", ("device_id", "location")),
         Family("temporal_habits", lambda: {"customer_daypart_share": share(count(past("_c", "_part")), count(past("_c")), 0), "customer_weekday_share": share(count(past("_c", "_wday")), count(past("_c")), 0)}, "_c", ("customer_id",)),
@@ -236,7 +236,7 @@ def features(df: DataFrame, families: Sequence[str], time: str = "timestamp", am
     chosen = [FAMILIES[f] for f in dict.fromkeys(families)]
     out, keep = prepare(df, time, amount, age), list(df.columns)
     made: list[str] = []
-    # flags by the pair's first key: (m, c) is dealt with the merchants, (d, c) with the devices
+    # a pair's first row is marked where the pair's first key leads; which row of a tie it is doesn't matter
     for lead in ("_d", "_m", "_c"):
         own = [f for f in chosen if f.lead == lead]
         pairs = dict.fromkeys(p for f in chosen for p in f.flags if f"_{p[0]}" == lead)
