@@ -147,3 +147,5 @@ def test_few_shuffles(spark, data):
     df = spark.createDataFrame(stream(3), SCHEMA)
     plan = history.features(df, ["customer_history", "customer_device", "customer_merchant", "amount_30d", "customer_new_merchants"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+    plan = history.features(df, ALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3

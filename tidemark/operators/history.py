@@ -240,11 +240,14 @@ def features(df: DataFrame, families: Sequence[str], time: str = "timestamp", am
     for lead in ("_d", "_m", "_c"):
         own = [f for f in chosen if f.lead == lead]
         pairs = dict.fromkeys(p for f in chosen for p in f.flags if f"_{p[0]}" == lead)
+        upto = any(f.name == "account_consistency" for f in own)
+        if pairs or upto:
+            out = out.repartition(lead)  # by the key alone: the windows over pairs and over the key all fit
         if pairs:
             out = out.withColumns({_flag(*p): first_of(f"_{p[0]}", f"_{p[1]}") for p in pairs})
-        if any(f.name == "account_consistency" for f in own):
-            upto = Window.partitionBy("_c", "_born").orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
-            out = out.withColumn("_upto", F.count(F.lit(1)).over(upto))
+        if upto:
+            running = Window.partitionBy("_c", "_born").orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
+            out = out.withColumn("_upto", F.count(F.lit(1)).over(running))
         cols = {n: c for f in own for n, c in f.columns().items()}
         if cols:
             out = out.withColumns(cols)
