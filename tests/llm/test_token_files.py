@@ -61,3 +61,15 @@ def test_small_files(docs_of):
     texts = [prose(r, 30) for _ in range(50)]
     got = token_files.write_and_read(docs_of(texts), files=7).orderBy("doc_id").collect()
     assert [tuple(x) for x in got] == reference(list(enumerate(texts)))
+
+
+def test_words_one_by_one():
+    """Signs, cases and scripts where taking a word apart could differ from the tokenizer."""
+    r = random.Random(8)
+    pool = "abcXYZéÉüÜßẞŁłİıſŉÅÅKΣσςñ.,;:!?'\u0301\u2028\x85\u00ad-09日\U0001f600#"
+    words = ["".join(r.choice(pool) for _ in range(r.randrange(1, 8))) for _ in range(4000)] + ["the", "The", "THE!!", "don't", "ŉ.", "x\u2028y", "<|endoftext|>", "ab<|endoftext|>."]
+    t, enc = token_files._tokenizer(token_files.TOKENIZER), token_files.Encoder()
+    for at in range(0, len(words), 100):
+        part = words[at : at + 100]
+        got = enc([w.encode() for w in part])
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(w, add_special_tokens=False).ids for w in part]

@@ -18,8 +18,12 @@ result. Other columns of the input may have any name.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import gc
+import itertools
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -40,6 +44,8 @@ END_ID = 2
 REMEMBERED = 1_000_000  # words of a worker process, about 200 MB
 FILE_MB = 64
 TOKENIZER = "word_bpe_49k.json"
+#: Lower-case precomposed Latin letters, common signs after them, and the rest of each line.
+LATIN = re.compile("^([a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f]*)([.,;:!?]*)(.*)$", re.MULTILINE).findall
 
 
 def width(vocabulary: int) -> int:
@@ -120,28 +126,74 @@ def _tokenizer(name: str):
 
 
 class Encoder:
-    """Ids of texts; words once met are remembered, up to ``REMEMBERED`` of them."""
+    """Ids of texts; words once met are remembered, up to ``REMEMBERED`` of them.
+
+    The tokenizer splits letters from the signs after them and puts them in lower
+    case. A word of Latin letters and common signs is therefore put together from
+    its lower-case letters, which go straight to the tokenizer's model, and its
+    signs; all other words go to the tokenizer whole.
+    """
 
     def __init__(self, tokenizer: str = TOKENIZER):
+        from tokenizers import Tokenizer, pre_tokenizers
+
         self.tokenizer = _tokenizer(tokenizer)
         self.bits = width(self.tokenizer.get_vocab_size())
+        self.model = Tokenizer(self.tokenizer.model)
+        self.bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+
+    def _encode(self, words: list[str], tokenizer) -> list[bytes]:
+        """Ids of each word, from one call."""
+        coded = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(coded.ids, "<u4").tobytes()
+        of = np.array(coded.word_ids, np.int64) if ids else np.zeros(0, np.int64)
+        ends = (np.searchsorted(of, np.arange(len(words) + 1)) * 4).tolist()
+        return [ids[p:q] for p, q in zip(ends[:-1], ends[1:], strict=True)]
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words not met before."""
+        lower = b"\n".join(words).decode("utf-8").lower()
+        parts = LATIN(lower)  # letters, signs, what else there is
+        if len(parts) != len(words):  # a word has a character that the pattern takes for a line's end
+            parts = [("", "", "x")] * len(words)
+        if len(self.stems) > REMEMBERED:
+            self.stems = {}
+        stems = self.stems
+        stems[""] = b""
+        plain = [k for k, (stem, _, rest) in enumerate(parts) if stem and not rest]
+        if signs := {parts[k][1] for k in plain}.difference(stems):
+            order = list(signs)
+            stems.update(zip(order, self._encode(order, self.tokenizer), strict=True))
+        if new := list({parts[k][0] for k in plain}.difference(stems)):
+            # the model reads bytes as printable characters, ASCII letters as themselves; the line break's is U+010A
+            new.sort(key=str.isascii)
+            wide = bisect.bisect_left(new, True, key=str.isascii)
+            shown = self.bytewise.pre_tokenize_str("\n".join(new[:wide]))[0][0].split("\u010a") if wide else []
+            stems.update(zip(new, self._encode(shown + new[wide:], self.model), strict=True))
+        made = {words[k]: stems[parts[k][0]] + stems[parts[k][1]] for k in plain}
+        if len(made) < len(words):
+            whole = [w for w in words if w not in made]
+            made.update(zip(whole, self._encode([w.decode("utf-8") for w in whole], self.tokenizer), strict=True))
+        return made
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
-        words = [t.split() for t in texts]
-        known = self.known
-        if new := list(set().union(*words).difference(known)):
-            coded = self.tokenizer.encode([w.decode("utf-8") for w in new], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(coded.ids, "<u4").tobytes()
-            of = np.array(coded.word_ids, np.int64) if ids else np.zeros(0, np.int64)
-            ends = (np.searchsorted(of, np.arange(len(new) + 1)) * 4).tolist()
-            made = {w: ids[p:q] for w, p, q in zip(new, ends[:-1], ends[1:], strict=True)}
-            if len(known) + len(made) <= REMEMBERED:
-                known.update(made)
-            else:
-                known = {**{w: known[w] for w in set().union(*words).intersection(known)}, **made}
-        return [b"".join(map(known.__getitem__, w)) for w in words]
+        split = [t.split() for t in texts]
+        words = list(itertools.chain.from_iterable(split))
+        ids = list(map(self.known.get, words))
+        if missing := [k for k, x in enumerate(ids) if x is None]:
+            made = self._learn(list({words[k] for k in missing}))
+            for k in missing:
+                ids[k] = made[words[k]]
+            if len(self.known) + len(made) <= REMEMBERED:
+                self.known.update(made)
+        out, at = [], 0
+        for own in split:
+            out.append(b"".join(ids[at : at + len(own)]))
+            at += len(own)
+        return out
 
 
 @functools.cache
@@ -178,6 +230,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int =
             store.move(attempt, f"{top}/{name}")  # one that is there already is from another attempt and equal
             return pa.RecordBatch.from_pydict({"file": [name], "n_docs": [len(doc_ids)], "n_tokens": [len(ids)]})
 
+        gc.disable()  # nothing here makes cycles, and the remembered words are long to walk
         for batch in batches:
             doc_ids += batch.column(0).to_pylist()
             data, offs = _text.utf8(batch.column(1))
@@ -193,6 +246,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int =
                 doc_ids, counts, parts, size = [], [], [], 0
         if doc_ids:
             yield flush()
+        gc.enable()
 
     made = rows.mapInArrow(run, "file string, n_docs long, n_tokens long").collect()  # one row per file
     before, out = 0, []
