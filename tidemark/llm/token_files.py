@@ -12,7 +12,7 @@ Words between ASCII white space are tokenised apart and remembered: no token
 of the vocabulary spans white space, so ids are those of the whole text.
 
 Null and empty texts have the end id alone. Rows with equal ids keep the order
-of their texts; null ids come first. An empty table makes no files and an empty
+of their texts; null ids come first, as -1. An empty table makes no files and an empty
 result. Other columns of the input may have any name.
 """
 
@@ -41,7 +41,7 @@ MAGIC = b"TIDETOK1"
 HEADER = struct.Struct("<8sIIqqq")  # magic, bits, block, documents, tokens, blocks
 BLOCK = 4096  # tokens; a multiple of 8, so a block ends at a byte
 END_ID = 2
-REMEMBERED = 1_000_000  # words of a worker process, about 200 MB
+REMEMBERED = 400_000  # words, and as many of their letters, in a worker process: about 150 MB
 FILE_MB = 64
 TOKENIZER = "word_bpe_49k.json"
 #: Lower-case precomposed Latin letters, common signs after them, and the rest of each line.
@@ -158,20 +158,21 @@ class Encoder:
         parts = LATIN(lower)  # letters, signs, what else there is
         if len(parts) != len(words):  # a word has a character that the pattern takes for a line's end
             parts = [("", "", "x")] * len(words)
-        if len(self.stems) > REMEMBERED:
-            self.stems = {}
-        stems = self.stems
-        stems[""] = b""
         plain = [k for k, (stem, _, rest) in enumerate(parts) if stem and not rest]
-        if signs := {parts[k][1] for k in plain}.difference(stems):
-            order = list(signs)
+        need = {parts[k][0] for k in plain}
+        signs = {parts[k][1] for k in plain} - {""}
+        stems = {x: self.stems[x] for x in need.union(signs).intersection(self.stems)}
+        stems[""] = b""
+        if order := list(signs.difference(stems)):
             stems.update(zip(order, self._encode(order, self.tokenizer), strict=True))
-        if new := list({parts[k][0] for k in plain}.difference(stems)):
+        if new := list(need.difference(stems)):
             # the model reads bytes as printable characters, ASCII letters as themselves; the line break's is U+010A
             new.sort(key=str.isascii)
             wide = bisect.bisect_left(new, True, key=str.isascii)
             shown = self.bytewise.pre_tokenize_str("\n".join(new[:wide]))[0][0].split("\u010a") if wide else []
             stems.update(zip(new, self._encode(shown + new[wide:], self.model), strict=True))
+        if len(self.stems) + len(new) <= REMEMBERED:
+            self.stems.update(stems)
         made = {words[k]: stems[parts[k][0]] + stems[parts[k][1]] for k in plain}
         if len(made) < len(words):
             whole = [w for w in words if w not in made]
