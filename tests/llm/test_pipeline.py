@@ -14,7 +14,7 @@ def test_stages_on_a_planted_corpus(spark, tmp_path, monkeypatch):
     near = base[3].split()
     near[60] = "changed"
     rows = [(i, t) for i, t in enumerate(base)] + [(100, base[0]), (101, " ".join(near)), (102, "12 34 ..."), (103, None), (104, f"{prose(r, 40)} {item} {prose(r, 40)}")]
-    docs = spark.createDataFrame([(i, t, "en" if i % 2 else None, f"s{i % 3}", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(i, t, "en" if i % 2 else None, f"s{i % 3}", len(t or ""), 0.5, "k", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, _position int")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     kept = docs
@@ -22,13 +22,13 @@ def test_stages_on_a_planted_corpus(spark, tmp_path, monkeypatch):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = {x["doc_id"] for x in kept.collect()}
         kept = corpus_pipeline._spark.stored(stage(spark, kept, str(tmp_path)))
-        assert kept.columns == docs.columns
+        assert kept.columns == docs.columns and kept.filter("score <> 0.5 or lang_pred <> 'k' or _position <> 1").count() == 0
         left.append(before - {x["doc_id"] for x in kept.collect()})
     assert left == [{102, 103}, {100, 101}, {104}, set()]
     out = corpus_pipeline.run(spark, str(tmp_path)).orderBy("start").collect()
     assert {x["doc_id"] for x in out} == set(range(30))
     assert [x["start"] + x["n_tokens"] for x in out][:-1] == [x["start"] for x in out][1:]
-    order = corpus_pipeline.pfair.mix(kept).orderBy("_position").collect()
+    order = corpus_pipeline.pfair.mix(kept, output=("x", "y", "z")).orderBy("z").collect()
     assert [x["doc_id"] for x in out] == [x["doc_id"] for x in order]  # the files follow the mix
 
 

@@ -31,6 +31,7 @@ from tidemark.llm import _spark, _text
 DIMENSIONS = 1024
 SYMBOLS = 64  # 0: no letter; 1-26: a-z; the other letters share the rest by code point
 SHARPNESS = 20.0
+GRAMS = 4096  # vectors held at once
 WEIGHT = 1_000_000  # of a training document, spread over its trigrams
 
 
@@ -106,8 +107,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
     for i, name in enumerate(names):
         own = sums[sums["lang"] == name].sort_values("code")
         codes, n = own["code"].to_numpy(), own["n"].to_numpy().astype(float)
-        for at in range(0, len(codes), 4096):
-            vectors[i] += n[at : at + 4096] @ gram_vectors(codes[at : at + 4096])
+        for at in range(0, len(codes), GRAMS):
+            vectors[i] += n[at : at + GRAMS] @ gram_vectors(codes[at : at + GRAMS])
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     return names, (vectors / np.where(norm > 0, norm, 1)).astype(np.float32)
 
@@ -120,9 +121,9 @@ def cosines(texts: pa.Array, profiles: np.ndarray) -> tuple[np.ndarray, np.ndarr
     grams = np.flatnonzero(there)
     place = np.cumsum(there) - 1
     dots = np.zeros((n, DIMENSIONS), np.float32)
-    for at in range(0, len(grams), 8192):
-        own = (place[code] >= at) & (place[code] < at + 8192) if len(grams) > 8192 else slice(None)
-        vectors = gram_vectors(grams[at : at + 8192])
+    for at in range(0, len(grams), GRAMS):
+        own = (place[code] >= at) & (place[code] < at + GRAMS) if len(grams) > GRAMS else slice(None)
+        vectors = gram_vectors(grams[at : at + GRAMS])
         m = len(vectors)
         counts = np.bincount(doc[own] * m + place[code[own]] - at, minlength=n * m).reshape(n, m).astype(np.float32)
         dots += counts @ vectors
@@ -130,8 +131,8 @@ def cosines(texts: pa.Array, profiles: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (dots / np.where(norm > 0, norm, 1)) @ profiles.T, letters
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """``keep`` with ``lang_pred``, ``score`` (share of a softmax over the cosines) and ``similarity`` (the cosine)."""
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[str, ...] = ("doc_id",), text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "similarity")) -> DataFrame:
+    """``keep`` with the language, its score (share of a softmax over the cosines) and the cosine, as ``names``."""
     spark = docs.sparkSession
     _spark.small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -139,22 +140,22 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[s
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
 
     def predict(batches):
-        names, profiles = shared.value
+        langs, profiles = shared.value
         for batch in batches:
             for part in _text.slices(batch, "__text"):
                 n = part.num_rows
                 lang, score, near = np.full(n, "und", object), np.zeros(n), np.zeros(n)
-                if names:
+                if langs:
                     cos, letters = cosines(part.column(part.num_columns - 1), profiles)
                     best = cos.argmax(axis=1)
                     e = np.exp(SHARPNESS * (cos - cos.max(axis=1, keepdims=True)))
-                    lang = np.where(letters, np.array(names, object)[best], "und")
+                    lang = np.where(letters, np.array(langs, object)[best], "und")
                     score = np.where(letters, 1 / e.sum(axis=1), 0.0)
                     near = np.where(letters, cos.max(axis=1), 0.0)
                 more = [pa.array(lang.tolist(), pa.string()), pa.array(score.astype(float)), pa.array(near.astype(float))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *more], [*part.schema.names[:-1], "lang_pred", "score", "similarity"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *more], [*part.schema.names[:-1], *names])
 
-    schema = kept.schema.add("lang_pred", "string").add("score", "double").add("similarity", "double")
+    schema = kept.schema.add(names[0], "string").add(names[1], "double").add(names[2], "double")
     return rows.mapInArrow(predict, schema)
 
 
