@@ -23,8 +23,9 @@ from tidemark.llm import _spark, decontaminate, language_id, near_dedup, pfair,
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    seen = language_id.identify(docs, language_id.learn(docs), keep=tuple(docs.columns))
-    return seen.filter((F.col("lang_pred") != "und") & (F.col("similarity") > 0)).select(docs.columns)
+    names = ("__lang", "__score", "__cosine")
+    seen = language_id.identify(docs, language_id.learn(docs), keep=tuple(docs.columns), names=names)
+    return seen.filter((F.col("__lang") != "und") & (F.col("__cosine") > 0)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +41,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = pfair.mix(docs)
-    return placed.repartitionByRange(n, "_position").sortWithinPartitions("_position").select(docs.columns)
+    placed = pfair.mix(docs, output=("__mix_block", "__mix_slot", "__mix_position"))
+    return placed.repartitionByRange(n, "__mix_position").sortWithinPartitions("__mix_position").select(docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
