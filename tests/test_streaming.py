@@ -15,20 +15,23 @@ for _f in history.FAMILIES.values():
         LEADS.setdefault(_f.lead, []).append(_f.name)
 
 
-@pytest.mark.parametrize("lead", sorted(LEADS))
-def test_stream_equals_batch(spark, tmp_path, lead):
+@pytest.mark.parametrize("lead,seeded", [(k, False) for k in sorted(LEADS)] + [("_c", True), ("_m", True)])
+def test_stream_equals_batch(spark, tmp_path, lead, seeded):
     r, t, rows = random.Random(5), 0, []
     for i in range(60):
         t += r.choice([0, 0, 1, 1800, 3600, 86400, 200000])
         rows.append((str(i), r.choice("abc"), r.choice(["d", None]), r.choice("mn"), r.choice(["x", None]), r.choice(["l", "k"]), float(r.randint(1, 99)), dt.datetime(2026, 1, 1) + dt.timedelta(seconds=t), r.choice([1, 2, 5])))
-    for k in range(0, 60, 20):  # chunks cut through ties
-        spark.createDataFrame(rows[k : k + 20], SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    cut = rows[25][7] if seeded else rows[0][7]
+    now = [x for x in rows if x[7] >= cut]
+    prior = spark.createDataFrame([x for x in rows if x[7] < cut], SCHEMA) if seeded else None
+    for k in range(0, len(now), 20):  # chunks cut through ties
+        spark.createDataFrame(now[k : k + 20], SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     spark.createDataFrame([("end", *["z"] * 5, 1.0, dt.datetime(2030, 1, 1), 1)], SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     events = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = stream_features(events, LEADS[lead]).writeStream.format("memory").queryName(f"out{lead}").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q = stream_features(events, LEADS[lead], prior=prior).writeStream.format("memory").queryName(f"out{lead}{seeded}").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
-    a = spark.table(f"out{lead}").toPandas().set_index("transaction_id").sort_index()
-    b = history.features(spark.createDataFrame(rows, SCHEMA), LEADS[lead]).toPandas().set_index("transaction_id").sort_index()
+    a = spark.table(f"out{lead}{seeded}").toPandas().set_index("transaction_id").sort_index()
+    b = history.features(spark.createDataFrame(rows, SCHEMA), LEADS[lead]).filter(f"timestamp >= '{cut}'").toPandas().set_index("transaction_id").sort_index()
     assert list(a.index) == list(b.index)
     for c in a.columns.drop("us"):
         x, y = a[c].astype(float), b[c].astype(float)

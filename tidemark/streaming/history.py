@@ -13,6 +13,7 @@ Rows behind the watermark are dropped by the engine, which counts them.
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 from collections.abc import Iterator, Sequence
@@ -158,6 +159,11 @@ class KeyState:
             self.recent = [r for r in self.recent if r[0] >= low]
 
 
+def _internal(row: dict) -> dict:
+    """Names with ``_`` in front don't reach a processor; they come with ``of_``."""
+    return {"_" + c[3:] if c.startswith("of_") else c: v for c, v in row.items()}
+
+
 class HistoryProcessor(StatefulProcessor):
     """Holds rows back until their time is complete, then emits them with their features."""
 
@@ -169,11 +175,18 @@ class HistoryProcessor(StatefulProcessor):
         self.state = handle.getValueState("state", "value string")
         self.waiting = handle.getListState("waiting", "row string")
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Rows of an earlier stream go into the state at once."""
+        state = KeyState(self.families, self.state.get()[0] if self.state.exists() else None)
+        rows = sorted((_internal(r) for r in json.loads(initialState.to_json(orient="records", date_format="iso"))), key=lambda r: r["us"])
+        for _, tie in itertools.groupby(rows, key=lambda r: r["us"]):
+            state.add(list(tie))
+        self.state.update((state.dump(),))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             for r in json.loads(pdf.to_json(orient="records", date_format="iso")):
-                r = {"_" + c[3:] if c.startswith("of_") else c: v for c, v in r.items()}  # names with _ in front don't get here
-                self.waiting.appendValue((json.dumps(r),))
+                self.waiting.appendValue((json.dumps(_internal(r)),))
                 self.handle.registerTimer(r["us"] // 1000 + 1)
         yield from ()
 
@@ -199,24 +212,30 @@ class HistoryProcessor(StatefulProcessor):
         pass
 
 
-def stream_features(events: DataFrame, families: Sequence[str], row_id: str = "transaction_id", time: str = "timestamp", **how) -> DataFrame:
+def stream_features(events: DataFrame, families: Sequence[str], row_id: str = "transaction_id", time: str = "timestamp", prior: DataFrame | None = None, **how) -> DataFrame:
     """``row_id, us`` and the columns of the families, which must share their leading key.
 
     Families of different keys run as streams of their own and join on ``row_id``.
-    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    ``prior`` has the rows of an earlier stream, all before the events; histories
+    begin with them. Needs the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``).
     """
     leads = {FAMILIES[f].lead for f in families}
     if len(leads) != 1:
         raise ValueError("the families must have one leading key")
     (lead,) = leads
+
+    def rows_of(df: DataFrame, *more: str) -> DataFrame:
+        return prepare(df, time, **how).select(F.col(row_id).cast("string").alias(row_id), *more, F.col(lead).alias("key"), *[F.col(c).alias(c.replace("_", "of_", 1)) for c in FIELDS])
+
     base = events.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", "0 seconds")
-    rows = prepare(base, time, **how).select(F.col(row_id).cast("string").alias(row_id), "_time", F.col(lead).alias("key"), *[F.col(c).alias(c.replace("_", "of_", 1)) for c in FIELDS])
     names = [c for f in families for c in FAMILIES[f].columns()]
     kinds = column_types(families)
     schema = T.StructType([T.StructField(row_id, T.StringType()), T.StructField("us", T.LongType()), *[T.StructField(n, kinds[n]) for n in names]])
-    return rows.groupBy("key").transformWithStateInPandas(
-        HistoryProcessor(families, [row_id, "us"], names), outputStructType=schema, outputMode="Append", timeMode="EventTime"
-    )
+    return rows_of(base, "_time").groupBy("key").transformWithStateInPandas(
+        HistoryProcessor(families, [row_id, "us"], names), outputStructType=schema, outputMode="Append", timeMode="EventTime",
+        initialState=None if prior is None else rows_of(prior).groupBy("key"),
+    )
 
 
 def column_types(families: Sequence[str]) -> dict[str, T.DataType]:
