@@ -88,6 +88,38 @@ def test_split_buckets_give_the_same(docs_of):
         near_dedup.BUCKET = old
 
 
+def licensed(r, pairs, others):
+    """Texts that share a passage, each 0.7 to 0.79 like any other, and pairs of 0.8 and more among them."""
+    shared = [f"licence{i}" for i in range(175)]
+    own = lambda n: [f"own{r.randrange(10**9)}" for _ in range(n)]
+    out = [" ".join(shared + own(23)) for _ in range(others)]
+    for _ in range(pairs):
+        more = own(3)
+        out += [" ".join(shared + more + own(20)) for _ in "ab"]
+    return r.sample(out, len(out))
+
+
+def all_pairs(texts):
+    """Classes by aligning all pairs."""
+    grams = [near_dedup.shingles(near_dedup.pa.array([t]))[1] for t in texts]
+    up = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if up[i] != up[j] and near_dedup.aligned(grams[i], grams[j]) >= near_dedup.SIMILARITY:
+                old, new = max(up[i], up[j]), min(up[i], up[j])
+                up = [new if x == old else x for x in up]
+    return up
+
+
+def test_pairs_among_texts_of_one_passage(docs_of):
+    r = random.Random(5)
+    texts = [*licensed(r, 24, 90), *family(r, 4)]
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.near_classes(docs_of(texts)).collect()}
+    want = all_pairs(texts)
+    assert len(set(want)) == 24 + 90 + 1
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_odd_input(docs_of, odd_texts):
     docs = docs_of(odd_texts)
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs).collect()}

@@ -6,12 +6,15 @@ letters and digits), each labelled by its occurrence in the document. Each of
 keeps their order in the text; documents with an equal sketch are candidates.
 Two documents of similarity 0.8 share one with probability 1 - 0.36 ** 12.
 
-* Equal texts form a class first (one aggregation on a digest); one of them
-  stands for all from then on.
+* Texts with equal shingles form a class first, and equal texts without any (one
+  aggregation on a digest); one of them stands for all from then on.
 * In a bucket every member is linked with the most similar member and with the
   most central one among those like it, by 64-bin signatures that travel along:
   the links of a bucket grow with its members, not with their pairs. A family
   of edited copies hangs on its source that way.
+* What these links leave apart is then compared in full: every pair of a bucket
+  that may be similar by its signatures and lengths and isn't in one class yet
+  is verified too, so the choice of links decides the work, not the classes.
 * A bucket of more than ``BUCKET`` members is split by a hash of the member; the
   most central members of the parts are then shown to all parts.
 * A link holds if the shingle sequences align: with L shingles in common, in
@@ -119,8 +122,11 @@ def sketch_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 texts = part.column(1)
                 data, offs = _text.utf8(texts)
                 raw = data.tobytes()
-                digest = [hashlib.blake2b(raw[a:b] if raw[a:b].strip() else b"", digest_size=16).digest() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
                 n, keys, sig = sketches(texts)
+                grams = shingles(texts)[1].tobytes()
+                ends = (8 * np.cumsum(n)).tolist()
+                own = [b"s" + grams[e - 8 * k : e] if k else raw[a:b].strip() and b"t" + raw[a:b] for k, e, a, b in zip(n.tolist(), ends, offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+                digest = [hashlib.blake2b(x, digest_size=16).digest() for x in own]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * TABLES), pa.array(keys.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array(n.astype(np.int32)), flat, pa.array([s.tobytes() for s in sig], pa.binary())], ["_id", "digest", "n", "keys", "sig"])
 
@@ -237,6 +243,47 @@ def candidates(reps: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def _apart(table: pa.Table, mine: np.ndarray, others: np.ndarray):
+    """Pairs of rows of different classes that may be similar, a batch at a time."""
+    rep, kin, n = (table.column(c).to_numpy() for c in ("rep", "component", "n"))
+    sig = _signatures(table.column("sig"))
+    for at in range(0, len(mine), 64):
+        own = mine[at : at + 64]
+        rest = others[kin[others] != kin[own[0]]] if (kin[own] == kin[own[0]]).all() else others
+        i, j = np.nonzero(_alike(n[own], sig[own], n[rest], sig[rest]))
+        i, j = own[i], rest[j]
+        new = kin[i] != kin[j]
+        a, b = rep[i[new]], rep[j[new]]
+        if len(a):
+            pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def remaining(reps: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
+    """All links of buckets' members that aren't in one component yet and weren't verified."""
+    named = reps.join(found, reps["rep"] == found["node"], "left").select("rep", "n", "sig", "keys", F.coalesce("component", "rep").alias("component"))
+    rows = _spark.stored(named).filter("n > 0 and rep is not null").select("rep", "n", "sig", "component", F.explode("keys").alias("key"))
+    big = _spark.stored(rows.groupBy("key").count().filter(F.col("count") > BUCKET))
+    parted = rows.withColumn("salt", F.lit(0))
+    if n_big := big.count():
+        salts = big.select("key", F.ceil(F.col("count") / BUCKET).cast("int").alias("parts"))
+        parted = rows.join(F.broadcast(salts) if n_big <= 10_000 else salts, "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("rep", "key"), "parts"), F.lit(0)).cast("int")).drop("parts")
+
+    def link(batches):
+        def work(table, bounds):
+            kin = table.column("component").to_numpy()
+            mixed = np.minimum.reduceat(kin, bounds[:-1]) < np.maximum.reduceat(kin, bounds[:-1])
+            for k in np.flatnonzero((np.diff(bounds) > 2) & mixed):  # of two members the pair is tried
+                own = np.arange(bounds[k + 1] - bounds[k])
+                part = table.slice(bounds[k], len(own))
+                yield from _apart(part, own, own)
+
+        yield from _grouped(batches, ("key", "salt"), work)
+
+    pairs = parted.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(link, "a long, b long")
+    return pairs.distinct().join(tried, ["a", "b"], "left_anti")
+
+
 def _across(rows: DataFrame) -> DataFrame:
     """Links of split buckets' members with the most central members of their other parts."""
 
@@ -373,8 +420,13 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     made = _spark.stored(sketch_table(docs, doc_id, text))
     reps = made.groupBy("digest").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "n", "keys", "sig")).alias("r"))
     reps = _spark.stored(reps.select("digest", F.col("r._id").alias("rep"), "r.n", "r.keys", "r.sig"))
-    links = verified(_spark.stored(candidates(reps)), docs, doc_id, text)
-    found = components(links.select("a", "b"))
+    tried = _spark.stored(candidates(reps))
+    links = _spark.stored(verified(tried, docs, doc_id, text).select("a", "b"))
+    found = components(links)
+    more = _spark.stored(remaining(reps, found, tried))
+    more = _spark.stored(verified(more, docs, doc_id, text).select("a", "b"))
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
     named = reps.join(found, reps["rep"] == found["node"], "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
     return made.select("_id", "digest").join(named, "digest").select(F.col("_id").alias("doc_id"), "class_id")
 
