@@ -120,6 +120,14 @@ def test_pairs_among_texts_of_one_passage(docs_of):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_pairs_in_different_parts_of_a_bucket(docs_of, monkeypatch):
+    r = random.Random(6)
+    texts = [*licensed(r, 24, 60), *family(r, 20)]
+    monkeypatch.setattr(near_dedup, "BUCKET", 6)
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.near_classes(docs_of(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == all_pairs(texts)
+
+
 def test_odd_input(docs_of, odd_texts):
     docs = docs_of(odd_texts)
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs).collect()}

@@ -16,7 +16,9 @@ Two documents of similarity 0.8 share one with probability 1 - 0.36 ** 12.
   that may be similar by its signatures and lengths and isn't in one class yet
   is verified too, so the choice of links decides the work, not the classes.
 * A bucket of more than ``BUCKET`` members is split by a hash of the member; the
-  most central members of the parts are then shown to all parts.
+  most central members of the parts are then shown to all parts. In the full
+  comparison each two parts meet, so no pair of a bucket is left out. Pairs must
+  be alike by a signature of ``FINE`` bins there, as far from 0.8 as the first.
 * A link holds if the shingle sequences align: with L shingles in common, in
   order, ``L / (n + m - L) >= SIMILARITY``. The alignment is banded by what this
   allows at most, so the band loses nothing.
@@ -49,6 +51,8 @@ TABLES = 12
 MINIMA = 2
 BINS = 64
 LIKELY = 0.55  # estimated similarity from which a link is verified: five deviations below 0.8
+FINE = 1024
+CLOSE = 0.7375  # the same five deviations with ``FINE`` bins
 BUCKET = 2048
 BATCH_ROWS = 20_000
 LONG = 4000  # shingles from which alignment goes by unique anchors
@@ -198,8 +202,8 @@ def _grouped(batches, names, work, rows_at_once: int = BATCH_ROWS):
         yield from work(table, np.append(cut(table), table.num_rows))
 
 
-def _signatures(col) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, BINS)
+def _signatures(col, bins: int = BINS) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, bins)
 
 
 def candidates(reps: DataFrame) -> DataFrame:
@@ -243,45 +247,73 @@ def candidates(reps: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def fine_table(docs: DataFrame, reps: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``rep, fine`` (signature of ``FINE`` bins) of the documents named by ``reps``."""
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("_text")).join(reps, "rep", "left_semi")
+
+    def run(batches):
+        for batch in batches:
+            for part in _text.slices(batch, "_text"):
+                doc, gram = shingles(part.column(1))
+                v = _text.mix(_labelled(doc, gram) ^ _XOR[TABLES])
+                best = np.full(part.num_rows * FINE, _TOP)
+                np.minimum.at(best, doc * FINE + (v >> np.uint64(54)).astype(np.int64), v)
+                fine = (np.where(best == _TOP, 0, 1 + _text.mix(best) % np.uint64(255))).astype(np.uint8).reshape(-1, FINE)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in fine], pa.binary())], ["rep", "fine"])
+
+    return rows.mapInArrow(run, "rep long, fine binary")
+
+
 def _apart(table: pa.Table, mine: np.ndarray, others: np.ndarray):
     """Pairs of rows of different classes that may be similar, a batch at a time."""
     rep, kin, n = (table.column(c).to_numpy() for c in ("rep", "component", "n"))
-    sig = _signatures(table.column("sig"))
+    sig, fine = _signatures(table.column("sig")), _signatures(table.column("fine"), FINE)
     for at in range(0, len(mine), 64):
         own = mine[at : at + 64]
         rest = others[kin[others] != kin[own[0]]] if (kin[own] == kin[own[0]]).all() else others
         i, j = np.nonzero(_alike(n[own], sig[own], n[rest], sig[rest]))
         i, j = own[i], rest[j]
-        new = kin[i] != kin[j]
-        a, b = rep[i[new]], rep[j[new]]
-        if len(a):
-            pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        new = (kin[i] != kin[j]) & ((rep[i] < rep[j]) if mine is others else True)
+        i, j = i[new], j[new]
+        for k in range(0, len(i), 4096):
+            x, y = i[k : k + 4096], j[k : k + 4096]
+            ok = likeness(fine[x], fine[y]) >= CLOSE
+            a, b = rep[x[ok]], rep[y[ok]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def remaining(reps: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
+def remaining(reps: DataFrame, found: DataFrame, tried: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """All links of buckets' members that aren't in one component yet and weren't verified."""
     named = reps.join(found, reps["rep"] == found["node"], "left").select("rep", "n", "sig", "keys", F.coalesce("component", "rep").alias("component"))
-    rows = _spark.stored(named).filter("n > 0 and rep is not null").select("rep", "n", "sig", "component", F.explode("keys").alias("key"))
-    big = _spark.stored(rows.groupBy("key").count().filter(F.col("count") > BUCKET))
-    parted = rows.withColumn("salt", F.lit(0))
-    if n_big := big.count():
-        salts = big.select("key", F.ceil(F.col("count") / BUCKET).cast("int").alias("parts"))
-        parted = rows.join(F.broadcast(salts) if n_big <= 10_000 else salts, "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("rep", "key"), "parts"), F.lit(0)).cast("int")).drop("parts")
+    named = _spark.stored(named.filter("n > 0 and rep is not null"))
+    rows = named.select("rep", "component", F.explode("keys").alias("key"))
+    mixed = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("least"), F.max("component").alias("most"))
+    mixed = mixed.filter("size > 2 and least < most")  # of two members the pair is tried
+    rows = _spark.stored(rows.join(mixed.select("key", F.ceil(F.col("size") / BUCKET).cast("int").alias("parts")), "key").select("rep", "key", "parts"))
+    fine = fine_table(docs, rows.select("rep").distinct(), doc_id, text)
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("rep", "key"), "parts").cast("int"))
+    whole = rows.filter("parts = 1").withColumn("other", F.lit(0))
+    split = rows.filter("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = whole.unionByName(split).select("rep", "key", "salt", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"))
+    full = met.join(_spark.stored(named.drop("keys").join(fine, "rep")), "rep")
 
     def link(batches):
         def work(table, bounds):
-            kin = table.column("component").to_numpy()
-            mixed = np.minimum.reduceat(kin, bounds[:-1]) < np.maximum.reduceat(kin, bounds[:-1])
-            for k in np.flatnonzero((np.diff(bounds) > 2) & mixed):  # of two members the pair is tried
-                own = np.arange(bounds[k + 1] - bounds[k])
-                part = table.slice(bounds[k], len(own))
-                yield from _apart(part, own, own)
+            kin, salt, low, high = (table.column(c).to_numpy() for c in ("component", "salt", "low", "high"))
+            several = np.minimum.reduceat(kin, bounds[:-1]) < np.maximum.reduceat(kin, bounds[:-1])
+            for k in np.flatnonzero(several):
+                part = slice(bounds[k], bounds[k + 1])
+                own = np.arange(part.stop - part.start)
+                one = low[part.start] == high[part.start]
+                first = own if one else np.flatnonzero(salt[part] == low[part.start])
+                second = own if one else np.flatnonzero(salt[part] == high[part.start])
+                yield from _apart(table.slice(part.start, len(own)), first, second)
 
-        yield from _grouped(batches, ("key", "salt"), work)
+        yield from _grouped(batches, ("key", "low", "high"), work)
 
-    pairs = parted.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(link, "a long, b long")
-    return pairs.distinct().join(tried, ["a", "b"], "left_anti")
+    met = full.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return met.mapInArrow(link, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
 
 
 def _across(rows: DataFrame) -> DataFrame:
@@ -423,7 +455,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     tried = _spark.stored(candidates(reps))
     links = _spark.stored(verified(tried, docs, doc_id, text).select("a", "b"))
     found = components(links)
-    more = _spark.stored(remaining(reps, found, tried))
+    more = _spark.stored(remaining(reps, found, tried, docs, doc_id, text))
     more = _spark.stored(verified(more, docs, doc_id, text).select("a", "b"))
     if not more.isEmpty():
         found = components(links.unionByName(more))
