@@ -31,6 +31,33 @@ def test_alignment():
         assert abs(near_dedup.aligned(p, q) - (s if s >= near_dedup.SIMILARITY else 0)) < 1e-9 or s < near_dedup.SIMILARITY
 
 
+def banded(a, b, band):
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            t[i + 1][j + 1] = max(t[i][j + 1], t[i + 1][j], t[i][j] + 1 if x == y and abs(i - j) <= band else 0)
+    return t[-1][-1]
+
+
+def test_alignment_of_long_and_repeated_texts(monkeypatch):
+    r = random.Random(4)
+    body = [r.randrange(10**9) for _ in range(6000)]
+    for a in (body + body, [r.randrange(40) for _ in range(9000)]):
+        b = list(a)
+        for i in range(500, len(b), 1500):
+            b[i] = -i - 1
+        p, q = (np.array(x, np.int64).astype(np.uint64) for x in (a, b))
+        k = len(a) - len(range(500, len(b), 1500))  # the changed ones are nowhere in the other
+        assert abs(near_dedup.aligned(p, q) - k / (2 * len(a) - k)) < 1e-9
+    monkeypatch.setattr(near_dedup, "LONG", 0)
+    monkeypatch.setattr(near_dedup, "NARROW", 3)
+    for _ in range(150):
+        a, b = ([r.randrange(9) for _ in range(r.randrange(1, 260))] for _ in "ab")
+        for band in (0, 2, 40, 300):
+            assert near_dedup.common(a, b, band) == banded(a, b, band)
+        assert near_dedup._common(a, b, 300) == lcs(a, b)
+
+
 def words(t):
     return re.findall(r"[^\W_]+", (t or "").lower())
 

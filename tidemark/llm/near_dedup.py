@@ -33,7 +33,6 @@ gives an empty result. Other columns of the input may have any name.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import math
 
@@ -55,7 +54,8 @@ FINE = 1024
 CLOSE = 0.7375  # the same five deviations with ``FINE`` bins
 BUCKET = 2048
 BATCH_ROWS = 20_000
-LONG = 4000  # shingles from which alignment goes by unique anchors
+LONG = 4000  # shingles from which alignment goes by blocks
+NARROW = 512  # band that is tried first
 
 _RNG = np.random.default_rng(77)
 _XOR = _RNG.integers(0, 2**63, TABLES + 1, dtype=np.uint64)
@@ -356,8 +356,8 @@ def _across(rows: DataFrame) -> DataFrame:
 
 def common(a: list, b: list, band: int) -> int:
     """Length of the longest common subsequence whose places differ by ``band`` at most, one machine word at a time."""
-    if len(a) > LONG and len(b) > LONG:
-        return _by_anchors(a, b, band)
+    if len(a) > LONG or len(b) > LONG:
+        return _by_blocks(a, b, band)
     where: dict = {}
     for i, s in enumerate(a):
         where[s] = where.get(s, 0) | (1 << i)
@@ -371,39 +371,54 @@ def common(a: list, b: list, band: int) -> int:
     return len(a) - v.bit_count()
 
 
-def _by_anchors(a: list, b: list, band: int) -> int:
-    """The same for long sequences: between shingles that are unique in both and in one order."""
-    once = lambda s: {x: i for i, x in enumerate(s)} if len(set(s)) == len(s) else {x: i for i, x in enumerate(s) if counts[x] == 1}
-    counts: dict = {}
-    for x in a:
-        counts[x] = counts.get(x, 0) + 1
-    in_a = once(a)
-    counts = {}
-    for x in b:
-        counts[x] = counts.get(x, 0) + 1
-    in_b = once(b)
-    pairs = [(in_a[x], j) for x, j in in_b.items() if x in in_a and abs(in_a[x] - j) <= band]
-    tails, at, back = [], [], {}
-    for i, j in sorted(pairs, key=lambda p: p[1]):
-        k = bisect.bisect_left(tails, i)
-        if k == len(tails):
-            tails.append(i)
-            at.append((i, j))
-        else:
-            tails[k], at[k] = i, (i, j)
-        back[(i, j)] = at[k - 1] if k else None
-    chain, p = [], at[-1] if at else None
-    while p:
-        chain.append(p)
-        p = back[p]
-    total, i0, j0 = 0, 0, 0
-    for i, j in [*reversed(chain), (len(a), len(b))]:
-        x, y = a[i0:i], b[j0:j]
-        if x and y:
-            total += common(x[:LONG], y[:LONG], max(len(x), len(y))) if len(x) <= LONG or len(y) <= LONG else 0
-        total += i < len(a)
-        i0, j0 = i + 1, j + 1
-    return total
+def _by_blocks(a: list, b: list, band: int) -> int:
+    """The same for long sequences: blocks of ``b`` against the part of ``a`` within their band.
+
+    Bits below the band don't change any more and those above are ones, so only the part's are kept.
+    """
+    found, low, high, v = 0, 0, 0, 0
+    step, strip = max(band, 64), (1 << (2 * band + 1)) - 1
+    for begin in range(0, len(b), step):
+        to, end = max(0, begin - band), min(len(a), begin + step + band)
+        if to >= len(a):
+            break
+        found += (to - low) - (v & ((1 << (to - low)) - 1)).bit_count()
+        v = (v >> (to - low)) | (((1 << (end - high)) - 1) << (high - to))
+        low, high = to, end
+        full = (1 << (high - low)) - 1
+        where: dict = {}
+        for i, s in enumerate(a[low:high]):
+            where.setdefault(s, []).append(i)
+        few, masks = max(8, (high - low) // 2048), {}  # masks of frequent shingles are kept
+        for j in range(begin, min(begin + step, len(b))):
+            s = b[j]
+            if s not in where:
+                continue
+            y = masks.get(s)
+            if y is None:
+                y = 0
+                for i in where[s]:
+                    y |= 1 << i
+                if len(where[s]) > few:
+                    masks[s] = y
+            at = j - band - low
+            y &= strip << at if at >= 0 else strip >> -at
+            u = v & y
+            v = ((v + u) | (v - u)) & full
+    return found + (high - low) - v.bit_count()
+
+
+_by_anchors = _by_blocks  # former name
+
+
+def _common(a: list, b: list, band: int) -> int:
+    """``common`` by narrower bands first: with L found, a better path stays within ``longest - L``."""
+    longest, width = max(len(a), len(b)), min(band, NARROW)
+    while True:
+        found = common(a, b, width)
+        if width >= band or longest - found <= width:
+            return found
+        width = min(band, 4 * width)
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> float:
@@ -421,7 +436,7 @@ def aligned(a: np.ndarray, b: np.ndarray) -> float:
     found = head + tail
     x, y = a[head : n - tail], b[head : m - tail]
     if len(x) and len(y):
-        found += common(x.tolist(), y.tolist(), max(n, m) - need)
+        found += _common(x.tolist(), y.tolist(), max(n, m) - need)
     return found / (n + m - found)
 
 
