@@ -27,6 +27,17 @@ def test_odd_texts(docs_of, odd_texts, spark):
     assert {r["lang_pred"] for r in language_id.identify(docs, language_id.learn(empty)).collect()} == {"und"}
 
 
+def test_long_training_text(docs_of):
+    r = random.Random(5)
+    long = prose(r, 2000) + " "
+    docs = docs_of([long * 80, prose(r, 60, "de")], ["en", "de"])
+    assert len(language_id.trigrams(language_id.pa.array([long * 80]))[1]) > 1_000_000
+    names, vectors = language_id.learn(docs)
+    assert names == ["de", "en"]
+    once = language_id.learn(docs_of([long], ["en"]))[1]
+    assert vectors[1] @ once[0] > 0.999
+
+
 def test_query(spark, data):
     got = language_id.query(spark, data).join(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang"), "doc_id")
     share = got.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
