@@ -25,7 +25,7 @@ def test_alignment():
         assert near_dedup.common(a, b, 50) == lcs(a, b)
         c = list(range(60))
         d = [x for x in c if r.random() > 0.1]
-        assert near_dedup._by_anchors(c, d, 60) == len(d)
+        assert near_dedup._by_blocks(c, d, 60) == len(d)
         p, q = np.array(c, np.uint64), np.array(d, np.uint64)
         s = len(d) / len(c)
         assert abs(near_dedup.aligned(p, q) - (s if s >= near_dedup.SIMILARITY else 0)) < 1e-9 or s < near_dedup.SIMILARITY
@@ -164,6 +164,19 @@ def test_odd_input(docs_of, odd_texts):
     nameless = docs.selectExpr("if(doc_id in (7, 13), null, doc_id) as doc_id", "text", "1 as rep", "2 as key", "3 as _id")
     got = sorted((str(r["doc_id"]), str(r["class_id"])) for r in near_dedup.near_classes(nameless).collect())
     assert ("None", "8") in got and ("8", "8") in got and ("None", "None") in got
+    assert near_dedup.one_of_each(docs.union(docs)).count() == len(set(map(str, near_dedup.near_classes(docs).select("class_id").collect())))
+
+
+def test_ids_of_any_kind(docs_of):
+    """String ids, null ids with near copies, and different texts under one id."""
+    r = random.Random(8)
+    texts = [*family(r, 3), *[prose(r, 80) for _ in range(4)]]
+    names = ["b", "a", None, None, "c", "c", None, "d"]
+    docs = docs_of([]).sparkSession.createDataFrame(list(zip(names, texts, strict=True)), "doc_id string, text string")
+    got = sorted((tuple(x) for x in near_dedup.near_classes(docs).collect()), key=str)
+    assert got == sorted(((n, "a" if i < 4 else n) for i, n in enumerate(names)), key=str)
+    kept = near_dedup.one_of_each(docs).collect()
+    assert sorted(map(str, (k["doc_id"] for k in kept))) == ["None", "a", "c", "c", "d"]
 
 
 def test_components(spark):

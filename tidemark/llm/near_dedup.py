@@ -11,24 +11,29 @@ Two documents of similarity 0.8 share one with probability 1 - 0.36 ** 12.
 * In a bucket every member is linked with the most similar member and with the
   most central one among those like it, by 64-bin signatures that travel along:
   the links of a bucket grow with its members, not with their pairs. A family
-  of edited copies hangs on its source that way.
-* What these links leave apart is then compared in full: every pair of a bucket
-  that may be similar by its signatures and lengths and isn't in one class yet
-  is verified too, so the choice of links decides the work, not the classes.
-* A bucket of more than ``BUCKET`` members is split by a hash of the member; the
-  most central members of the parts are then shown to all parts. In the full
-  comparison each two parts meet, so no pair of a bucket is left out. Pairs must
-  be alike by a signature of ``FINE`` bins there, as far from 0.8 as the first.
+  of edited copies hangs on its source that way. A bucket of more than ``BUCKET``
+  members is split by a hash of the member, and its ``CENTRES`` most central
+  members are shown to all parts.
+* What these links leave apart is then compared in full, so the choice of links
+  decides the work and not the classes. In each bucket of several classes, rows
+  with a partner of another class that may be similar by signature and length are
+  found first; they alone travel with their shingles, and the task counts the
+  common shingles of every such pair and aligns those that share enough. Only
+  links leave the task, one fewer than the classes it joins at most.
+* In that comparison the rows of a bucket's largest class are dealt once to each
+  part of the others and never meet each other, so a bucket filled by one class
+  costs in proportion to its rows.
 * A link holds if the shingle sequences align: with L shingles in common, in
   order, ``L / (n + m - L) >= SIMILARITY``. The alignment is banded by what this
   allows at most, so the band loses nothing.
 * Classes are the connected components of the links, found without collecting.
 
 Null texts count as empty; texts with no word are equal to each other. Texts of
-fewer than ``SHINGLE`` words are duplicates only of equal texts. Ids are
-expected to be unique: texts under one id count as one document. A row with a
-null id is in the class of an equal text with an id; else its class is null. An empty table
-gives an empty result. Other columns of the input may have any name.
+fewer than ``SHINGLE`` words are duplicates only of equal texts. Rows are told
+apart by id and text, so a null id, an id of any type and different texts under
+one id are compared like others; a class is named by its least id that isn't
+null (null if it has none). An empty table gives an empty result. Other columns
+of the input may have any name.
 """
 
 from __future__ import annotations
@@ -38,8 +43,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from tidemark.llm import _features, _spark, _text
 from tidemark.llm.components import components
@@ -50,9 +56,9 @@ TABLES = 12
 MINIMA = 2
 BINS = 64
 LIKELY = 0.55  # estimated similarity from which a link is verified: five deviations below 0.8
-FINE = 1024
-CLOSE = 0.7375  # the same five deviations with ``FINE`` bins
 BUCKET = 2048
+CENTRES = 16  # members of a split bucket that all its parts see
+SHINGLES = 4_000_000  # of a part in the full comparison
 BATCH_ROWS = 20_000
 LONG = 4000  # shingles from which alignment goes by blocks
 NARROW = 512  # band that is tried first
@@ -116,14 +122,24 @@ def sketches(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return count, keys, sig
 
 
+def _name(doc_id: str, text: str) -> Column:
+    """Tells rows of different ids or texts apart, null ids too."""
+    return F.concat_ws(":", F.hex(F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))), F.col(f"`{doc_id}`").cast("string"))
+
+
+def named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``_id, _name, _text``, empty for null."""
+    return docs.select(F.col(f"`{doc_id}`").alias("_id"), _name(doc_id, text).alias("_name"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+
+
 def sketch_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``_id, digest, n, keys, sig`` of every row."""
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    """``_id, _name, digest, n, keys, sig`` of every row."""
+    rows = named(docs, doc_id, text)
 
     def run(batches):
         for batch in batches:
             for part in _text.slices(batch, "_text"):
-                texts = part.column(1)
+                texts = part.column(2)
                 data, offs = _text.utf8(texts)
                 raw = data.tobytes()
                 n, keys, sig = sketches(texts)
@@ -132,9 +148,10 @@ def sketch_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 own = [b"s" + grams[e - 8 * k : e] if k else raw[a:b].strip() and b"t" + raw[a:b] for k, e, a, b in zip(n.tolist(), ends, offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
                 digest = [hashlib.blake2b(x, digest_size=16).digest() for x in own]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * TABLES), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array(n.astype(np.int32)), flat, pa.array([s.tobytes() for s in sig], pa.binary())], ["_id", "digest", "n", "keys", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digest, pa.binary()), pa.array(n.astype(np.int32)), flat, pa.array([s.tobytes() for s in sig], pa.binary())], ["_id", "_name", "digest", "n", "keys", "sig"])
 
-    return rows.mapInArrow(run, "_id long, digest binary, n int, keys array<long>, sig binary")
+    schema = rows.drop("_text").schema.add("digest", "binary").add("n", "integer").add("keys", ArrayType(LongType())).add("sig", "binary")
+    return rows.mapInArrow(run, schema)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -158,8 +175,8 @@ def _alike(n: np.ndarray, sig: np.ndarray, m: np.ndarray, other: np.ndarray) ->
     return out
 
 
-def bucket_links(rep: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Links of a bucket's members (places), and its most central member."""
+def bucket_links(rep: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """Links of a bucket's members (places), its most central member, and how near the others are to it."""
     near = _alike(n, sig, n, sig)
     np.fill_diagonal(near, 0)
     central = near.sum(axis=1)
@@ -168,16 +185,16 @@ def bucket_links(rep: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[np.nd
     best = like.argmax(axis=1)
     # ties by rank, so that different buckets agree
     hub = np.where(like > 0, central[None] + 1, 0).argmax(axis=1)
-    return np.concatenate([some, some]), np.concatenate([best, hub]), int(central.argmax())
+    return np.concatenate([some, some]), np.concatenate([best, hub]), int(central.argmax()), float(central.max())
 
 
 def _bucket_rows(reps: DataFrame) -> DataFrame:
-    return reps.filter("n > 0 and rep is not null").select("rep", "n", "sig", F.explode("keys").alias("key"))
+    return reps.filter("n > 0").select("rep", "n", "sig", F.explode("keys").alias("key"))
 
 
-def _grouped(batches, names, work, rows_at_once: int = BATCH_ROWS):
+def _grouped(batches, names, work, rows_at_once: int = BATCH_ROWS, bytes_at_once: int = 64 << 20):
     """Calls ``work(table, bounds)`` with whole groups of rows equal in ``names``; rows come sorted by them."""
-    kept, size = [], 0
+    kept, rows, size = [], 0, 0
 
     def cut(table):
         cols = [table.column(c).to_numpy() for c in names]
@@ -189,14 +206,14 @@ def _grouped(batches, names, work, rows_at_once: int = BATCH_ROWS):
         if not batch.num_rows:
             continue
         kept.append(batch)
-        size += batch.num_rows
-        if size >= rows_at_once:
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= rows_at_once or size >= bytes_at_once:
             table = pa.Table.from_batches(kept)
             at = cut(table)
             if len(at) > 1:
                 yield from work(table.slice(0, int(at[-1])), at)
                 kept = table.slice(int(at[-1])).combine_chunks().to_batches()
-                size = sum(b.num_rows for b in kept)
+                rows, size = sum(b.num_rows for b in kept), sum(b.nbytes for b in kept)
     if kept:
         table = pa.Table.from_batches(kept)
         yield from work(table, np.append(cut(table), table.num_rows))
@@ -206,16 +223,17 @@ def _signatures(col, bins: int = BINS) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, bins)
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct links ``a < b`` to verify."""
-    spark = reps.sparkSession
+def candidates(reps: DataFrame, wide: DataFrame) -> DataFrame:
+    """Distinct links ``a < b`` to verify; ``wide`` has the keys of more than two members."""
     rows = _bucket_rows(reps)
-    big = _spark.stored(rows.groupBy("key").count().filter(F.col("count") > BUCKET))
+    big = wide.filter(F.col("size") > BUCKET)
+    n_big = big.count()
     parted = rows.withColumn("salt", F.lit(0))
-    if n_big := big.count():
-        salts = big.select("key", F.ceil(F.col("count") / BUCKET).cast("int").alias("parts"))
+    if n_big:
+        salts = big.select("key", F.ceil(F.col("size") / BUCKET).cast("int").alias("parts"))
         # one row for each BUCKET rows at most; sent to all only while that is few
-        parted = rows.join(F.broadcast(salts) if n_big <= 10_000 else salts, "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("rep", "key"), "parts"), F.lit(0)).cast("int")).drop("parts")
+        split = rows.join(F.broadcast(salts) if n_big <= 10_000 else salts, "key", "left")
+        parted = split.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("rep", "key"), "parts"), F.lit(0)).cast("int")).drop("parts")
 
     def link(batches):
         def work(table, bounds):
@@ -230,7 +248,7 @@ def candidates(reps: DataFrame) -> DataFrame:
             for k in np.flatnonzero(size > 2):
                 own = slice(bounds[k], bounds[k + 1])
                 order = np.argsort(rep[own])
-                a, b, _ = bucket_links(rep[own][order], n[own][order], sig[own][order])
+                a, b, _, _ = bucket_links(rep[own][order], n[own][order], sig[own][order])
                 out.append((rep[own][order][a], rep[own][order][b]))
             if out:
                 a, b = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -239,83 +257,12 @@ def candidates(reps: DataFrame) -> DataFrame:
 
         yield from _grouped(batches, ("key", "salt"), work)
 
-    # the rows of split buckets are few and are read twice more
-    split = _spark.stored(rows.join(salts, "key").withColumn("salt", F.pmod(F.xxhash64("rep", "key"), "parts").cast("int")).drop("parts")) if n_big else None
     found = parted.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(link, "a long, b long")
-    if n_big:
-        found = found.unionByName(_across(split))
+    if n_big:  # the rows of split buckets are few and are read twice more
+        found = found.unionByName(_across(_spark.stored(parted.join(big.select("key"), "key", "left_semi"))))
     return found.distinct()
 
 
-def fine_table(docs: DataFrame, reps: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``rep, fine`` (signature of ``FINE`` bins) of the documents named by ``reps``."""
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("_text")).join(reps, "rep", "left_semi")
-
-    def run(batches):
-        for batch in batches:
-            for part in _text.slices(batch, "_text"):
-                doc, gram = shingles(part.column(1))
-                v = _text.mix(_labelled(doc, gram) ^ _XOR[TABLES])
-                best = np.full(part.num_rows * FINE, _TOP)
-                np.minimum.at(best, doc * FINE + (v >> np.uint64(54)).astype(np.int64), v)
-                fine = (np.where(best == _TOP, 0, 1 + _text.mix(best) % np.uint64(255))).astype(np.uint8).reshape(-1, FINE)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in fine], pa.binary())], ["rep", "fine"])
-
-    return rows.mapInArrow(run, "rep long, fine binary")
-
-
-def _apart(table: pa.Table, mine: np.ndarray, others: np.ndarray):
-    """Pairs of rows of different classes that may be similar, a batch at a time."""
-    rep, kin, n = (table.column(c).to_numpy() for c in ("rep", "component", "n"))
-    sig, fine = _signatures(table.column("sig")), _signatures(table.column("fine"), FINE)
-    for at in range(0, len(mine), 64):
-        own = mine[at : at + 64]
-        rest = others[kin[others] != kin[own[0]]] if (kin[own] == kin[own[0]]).all() else others
-        i, j = np.nonzero(_alike(n[own], sig[own], n[rest], sig[rest]))
-        i, j = own[i], rest[j]
-        new = (kin[i] != kin[j]) & ((rep[i] < rep[j]) if mine is others else True)
-        i, j = i[new], j[new]
-        for k in range(0, len(i), 4096):
-            x, y = i[k : k + 4096], j[k : k + 4096]
-            ok = likeness(fine[x], fine[y]) >= CLOSE
-            a, b = rep[x[ok]], rep[y[ok]]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-
-def remaining(reps: DataFrame, found: DataFrame, tried: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """All links of buckets' members that aren't in one component yet and weren't verified."""
-    named = reps.join(found, reps["rep"] == found["node"], "left").select("rep", "n", "sig", "keys", F.coalesce("component", "rep").alias("component"))
-    named = _spark.stored(named.filter("n > 0 and rep is not null"))
-    rows = named.select("rep", "component", F.explode("keys").alias("key"))
-    mixed = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("least"), F.max("component").alias("most"))
-    mixed = mixed.filter("size > 2 and least < most")  # of two members the pair is tried
-    rows = _spark.stored(rows.join(mixed.select("key", F.ceil(F.col("size") / BUCKET).cast("int").alias("parts")), "key").select("rep", "key", "parts"))
-    fine = fine_table(docs, rows.select("rep").distinct(), doc_id, text)
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("rep", "key"), "parts").cast("int"))
-    whole = rows.filter("parts = 1").withColumn("other", F.lit(0))
-    split = rows.filter("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = whole.unionByName(split).select("rep", "key", "salt", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"))
-    full = met.join(_spark.stored(named.drop("keys").join(fine, "rep")), "rep")
-
-    def link(batches):
-        def work(table, bounds):
-            kin, salt, low, high = (table.column(c).to_numpy() for c in ("component", "salt", "low", "high"))
-            several = np.minimum.reduceat(kin, bounds[:-1]) < np.maximum.reduceat(kin, bounds[:-1])
-            for k in np.flatnonzero(several):
-                part = slice(bounds[k], bounds[k + 1])
-                own = np.arange(part.stop - part.start)
-                one = low[part.start] == high[part.start]
-                first = own if one else np.flatnonzero(salt[part] == low[part.start])
-                second = own if one else np.flatnonzero(salt[part] == high[part.start])
-                yield from _apart(table.slice(part.start, len(own)), first, second)
-
-        yield from _grouped(batches, ("key", "low", "high"), work)
-
-    met = full.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return met.mapInArrow(link, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-
-
 def _across(rows: DataFrame) -> DataFrame:
     """Links of split buckets' members with the most central members of their other parts."""
 
@@ -325,16 +272,17 @@ def _across(rows: DataFrame) -> DataFrame:
                 own = table.slice(a, b - a)
                 order = np.argsort(own.column("rep").to_numpy())
                 rep, n, sig = own.column("rep").to_numpy()[order], own.column("n").to_numpy()[order], _signatures(own.column("sig"))[order]
-                hub = bucket_links(rep, n, sig)[2]
-                row = own.column("key")[0].as_py(), int(rep[hub]), int(n[hub]), sig[hub].tobytes()
-                kinds = (("key", pa.int64()), ("c_rep", pa.int64()), ("c_n", pa.int32()), ("c_sig", pa.binary()))
+                _, _, hub, near = bucket_links(rep, n, sig)
+                row = own.column("key")[0].as_py(), near, int(rep[hub]), int(n[hub]), sig[hub].tobytes()
+                kinds = (("key", pa.int64()), ("near", pa.float64()), ("c_rep", pa.int64()), ("c_n", pa.int32()), ("c_sig", pa.binary()))
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(row, kinds, strict=True)], [k for k, _ in kinds])
 
         yield from _grouped(batches, ("key", "salt"), work)
 
     dealt = rows.repartition("key", "salt").sortWithinPartitions("key", "salt").select("key", "salt", "rep", "n", "sig")
-    centres = dealt.mapInArrow(centre, "key long, c_rep long, c_n int, c_sig binary")
-    shown = _spark.stored(centres).groupBy("key").agg(F.collect_list(F.struct("c_rep", "c_n", "c_sig")).alias("centres"))
+    centres = dealt.mapInArrow(centre, "key long, near double, c_rep long, c_n int, c_sig binary")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("near"), "c_rep"))  # one row a part
+    shown = centres.withColumn("place", place).filter(F.col("place") <= CENTRES).groupBy("key").agg(F.collect_list(F.struct("c_rep", "c_n", "c_sig")).alias("centres"))
 
     def link(batches):
         def work(table, bounds):
@@ -350,10 +298,146 @@ def _across(rows: DataFrame) -> DataFrame:
 
         yield from _grouped(batches, ("key", "salt"), work)
 
-    with_centres = rows.join(shown, "key").repartition("key", "salt").sortWithinPartitions("key", "salt")
+    with_centres = rows.join(_spark.stored(shown), "key").repartition("key", "salt").sortWithinPartitions("key", "salt")
     return with_centres.select("key", "salt", "rep", "n", "sig", "centres").mapInArrow(link, "a long, b long")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` (``rep, key, component, n`` and more) of buckets of several classes, in blocks ``kind, x, y``.
+
+    Two rows of different classes of a bucket meet in one block. ``main`` marks a
+    row of the bucket's largest class: those are dealt into parts that never meet
+    each other. Blocks of kind 0 are a part of the main class and a part of the
+    rest, which also meets itself where ``x`` is 0; those of kind 1 two parts of the rest.
+    """
+    weigh = lambda rows, n: F.greatest(F.ceil(rows / BUCKET), F.ceil(n / SHINGLES)).cast("int")
+    each = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("n").cast("long")).alias("w"))
+    most = F.max_by(F.struct("component", "c", "w"), F.struct("c", "component"))
+    sums = each.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.sum("c").alias("c"), F.sum("w").alias("w"), most.alias("m")).filter("classes > 1")
+    parts = sums.select("key", F.col("m.component").alias("largest"), weigh(F.col("m.c"), F.col("m.w")).alias("px"), weigh(F.col("c") - F.col("m.c"), F.col("w") - F.col("m.w")).alias("py"))
+    own = rows.join(parts, "key").withColumn("main", F.col("component") == F.col("largest"))
+    own = own.withColumn("part", F.pmod(F.xxhash64("rep", "key"), F.when(F.col("main"), F.col("px")).otherwise(F.col("py"))).cast("int"))
+    block = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.cast("int").alias("x"), y.cast("int").alias("y"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    with_rest = F.transform(upto(F.col("py")), lambda y: block(0, F.col("part"), y))
+    with_main = F.transform(upto(F.col("px")), lambda x: block(0, x, F.col("part")))
+    with_others = F.transform(F.filter(upto(F.col("py")), lambda y: y != F.col("part")), lambda y: block(1, F.least(y, F.col("part")), F.greatest(y, F.col("part"))))
+    blocks = F.when(F.col("main"), with_rest).otherwise(F.concat(with_main, with_others))
+    return own.withColumn("b", F.explode(blocks)).select("*", "b.*").drop("b", "px", "py", "largest")
+
+
+BLOCK = ("key", "kind", "x", "y")
+
+
+def _likely(table: pa.Table, part: slice):
+    """Places (in the part) of pairs of rows of different classes that may be similar, a batch at a time."""
+    own = table.slice(part.start, part.stop - part.start)
+    kin, n, main, at = (own.column(c).to_numpy(zero_copy_only=False) for c in ("component", "n", "main", "part"))
+    kind, x, y = (own.column(c)[0].as_py() for c in BLOCK[1:])
+    sig, every = _signatures(own.column("sig")), np.arange(own.num_rows)
+    first, second = (every[at == x], every[at == y]) if kind else (every, every) if x == 0 else (every[main], every[~main])
+    for lo in range(0, len(first), 64):
+        some = first[lo : lo + 64]
+        i, j = np.nonzero(_alike(n[some], sig[some], n[second], sig[second]))
+        i, j = some[i], second[j]
+        new = (kin[i] != kin[j]) & ((i < j) if first is second else True)
+        if new.any():
+            yield i[new], j[new]
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """``rep, key`` of the rows with a partner of another class that may be similar."""
+
+    def run(batches):
+        def work(table, bounds):
+            rep, key = table.column("rep").to_numpy(), table.column("key").to_numpy()
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                hit = np.zeros(b - a, bool)
+                for i, j in _likely(table, slice(a, b)):
+                    hit[i] = hit[j] = True
+                if hit.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[a:b][hit]), pa.array(key[a:b][hit])], ["rep", "key"])
+
+        yield from _grouped(batches, BLOCK, work)
+
+    met = dealt(rows).select(*BLOCK, "rep", "component", "n", "sig", "main", "part")
+    return met.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInArrow(run, "rep long, key long").distinct()
+
+
+def _bits(grams: list) -> np.ndarray:
+    """A row of bits for each sequence: which of the shingles that some share it has."""
+    size = np.array([len(g) for g in grams])
+    own = np.repeat(np.arange(len(grams)), size)
+    _, which, count = np.unique(_labelled(own, np.concatenate(grams)), return_inverse=True, return_counts=True)
+    keep = (count > 1)[which]
+    bit, row = (np.cumsum(count > 1) - 1)[which[keep]], own[keep]
+    width = 8 * (int((count > 1).sum()) // 64 + 1)
+    out = np.zeros((len(grams), width), np.uint8)
+    for lo in range(0, len(grams), 256):
+        a, b = np.searchsorted(row, [lo, lo + 256])
+        rows = min(256, len(grams) - lo)
+        value = np.bincount((row[a:b] - lo) * width + (bit[a:b] >> 3), np.left_shift(1, bit[a:b] & 7), rows * width)
+        out[lo : lo + rows] = value.astype(np.uint8).reshape(rows, width)
+    return out.view(np.uint64)
+
+
+def _joined(table: pa.Table, part: slice) -> tuple[list, list]:
+    """Verified links between classes of a block, none of which the others imply."""
+    own = table.slice(part.start, part.stop - part.start)
+    kin, rep = own.column("component").to_numpy(), own.column("rep").to_numpy()
+    grams = [np.frombuffer(g, np.uint64) for g in own.column("grams").to_pylist()]
+    n, bits = np.array([len(g) for g in grams]), _bits(grams)
+    pairs = []
+    for i, j in _likely(table, part):
+        step = max(1, (8 << 20) // bits.shape[1])
+        for lo in range(0, len(i), step):
+            x, y = i[lo : lo + step], j[lo : lo + step]
+            both = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64)
+            s = both / (n[x] + n[y] - both)
+            ok = s >= SIMILARITY - 1e-9
+            pairs.append(np.rec.fromarrays([s[ok], x[ok], y[ok]], names="s,x,y"))
+    up: dict = {}
+
+    def find(c):
+        while up.get(c, c) != c:
+            c = up[c]
+        return c
+
+    a, b = [], []
+    pairs = np.concatenate(pairs) if pairs else []
+    for k in np.argsort([-p["s"] for p in pairs], kind="stable"):
+        x, y = int(pairs[k]["x"]), int(pairs[k]["y"])
+        u, v = find(int(kin[x])), find(int(kin[y]))
+        if u != v and aligned(grams[x], grams[y]) >= SIMILARITY:
+            up[max(u, v)] = min(u, v)
+            a.append(int(min(rep[x], rep[y])))
+            b.append(int(max(rep[x], rep[y])))
+    return a, b
+
+
+def remaining(reps: DataFrame, wide: DataFrame, found: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Verified links between rows of a bucket that aren't in one component yet."""
+    kin = reps.filter("n > 0").join(found, F.col("rep") == F.col("node"), "left")
+    kin = kin.select("rep", "_name", "n", "sig", "keys", F.coalesce("component", "rep").alias("component"))
+    rows = kin.select("rep", "component", "n", "sig", F.explode("keys").alias("key")).join(wide.select("key"), "key", "left_semi")
+    left = _spark.stored(apart(_spark.stored(rows)))
+    own = _spark.stored(left.select("rep").distinct().join(kin.drop("keys"), "rep"))
+    full = left.join(own.drop("_name"), "rep")
+    met = dealt(full).join(sequences(own.select("rep", "_name"), docs, doc_id, text), "rep")
+
+    def run(batches):
+        def work(table, bounds):
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                x, y = _joined(table, slice(a, b))
+                if x:
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+
+        yield from _grouped(batches, BLOCK, work)
+
+    met = met.select(*BLOCK, "rep", "component", "n", "sig", "main", "part", "grams")
+    return met.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInArrow(run, "a long, b long").distinct()
+
+
 def common(a: list, b: list, band: int) -> int:
     """Length of the longest common subsequence whose places differ by ``band`` at most, one machine word at a time."""
     if len(a) > LONG or len(b) > LONG:
@@ -408,9 +492,6 @@ def _by_blocks(a: list, b: list, band: int) -> int:
     return found + (high - low) - v.bit_count()
 
 
-_by_anchors = _by_blocks  # former name
-
-
 def _common(a: list, b: list, band: int) -> int:
     """``common`` by narrower bands first: with L found, a better path stays within ``longest - L``."""
     longest, width = max(len(a), len(b)), min(band, NARROW)
@@ -440,42 +521,78 @@ def aligned(a: np.ndarray, b: np.ndarray) -> float:
     return found / (n + m - found)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Those of the links ``a, b`` whose texts align, with their ``similarity``."""
-    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_text"))
-    left = pairs.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("tb")), "b").select("a", "b", "ta", "tb")
+def sequences(wanted: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``rep, grams``: the shingles of the rows ``rep, _name``, in text order; a table that is read more than once."""
+    rows = named(docs, doc_id, text).select("_name", "_text").join(wanted, "_name").select("rep", "_text")
 
     def run(batches):
-        def of(col):
-            doc, gram = shingles(col)
-            return np.split(gram, np.cumsum(np.bincount(doc, minlength=len(col)))[:-1])
+        for batch in batches:
+            for part in _text.slices(batch, "_text"):
+                doc, gram = shingles(part.column(1))
+                ends = 8 * np.cumsum(np.bincount(doc, minlength=part.num_rows))
+                offs = pa.py_buffer(np.append(0, ends).astype(np.int64))
+                grams = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, offs, pa.py_buffer(gram.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), grams], ["rep", "grams"])
+
+    # rows equal in id and text have one name
+    return _spark.stored(rows.mapInArrow(run, "rep long, grams binary").dropDuplicates(["rep"]))
+
 
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Those of the links ``a, b`` whose texts align, with their ``similarity``."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "_name"), "rep")
+    seqs = sequences(wanted, docs, doc_id, text)
+    left = pairs.join(seqs.select(F.col("rep").alias("a"), F.col("grams").alias("ga")), "a")
+    both = left.join(seqs.select(F.col("rep").alias("b"), F.col("grams").alias("gb")), "b").select("a", "b", "ga", "gb")
+
+    def run(batches):
         for batch in batches:
-            for part in _text.slices(batch, "ta"):
-                x, y = of(part.column(2)), of(part.column(3))
-                s = np.array([aligned(p, q) for p, q in zip(x, y, strict=True)])
-                ok = pa.array(s >= SIMILARITY)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok), pa.array(s).filter(ok)], ["a", "b", "similarity"])
+            x, y = ([np.frombuffer(g, np.uint64) for g in batch.column(k).to_pylist()] for k in (2, 3))
+            s = np.array([aligned(p, q) for p, q in zip(x, y, strict=True)])
+            ok = pa.array(s >= SIMILARITY)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok), pa.array(s).filter(ok)], ["a", "b", "similarity"])
 
     return both.mapInArrow(run, "a long, b long, similarity double")
 
 
-def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, class_id`` of every row; the class is named by its least id."""
+def classed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Tables of rows (``_id, _name, digest``) and of distinct texts (``digest, _name, class_id, keeper``).
+
+    ``_name`` there names the row that stands for the text, and ``keeper`` the one
+    text of each class that does so for the class: that of its least id.
+    """
     _spark.small_batches(docs.sparkSession)
     made = _spark.stored(sketch_table(docs, doc_id, text))
-    reps = made.groupBy("digest").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "n", "keys", "sig")).alias("r"))
-    reps = _spark.stored(reps.select("digest", F.col("r._id").alias("rep"), "r.n", "r.keys", "r.sig"))
-    tried = _spark.stored(candidates(reps))
-    links = _spark.stored(verified(tried, docs, doc_id, text).select("a", "b"))
+    order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_name", "n", "keys", "sig")
+    reps = made.groupBy("digest").agg(F.min(order).alias("r"))
+    reps = _spark.stored(reps.select(F.monotonically_increasing_id().alias("rep"), "digest", "r._id", "r._name", "r.n", "r.keys", "r.sig"))
+    sizes = _bucket_rows(reps).groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    wide = _spark.stored(sizes.filter("size > 2"))  # of two members the pair is tried
+    links = _spark.stored(verified(_spark.stored(candidates(reps, wide)), reps, docs, doc_id, text).select("a", "b"))
     found = components(links)
-    more = _spark.stored(remaining(reps, found, tried, docs, doc_id, text))
-    more = _spark.stored(verified(more, docs, doc_id, text).select("a", "b"))
+    more = _spark.stored(remaining(reps, wide, found, docs, doc_id, text))
     if not more.isEmpty():
         found = components(links.unionByName(more))
-    named = reps.join(found, reps["rep"] == found["node"], "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
-    return made.select("_id", "digest").join(named, "digest").select(F.col("_id").alias("doc_id"), "class_id")
+    kin = reps.select("rep", "digest", "_id", "_name").join(found, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
+    kin = _spark.stored(kin.drop("node"))
+    least = kin.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_name", "rep")).alias("k"))
+    named_by = kin.join(least.select("component", F.col("k._id").alias("class_id"), F.col("k.rep").alias("first")), "component")
+    return made.select("_id", "_name", "digest"), named_by.select("digest", "_name", "class_id", (F.col("rep") == F.col("first")).alias("keeper"))
+
+
+def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, class_id`` of every row; the class is named by its least id."""
+    rows, texts = classed(docs, doc_id, text)
+    return rows.join(texts.select("digest", "class_id"), "digest").select(F.col("_id").alias("doc_id"), "class_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` of each class, with the least id; of rows equal in id and text the one that sorts first."""
+    _, texts = classed(docs, doc_id, text)
+    own = docs.withColumn("__name", _name(doc_id, text))
+    kept = own.join(texts.filter("keeper").select(F.col("_name").alias("__name")), "__name", "left_semi")
+    place = F.row_number().over(Window.partitionBy("__name").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    return kept.withColumn("__place", place).filter("__place = 1").drop("__name", "__place")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
