@@ -3,14 +3,17 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which
 ``run`` writes as Parquet in the shared folder and reads again for the next.
 All but the last return the columns of ``documents``. Documents leave only by a
-stage's decision: texts without a letter or like no learned language, all but
-one of each near-duplicate class, and those with a benchmark item's text.
+stage's decision: texts without a letter or like no learned language (if any is
+learned), all but one of each near-duplicate class, and those with a benchmark
+item's text.
 Mixing keeps every document and decides their order, which is the order of rows
 in its files; the token files follow it (the place of a row in its file names
 it), or ascending ids where the input isn't read from files.
 
-Rows with a null id can't be named by a decision and stay. Rows that share an
-id count as one document. Empty input gives an empty result.
+Near duplicates are told apart by id and text, so rows with a null id and rows
+that share an id are compared like others; of equal rows one stays. A benchmark
+match is named by its id: rows with that id go, rows with a null id stay. Empty
+input gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,16 +25,26 @@ from pyspark.sql import functions as F
 from tidemark.llm import _spark, decontaminate, language_id, near_dedup, pfair, token_files
 
 
+#: A document is like no learned language below this share of what all but a hundredth of the language's own reach.
+FAR = 0.5
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = ("__lang", "__score", "__cosine")
-    seen = language_id.identify(docs, language_id.learn(docs), keep=tuple(docs.columns), names=names)
-    return seen.filter((F.col("__lang") != "und") & (F.col("__cosine") > 0)).select(docs.columns)
+    model = language_id.learn(docs)
+    if not model[0]:  # no document has a language: there is nothing to judge by
+        return docs
+    seen = _spark.stored(language_id.identify(docs, model, keep=tuple(docs.columns), names=names))
+    known = F.when(F.col("lang") == F.col("__lang"), F.col("__cosine"))
+    least = {r["__lang"]: FAR * r["c"] for r in seen.groupBy("__lang").agg(F.percentile_approx(known, 0.01).alias("c")).collect() if r["c"] is not None}
+    enough = F.lit(0.0)
+    for lang, cosine in least.items():  # one for each language
+        enough = F.when(F.col("__lang") == lang, cosine).otherwise(enough)
+    return seen.filter((F.col("__lang") != "und") & (F.col("__cosine") > 0) & (F.col("__cosine") >= enough)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = near_dedup.near_classes(docs.filter("doc_id is not null"))
-    copies = classes.filter("doc_id <> class_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    return near_dedup.one_of_each(docs).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +60,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     try:
-        placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")  # by number: names sort otherwise from 100,000 on
+        placed = docs.select("doc_id", "text", part.alias("_file"), F.col("_metadata.row_index").alias("_row"))
         order = ("_file", "_row")
     except AnalysisException:  # not read from files
         placed, order = docs, ("doc_id",)
