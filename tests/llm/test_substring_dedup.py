@@ -43,6 +43,34 @@ def test_longer_prefixes_for_frequent_anchors(docs_of, monkeypatch):
     assert [tuple(x)[1:] for x in got] == brute(texts, 12)
 
 
+def test_null_and_shared_ids(docs_of):
+    """Rows without an id are compared, and so are different texts under one id, of any type."""
+    r = random.Random(13)
+    a, b, c = (prose(r, 50) for _ in "abc")
+    rows = [(None, f"x {a}"), ("8", f"{a} y z"), (None, prose(r, 90)), ("7", f"{b} one"), ("7", f"{prose(r, 120)} {b} two {c}"), ("9", c), (None, None), (None, "")]
+    docs = docs_of([]).sparkSession.createDataFrame(rows, "doc_id string, text string")
+    got = collections.Counter(tuple(x)[1:] for x in substring_dedup.remove(docs).collect())
+    assert got == collections.Counter(brute([t for _, t in rows], 35))
+
+
+def test_words_alike_in_32_bits(docs_of):
+    """Two words whose low 32 bits agree make windows that aren't equal."""
+    words = [f"id{i}" for i in range(260_000)]
+    h = substring_dedup._words(substring_dedup.pa.array([" ".join(words)]))[1] & np.uint64(0xFFFFFFFF)
+    order = np.argsort(h, kind="stable")
+    k = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+    assert len(k)
+    one, two = words[order[k[0]]], words[order[k[0] + 1]]
+    r = random.Random(14)
+    shared = prose(r, 34).split()
+    texts = []
+    for at in (0, 5, 17, 34):
+        texts += [" ".join([f"u{at}{w}" for w in shared[:at]] + [w] + [f"u{at}{w}" for w in shared[at:]]) for w in (one, two)]
+    texts += [f"{one} {prose(r, 40)}", f"{two} {prose(r, 40)}"]
+    got = substring_dedup.remove(docs_of(texts)).orderBy("doc_id").collect()
+    assert [tuple(x)[1:] for x in got] == brute(texts, 35) and not any(x["n_removed"] for x in got)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), min_size=1, max_size=12), min_size=1, max_size=6), st.integers(2, 7))
 def test_deepest_nodes(rows, window):
@@ -52,6 +80,9 @@ def test_deepest_nodes(rows, window):
     seen = collections.Counter(p for p in paths if p)
     want = [p is not None and seen[p] > 1 for p in paths]
     assert substring_dedup.deepest(symbols, left, window).tolist() == want
+    # a symbol that stands for two words: labels tell the windows apart
+    labels = np.array([0 if p is None else hash(p) & 0xFFFFFFFF for p in paths], np.uint64)
+    assert substring_dedup.deepest(symbols // 2, left, window, labels).tolist() == want
 
 
 def test_long_repeated_and_empty(docs_of, odd_texts):

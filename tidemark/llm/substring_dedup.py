@@ -23,14 +23,15 @@ prefix is unique need not be looked at further.
 
 Windows repeated within one map task are known there (by a 64-bit hash): one of
 them travels, so a sequence with any number of copies reaches a partition once
-from each map task. A node is compared by its words' 32-bit hashes; unequal
-windows would have to collide in all their differing words.
+from each map task. The tree is built over 32-bit symbols, in which two words may
+be alike; each window therefore brings a 64-bit hash of all its words, and a node
+of depth ``WINDOW`` holds only windows that agree in it.
 
 Null and empty texts have no words and keep none. Repeated rows count as rows:
-their windows repeat. Other columns of the input may have any name. Ids are
-expected to be unique: of rows that share an id but not their text, each loses
-the words at the places where either repeats. Rows with a null id keep their
-words and aren't compared. An empty table gives an empty result.
+their windows repeat. Rows are told apart by a 64-bit hash of id and text, so
+null ids, ids of any type and different texts under one id are compared like
+others. Other columns of the input may have any name. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -75,9 +76,10 @@ def _words(col: pa.Array) -> tuple[_text.Words, np.ndarray]:
 
 
 def _base(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with id and text, as both joins read them so that they share one exchange; and the others."""
-    rows = lambda: docs.select(F.col(f"`{doc_id}`").alias("_doc"), F.col(f"`{text}`").alias("_text"))
-    return rows().filter("_doc is not null and _text is not null"), rows().filter("_doc is null or _text is null")
+    """Rows with text, as both joins read them so that they share one exchange; and the others."""
+    own = lambda: docs.select(F.col(f"`{doc_id}`").alias("_doc"), F.col(f"`{text}`").alias("_text"))
+    rows = own().filter("_text is not null").withColumn("_key", F.xxhash64("_doc", "_text"))
+    return rows, own().filter("_text is null")
 
 
 def anchor_places(rows: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -111,13 +113,13 @@ def anchor_places(rows: DataFrame, window: int, anchor: int) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return rows.select(F.col("_doc").cast("long").alias("_id"), "_text").mapInArrow(run, "prefix long, places array<struct<_id: long, word: int>>")
+    return rows.select(F.col("_key").alias("_id"), "_text").mapInArrow(run, "prefix long, places array<struct<_id: long, word: int>>")
 
 
 def fragments(marked: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Rows ``_id, word, key, offset, known, symbols``: windows from ``word`` on, of one anchor.
+    """Rows ``_id, word, key, known, symbols, labels``: windows from ``word`` on, of one anchor.
 
-    ``known`` has a bit for each window that is known to repeat. A row with a
+    ``labels`` has the hash of each window and ``known`` a bit for each window that is known to repeat. A row with a
     null ``key`` tells only of ``known`` windows in a row that repeat.
     """
 
@@ -145,12 +147,13 @@ def fragments(marked: DataFrame, window: int, anchor: int) -> DataFrame:
         bounds = np.concatenate([[0], np.cumsum(size)])
         take = np.arange(bounds[-1]) + np.repeat(place[head] - bounds[:-1], size)
         body = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer((bounds * 4).astype(np.int32).tobytes()), pa.py_buffer(words[take].tobytes())])
+        hashes = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer((8 * np.append(at, len(k))).astype(np.int32).tobytes()), pa.py_buffer(label[k].tobytes())])
         key = np.where(heavy[head], path[head], prefix[head]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(doc_id[head]), pa.array(word[head].astype(np.int32)), pa.array(key), pa.array(bits), body], _FRAGMENT)
+        yield pa.RecordBatch.from_arrays([pa.array(doc_id[head]), pa.array(word[head].astype(np.int32)), pa.array(key), pa.array(bits), body, hashes], _FRAGMENT)
         k = np.flatnonzero(known)
         if len(k):
             head, _, n = runs(k, False)
-            yield pa.RecordBatch.from_arrays([pa.array(doc_id[head]), pa.array(word[head].astype(np.int32)), pa.nulls(len(head), pa.int64()), pa.array(n), pa.nulls(len(head), pa.binary())], _FRAGMENT)
+            yield pa.RecordBatch.from_arrays([pa.array(doc_id[head]), pa.array(word[head].astype(np.int32)), pa.nulls(len(head), pa.int64()), pa.array(n), *[pa.nulls(len(head), pa.binary())] * 2], _FRAGMENT)
 
     def run(batches):
         held, symbols, n, total = [], [], 0, 0
@@ -161,9 +164,10 @@ def fragments(marked: DataFrame, window: int, anchor: int) -> DataFrame:
                 marks = part.column(2)
                 inner = marks.flatten()
                 owner = np.repeat(np.arange(part.num_rows), marks.value_lengths().fill_null(0).to_numpy())
-                where = w.first[:-1][owner] + inner.field(0).to_numpy()
+                place = inner.field(0).to_numpy()
+                own = place < w.count[owner]  # not so only where two rows' keys collide
                 mark = np.zeros(len(h) + 1, np.int8)
-                mark[where] = 1 + inner.field(1).to_numpy(zero_copy_only=False).astype(np.int8)
+                mark[(w.first[:-1][owner] + place)[own]] = 1 + inner.field(1).to_numpy(zero_copy_only=False).astype(np.int8)[own]
                 keep = mark[at] > 0
                 start, at, prefix, label = start[keep], at[keep], prefix[keep], label[keep]
                 if len(start):
@@ -179,14 +183,14 @@ def fragments(marked: DataFrame, window: int, anchor: int) -> DataFrame:
         if held:
             yield from flush(held, symbols)
 
-    return marked.mapInArrow(run, "_id long, word int, key long, known long, symbols binary")
+    return marked.mapInArrow(run, "_id long, word int, key long, known long, symbols binary, labels binary")
 
 
-_FRAGMENT = ["_id", "word", "key", "known", "symbols"]
+_FRAGMENT = ["_id", "word", "key", "known", "symbols", "labels"]
 
 
-def deepest(symbols: np.ndarray, left: np.ndarray, window: int) -> np.ndarray:
-    """Which of the suffixes share their first ``window`` words with another.
+def deepest(symbols: np.ndarray, left: np.ndarray, window: int, labels: np.ndarray | None = None) -> np.ndarray:
+    """Which of the suffixes share their first ``window`` words, and their label, with another.
 
     ``left`` has the number of words from each place to its fragment's end. Names
     of 2, 4, 8 ... words are made from pairs of names; a suffix whose name is
@@ -205,21 +209,36 @@ def deepest(symbols: np.ndarray, left: np.ndarray, window: int) -> np.ndarray:
         name = np.zeros(len(symbols), np.uint64)
         name[at] = which
         depth += step
-    return shared & (left >= window)
+    shared &= left >= window
+    if labels is not None and shared.any():
+        at = np.flatnonzero(shared)
+        order = np.lexsort((labels[at], name[at]))
+        x, y = name[at[order]], labels[at[order]]
+        same = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+        shared[at[order]] = np.append(same, False) | np.append(False, same)
+    return shared
+
+
+def _flat(rows: pa.Table, column: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows' binary values, one after the other, and how many each row has."""
+    body = rows.column(column).combine_chunks()
+    if isinstance(body, pa.ChunkedArray):
+        body = body.chunk(0)
+    bounds = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64)
+    return np.frombuffer(body.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(kind), np.diff(bounds) // np.dtype(kind).itemsize
 
 
 def _tree(rows: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Document and first word of the windows that repeat and weren't known to."""
     n = rows.num_rows
-    body = rows.column("symbols").combine_chunks()
-    if isinstance(body, pa.ChunkedArray):
-        body = body.chunk(0)
-    bounds = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + n + 1].astype(np.int64)
-    symbols = np.frombuffer(body.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view("<u4")
-    size = np.diff(bounds) // 4
+    symbols, size = _flat(rows, "symbols", "<u4")
+    hashes, _ = _flat(rows, "labels", "<u8")
     row = np.repeat(np.arange(n), size)
-    step = np.arange(len(row)) - np.repeat((bounds[:-1] - bounds[0]) // 4, size)
-    hit = np.flatnonzero(deepest(symbols, size[row] - step, window))
+    step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    left = size[row] - step
+    labels = np.zeros(len(row), np.uint64)
+    labels[left >= window] = hashes  # one for each window
+    hit = np.flatnonzero(deepest(symbols, left, window, labels))
     row, step = row[hit], step[hit]
     new = rows.column("known").to_numpy()[row] >> step & 1 == 0
     row, step = row[new], step[new]
@@ -245,7 +264,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     counts = places.groupBy("prefix").agg(F.sum(F.size("places").cast("long")).alias("n")).filter("n > 1")
     shared = places.join(counts, "prefix").select(F.explode("places").alias("p"), (F.col("n") > HEAVY).alias("heavy"))
     marks = shared.groupBy(F.col("p._id").alias("_id")).agg(F.collect_list(F.struct(F.col("p.word").alias("word"), "heavy")).alias("_marks"))
-    marked = rows.join(marks, F.col("_doc").cast("long") == F.col("_id")).select("_id", "_text", "_marks")
+    marked = rows.join(marks, F.col("_key") == F.col("_id")).select("_id", "_text", "_marks")
     made = fragments(marked, window, anchor)
     # what is known already only has to find its document
     dealt = made.withColumn("_deal", F.coalesce("key", F.xxhash64("_id", "word"))).repartition("_deal").sortWithinPartitions("key").drop("_deal")
@@ -283,7 +302,7 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     found = repeats(docs, doc_id, text, window, anchor)
     spans = found.groupBy("_id").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
     rows, others = _base(docs, doc_id, text)
-    joined = rows.join(spans, F.col("_doc").cast("long") == F.col("_id"), "left").select("_doc", "_text", "_spans")
+    joined = rows.join(spans, F.col("_key") == F.col("_id"), "left").select("_doc", "_text", "_spans")
     joined = joined.unionByName(others.withColumn("_spans", F.lit(None).cast("array<struct<first: long, last: long>>")))
 
     def run(batches):
@@ -300,8 +319,8 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
                 gone = 0
                 if b > a:
                     level = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(level, first[a:b], 1)
-                    np.add.at(level, last[a:b], -1)
+                    np.add.at(level, np.minimum(first[a:b], len(words)), 1)
+                    np.add.at(level, np.minimum(last[a:b], len(words)), -1)
                     keep = np.cumsum(level)[:-1] == 0
                     gone = len(words) - int(keep.sum())
                     kept = list(compress(words, keep.tolist()))
