@@ -61,6 +61,73 @@ def test_isotonic_and_trees():
     assert auc(y, toxicity.grow(x, y).margin(x)) > 0.98
 
 
+def test_best_split_equals_brute_force(monkeypatch):
+    """The first split of a tree is the one of most gain among all features and bin edges."""
+    monkeypatch.setattr(toxicity, "TREES", 1)
+    rng = np.random.default_rng(3)
+    for _ in range(10):
+        x, y = rng.integers(0, 9, (120, 4)).astype(float), (rng.random(120) < 0.4).astype(float)
+        trees = toxicity.grow(x, y)
+        p = y.mean()
+        g, h = y - p, np.full(len(y), p * (1 - p))
+        score = lambda m: g[m].sum() ** 2 / (h[m].sum() + toxicity.L2)
+        best = 0.0
+        for f in range(4):
+            for edge in trees.edges[f]:
+                left = x[:, f] <= edge
+                if left.sum() >= toxicity.LEAST and (~left).sum() >= toxicity.LEAST:
+                    best = max(best, score(left) + score(~left) - score(left | True))
+        f, cut = trees.feature[0, 0], trees.cut[0, 0]
+        left = np.searchsorted(trees.edges[f], x[:, f], "left") <= cut
+        assert abs(score(left) + score(~left) - score(left | True) - best) < 1e-9
+
+
+def test_words_are_learned_without_their_fold(docs_of, spark):
+    """A word in toxic rows of one fold alone is learned for the other folds and not for that one."""
+    keys = spark.range(400).select("id", toxicity.fold_of("id").alias("f")).collect()
+    own = [r["id"] for r in keys if r["f"] == 2][:12]
+    r = random.Random(1)
+    docs = docs_of([prose(r, 20) + (" grobnik" if i in own else "") for i in range(400)])
+    labels = spark.createDataFrame([(i, int(i in own or i % 10 == 0)) for i in range(400)], "doc_id long, toxic int")
+    word = toxicity._hashes(["grobnik"])[0]
+    found = [word in x for x in toxicity.lexicons(docs, labels, "doc_id", "text", "toxic", 1000)]
+    assert found == [True, True, False, True, True]
+
+
+def test_long_obfuscated_words():
+    text = "a " + "x" * 60 + " " + "i.d.i.o.t"
+    long = ".".join("moron") + "." * 60 + "s"
+    x = toxicity._obfuscated(toxicity._features.Slice(toxicity.pa.array([text, long, ""])))
+    assert x[1].tolist() == [1, 1, 0]
+
+
+def test_gradient_vanishes_at_the_optimum():
+    """The fitted weights are where the penalised likelihood of the pairs is flat, by an independent sum over pairs."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 3))
+    y = (x[:, 0] + rng.normal(size=60) > 0).astype(float)
+    model = quality_ranking.fit(x, y)
+    z = np.clip((x - model.mean) / model.scale, -8, 8)
+    good, bad = np.flatnonzero(y > 0.5), np.flatnonzero(y <= 0.5)
+    r = np.random.default_rng(5)
+    n = min(quality_ranking.MAX_PAIRS, 40 * max(len(good), len(bad)))
+    total = np.zeros(3)
+    for a, b in zip(r.choice(good, n), r.choice(bad, n), strict=True):
+        d = z[a] - z[b]
+        total += d / (1 + np.exp(d @ model.weights)) / n
+    assert np.abs(total - quality_ranking.RIDGE * model.weights).max() < 1e-6
+
+
+def test_ids_of_any_type_and_repeated_rows(docs_of, spark):
+    r = random.Random(4)
+    docs = docs_of([prose(r, 30) for _ in range(40)]).selectExpr("concat('d', doc_id % 20) as doc_id", "text")
+    labels = spark.createDataFrame([(f"d{i}", i % 2, i % 2) for i in range(20)], "doc_id string, quality int, toxic int")
+    assert len(quality_ranking.labelled(docs, labels, "quality", quality_ranking.features)[1]) == 20
+    for run in (quality_ranking.rank, toxicity.detect):
+        got = run(docs, labels)
+        assert got.count() == 40 and got.schema["doc_id"].dataType.typeName() == "string"
+
+
 def test_pairs_recover_order():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 4))

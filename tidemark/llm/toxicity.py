@@ -4,10 +4,12 @@ Features are lexicon densities (a fixed list, and words that the labelled rows
 show to be toxic), how often lexicon words stand near the second person,
 capitals, punctuation and obfuscated spellings, besides the surface features.
 Trees are grown on quantile bins by logistic loss; calibration is isotonic, on
-scores that each fold gets from trees grown without it.
+scores that each fold of the labelled rows gets from words and trees learned
+without it.
 
 Learning uses at most ``MAX_LABELLED`` labelled rows, those with the lowest
-hash of their id; scoring reads whole texts of all rows. A null or empty text
+hash of their id, and keeps the ``LEARNED`` words that stand out most; scoring
+reads whole texts of all rows. A null or empty text
 has the features of an empty document. With one label only, the score is that
 label's share. Repeated rows count as rows; rows with null ids or labels aren't
 learned from.
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import _features, _spark, _text
@@ -83,20 +85,20 @@ def _obfuscated(s: _features.Slice) -> tuple[np.ndarray, np.ndarray]:
     raw = s.data.tobytes()
     known = set(INSULTS)
     for k in marked:
-        if w.end[k] - w.start[k] <= 40:
-            word = raw[w.start[k] : w.end[k]].decode("utf-8", "replace").lower()
-            flat = "".join(c for c in word.translate(LEET) if c.isalpha())
-            bare = "".join(c for c in word if c.isalpha())
-            spelled[w.doc[k]] += flat in known or bare in known
+        word = raw[w.start[k] : w.end[k]].decode("utf-8", "replace").lower()
+        flat = "".join(c for c in word.translate(LEET) if c.isalpha())
+        bare = "".join(c for c in word if c.isalpha())
+        spelled[w.doc[k]] += flat in known or bare in known
     return np.bincount(w.doc[marked], minlength=n), spelled
 
 
-def features(texts: pa.Array, learned: np.ndarray) -> np.ndarray:
+def features(texts: pa.Array, lexicons: list[np.ndarray]) -> np.ndarray:
+    """Features of each text; those of each lexicon side by side, as many columns for each."""
     s = _features.Slice(texts)
     w, h = _plain(texts)
     n, words = s.n, np.maximum(w.count, 1)
     fixed = _fixed()
-    bad, own = _within(h, fixed["insults"]), _within(h, learned)
+    bad = _within(h, fixed["insults"])
     you = _within(h, fixed["you"]).astype(np.int64)
     before = np.zeros(len(h) + 1, np.int64)
     np.cumsum(you, out=before[1:])
@@ -105,40 +107,58 @@ def features(texts: pa.Array, learned: np.ndarray) -> np.ndarray:
     close = before[high] > before[low]
     by = lambda mask: np.bincount(w.doc[mask], minlength=n)
     odd, spelled = _obfuscated(s)
-    kinds = np.bincount(w.doc[own], minlength=n) - _features.repeated(w.doc[own], h[own], n)
-    return np.column_stack([
-        by(bad), by(bad) / words, by(own), by(own) / words, kinds, by(bad & close) / words, by(own & close) / words, by(you > 0) / words,
-        odd / words, spelled, spelled / words, (by(bad) + spelled + by(own)) / words,
-        _features.surface(s),
-    ]).astype(np.float64)
+    common = [by(bad), by(bad) / words, by(bad & close) / words, by(you > 0) / words, odd / words, spelled, spelled / words, _features.surface(s)]
+    out = []
+    for learned in lexicons:
+        own = _within(h, learned)
+        kinds = np.bincount(w.doc[own], minlength=n) - _features.repeated(w.doc[own], h[own], n)
+        out += [by(own), by(own) / words, kinds, by(own & close) / words, (by(bad) + spelled + by(own)) / words, *common]
+    return np.column_stack(out).astype(np.float64)
 
 
-def lexicon(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, bound: int) -> np.ndarray:
-    """Hashes of the words whose share of toxic rows stands out most among the labelled rows."""
+def fold_of(key: str) -> Column:
+    """The fold of a labelled row, by a hash of its id."""
+    return F.pmod(F.xxhash64(key, F.lit(FOLDS)), F.lit(FOLDS)).cast("int")
+
+
+def lexicons(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, bound: int) -> list[np.ndarray]:
+    """Hashes of the words whose share of toxic rows stands out most: for each fold among the others' labelled rows, then among all."""
     key = F.col(f"`{doc_id}`")
     marks = labels.select(key.alias("_id"), F.col(f"`{label}`").cast("double").alias("_y")).dropna().orderBy(F.xxhash64("_id"), "_id", "_y").limit(bound)
-    totals = marks.agg(F.sum("_y").alias("a"), F.count("*").alias("n")).first()
-    if not totals["n"] or not 0 < totals["a"] < totals["n"]:
-        return np.zeros(0, np.uint64)
-    rows = docs.select(key.alias("_id"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(marks), "_id").select("_y", "_text")
+    marks = marks.withColumn("_fold", fold_of("_id"))
+    sums = {r["_fold"]: (r["a"], r["n"]) for r in marks.groupBy("_fold").agg(F.sum("_y").alias("a"), F.count("*").alias("n")).collect()}
+    rows = docs.select(key.alias("_id"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(marks), "_id").select("_y", "_text", "_fold")
 
     def run(batches):
         for batch in batches:
             for part in _text.slices(batch, "_text"):
                 w, h = _plain(part.column(1))
                 pairs = np.unique(np.rec.fromarrays([h, w.doc], names="h,d"))
-                y = part.column(0).to_numpy()[pairs.d]
+                y, fold = part.column(0).to_numpy()[pairs.d], part.column(2).to_numpy()[pairs.d]
                 word, which = np.unique(pairs.h, return_inverse=True)
-                a, b = np.bincount(which, weights=y, minlength=len(word)), np.bincount(which, minlength=len(word))
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(a), pa.array(b.astype(float))], ["h", "a", "n"])
-
-    base = totals["a"] / totals["n"]
-    counts = rows.mapInArrow(run, "h long, a double, n double").groupBy("h").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
-    # toxic rows among the word's rows against what its rows would have by chance, in standard deviations
-    z = (F.col("a") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base) + 1)
-    best = counts.filter("a >= 3").withColumn("z", z).filter((F.col("z") > 3) & (F.col("a") > 0.5 * F.col("n")))
-    found = best.orderBy(F.desc("z"), "h").limit(LEARNED).toPandas()
-    return np.sort(found["h"].to_numpy(np.int64).view(np.uint64))
+                at = which * FOLDS + fold
+                size = len(word) * FOLDS
+                a, b = np.bincount(at, weights=y, minlength=size).reshape(-1, FOLDS), np.bincount(at, minlength=size).astype(float).reshape(-1, FOLDS)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), *map(pa.array, a.T), *map(pa.array, b.T)], names)
+
+    names = ["h", *[f"{c}{k}" for c in "an" for k in range(FOLDS)]]
+    counts = rows.mapInArrow(run, ", ".join(f"{c} {'long' if c == 'h' else 'double'}" for c in names)).groupBy("h").agg(*[F.sum(c).alias(c) for c in names[1:]])
+    counts = _spark.stored(counts.filter(f"{' + '.join(names[1 : FOLDS + 1])} >= 3"))
+    out = []
+    for left_out in [*range(FOLDS), None]:
+        own = [k for k in range(FOLDS) if k != left_out]
+        total, toxic = sum(sums.get(k, (0, 0))[1] for k in own), sum(sums.get(k, (0, 0))[0] for k in own)
+        if not 0 < toxic < total:
+            out.append(np.zeros(0, np.uint64))
+            continue
+        base = toxic / total
+        a, n = (sum((F.col(f"{c}{k}") for k in own), F.lit(0.0)) for c in "an")
+        # toxic rows among the word's rows against what its rows would have by chance, in standard deviations
+        z = (F.col("a") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base) + 1)
+        best = counts.select("h", a.alias("a"), n.alias("n")).filter("a >= 3").withColumn("z", z).filter((F.col("z") > 3) & (F.col("a") > 0.5 * F.col("n")))
+        found = best.orderBy(F.desc("z"), "h").limit(LEARNED).toPandas()
+        out.append(np.sort(found["h"].to_numpy(np.int64).view(np.uint64)))
+    return out
 
 
 @dataclass(frozen=True)
@@ -230,24 +250,28 @@ class Model:
         return 0.999 * step + 0.001 / (1 + np.exp(-margin))  # the margin orders what a step holds level
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Model:
+def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Model:
+    """``x`` has the features with each fold's lexicon, then those with the whole one."""
     if not len(y) or not 0 < y.sum() < len(y):
         return Model(float(y.mean()) if len(y) else 0.0)
-    fold = np.arange(len(y)) % FOLDS
+    each = np.split(x, FOLDS + 1, axis=1)
     margin = np.zeros(len(y))
     for k in range(FOLDS):
         rest = fold != k
-        if len(set(y[rest])) > 1:
-            margin[~rest] = grow(x[rest], y[rest]).margin(x[~rest])
-    return Model(float(y.mean()), grow(x, y), *isotonic(margin, y))
+        if rest.all():
+            continue
+        own = y[rest]
+        # with one label only there are no trees: all rows of the fold get the same margin
+        margin[~rest] = grow(each[k][rest], own).margin(each[k][~rest]) if len(set(own)) > 1 else 0.0
+    return Model(float(y.mean()), grow(each[-1], y), *isotonic(margin, y))
 
 
 def detect(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), doc_id: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = MAX_LABELLED) -> DataFrame:
     """Every row of ``docs`` with its ``score``, learned from the rows of ``labels``."""
     _spark.small_batches(docs.sparkSession)
-    learned = lexicon(docs, labels, doc_id, text, label, bound)
-    extract = lambda texts: features(texts, learned)
-    return apply(docs, fit(*labelled(docs, labels, label, extract, doc_id, text, bound)), extract, keep, text)
+    learned = lexicons(docs, labels, doc_id, text, label, bound)
+    x, y, fold = labelled(docs, labels, label, lambda texts: features(texts, learned), doc_id, text, bound, fold_of)
+    return apply(docs, fit(x, y, fold), lambda texts: features(texts, learned[-1:]), keep, text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
