@@ -14,10 +14,13 @@ The seed counts cover all documents. All else about a document happens in one
 task, so the only shuffle is that of the counts. Items travel as a broadcast,
 in groups of at most ``MAX_ITEM_WORDS`` words; more items take more passes.
 
-Null and empty texts match nothing. Items of fewer than ``MIN_WORDS`` words
-can't be told from ordinary prose and aren't looked for. Repeated documents
-give repeated pairs, repeated items one; an empty table gives an empty result.
-Other columns of the input may have any name.
+An item of fewer than ``MIN_WORDS`` words is looked for as a whole phrase (score
+1), if it is in no more documents than a seed may be; one in more documents is
+ordinary prose.
+
+Null and empty texts match nothing. Repeated documents give repeated pairs,
+repeated items one; an empty table gives an empty result. Item ids may be null
+or of any type. Other columns of the input may have any name.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm import _features, _spark, _text
 
@@ -35,7 +39,8 @@ RARE, FEW, NEAR = 1e-4, 100, 4
 MIN_WORDS = 6
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, 1, 1
-MAX_ITEM_WORDS = 4_000_000
+MAX_ITEM_WORDS = 1_000_000  # with their n-grams and counts about 50 MB
+MAX_SEEDS = 1_000_000  # pairs of a document's and an item's n-gram looked at at once
 CELLS = 2_000_000
 
 
@@ -50,10 +55,17 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]]):
         w, h = words(pa.array([t or "" for _, t in rows], pa.string()))
         grams, inside = w.grams(h, GRAM)
-        self.ids = np.array([i for i, _ in rows], np.int64)
+        self.ids = [i for i, _ in rows]
         self.hashes, self.first, self.size = h, w.first, w.count
         at = np.flatnonzero(inside & (w.count[w.doc] >= MIN_WORDS)) if len(h) else np.zeros(0, np.int64)
         self.gram, self.item, self.place = grams[at], w.doc[at], at - w.first[:-1][w.doc[at]]
+        self.short = {}  # by number of words: sorted phrases and their items
+        for n in range(1, MIN_WORDS):
+            own = np.flatnonzero(w.count == n)
+            if len(own):
+                phrase = w.grams(h, n)[0][w.first[:-1][own]]
+                order = np.argsort(phrase, kind="stable")
+                self.short[n] = (phrase[order], own[order])
 
     def select(self, keep: np.ndarray) -> None:
         order = np.argsort(self.gram[keep], kind="stable")
@@ -63,7 +75,7 @@ class Items:
 def _groups(benchmark: DataFrame, item_id: str, text: str):
     """Items in groups that fit a broadcast; rows come to the driver one partition at a time."""
     group, size = [], 0
-    items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t")).dropna().distinct()
+    items = benchmark.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{text}`").alias("t")).filter("t is not null").distinct()
     for r in items.orderBy("i", "t").toLocalIterator():
         n = len(r["t"]) // 2 + 1  # no text has more words
         if group and size + n > MAX_ITEM_WORDS:
@@ -80,40 +92,54 @@ def _hits(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == h
 
 
-def counts(docs: DataFrame, grams: np.ndarray) -> dict[int, int]:
-    """In how many documents each of the n-grams is (by place), and how many documents there are (-1)."""
+def counts(docs: DataFrame, grams: dict[int, np.ndarray]) -> tuple[dict[int, np.ndarray], int]:
+    """In how many documents each of the n-grams (sorted, by their words) is, and how many documents there are."""
     shared = docs.sparkSession.sparkContext.broadcast(grams)
 
     def run(batches):
-        total, n = np.zeros(len(shared.value), np.int64), 0
+        total, n = {k: np.zeros(len(g), np.int64) for k, g in shared.value.items()}, 0
         for batch in batches:
             n += batch.num_rows
             for part in _text.slices(batch, "_text"):
                 w, h = words(part.column(1))
-                g, inside = w.grams(h, GRAM)
-                at = np.flatnonzero(inside & _hits(g, shared.value)) if len(g) else []
-                if len(at):
-                    which = np.searchsorted(shared.value, g[at])
-                    pairs = np.unique(w.doc[at] * len(total) + which)
-                    total += np.bincount(pairs % len(total), minlength=len(total))
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(there, -1)), pa.array(np.append(total[there], n))], ["g", "n"])
-
-    rows = docs.select("_id", "_text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()
-    return {r["g"]: r["n"] for r in rows}  # one row at most for each n-gram of the items
+                for k, known in shared.value.items():
+                    g, inside = w.grams(h, k)
+                    at = np.flatnonzero(inside & _hits(g, known)) if len(g) else []
+                    if len(at):
+                        pairs = np.unique(w.doc[at] * len(known) + np.searchsorted(known, g[at]))
+                        total[k] += np.bincount(pairs % len(known), minlength=len(known))
+        for k, sums in total.items():
+            there = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(there), k)), pa.array(there), pa.array(sums[there])], ["k", "g", "n"])
+        yield pa.RecordBatch.from_pydict({"k": [-1], "g": [0], "n": [n]})
+
+    rows = docs.select("_id", "_text").mapInArrow(run, "k long, g long, n long").groupBy("k", "g").agg(F.sum("n").alias("n")).toPandas()
+    out = {k: np.zeros(len(g), np.int64) for k, g in grams.items()}  # one row at most for each n-gram of the items
+    for k, own in rows.groupby("k"):
+        if k >= 0:
+            out[k][own["g"].to_numpy()] = own["n"].to_numpy()
+    return out, int(rows["n"][rows["k"] == -1].sum())
 
 
 def seeds(items: Items, docs: DataFrame) -> None:
-    """Keeps the rare n-grams; those that no document has are of no use."""
+    """Keeps the rare n-grams and short items; those that no document has are of no use."""
+    own = {k: [p] for k, (p, _) in items.short.items()}
+    if len(items.gram):
+        own.setdefault(GRAM, []).append(items.gram)
+    names = {k: np.unique(np.concatenate(p)) for k, p in own.items()}
+    found, n_docs = counts(docs, names)
+    rarest = max(FEW, RARE * n_docs)
+    for k, (phrase, item) in items.short.items():
+        n = found[k][np.searchsorted(names[k], phrase)]
+        keep = (n > 0) & (n <= rarest)
+        items.short[k] = (phrase[keep], item[keep])
     if not len(items.gram):
         return
-    grams = np.unique(items.gram)
-    found = counts(docs, grams)
-    n = np.array([found.get(int(k), 0) for k in np.searchsorted(grams, items.gram)])
+    n = found[GRAM][np.searchsorted(names[GRAM], items.gram)]
     _, stretch = np.unique(np.column_stack([items.item, items.place // STRETCH]), axis=0, return_inverse=True)
     least = np.full(stretch.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, stretch, np.where(n > 0, n, least[0]))
-    rare = np.maximum(max(FEW, RARE * found.get(-1, 0)), NEAR * least[stretch].clip(max=1 << 50))
+    rare = np.maximum(rarest, NEAR * least[stretch].clip(max=1 << 50))
     items.select(np.flatnonzero((n > 0) & (n <= rare)))
 
 
@@ -152,21 +178,23 @@ def align(queries: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.nda
 
 def _pairs(items: Items, w: _text.Words, h: np.ndarray) -> tuple[np.ndarray, ...]:
     """Document row, item row, score and last word of the pairs over the threshold."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, float, np.int64))
+    short = _phrases(items, w, h)
     g, inside = w.grams(h, GRAM)
     if not len(g) or not len(items.gram):
-        return none
-    at = np.flatnonzero(inside & _hits(g, items.gram))
-    lo, hi = np.searchsorted(items.gram, g[at], "left"), np.searchsorted(items.gram, g[at], "right")
-    seed = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)]) if len(at) else np.zeros(0, np.int64)
-    at = np.repeat(at, hi - lo)
-    if not len(at):
-        return none
-    doc, item = w.doc[at], items.item[seed]
-    size = items.size[item]
-    begin = at - w.first[doc] - items.place[seed]  # where the item would start in the document
-    pad = size // 2 + 4
-    spot = np.unique(np.column_stack([doc, item, begin // pad]), axis=0)
+        return short
+    hits = np.flatnonzero(inside & _hits(g, items.gram))
+    lo, hi = np.searchsorted(items.gram, g[hits], "left"), np.searchsorted(items.gram, g[hits], "right")
+    spots, cuts = [], np.searchsorted(np.cumsum(hi - lo), np.arange(0, int((hi - lo).sum()) + MAX_SEEDS, MAX_SEEDS), "left")
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        many = hi[a:b] - lo[a:b]
+        seed = np.arange(many.sum()) + np.repeat(lo[a:b] - (np.cumsum(many) - many), many)
+        at = np.repeat(hits[a:b], many)
+        doc, item = w.doc[at], items.item[seed]
+        begin = at - w.first[doc] - items.place[seed]  # where the item would start in the document
+        spots.append(np.unique(np.column_stack([doc, item, begin // (items.size[item] // 2 + 4)]), axis=0))
+    if not len(hits):
+        return short
+    spot = np.unique(np.concatenate(spots), axis=0)
     doc, item = spot[:, 0], spot[:, 1]
     pad = items.size[item] // 2 + 4
     low = w.first[doc] + np.maximum(spot[:, 2] * pad - pad, 0)
@@ -179,7 +207,24 @@ def _pairs(items: Items, w: _text.Words, h: np.ndarray) -> tuple[np.ndarray, ...
     top = np.ones(len(doc), bool)
     top[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
     top &= share >= THRESHOLD
-    return doc[top], item[top], share[top], last[top]
+    return tuple(np.concatenate([x, y]) for x, y in zip((doc[top], item[top], share[top], last[top]), short, strict=True))
+
+
+def _phrases(items: Items, w: _text.Words, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same of the short items: the first place of each in each document."""
+    out = [tuple(np.zeros(0, t) for t in (np.int64, np.int64, float, np.int64))]
+    for n, (phrase, item) in items.short.items():
+        g, inside = w.grams(h, n)
+        if not len(g) or not len(phrase):
+            continue
+        at = np.flatnonzero(inside & _hits(g, phrase))
+        _, first = np.unique(np.rec.fromarrays([w.doc[at], g[at]], names="d,g"), return_index=True)
+        at = at[first]
+        lo, hi = np.searchsorted(phrase, g[at], "left"), np.searchsorted(phrase, g[at], "right")
+        own = item[np.arange((hi - lo).sum()) + np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo)]
+        at = np.repeat(at, hi - lo)
+        out.append((w.doc[at], own, np.ones(len(at)), at + n - 1 - w.first[w.doc[at]]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -188,7 +233,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     _spark.small_batches(spark)
     key = F.col(f"`{doc_id}`")
     rows = docs.select(key.alias("_id"), F.col(f"`{text}`").alias("_text")).filter("_text is not null")
-    schema = docs.select(key.alias("doc_id")).schema.add("item_id", "long").add("score", "double").add("last_word", "long")
+    own = benchmark.select(F.col(f"`{item_id}`").alias("item_id")).schema["item_id"]
+    schema = docs.select(key.alias("doc_id")).schema.add("item_id", own.dataType).add("score", "double").add("last_word", "long")
     out = spark.createDataFrame([], schema)
     for items in _groups(benchmark, item_id, item_text):
         seeds(items, rows)
@@ -199,7 +245,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
             for batch in batches:
                 for part in _text.slices(batch, "_text"):
                     doc, item, score, last = _pairs(items, *words(part.column(1)))
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(items.ids[item]), pa.array(score), pa.array(last.astype(np.int64))], schema.names)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array([items.ids[k] for k in item], to_arrow_type(own.dataType)), pa.array(score), pa.array(last.astype(np.int64))], schema.names)
 
         out = out.unionByName(rows.mapInArrow(run, schema))
     return out
