@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.llm import language_id
@@ -11,7 +12,7 @@ def test_held_out_accuracy(docs_of):
     r = random.Random(3)
     langs = [r.choice(["en", "de"]) for _ in range(120)]
     docs = docs_of([prose(r, 40, k) for k in langs], langs)
-    got = language_id.identify(docs.filter("doc_id >= 80"), language_id.learn(docs.filter("doc_id < 80")), keep=("doc_id", "lang", "score" if False else "source"))
+    got = language_id.identify(docs.filter("doc_id >= 80"), language_id.learn(docs.filter("doc_id < 80")), keep=("doc_id", "lang", "source"))
     assert got.filter("lang <> lang_pred").count() == 0
     assert got.filter("score < 0.5 or score > 1").count() == 0
 
@@ -27,6 +28,36 @@ def test_odd_texts(docs_of, odd_texts, spark):
     assert {r["lang_pred"] for r in language_id.identify(docs, language_id.learn(empty)).collect()} == {"und"}
 
 
+def naive(text):
+    """The bundle of a text, one trigram of symbols after the other."""
+    letters = language_id._letters().astype(int)
+    table = language_id._symbols()
+    sym = [0]
+    for c in f" {text.lower()} ":
+        s = int(table[ord(c)])
+        if s or sym[-1]:
+            sym.append(s)
+    out = np.zeros(language_id.DIMENSIONS, int)
+    for a, b, c in zip(sym, sym[1:], sym[2:]):
+        for_a, for_b = np.concatenate([letters[a][-2:], letters[a][:-2]]), np.concatenate([letters[b][-1:], letters[b][:-1]])
+        out += for_a * for_b * letters[c]
+    return out
+
+
+def test_vectors_equal_naive_bundling(docs_of):
+    texts = ["The house, and a river!", "der Fluß im Garten", "x", "ab 12 cd", "日本語 текст"]
+    profiles = np.eye(language_id.DIMENSIONS, dtype=np.float32)
+    got, letters = language_id.cosines(language_id.pa.array(texts), profiles)
+    for own, t in zip(got, texts):
+        want = naive(t)
+        assert np.abs(own - want / np.linalg.norm(want)).max() < 1e-5
+    names, vectors = language_id.learn(docs_of(texts[:2], ["en", "de"]))
+    assert names == ["de", "en"]
+    for own, t in zip(vectors, (texts[1], texts[0])):
+        want = naive(t)
+        assert np.abs(own - want / np.linalg.norm(want)).max() < 1e-4
+
+
 def test_long_training_text(docs_of):
     r = random.Random(5)
     long = prose(r, 2000) + " "

@@ -56,6 +56,31 @@ def test_files_equal_the_tokenizer(docs_of, odd_texts, spark):
     assert token_files.write_and_read(docs.limit(0)).count() == 0
 
 
+def test_null_and_negative_ids(docs_of):
+    docs = docs_of(["a b", "c", None, "d e f"]).selectExpr("if(doc_id < 2, null, doc_id - 3) as doc_id", "text")
+    got = token_files.write_and_read(docs).orderBy("start").collect()
+    assert [x["doc_id"] for x in got] == [None, None, -1, 0] and [x["n_tokens"] for x in got][2:] == [1, 4]
+    with pytest.raises(TypeError):
+        token_files.write_and_read(docs.selectExpr("'x' as doc_id", "text"))
+
+
+def test_other_tokenizers(docs_of):
+    """A tokenizer that keeps case and white space gets whole texts."""
+    texts = ["The  House\n\tof Über", "", "don't STOP 12", None]
+    got = token_files.write_and_read(docs_of(texts), tokenizer="byte_bpe_50k.json").orderBy("doc_id").collect()
+    t = token_files._tokenizer("byte_bpe_50k.json")
+    ids = [np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4") for x in texts]
+    assert [(x["n_tokens"], x["ids_crc32"]) for x in got] == [(len(x), zlib.crc32(x.tobytes())) for x in ids]
+
+
+def test_a_file_that_is_there_already(tmp_path):
+    store, top = token_files.opened(str(tmp_path))
+    for name, body in (("one", b"whole"), ("two", b"whole")):
+        (tmp_path / f"_{name}").write_bytes(body)
+        token_files._publish(store, f"{top}/_{name}", f"{top}/tokens")
+    assert [p.name for p in tmp_path.iterdir()] == ["tokens"] and (tmp_path / "tokens").read_bytes() == b"whole"
+
+
 def test_small_files(docs_of):
     r = random.Random(5)
     texts = [prose(r, 30) for _ in range(50)]

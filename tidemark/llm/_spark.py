@@ -25,12 +25,26 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:  # a session without a cluster, as in tests
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        # a session without a cluster, as in tests
         top = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
+def clean_up(spark: SparkSession) -> int:
+    """Deletes what operators have written to the shared folder so far; results not yet read are lost. How many folders that were."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        return 0
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/tidemark-*")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = store.globStatus(path) or []
+    return sum(store.delete(f.getPath(), True) for f in found)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows of ``df``, written once as a table in the shared folder: lineage ends there."""
     spark = df.sparkSession

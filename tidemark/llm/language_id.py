@@ -7,8 +7,8 @@ the bundle of its training documents, each with the same total weight. A
 document gets the language with the highest cosine.
 
 Bundling is linear, so training only sums trigram counts by language (a table
-bounded by the alphabet, ``SYMBOLS ** 3`` rows a language) and builds the
-language vectors at the end. Scoring counts a slice of documents' trigrams at
+bounded by the alphabet, ``SYMBOLS ** 3`` rows a language) and a task bundles each
+language's vector from them; only the vectors come to the driver. Scoring counts a slice of documents' trigrams at
 once and bundles by one matrix product.
 
 Null or empty texts and texts without letters: ``und``, score 0. Rows with a
@@ -101,14 +101,18 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(sums[at].astype(np.int64))], ["lang", "code", "n"])
 
-    sums = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    names = sorted(sums["lang"].unique())
-    vectors = np.zeros((len(names), DIMENSIONS))
-    for i, name in enumerate(names):
-        own = sums[sums["lang"] == name].sort_values("code")
-        codes, n = own["code"].to_numpy(), own["n"].to_numpy().astype(float)
+    def bundle(key, table):
+        table = table.sort_by("code")
+        codes, n = table.column("code").to_numpy(), table.column("n").to_numpy().astype(float)
+        vector = np.zeros(DIMENSIONS)
         for at in range(0, len(codes), GRAMS):
-            vectors[i] += n[at : at + GRAMS] @ gram_vectors(codes[at : at + GRAMS])
+            vector += n[at : at + GRAMS] @ gram_vectors(codes[at : at + GRAMS])
+        return pa.Table.from_pydict({"lang": [key[0].as_py()], "vector": [vector.tolist()]})
+
+    sums = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    bundled = sums.groupBy("lang").applyInArrow(bundle, "lang string, vector array<double>").orderBy("lang").collect()  # one row a language
+    names = [r["lang"] for r in bundled]
+    vectors = np.array([r["vector"] for r in bundled]).reshape(-1, DIMENSIONS)
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     return names, (vectors / np.where(norm > 0, norm, 1)).astype(np.float32)
 

@@ -2,18 +2,20 @@
 
 Each id takes the fewest bits that hold the vocabulary. A file has the
 documents of one range of ids in ascending order: a header, the documents' ids
-and token counts, the byte offset of each block of ``BLOCK`` tokens, then the
-blocks. Any token is found from its index alone, and a block is unpacked with
+and token counts, a bit for each that has no id, the byte offset of each block of
+``BLOCK`` tokens, then the blocks. Any token is found from its index alone, and a block is unpacked with
 a few numpy operations. Files are written by executors to the shared folder
 under a name of the attempt, then renamed, so a task that runs twice leaves
 one whole file; a manifest of one row per file has the tokens before each.
 
-Words between ASCII white space are tokenised apart and remembered: no token
-of the vocabulary spans white space, so ids are those of the whole text.
+With a tokenizer that normalises and splits as ``SPLITTING`` says, words between
+ASCII white space are tokenised apart and remembered: no token spans white space,
+so ids are those of the whole text. Any other tokenizer gets whole texts.
 
 Null and empty texts have the end id alone. Rows with equal ids keep the order
-of their texts; null ids come first, as -1. An empty table makes no files and an empty
-result. Other columns of the input may have any name.
+of their texts; null ids come first and stay null. Ids must be whole numbers. An
+empty table makes no files and an empty result. Other columns of the input may
+have any name.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import bisect
 import functools
 import gc
 import itertools
+import json
 import os
 import re
 import struct
@@ -37,13 +40,25 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import _spark, _text
 
-MAGIC = b"TIDETOK1"
+MAGIC = b"TIDETOK2"
 HEADER = struct.Struct("<8sIIqqq")  # magic, bits, block, documents, tokens, blocks
 BLOCK = 4096  # tokens; a multiple of 8, so a block ends at a byte
 END_ID = 2
 REMEMBERED = 400_000  # words, and as many of their letters, in a worker process: about 150 MB
 FILE_MB = 64
 TOKENIZER = "word_bpe_49k.json"
+# How the tokenizer that words are taken apart for normalises and splits texts.
+SPLITTING = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
 #: Lower-case precomposed Latin letters, common signs after them, and the rest of each line.
 LATIN = re.compile("^([a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f]*)([.,;:!?]*)(.*)$", re.MULTILINE).findall
 
@@ -67,8 +82,8 @@ def unpack(raw: bytes, n: int, bits: int) -> np.ndarray:
     return flags.astype(np.uint32) @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
 
 
-def encode_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, bits: int, block: int = BLOCK):
-    """The parts of a file, in order."""
+def encode_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, bits: int, block: int = BLOCK, missing: np.ndarray | None = None):
+    """The parts of a file, in order; ``missing`` says which documents have no id."""
     if len(ids) and int(ids.max()) >> bits:
         raise ValueError("an id is over the vocabulary")
     n_blocks = -(-len(ids) // block)
@@ -76,6 +91,7 @@ def encode_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, bits:
     yield HEADER.pack(MAGIC, bits, block, len(doc_ids), len(ids), n_blocks)
     yield doc_ids.astype("<i8").tobytes()
     yield counts.astype("<i8").tobytes()
+    yield np.packbits(np.zeros(len(doc_ids), bool) if missing is None else missing, bitorder="little").tobytes()
     yield (np.arange(n_blocks + 1, dtype="<i8") * size).tobytes()
     for at in range(0, len(ids), block):
         yield pack(ids[at : at + block], bits)
@@ -89,10 +105,13 @@ class TokenFile:
         magic, self.bits, self.block, n, self.n_tokens, self.n_blocks = HEADER.unpack(self._read(0, HEADER.size))
         if magic != MAGIC:
             raise ValueError("not a token file")
-        index = np.frombuffer(self._read(HEADER.size, 16 * n + 8 * (self.n_blocks + 1)), "<i8")
-        self.doc_ids, self.counts, self.offsets = index[:n], index[n : 2 * n], index[2 * n :]
+        flags = -(-n // 8)
+        raw = self._read(HEADER.size, 16 * n + flags + 8 * (self.n_blocks + 1))
+        self.doc_ids, self.counts = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<i8", n, 8 * n)
+        self.missing = np.unpackbits(np.frombuffer(raw, np.uint8, flags, 16 * n), count=n, bitorder="little").astype(bool)
+        self.offsets = np.frombuffer(raw, "<i8", self.n_blocks + 1, 16 * n + flags)
         self.starts = np.concatenate([[0], np.cumsum(self.counts)]).astype(np.int64)
-        self.data_at = HEADER.size + 16 * n + 8 * (self.n_blocks + 1)
+        self.data_at = HEADER.size + len(raw)
 
     def _read(self, at: int, size: int) -> bytes:
         self.file.seek(at)
@@ -141,6 +160,8 @@ class Encoder:
         self.bits = width(self.tokenizer.get_vocab_size())
         self.model = Tokenizer(self.tokenizer.model)
         self.bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        shape = json.loads(self.tokenizer.to_str())
+        self.by_words = all(shape[k] == v for k, v in SPLITTING.items())
         self.known: dict[bytes, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
@@ -181,6 +202,9 @@ class Encoder:
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
+        if not self.by_words:
+            coded = (self.tokenizer.encode(t.decode("utf-8"), add_special_tokens=False) for t in texts)
+            return [np.array(c.ids, "<u4").tobytes() for c in coded]
         split = [t.split() for t in texts]
         words = list(itertools.chain.from_iterable(split))
         ids = list(map(self.known.get, words))
@@ -203,10 +227,25 @@ def encoder_of(tokenizer: str) -> Encoder:
     return Encoder(tokenizer)
 
 
+def _publish(store: fs.FileSystem, attempt: str, target: str) -> None:
+    """Gives the file its name; one that is there already is from another attempt of the task, and equal."""
+    there = lambda: store.get_file_info(target).type == fs.FileType.File
+    if not there():
+        try:
+            store.move(attempt, target)
+            return
+        except OSError:  # another attempt was first
+            if not there():
+                raise
+    store.delete_file(attempt)
+
+
 def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, order: tuple[str, ...] = ("doc_id",), doc_id: str = "doc_id", text: str = "text", files: int | None = None) -> DataFrame:
     """Writes the files of ``docs`` in the order of ``order``; their manifest: ``file, n_docs, n_tokens, before``."""
     spark = docs.sparkSession
     _spark.small_batches(spark)
+    if docs.select(F.col(f"`{doc_id}`")).schema[0].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{doc_id} must be a whole number: files hold ids of 64 bits")
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = [f"_o{i}" for i in range(len(order))]
     rows = docs.select(*[F.col(f"`{c}`").alias(n) if isinstance(c, str) else c.alias(n) for c, n in zip(order, names, strict=True)], F.col(f"`{doc_id}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
@@ -226,9 +265,10 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int =
             name = f"tokens-{place:06d}-{files_made:05d}.bin"
             attempt = f"{top}/_{name}-{uuid.uuid4().hex}"
             with store.open_output_stream(attempt) as out:
-                for part in encode_file(np.array([-1 if x is None else x for x in doc_ids], np.int64), np.array(counts), ids, encoder.bits):
+                missing = np.array([x is None for x in doc_ids])
+                for part in encode_file(np.array([x or 0 for x in doc_ids], np.int64), np.array(counts), ids, encoder.bits, missing=missing):
                     out.write(part)
-            store.move(attempt, f"{top}/{name}")  # one that is there already is from another attempt and equal
+            _publish(store, attempt, f"{top}/{name}")
             return pa.RecordBatch.from_pydict({"file": [name], "n_docs": [len(doc_ids)], "n_tokens": [len(ids)]})
 
         gc.disable()  # nothing here makes cycles, and the remembered words are long to walk
@@ -272,7 +312,7 @@ def read(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
                         first = int(f.starts[a])
                         ids = f.tokens(first, int(f.starts[b])).astype("<u4", copy=False)
                         crc = [zlib.crc32(ids[int(f.starts[i]) - first : int(f.starts[i + 1]) - first].tobytes()) for i in range(a, b)]
-                        yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids[a:b]), pa.array(f.starts[a:b] + before), pa.array(f.counts[a:b]), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                        yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids[a:b], mask=f.missing[a:b]), pa.array(f.starts[a:b] + before), pa.array(f.counts[a:b]), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, manifest.count())
     return manifest.repartitionByRange(n, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
