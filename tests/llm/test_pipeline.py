@@ -32,6 +32,29 @@ def test_stages_on_a_planted_corpus(spark, tmp_path, monkeypatch):
     assert [x["doc_id"] for x in out] == [x["doc_id"] for x in order]  # the files follow the mix
 
 
+def test_language_stage(spark):
+    """Languages that no row has a label of go, clean documents stay; without any label all stay."""
+    r = random.Random(22)
+    other = lambda n: " ".join("".join(r.choice("bdgklmprstvzxqjw") for _ in range(r.randint(3, 9))) for _ in range(n))
+    clean = [(i, prose(r, r.randint(5, 150), k), k if i % 3 else None) for i, k in enumerate(["en", "de"] * 60)]
+    strange = [(1000 + i, other(80), None) for i in range(15)] + [(2000 + i, "текст на другом языке " * 9, None) for i in range(5)]
+    docs = spark.createDataFrame([(*x, "s", 1) for x in clean + strange], "doc_id long, text string, lang string, source string, n_chars int")
+    kept = {x["doc_id"] for x in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert {i for i, _, _ in clean} <= kept and len(kept & {i for i, _, _ in strange}) == 0
+    unlabelled = docs.withColumn("lang", corpus_pipeline.F.lit(None).cast("string"))
+    assert corpus_pipeline.identify_language(spark, unlabelled, "").count() == len(clean) + len(strange)
+
+
+def test_near_duplicates_by_row(spark):
+    """Copies go though they have no id or one that others share; other texts of the id stay."""
+    r = random.Random(23)
+    a, b, c = (prose(r, 90) for _ in "abc")
+    rows = [(1, a), (None, a), (1, b), (2, c), (2, c), (3, c + " end"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((x["doc_id"] or -1, x["text"] or "") for x in kept) == sorted([(1, a), (1, b), (2, c), (-1, "")])
+
+
 def test_empty(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
