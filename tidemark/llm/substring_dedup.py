@@ -264,7 +264,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     counts = places.groupBy("prefix").agg(F.sum(F.size("places").cast("long")).alias("n")).filter("n > 1")
     shared = places.join(counts, "prefix").select(F.explode("places").alias("p"), (F.col("n") > HEAVY).alias("heavy"))
     marks = shared.groupBy(F.col("p._id").alias("_id")).agg(F.collect_list(F.struct(F.col("p.word").alias("word"), "heavy")).alias("_marks"))
-    marked = rows.join(marks, F.col("_key") == F.col("_id")).select("_id", "_text", "_marks")
+    marked = rows.join(marks, F.col("_key") == F.col("_id")).select("_id", "_text", "_marks", "_doc")  # the id only so that the texts' exchange is the same as in ``remove``
     made = fragments(marked, window, anchor)
     # what is known already only has to find its document
     dealt = made.withColumn("_deal", F.coalesce("key", F.xxhash64("_id", "word"))).repartition("_deal").sortWithinPartitions("key").drop("_deal")
