@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranges import quantiles, range_of
+
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
@@ -32,11 +34,12 @@ def missing_patterns(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataF
 def numeric_profile(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
     """Count, mean, std, extremes, percentiles (linear between values), 3-IQR outliers and bias-corrected skew.
 
-    ``exact=False`` uses sketches for the percentiles, for tables whose distinct values don't fit an aggregation.
+    Exact percentiles come from counts of distinct values in order; ``exact=False`` uses sketches, in one scan.
     """
-    at = F.array(*[F.lit(p) for p in PERCENTILES])
-    tile = (lambda c: F.percentile(c, at)) if exact else (lambda c: F.percentile_approx(c, list(PERCENTILES), 10_000))
-    first = df.agg(*[tile(c).alias(c) for c in columns]).first()
+    if exact:
+        first = {c: None for c in columns} | {r["column"]: r["q"] for r in quantiles(_long(df, columns), "value", PERCENTILES, by=("column",)).collect()}
+    else:
+        first = df.agg(*[F.percentile_approx(c, list(PERCENTILES), 10_000).alias(c) for c in columns]).first()
     out = []
     for c in columns:
         q = [None if first[c] is None else float(x) for x in (first[c] or [None] * len(PERCENTILES))]
@@ -49,6 +52,11 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], exact: bool = True) -
     return _each(df, out)
 
 
+def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column, value`` of each number of each row."""
+    return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("r")).select("r.*")
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """``value, n, share``; null is a value."""
     n = df.count() or 1
@@ -74,11 +82,11 @@ def tv_drift(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
 
 def numeric_drift(a: DataFrame, b: DataFrame, columns: Sequence[str], at: Sequence[float] = (0.05, 0.5, 0.95)) -> DataFrame:
     """Quantiles of both tables side by side."""
-    both = a.select(F.lit("a").alias("_t"), *columns).unionByName(b.select(F.lit("b").alias("_t"), *columns))
-    q = F.array(*[F.lit(p) for p in at])
-    tiles = both.groupBy().agg(*[F.percentile(F.when(F.col("_t") == t, F.col(c)), q).alias(f"{t}_{c}") for t in "ab" for c in columns])
-    rows = [F.struct(F.lit(c).alias("column"), *[F.col(f"{t}_{c}")[i].alias(f"{t}_p{round(p * 100):02d}") for t in "ab" for i, p in enumerate(at)]) for c in columns]
-    return tiles.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    both = _long(a, columns).withColumn("side", F.lit("a")).unionByName(_long(b, columns).withColumn("side", F.lit("b")))
+    q = quantiles(both, "value", at, by=("column", "side"))
+    sides = q.groupBy("column").agg(*[F.max(F.when(F.col("side") == t, F.col("q"))).alias(t) for t in "ab"])
+    every = a.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return every.join(sides, "column", "left").select("column", *[F.col(t)[i].alias(f"{t}_p{round(p * 100):02d}") for t in "ab" for i, p in enumerate(at)])
 
 
 def entity_overlap(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -118,8 +126,8 @@ def time_profile(df: DataFrame, time: str, ordinal: str) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(ordinal).alias("_o"), F.col(time).alias("_t")).repartitionByRange(n, "_o").withColumn("_p", F.spark_partition_id())
+    own = df.select(F.col(ordinal).alias("_o"), F.col(time).alias("_t"))
+    rows = own.withColumn("_p", range_of(own, ["_o"]))
     back = (F.col("_t") < F.lag("_t").over(Window.partitionBy("_p").orderBy("_o"))).cast("int")
     parts = rows.withColumn("_b", back).groupBy("_p").agg(F.sum("_b").alias("b"), F.min_by("_t", "_o").alias("f"), F.max_by("_t", "_o").alias("l"))
     ends = parts.withColumn("e", (F.col("f") < F.lag("l").over(Window.orderBy("_p"))).cast("int"))  # one row a partition
@@ -168,13 +176,14 @@ def coverage(df: DataFrame, conditions: dict[str, Column], by: Sequence[str] = (
 
 def deviation_summary(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """``n, median, p90, low, high, nonzero`` of each group."""
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.9)))
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), q.alias("_q"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg((F.col(value) != 0).cast("int")).alias("nonzero"))
+    tiles = quantiles(df, value, (0.5, 0.9), by).drop("n")
+    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg((F.col(value) != 0).cast("int")).alias("nonzero"))
+    out = out.alias("a").join(tiles.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by], "left").select("a.*", F.col("b.q").alias("_q"))
     return out.select(*by, "n", F.col("_q")[0].alias("median"), F.col("_q")[1].alias("p90"), "low", "high", "nonzero")
 
 
 # Parts of names that tell a column's role.
-ROLES = {"id": r"(^|_)(id|key|uuid|guid)($|_)", "time": r"(^|_)(time|date|timestamp|ts|day)($|_)", "geo": r"(^|_)(lat|lon|latitude|longitude|location|city|country)($|_)"}
+ROLES = {"entity": r"(^|_)(customer|user|account|client|card|device|merchant|session|household|store|seller)($|_)", "id": r"(^|_)(id|key|uuid|guid)($|_)", "time": r"(^|_)(time|date|timestamp|ts|day)($|_)", "geo": r"(^|_)(lat|lon|latitude|longitude|location|city|country)($|_)"}
 
 
 def column_roles(df: DataFrame) -> dict[str, list[str]]:

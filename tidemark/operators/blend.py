@@ -9,9 +9,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranges import running
+
 ROW, FOLD = "__row__", "__fold__"
 
 
@@ -41,12 +43,9 @@ def blend(tables: Sequence[DataFrame], weights: Sequence[float], check: bool = T
     """The weighted sum of aligned predictions; NULL where they are NULL."""
     if len(tables) != len(weights) or len(tables) < 2 or any(not math.isfinite(w) or w < 0 for w in weights) or abs(sum(weights) - 1) > 1e-8:
         raise ValueError("weights must be finite, not negative and add up to 1, one for each of two or more tables")
-    if check:
-        for t in tables:
-            check_covered(t)
-        for t in tables[1:]:
-            check_compatible(tables[0], t)
     names = _predictions(tables[0])
+    if check:
+        _check_aligned(tables, names)
     out = tables[0].select("*", *[(F.col(c) * weights[0]).alias(f"_b_{c}") for c in names]).drop(*names)
     for i, (t, w) in enumerate(zip(tables[1:], weights[1:], strict=True), 1):
         own = t.select(ROW, *[(F.col(c) * w).alias(f"_t{i}_{c}") for c in names])
@@ -55,29 +54,87 @@ def blend(tables: Sequence[DataFrame], weights: Sequence[float], check: bool = T
     return out.withColumnsRenamed({f"_b_{c}": c for c in names})
 
 
+def _check_aligned(tables: Sequence[DataFrame], names: Sequence[str]) -> None:
+    """Raises unless all tables have the same rows and folds, each once, and predictions where their fold is.
+
+    One aggregation by row over the union of all tables: each row must come once
+    from each table, with one fold, and whole.
+    """
+    parts = []
+    for i, t in enumerate(tables):
+        if _predictions(t) != list(names):
+            raise ValueError("the tables don't have the same predictions")
+        gaps = sum(((F.col(c).isNull() | F.isnan(c)).cast("int") for c in names), F.lit(0))
+        parts.append(t.select(F.col(ROW).alias("_r"), F.lit(1 << i).cast("long").alias("_t"), F.col(FOLD).alias("_f"), gaps.alias("_g")))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    k = len(tables)
+    seen = rows.groupBy("_r").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_or("_t").alias("t"), F.min("_f").alias("lo"), F.max("_f").alias("hi"),
+        F.count("_f").alias("f"), F.max((F.col("_g").between(1, len(names) - 1)).cast("int")).alias("partial"), F.max(((F.col("_g") == len(names)) != (F.col("_f") < 0)).cast("int")).alias("coverage"),
+    )
+    apart = (F.col("n") != k) | (F.col("t") != (1 << k) - 1) | (F.col("lo") != F.col("hi")) | (F.col("f") != k)
+    bad = seen.agg(F.count_if(apart).alias("apart"), F.count_if(F.col("partial") == 1).alias("partial"), F.count_if(F.col("coverage") == 1).alias("coverage")).first()
+    if bad["apart"]:
+        raise ValueError(f"the tables don't have the same rows: {bad['apart']} differ")
+    if bad["partial"] or bad["coverage"]:
+        raise ValueError(f"{bad['partial']} rows have some predictions only; {bad['coverage']} don't fit their fold")
+
+
+def blend_files(parts: Sequence[tuple[str, float]], path: str, spark: SparkSession, identity: dict | None = None) -> DataFrame:
+    """Blends saved prediction tables (path and weight of each), saves the blend and returns it as saved.
+
+    Its identity names the parts with their weights and content hashes, so a locked
+    blend can be told from one of other inputs.
+    """
+    from tidemark.sources.tables import read_predictions, save_predictions
+
+    tables, named = [], []
+    for where, weight in parts:
+        own, meta = read_predictions(spark, where)
+        tables.append(own)
+        named.append({"path": where, "weight": weight, "content": meta["content"]})
+    ids = [c for c in tables[0].columns if c not in (ROW, FOLD) and not c.startswith("pred_")]
+    save_predictions(blend(tables, [w for _, w in parts]), path, ids, {**(identity or {}), "parts": named})
+    return read_predictions(spark, path)[0]
+
+
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     """``name``: rank of ``column`` among all rows, ties sharing their mean; NULL stays NULL.
 
     Ranks come from counts of distinct values, summed over ranges of values, so
     no task orders the whole table.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     steps = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    ranged = steps.repartitionByRange(n, "_v").withColumn("_p", F.spark_partition_id())
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    carry = ranged.groupBy("_p").agg(F.sum("_n").alias("_w")).select(F.col("_p").alias("_q"), F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_c"))
-    own = Window.partitionBy("_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("_n").over(own), F.lit(0)) + F.col("_c") + (F.col("_n") + 1) / 2
-    ranks = ranged.join(carry, F.col("_p") == F.col("_q")).select("_v", rank.alias(name))
+    ranks = running(steps, (), "_v", ["_n"]).select("_v", (F.col("c__n") - (F.col("_n") - 1) / 2).alias(name))
     return df.join(ranks, F.col(column) == F.col("_v"), "left").drop("_v")
 
 
 def rank_average(df: DataFrame, columns: Sequence[str], name: str = "rank_average") -> DataFrame:
     """Mean of the columns' average ranks, divided by the rows: a blend that ignores scale."""
+    total = df.agg(F.count(F.lit(1))).first()[0] or 1
+    return _ranked_mean(df, columns, name, total)
+
+
+def rank_average_classes(tables: Sequence[DataFrame]) -> DataFrame:
+    """Rank averages of each class's probability over aligned tables, scaled to add up to 1 in a row."""
+    names = _predictions(tables[0])
+    _check_aligned(tables, names)
+    out = tables[0].drop(*names)
+    for i, t in enumerate(tables):
+        out = out.join(t.select(ROW, *[F.col(c).alias(f"_{i}_{c}") for c in names]), ROW)
+    total = tables[0].agg(F.count(names[0])).first()[0] or 1
+    for c in names:
+        out = _ranked_mean(out, [f"_{i}_{c}" for i in range(len(tables))], c, total)
+    whole = sum((F.col(c) for c in names), F.lit(0.0))
+    return out.withColumns({c: F.col(c) / whole for c in names} if len(names) > 1 else {}).drop(*[f"_{i}_{c}" for i in range(len(tables)) for c in names])
+
+
+def _ranked_mean(df: DataFrame, columns: Sequence[str], name: str, total: int) -> DataFrame:
     out = df
     for i, c in enumerate(columns):
         out = average_ranks(out, c, f"_r{i}")
-    total = df.agg(F.count(F.lit(1))).first()[0] or 1
     mean = sum((F.col(f"_r{i}") for i in range(len(columns))), F.lit(0.0)) / len(columns)
     return out.withColumn(name, mean / total).drop(*[f"_r{i}" for i in range(len(columns))])
 

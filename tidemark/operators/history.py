@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import DAY, HOUR, SECOND, count, distinct, event_us, first_of, past, share, since, trailing
+from tidemark.functions.windows import DAY, HOUR, SECOND, count, event_us, first_of, past, share, since, trailing, with_distinct
 
 #: What stands for a missing key.
 MISSING = {
@@ -36,6 +36,7 @@ class Family:
     lead: str  # the key by which its windows are dealt
     needs: tuple[str, ...]  # input columns
     flags: tuple[tuple[str, str], ...] = ()
+    kinds: tuple[tuple[str, int, bool], ...] = ()  # trailing counts of distinct customers: column, width, open on the left
     after: Callable[[], dict[str, Column]] = field(default=dict)  # columns made from those of ``columns``
     drop: tuple[str, ...] = ()
     doc: str = ""
@@ -58,6 +59,11 @@ def prepare(df: DataFrame, time: str = "timestamp", amount: str = "amount", age:
     }).withColumn("_part", F.least(F.floor(F.col("_hour") / 6), F.lit(3)))
 
 
+def _kinds(name: str) -> Column:
+    """The distinct customers of a trailing frame that the family names among its ``kinds``."""
+    return F.col(f"_kinds_{name}")
+
+
 def _flag(a: str, b: str) -> str:
     return f"_new_{a}{b}"
 
@@ -143,14 +149,14 @@ def _e9() -> dict[str, Column]:
         "merchant_seconds_since_last": since(w),
         "merchant_prior_unique_customers": F.coalesce(F.sum(_flag("m", "c")).over(w), F.lit(0)),
         "merchant_transactions_24h": count(day),
-        "merchant_unique_customers_24h": distinct("_c", day),
+        "merchant_unique_customers_24h": _kinds("m_24h"),
     }
 
 
 def _e10() -> dict[str, Column]:
     out = {}
     for name, width in (("24h", DAY), ("7d", 7 * DAY)):
-        kinds = distinct("_c", trailing(width, "_d"))
+        kinds = _kinds(f"d_{name}")
         out[f"device_unique_customers_{name}"] = kinds
         out[f"device_other_customers_{name}"] = kinds - (count(trailing(width, "_d", "_c")) > 0).cast("int")
     life = F.coalesce(F.sum(_flag("d", "c")).over(past("_d")), F.lit(0))
@@ -173,7 +179,7 @@ def _e13() -> dict[str, Column]:
         w = trailing(days * DAY, "_m", open_left=True)
         new = F.coalesce(F.sum(flag).over(w), F.lit(0))
         out[f"merchant_new_customers_{name}"] = new
-        out[f"merchant_new_customer_share_{name}"] = share(new, distinct("_c", w), 0)
+        out[f"merchant_new_customer_share_{name}"] = share(new, _kinds(f"m_open_{name}"), 0)
     return out | {"merchant_seconds_since_last_new_customer": since(past("_m"), flag == 1)}
 
 
@@ -208,11 +214,11 @@ FAMILIES: dict[str, Family] = {
         Family("amount_30d", _e6, "_c", ("customer_id", "amount")),
         Family("customer_merchant", lambda: _pair("_c", "_m", "customer_merchant", 0, "is_new"), "_c", ("customer_id", "merchant_id")),
         Family("customer_category", lambda: _pair("_c", "_g", "customer_category", 0, "is_new"), "_c", ("customer_id", "merchant_category")),
-        Family("merchant_history", _e9, "_m", ("customer_id", "merchant_id"), (("m", "c"),)),
-        Family("device_sharing", _e10, "_d", ("customer_id", "device_id"), (("d", "c"),)),
+        Family("merchant_history", _e9, "_m", ("customer_id", "merchant_id"), (("m", "c"),), (("m_24h", DAY, False),)),
+        Family("device_sharing", _e10, "_d", ("customer_id", "device_id"), (("d", "c"),), (("d_24h", DAY, False), ("d_7d", 7 * DAY, False))),
         Family("merchant_amount", lambda: _amounts("_m", "merchant"), "_m", ("merchant_id", "amount")),
         Family("customer_new_merchants", _e12, "_c", ("customer_id", "merchant_id"), (("c", "m"),)),
-        Family("merchant_new_customers", _e13, "_m", ("customer_id", "merchant_id"), (("m", "c"),)),
+        Family("merchant_new_customers", _e13, "_m", ("customer_id", "merchant_id"), (("m", "c"),), (("m_open_24h", DAY, True), ("m_open_7d", 7 * DAY, True))),
         Family("device_location", lambda: _pair("_d", "_l", "device_location", None, "is_new"), "_d", ("device_id", "location")),
         Family("temporal_habits", lambda: {"customer_daypart_share": share(count(past("_c", "_part")), count(past("_c")), 0), "customer_weekday_share": share(count(past("_c", "_wday")), count(past("_c")), 0)}, "_c", ("customer_id",)),
         Family("device_merchant", lambda: _pair("_d", "_m", "device_merchant", 0, None, False), "_d", ("device_id", "merchant_id")),
@@ -241,10 +247,13 @@ def features(df: DataFrame, families: Sequence[str], time: str = "timestamp", am
         own = [f for f in chosen if f.lead == lead]
         pairs = dict.fromkeys(p for f in chosen for p in f.flags if f"_{p[0]}" == lead)
         upto = any(f.name == "account_consistency" for f in own)
-        if pairs or upto:
+        kinds = {f"_kinds_{n}": (width, open_left) for f in own for n, width, open_left in f.kinds}
+        if pairs or upto or kinds:
             out = out.repartition(lead)  # by the key alone: the windows over pairs and over the key all fit
         if pairs:
             out = out.withColumns({_flag(*p): first_of(f"_{p[0]}", f"_{p[1]}") for p in pairs})
+        if kinds:
+            out = with_distinct(out, lead, "_c", kinds)
         if upto:
             running = Window.partitionBy("_c", "_born").orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
             out = out.withColumn("_upto", F.count(F.lit(1)).over(running))

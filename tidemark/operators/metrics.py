@@ -8,39 +8,24 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranges import running
+
 EPSILON = 1e-15
 
 
-def _running(df: DataFrame, by: list[str], score: str, extra: list[Column]) -> DataFrame:
+def _steps(df: DataFrame, by: list[str], score: str, extra: list[Column]) -> DataFrame:
     return df.groupBy(*by, F.col(score).alias("_s")).agg(*extra)
 
 
-def _cumulative(steps: DataFrame, by: list[str], values: Sequence[str]) -> DataFrame:
-    """Sums of ``values`` over all rows with a higher or equal score.
-
-    Distinct scores may be as many as rows, so they are first put into ranges of
-    scores; the sums of whole ranges are few rows, and only these meet in one task.
-    """
-    n = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = steps.repartitionByRange(n, F.desc("_s")).withColumn("_p", F.spark_partition_id())
-    whole = ranged.groupBy(*by, "_p").agg(*[F.sum(v).alias(f"_w_{v}") for v in values])
-    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    carry = whole.select(*by, "_p", *[F.coalesce(F.sum(f"_w_{v}").over(before), F.lit(0)).alias(f"_b_{v}") for v in values])
-    own = Window.partitionBy(*by, "_p").orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
-    cond = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*by, "_p")]
-    joined = ranged.withColumns({f"_o_{v}": F.sum(v).over(own) for v in values}).alias("a").join(carry.alias("b"), cond)
-    return joined.select("a.*", *[(F.col(f"a._o_{v}") + F.col(f"b._b_{v}")).alias(f"c_{v}") for v in values])
-
-
 def average_precision(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """``n, positives, average_precision`` of each group; NULL without positives."""
     keys = list(by)
     rows = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-    steps = _running(rows, keys, score, [F.sum(F.col(label).cast("long")).alias("tp"), F.count(F.lit(1)).alias("n")])
-    c = _cumulative(steps, keys, ("tp", "n"))
+    steps = _steps(rows, keys, score, [F.sum(F.col(label).cast("long")).alias("tp"), F.count(F.lit(1)).alias("n")])
+    c = running(steps, keys, "_s", ("tp", "n"), descending=True)
     out = c.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("tp").alias("positives"), F.sum(F.col("tp") * F.col("c_tp") / F.col("c_n")).alias("_t"))
     return out.select(*keys, "n", "positives", (F.col("_t") / F.when(F.col("positives") > 0, F.col("positives"))).alias("average_precision"))
 
@@ -49,8 +34,8 @@ def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> Da
     """``n, positives, roc_auc``: the share of (positive, negative) pairs in order, ties half; NULL with one class."""
     keys = list(by)
     rows = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-    steps = _running(rows, keys, score, [F.sum(F.col(label).cast("long")).alias("tp"), F.count(F.lit(1)).alias("n")])
-    c = _cumulative(steps, keys, ("tp",)).withColumn("_neg", F.col("n") - F.col("tp"))
+    steps = _steps(rows, keys, score, [F.sum(F.col(label).cast("long")).alias("tp"), F.count(F.lit(1)).alias("n")])
+    c = running(steps, keys, "_s", ("tp",), descending=True).withColumn("_neg", F.col("n") - F.col("tp"))
     # each negative loses to the positives above it and ties with those at its score
     won = F.sum(F.col("_neg") * (F.col("c_tp") - F.col("tp") / 2))
     out = c.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("tp").alias("positives"), F.sum("_neg").alias("_q"), won.alias("_w"))
@@ -98,6 +83,47 @@ def _rates(tp: Column, fp: Column, fn: Column) -> list[Column]:
     return [rate(tp, tp + fp).alias("precision"), rate(tp, tp + fn).alias("recall"), rate(2 * tp, 2 * tp + fp + fn).alias("f1")]
 
 
+def multiclass_log_loss(df: DataFrame, label: str, probabilities: dict[str, str], by: Sequence[str] = ()) -> DataFrame:
+    """``n, log_loss`` over classes: ``probabilities`` maps a class to its column; rows are scaled to add up to 1."""
+    total = sum((F.col(c) for c in probabilities.values()), F.lit(0.0))
+    own = F.lit(None).cast("double")
+    for k, c in probabilities.items():
+        own = F.when(F.col(label) == k, F.col(c)).otherwise(own)
+    p = F.least(F.greatest(own / total, F.lit(EPSILON)), F.lit(1 - EPSILON))
+    known = F.when(own.isNull(), F.raise_error(F.lit("a label has no probability column"))).otherwise(p)
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(-F.log(known)).alias("log_loss"))
+
+
+def multiclass_roc_auc(df: DataFrame, label: str, probabilities: dict[str, str], average: str = "macro", multi_class: str = "ovr") -> DataFrame:
+    """``n, roc_auc`` over classes: each against the rest (``ovr``) or each pair both ways (``ovo``).
+
+    ``macro`` is the plain mean; ``weighted`` weighs a class, or a pair, by its rows.
+    """
+    if multi_class not in ("ovr", "ovo") or average not in ("macro", "weighted"):
+        raise ValueError("multi_class must be ovr or ovo, average macro or weighted")
+    one = lambda k, c: F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("s"))
+    long = df.select(F.col(label).alias("_label"), F.explode(F.array(*[one(k, c) for k, c in probabilities.items()])).alias("p")).select("_label", "p.k", "p.s")
+    if multi_class == "ovr":
+        each = roc_auc(long.withColumn("_y", (F.col("_label") == F.col("k")).cast("int")), "_y", "s", by=("k",))
+        mean = F.avg("roc_auc") if average == "macro" else F.sum(F.col("roc_auc") * F.col("positives")) / F.sum("positives")
+        return each.agg(F.max("n").alias("n"), mean.alias("roc_auc"))
+    # a row counts for its own class against each other one, and for each other class against its own
+    names = list(probabilities)
+    rival = F.explode(F.when(F.col("_label") == F.col("k"), F.array(*[F.lit(n) for n in names])).otherwise(F.array("_label")))
+    pairs = long.withColumn("r", rival).filter("r <> k").withColumn("_y", (F.col("_label") == F.col("k")).cast("int"))
+    both = roc_auc(pairs, "_y", "s", by=("k", "r"))
+    pair = both.groupBy(F.least("k", "r").alias("a"), F.greatest("k", "r").alias("b")).agg(F.avg("roc_auc").alias("auc"), F.max("n").alias("m"))
+    mean = F.avg("auc") if average == "macro" else F.sum(F.col("auc") * F.col("m")) / F.sum("m")
+    return pair.agg(mean.alias("roc_auc")).crossJoin(df.agg(F.count(F.lit(1)).alias("n"))).select("n", "roc_auc")  # one row each
+
+
+def stops_early(scores: Sequence[float], best: Sequence[float], higher_is_better: bool = True, margin: float = 0.0) -> bool:
+    """Whether an experiment is hopeless: every fold seen so far is worse than the best one's by more than ``margin``."""
+    sign = 1 if higher_is_better else -1
+    seen = [sign * (s - b) for s, b in zip(scores, best)]
+    return bool(seen) and all(d < -margin for d in seen)
+
+
 def log_loss(df: DataFrame, label: str, probability: str, by: Sequence[str] = ()) -> DataFrame:
     p = F.least(F.greatest(F.col(probability), F.lit(EPSILON)), F.lit(1 - EPSILON))
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(-F.when(F.col(label) == 1, F.log(p)).otherwise(F.log(1 - p))).alias("log_loss"))

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranges import at_ranks, number, reached
 from tidemark.functions.windows import DAY, event_us
 
 FOLD = "__fold__"
@@ -55,39 +56,46 @@ def group_fold(df: DataFrame, k: int, group: str, seed: int = 42, stratify: str
     """All rows of a group in one fold; groups dealt by size (and by share of the class) in turn."""
     mark = F.sum(F.col(stratify).cast("double")) if stratify else F.lit(0.0)
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), mark.alias("_m"))
-    turn = F.row_number().over(Window.orderBy(F.desc("_m"), F.desc("_n"), _mixed(seed, group), group)) - 1  # one row a group
-    there_and_back = F.pmod(turn, F.lit(2 * k))
-    folds = sizes.select(F.col(group).alias("_g"), F.when(there_and_back < k, there_and_back).otherwise(2 * k - 1 - there_and_back).cast("int").alias(FOLD))
+    # groups may be as many as rows: they are numbered range by range
+    turns = number(sizes.withColumns({"_m": -F.col("_m"), "_n": -F.col("_n"), "_x": _mixed(seed, group)}), ("_m", "_n", "_x", group), "_turn")
+    there_and_back = F.pmod("_turn", F.lit(2 * k))
+    folds = turns.select(F.col(group).alias("_g"), F.when(there_and_back < k, there_and_back).otherwise(2 * k - 1 - there_and_back).cast("int").alias(FOLD))
     return df.join(folds, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def time_folds(df: DataFrame, k: int, order: Sequence[str], gap: int = 0) -> DataFrame:
-    """Row-count folds in time order: the last ``k`` equal parts validate, with ``gap`` rows before each left out (-2)."""
+    """Row-count folds in time order: the last ``k`` equal parts validate, with ``gap`` rows before them left out (-2).
+
+    ``order`` must tell rows apart (rows equal in it go to one side of a cut). Only
+    the rows at the cuts are looked up; all others are compared with them in place.
+    """
     total = df.count()
     size = total // (k + 1)
-    place = _ordinal(df, order)
     first = total - k * size
-    fold = F.when(F.col("_i") < first, -1).otherwise(F.floor((F.col("_i") - first) / max(size, 1)).cast("int"))
-    near = (first - F.col("_i") <= gap) & (F.col("_i") < first)
-    return place.withColumn(FOLD, F.when(near, -2).otherwise(fold).cast("int")).drop("_i")
+    cuts = {first + f * size: f for f in range(k)} if size else {}
+    if gap and size:
+        cuts[max(first - gap, 0)] = -2
+    return _cut(df, order, cuts, -1, FOLD, "int")
+
+
+def _cut(df: DataFrame, order: Sequence[str], cuts: dict, start, name: str, kind: str) -> DataFrame:
+    """``name``: the value of the last cut that a row's place in the order has reached, or ``start``."""
+    c = F.lit(start)
+    found = at_ranks(df, order, list(cuts)) if cuts else {}
+    for place in sorted(found):
+        c = F.when(reached(df, order, found[place]), cuts[place]).otherwise(c)
+    return df.withColumn(name, c.cast(kind))
 
 
 def time_holdout(df: DataFrame, fraction: float, order: Sequence[str], gap: int = 0) -> DataFrame:
-    """``split``: the last ``ceil(n * fraction)`` rows are ``valid``, ``gap`` rows before them ``gap``, the rest ``train``."""
+    """``split``: the last ``ceil(n * fraction)`` rows are ``valid``, ``gap`` rows before them ``gap``, the rest ``train``.
+
+    ``order`` must tell rows apart, as in :func:`time_folds`.
+    """
     total = df.count()
     first = total - math.ceil(total * fraction)
-    split = F.when(F.col("_i") >= first, "valid").when(F.col("_i") >= first - gap, "gap").otherwise("train")
-    return _ordinal(df, order).withColumn("split", split).drop("_i")
-
-
-def _ordinal(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """``_i``: the place of each row in the order, from ranges and their prefix counts."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    carry = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_c"))
-    own = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
-    return own.join(carry, F.col("_p") == F.col("_q")).withColumn("_i", F.col("_r") + F.col("_c")).drop("_p", "_q", "_r", "_c")
+    cuts = ({max(first - gap, 0): "gap"} if gap and first else {}) | ({first: "valid"} if first < total else {})
+    return _cut(df, order, cuts, "train", "split", "string")
 
 
 def check_boundary(train: DataFrame, valid: DataFrame, time: str = "timestamp") -> None:
