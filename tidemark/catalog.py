@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.windows import event_us
 from tidemark.operators import history
 from tidemark.plans import feature_oracles as fo
+from tidemark.plans import more_queries  # noqa: F401  registers its queries with the others
 from tidemark.plans import queries as others
 from tidemark.plans import transactions
 

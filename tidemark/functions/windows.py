@@ -19,6 +19,17 @@ def event_us(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+# How times are written, the first that fits counts.
+TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX]", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "dd.MM.yyyy HH:mm:ss")
+
+
+def parse_time(text: Column, formats: tuple[str, ...] = TIME_FORMATS) -> Column:
+    """A time from text in any of the formats, or from a number of seconds since the epoch; NULL where none fits."""
+    t = F.trim(text.cast("string"))
+    seconds = F.timestamp_micros(F.round(t.try_cast("double") * SECOND).cast("long"))
+    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats], seconds)
+
+
 def past(*keys: str, us: str = "us") -> WindowSpec:
     """All rows of the key strictly before."""
     return Window.partitionBy(*keys).orderBy(us).rangeBetween(Window.unboundedPreceding, -1)

@@ -190,6 +190,11 @@ def column_roles(df: DataFrame) -> dict[str, list[str]]:
     return {role: [c for c in df.columns if re.search(p, c.lower())] for role, p in ROLES.items()}
 
 
+def roles_table(df: DataFrame) -> DataFrame:
+    """``role, column`` by the columns' names."""
+    return df.sparkSession.createDataFrame([(role, c) for role, cols in column_roles(df).items() for c in cols], "role string, column string")
+
+
 def mean_and_std(scores: Sequence[float]) -> tuple[float, float]:
     m = math.fsum(scores) / len(scores)
     return m, math.sqrt(math.fsum((x - m) ** 2 for x in scores) / len(scores))

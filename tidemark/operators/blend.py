@@ -194,6 +194,20 @@ def verdict(deltas: Sequence[float], flat: float = 0.0005) -> str:
     return "FLAT-MIXED"
 
 
+def deltas(a: DataFrame, b: DataFrame, score: str, by: str = "window") -> DataFrame:
+    """``by, first, second, delta`` of two score tables, and ``verdict`` over all of them (:func:`verdict`)."""
+    both = a.select(by, F.col(score).alias("first")).join(b.select(by, F.col(score).alias("second")), by, "full_outer").withColumn("delta", F.col("second") - F.col("first"))
+    got = verdict([float("nan") if r["delta"] is None else r["delta"] for r in both.select("delta").collect()])  # one row a window
+    return both.withColumn("verdict", F.lit(got))
+
+
+def upsert(records: DataFrame, new: DataFrame, key: str = "experiment") -> DataFrame:
+    """The ledger with ``new`` records in place of those of the same key; columns that only one has are NULL in the other."""
+    if new.groupBy(key).count().filter("count > 1").limit(1).count():
+        raise ValueError(f"{key} isn't unique among the new records")
+    return records.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
 def comparison(records: DataFrame, contract: str, metric: str, higher_is_better: bool = True, contract_column: str = "contract") -> DataFrame:
     """Experiments of one contract, best first."""
     order = F.desc_nulls_last(metric) if higher_is_better else F.asc_nulls_last(metric)

@@ -241,6 +241,9 @@ def features(df: DataFrame, families: Sequence[str], time: str = "timestamp", am
         raise ValueError(f"unknown families: {unknown}")
     chosen = [FAMILIES[f] for f in dict.fromkeys(families)]
     out, keep = prepare(df, time, amount, age), list(df.columns)
+    needs = {c for f in chosen for c in f.needs}
+    # what no family reads isn't carried along, nor checked
+    out = out.drop(*(("_x", "_y") if "amount" not in needs else ()), *(("_age", "_born") if "account_age_days" not in needs else ()))
     made: list[str] = []
     # a pair's first row is marked where the pair's first key leads; which row of a tie it is doesn't matter
     for lead in ("_d", "_m", "_c"):

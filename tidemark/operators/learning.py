@@ -12,13 +12,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranges import quantiles
+
 MISSING = "__MISSING__"
 
 
 def fit_imputer(df: DataFrame, numbers: Sequence[str], categories: Sequence[str]) -> dict:
     """Median of each number (0 if it has none), most frequent value of each category (the least on ties)."""
-    q = df.agg(*[F.percentile(c, 0.5).alias(c) for c in numbers]).first() if numbers else {}
-    fill = {c: float(q[c]) if q[c] is not None else 0.0 for c in numbers}
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in numbers])).alias("r")).select("r.*") if numbers else None
+    q = {r["c"]: r["q"][0] for r in quantiles(long.filter(~F.isnan("v")), "v", (0.5,), ("c",)).collect()} if numbers else {}
+    fill = {c: float(q[c]) if q.get(c) is not None else 0.0 for c in numbers}
     for c in categories:
         top = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).count().orderBy(F.desc("count"), "v").first()
         fill[c] = top["v"] if top else MISSING
@@ -43,8 +46,11 @@ ESTIMATORS = {
     "linear": lambda seed, **p: R.LinearRegression(labelCol="label", **p),
     "logistic": lambda seed, **p: C.LogisticRegression(labelCol="label", **p),
     "svm": lambda seed, **p: C.LinearSVC(labelCol="label", **p),
+    "svr": lambda seed, **p: R.LinearRegression(labelCol="label", loss="huber", **p),  # robust linear regression
     "forest": lambda seed, **p: C.RandomForestClassifier(labelCol="label", seed=seed, **p),
     "boosted": lambda seed, **p: C.GBTClassifier(labelCol="label", seed=seed, **p),
+    "forest_regressor": lambda seed, **p: R.RandomForestRegressor(labelCol="label", seed=seed, **p),
+    "boosted_regressor": lambda seed, **p: R.GBTRegressor(labelCol="label", seed=seed, **p),
 }
 
 
@@ -52,6 +58,11 @@ def build_pipeline(kind: str, numbers: Sequence[str], categories: Sequence[str]
     """One-hot categories (unknown values are all zeros), TF-IDF of a text, numbers as they are, then the estimator."""
     if kind not in ESTIMATORS:
         raise ValueError(f"unknown estimator {kind!r}; known: {sorted(ESTIMATORS)}")
+    return Pipeline(stages=[*encoding(numbers, categories, text), ESTIMATORS[kind](seed, **params)])
+
+
+def encoding(numbers: Sequence[str], categories: Sequence[str] = (), text: str | None = None) -> list:
+    """The stages that make the column ``features``."""
     stages, parts = [], list(numbers)
     if categories:
         index, hot = [f"_i_{c}" for c in categories], [f"_h_{c}" for c in categories]
@@ -61,7 +72,7 @@ def build_pipeline(kind: str, numbers: Sequence[str], categories: Sequence[str]
     if text:
         stages += [RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"\w\w+", gaps=False), CountVectorizer(inputCol="_tokens", outputCol="_tf"), IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_tfidf")]
         parts.append("_tfidf")
-    return Pipeline(stages=[*stages, VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="keep"), ESTIMATORS[kind](seed, **params)])
+    return [*stages, VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="keep")]
 
 
 def predict(model: PipelineModel, df: DataFrame, name: str = "pred_0") -> DataFrame:
@@ -90,6 +101,17 @@ def out_of_fold(df: DataFrame, pipeline: Pipeline, folds: Sequence[int], fold: s
     return out
 
 
-def importances(model: PipelineModel) -> list[float]:
+def feature_names(model: PipelineModel, df: DataFrame) -> list[str]:
+    """Names of the places of the model's feature vectors: a number's column, a category's ``column_value``."""
+    attrs = model.transform(df.limit(0)).schema["features"].metadata["ml_attr"]
+    named = {a["idx"]: a.get("name", f"feature_{a['idx']}") for kind in attrs.get("attrs", {}).values() for a in kind}
+    clean = lambda n: n.removeprefix("_h_").removeprefix("_i_")
+    return [clean(named.get(i, f"feature_{i}")) for i in range(attrs["num_attrs"])]
+
+
+def importances(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """``feature, importance``: of trees the importances, of linear models the coefficients; the largest first."""
     last = model.stages[-1]
-    return list((last.featureImportances if hasattr(last, "featureImportances") else last.coefficients).toArray())
+    values = (last.featureImportances if hasattr(last, "featureImportances") else last.coefficients).toArray()
+    rows = [(n, float(v)) for n, v in zip(feature_names(model, df), values, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc(F.abs("importance")), "feature")

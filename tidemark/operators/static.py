@@ -99,6 +99,15 @@ def check_profile(df: DataFrame, feature_columns: Sequence[str], categories: Seq
             raise ValueError(f"more than {limit} values: {many}")
 
 
+def training_frame(df: DataFrame, target: str, categories: Sequence[str] = ()) -> DataFrame:
+    """The columns to learn from and the target: ids and times are left out, and the rest is checked."""
+    if target not in df.columns:
+        raise ValueError(f"no column {target}")
+    columns = [c for c in df.columns if c not in FORBIDDEN and c != target]
+    check_profile(df, columns, categories, target)
+    return df.select(*columns, target)
+
+
 def assert_superset(parent: DataFrame, child: DataFrame) -> None:
     """The child's columns are the parent's, in order, and what was added after them."""
     if child.columns[: len(parent.columns)] != parent.columns:

@@ -109,21 +109,35 @@ def score_folds(df: DataFrame, label: str, prediction: str = "pred_0") -> dict[i
     return {r[splits.FOLD]: r["average_precision"] for r in rows}
 
 
+def screen(df: DataFrame, spec: Spec, fold: int, best: float, margin: float = 0.0) -> tuple[float | None, bool]:
+    """The candidate's score on one fold, and whether it is worth running the others: not worse than ``best`` by more than ``margin``."""
+    families = (*PROFILES[spec.parent], *spec.families)
+    score = _scored(df, dataclasses.replace(spec, folds=(spec.folds[fold],)), families)[1].get(0)
+    return score, score is not None and not metrics.stops_early([score], [best], margin=margin)
+
+
+def _scored(df: DataFrame, spec: Spec, families: Sequence[str]) -> tuple[DataFrame, dict]:
+    """Out-of-fold predictions with these families, and their scores by fold."""
+    base = add_static(splits.calendar_folds(df, spec.folds, spec.time), spec.time)
+    frame = history.features(base, families, spec.time) if families else base
+    columns = ["log_amount", "hour", "weekday", *[c for f in families for c in history.FAMILIES[f].columns()]]
+    filled = learning.impute(frame.withColumns({c: F.col(c).cast("double") for c in columns}), {c: 0.0 for c in columns}).withColumn("label", F.col(spec.target).cast("double"))
+    # rows before the first fold are the first model's training; those after the last stay without a prediction
+    early = F.when((F.col(splits.FOLD) < 0) & (F.col(spec.time) >= F.lit(spec.folds[0][0]).cast("timestamp_ntz")), None).otherwise(F.col(splits.FOLD))
+    pipeline = learning.build_pipeline(spec.estimator, columns, seed=spec.seed) if spec.estimator in ("forest", "boosted") else learning.build_pipeline(spec.estimator, columns)
+    out = learning.out_of_fold(filled.withColumn(splits.FOLD, early).filter(f"{splits.FOLD} is not null"), pipeline, range(len(spec.folds)))
+    return out, score_folds(out, spec.target)
+
+
 def run(df: DataFrame, spec: Spec, require_certified: bool = True) -> dict:
     """Scores of the parent and of the candidate by fold, their differences and the verdict."""
     spark = df.sparkSession
     certified = {f: certify(spark, f) for f in spec.families}
     if require_certified and not all(all(v.values()) for v in certified.values()):
         raise ValueError(f"not certified: {certified}")
-    base = add_static(splits.calendar_folds(df, spec.folds, spec.time), spec.time)
-    scores, predictions = {}, {}
+    scores = {}
     for who, families in (("parent", PROFILES[spec.parent]), ("candidate", (*PROFILES[spec.parent], *spec.families))):
-        frame = history.features(base, families, spec.time) if families else base
-        columns = ["log_amount", "hour", "weekday", *[c for f in families for c in history.FAMILIES[f].columns()]]
-        filled = learning.impute(frame.withColumns({c: F.col(c).cast("double") for c in columns}), {c: 0.0 for c in columns}).withColumn("label", F.col(spec.target).cast("double"))
-        pipeline = learning.build_pipeline(spec.estimator, columns, seed=spec.seed) if spec.estimator in ("forest", "boosted") else learning.build_pipeline(spec.estimator, columns)
-        predictions[who] = learning.out_of_fold(filled, pipeline, range(len(spec.folds)))
-        scores[who] = score_folds(predictions[who], spec.target)
+        _, scores[who] = _scored(df, spec, families)
     deltas = [scores["candidate"][k] - scores["parent"][k] for k in sorted(scores["parent"])]
     return {"spec": dataclasses.asdict(spec), "certified": certified, "scores": scores, "deltas": deltas, "verdict": blend.verdict(deltas, spec.min_delta)}
 

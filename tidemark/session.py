@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +20,14 @@ def session(app: str = "tidemark", master: str | None = None, **conf) -> SparkSe
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | {k.replace("__", "."): str(v) for k, v in conf.items()}
     return b.config(map=settings).getOrCreate()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="tidemark-")  # a session without a cluster, as in tests
+        spark.sparkContext.setCheckpointDir(top)
+    return f"{top.rstrip('/')}/core-{uuid.uuid4().hex}/{name}"
