@@ -2,8 +2,10 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions.windows import DAY, split_past, windowed_distinct
 from tidemark.operators import history
@@ -31,13 +33,13 @@ def as_dicts(rows):
     return out
 
 
-def check(spark, rows):
-    """All columns of all families against the plain functions."""
+def check(spark, rows, names=None, **how):
+    """All columns of the families against the plain functions."""
     want = brute(as_dicts(rows))
-    names = [f for f in history.FAMILIES if not f.endswith("velocity_1h")]
-    got = {r["i"]: r for r in history.features(spark.createDataFrame(rows, SCHEMA), names).collect()}
+    names = names or [f for f in history.FAMILIES if not f.endswith("velocity_1h")]
+    got = {r["i"]: r for r in history.features(spark.createDataFrame(rows, SCHEMA), names, **how).collect()}
     made = [c for f in names for c in history.FAMILIES[f].columns()]
-    assert set(made) == set(want[0])
+    assert set(made) <= set(want[0])
     for row, w in zip(rows, want, strict=True):
         for c in made:
             v = got[row[0]][c]
@@ -49,6 +51,29 @@ def test_families_equal_plain_functions(spark, seed):
     check(spark, stream(seed, 140))
 
 
+@pytest.mark.parametrize("over,lead", [(0, "_c"), (30, "_d"), (10, "_m")])
+def test_heavy_keys_equal_plain_functions(spark, over, lead):
+    """Keys read chunk by chunk, all of them or the heaviest alone."""
+    check(spark, stream(21, 110), [f.name for f in history.FAMILIES.values() if f.lead == lead and not f.name.endswith("velocity_1h")], split_over=over)
+
+
+def test_heavy_keys_are_dealt_by_time(spark):
+    """A key with more than a third of all rows is spread over its chunks of time, and nothing is dealt by that key alone."""
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), f"c{i % 50}", f"d{i % 9}", "big" if i % 5 < 2 else f"m{i % 70}", "g", "l", 1.0, 1.0) for i in range(9000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    families = [history.FAMILIES[f] for f in ("merchant_history", "merchant_acceleration")]
+    got = history._split(history.prepare(df.filter("merchant_id = 'big'")).drop("_age", "_born"), "_m", families, [("m", "c")])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert len([d for d in dealt if "_chunk" not in d]) == 1  # the carried rows, one a chunk
+    assert len(dealt) > 1
+    parts = [r["n"] for r in got.repartition(8, "_m", "_chunk").groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(parts) > 3 and max(parts) < 0.5 * sum(parts)
+    whole = history.features(df, ["merchant_history", "merchant_acceleration"])
+    split = history.features(df, ["merchant_history", "merchant_acceleration"], split_over=3000)
+    assert split.exceptAll(whole).count() == 0 and split.count() == 9000
+
+
 def test_edges_of_windows(spark):
     """Rows exactly at, and a microsecond on either side of, the ends of every window, with ties."""
     start, rows = dt.datetime(2025, 5, 5, 5, 55), []
@@ -127,8 +152,6 @@ def test_build_requests(spark):
 def test_sweep_and_split_equal_frames(spark):
     df = history.prepare(spark.createDataFrame(stream(2, 150), SCHEMA)).cache()
     for open_left in (False, True):
-        from pyspark.sql import functions as F
-
         from tidemark.functions.windows import trailing, with_distinct
 
         a = df.withColumn("k", F.size(F.collect_set("_c").over(trailing(2 * DAY, "_m", open_left=open_left))).cast("long")).select("i", "k")
@@ -136,8 +159,6 @@ def test_sweep_and_split_equal_frames(spark):
         assert sorted(a.collect()) == sorted(c.collect())
         b = windowed_distinct(df, "_m", "_c", 2 * DAY, "k", open_left).select("i", "k")
         assert sorted(a.collect()) == sorted(b.collect())
-    from pyspark.sql import functions as F
-
     from tidemark.functions.windows import past
 
     w = past("_c")

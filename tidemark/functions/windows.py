@@ -86,28 +86,30 @@ def windowed_distinct(df: DataFrame, key: str, partner: str, width: int, name: s
     return both.withColumn(name, total).filter("__row").drop("__t", "__n", "__row")
 
 
-def with_distinct(df: DataFrame, key: str, partner: str, wanted: dict[str, tuple[int, bool]], us: str = "us") -> DataFrame:
+def with_distinct(df: DataFrame, key: str, partner: str, wanted: dict[str, tuple[int, bool]], us: str = "us", more: tuple[str, ...] = ()) -> DataFrame:
     """Columns of distinct partners in trailing frames: ``wanted`` has the width and whether the frame is open on the left.
 
+    Frames are those of the key, and of the columns ``more`` if there are any.
+
     The last row of a partner before t tells whether it counts: from after its own
     time until its next row, or until it leaves the frame. So the count is the rows
     that have begun less those that have ended, and each row brings an event for
     each end: a sort, whatever the frames hold. ``df`` must be dealt by ``key``
     alone to need no other exchange.
     """
-    following = F.lead(us).over(Window.partitionBy(key, partner).orderBy(us))
+    following = F.lead(us).over(Window.partitionBy(key, *more, partner).orderBy(us))
     events = [F.struct(F.col(us).alias("t"), F.lit(0).alias("k"))]
     for k, (width, open_left) in enumerate(wanted.values(), 1):
         out = F.col(us) + (width - int(open_left))
         events.append(F.struct(F.least(out, F.coalesce("__next", out)).alias("t"), F.lit(k).alias("k")))
-    own = [c for c in df.columns if c != key]
-    rows = df.withColumn("__next", following).select(key, F.struct(*[F.col(f"`{c}`") for c in own]).alias("__own"), F.explode(F.array(*events)).alias("__e"), us)
+    own = [c for c in df.columns if c not in (key, *more)]
+    rows = df.withColumn("__next", following).select(key, *more, F.struct(*[F.col(f"`{c}`") for c in own]).alias("__own"), F.explode(F.array(*events)).alias("__e"), us)
     # an end needs no columns of its row
-    rows = rows.select(key, F.col("__e.t").alias("__t"), F.col("__e.k").alias("__k"), F.when(F.col("__e.k") == 0, F.col("__own")).alias("__own"))
-    w = past(key, us="__t")
+    rows = rows.select(key, *more, F.col("__e.t").alias("__t"), F.col("__e.k").alias("__k"), F.when(F.col("__e.k") == 0, F.col("__own")).alias("__own"))
+    w = past(key, *more, us="__t")
     begun = F.count_if(F.col("__k") == 0).over(w)
     made = {n: begun - F.count_if(F.col("__k") == k).over(w) for k, n in enumerate(wanted, 1)}
-    return rows.withColumns(made).filter("__k = 0").select(key, *[F.col(f"__own.`{c}`").alias(c) for c in own], *wanted)
+    return rows.withColumns(made).filter("__k = 0").select(key, *more, *[F.col(f"__own.`{c}`").alias(c) for c in own], *wanted)
 
 
 def split_past(df: DataFrame, key: str, sums: dict[str, Column], bucket: int = 30 * DAY, us: str = "us") -> DataFrame:

@@ -14,7 +14,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import DAY, HOUR, SECOND, count, event_us, first_of, past, share, since, trailing, with_distinct
+from tidemark.functions import frames
+from tidemark.functions.frames import past, trailing
+from tidemark.functions.windows import DAY, HOUR, event_us, first_of, share, with_distinct
+from tidemark.session import stored
 
 #: What stands for a missing key.
 MISSING = {
@@ -76,7 +79,7 @@ INTERNAL = (*[f"_{s}" for s in KEYS.values()], "us", "_x", "_y", "_age", "_hour"
 
 def _amounts(k: str, p: str) -> dict[str, Column]:
     w = past(k)
-    n, mean, log_mean, std = count(w), F.avg("_x").over(w), F.avg("_y").over(w), F.stddev_pop("_y").over(w)
+    n, mean, log_mean, std = w.count(), w.mean("_x"), w.mean("_y"), w.std("_y")
     return {
         f"{p}_prior_mean_amount": mean,
         f"{p}_prior_mean_log_amount": log_mean,
@@ -89,66 +92,66 @@ def _amounts(k: str, p: str) -> dict[str, Column]:
 def _e1() -> dict[str, Column]:
     w = past("_c")
     return {
-        "customer_prior_count": count(w),
-        "customer_first_seen": (count(w) == 0).cast("int"),
-        "customer_seconds_since_last": since(w),
-        "customer_observed_age_seconds": (F.col("us") - F.min("us").over(w)) / float(SECOND),
+        "customer_prior_count": w.count(),
+        "customer_first_seen": (w.count() == 0).cast("int"),
+        "customer_seconds_since_last": w.since(),
+        "customer_observed_age_seconds": w.age(),
         **_amounts("_c", "customer"),
-        "customer_log_amount_minus_prior_mean": F.col("_y") - F.avg("_y").over(w),
+        "customer_log_amount_minus_prior_mean": F.col("_y") - w.mean("_y"),
     }
 
 
 def _pair(a: str, b: str, prefix: str, empty: float | None, new: str | None = "new", recency: bool = True, whole: str | None = None) -> dict[str, Column]:
     """Familiarity of a pair: count, newness, recency, share of ``whole``'s (``a``'s) rows."""
     w = past(a, b)
-    n = count(w)
+    n = w.count()
     out = {f"{prefix}_prior_count": n}
     if new:
         out[f"{prefix}_{new}"] = (n == 0).cast("int")
     if recency:
-        out[f"{prefix}_seconds_since_last"] = since(w)
-    return out | {f"{prefix}_count_share": share(n, count(past(whole or a)), empty)}
+        out[f"{prefix}_seconds_since_last"] = w.since()
+    return out | {f"{prefix}_count_share": share(n, past(whole or a).count(), empty)}
 
 
 def _e3() -> dict[str, Column]:
     w, pair = past("_d"), past("_d", "_c")
-    n, own, kinds = count(w), count(pair), F.coalesce(F.sum(_flag("d", "c")).over(w), F.lit(0))
+    n, own, kinds = w.count(), pair.count(), w.total(_flag("d", "c"))
     return {
         "device_prior_count": n,
         "device_prior_distinct_customer_count": kinds,
         "device_prior_distinct_customer_count_excluding_current": kinds - (own > 0).cast("int"),
-        "device_seconds_since_last": since(w),
-        "device_observed_age_seconds": (F.col("us") - F.min("us").over(w)) / float(SECOND),
+        "device_seconds_since_last": w.since(),
+        "device_observed_age_seconds": w.age(),
         "device_prior_other_customer_transaction_count": n - own,
         "customer_share_of_device_prior_transactions": share(own, n, None),
     }
 
 
 def _broad(k: str, p: str) -> dict[str, Column]:
-    hour, day, week = (count(trailing(w, k)) for w in (HOUR, DAY, 7 * DAY))
+    hour, day, week = (trailing(w, k).count() for w in (HOUR, DAY, 7 * DAY))
     return {f"{p}_prior_1h_count": hour, f"{p}_prior_24h_count": day, f"{p}_prior_7d_count": week, f"{p}_1h_vs_7d_rate_ratio": (hour + 1) / (week / 168 + 1)}
 
 
 def _e6() -> dict[str, Column]:
     w, life = trailing(30 * DAY, "_c"), past("_c")
-    mean, log_mean = F.avg("_x").over(w), F.avg("_y").over(w)
+    mean, log_mean = w.mean("_x"), w.mean("_y")
     return {
-        "customer_30d_count": count(w),
+        "customer_30d_count": w.count(),
         "customer_30d_mean_amount": mean,
         "customer_30d_mean_log_amount": log_mean,
         "customer_amount_to_30d_mean": F.col("_x") / (mean + 1),
         "customer_log_amount_minus_30d_mean": F.col("_y") - log_mean,
-        "customer_30d_to_lifetime_mean_ratio": (mean + 1) / (F.avg("_x").over(life) + 1),
+        "customer_30d_to_lifetime_mean_ratio": (mean + 1) / (life.mean("_x") + 1),
     }
 
 
 def _e9() -> dict[str, Column]:
     w, day = past("_m"), trailing(DAY, "_m")
     return {
-        "merchant_prior_transaction_count": count(w),
-        "merchant_seconds_since_last": since(w),
-        "merchant_prior_unique_customers": F.coalesce(F.sum(_flag("m", "c")).over(w), F.lit(0)),
-        "merchant_transactions_24h": count(day),
+        "merchant_prior_transaction_count": w.count(),
+        "merchant_seconds_since_last": w.since(),
+        "merchant_prior_unique_customers": w.total(_flag("m", "c")),
+        "merchant_transactions_24h": day.count(),
         "merchant_unique_customers_24h": _kinds("m_24h"),
     }
 
@@ -158,45 +161,45 @@ def _e10() -> dict[str, Column]:
     for name, width in (("24h", DAY), ("7d", 7 * DAY)):
         kinds = _kinds(f"d_{name}")
         out[f"device_unique_customers_{name}"] = kinds
-        out[f"device_other_customers_{name}"] = kinds - (count(trailing(width, "_d", "_c")) > 0).cast("int")
-    life = F.coalesce(F.sum(_flag("d", "c")).over(past("_d")), F.lit(0))
+        out[f"device_other_customers_{name}"] = kinds - (trailing(width, "_d", "_c").count() > 0).cast("int")
+    life = past("_d").total(_flag("d", "c"))
     return out | {"device_7d_unique_to_lifetime_unique_ratio": out["device_unique_customers_7d"] / F.greatest(life, F.lit(1))}
 
 
 def _e12() -> dict[str, Column]:
-    flag, out = F.col(_flag("c", "m")), {}
+    flag, out = _flag("c", "m"), {}
     for name, days in (("7d", 7), ("30d", 30)):
         w = trailing(days * DAY, "_c", open_left=True)
-        new = F.coalesce(F.sum(flag).over(w), F.lit(0))
+        new = w.total(flag)
         out[f"customer_new_merchants_{name}"] = new
-        out[f"customer_new_merchant_share_{name}"] = share(new, count(w), 0)
-    return out | {"customer_seconds_since_last_new_merchant": since(past("_c"), flag == 1)}
+        out[f"customer_new_merchant_share_{name}"] = share(new, w.count(), 0)
+    return out | {"customer_seconds_since_last_new_merchant": past("_c").since(flag)}
 
 
 def _e13() -> dict[str, Column]:
-    flag, out = F.col(_flag("m", "c")), {}
+    flag, out = _flag("m", "c"), {}
     for name, days in (("24h", 1), ("7d", 7)):
         w = trailing(days * DAY, "_m", open_left=True)
-        new = F.coalesce(F.sum(flag).over(w), F.lit(0))
+        new = w.total(flag)
         out[f"merchant_new_customers_{name}"] = new
         out[f"merchant_new_customer_share_{name}"] = share(new, _kinds(f"m_open_{name}"), 0)
-    return out | {"merchant_seconds_since_last_new_customer": since(past("_m"), flag == 1)}
+    return out | {"merchant_seconds_since_last_new_customer": past("_m").since(flag)}
 
 
 def _e18() -> dict[str, Column]:
-    a, b = count(trailing(HOUR, "_m")), count(trailing(2 * HOUR, "_m", until=HOUR))
+    a, b = trailing(HOUR, "_m").count(), trailing(2 * HOUR, "_m", until=HOUR).count()
     return {"merchant_transactions_1h": a, "merchant_log_rate_change_1h_vs_previous_1h": F.log1p(a) - F.log1p(b)}
 
 
 def _e19() -> dict[str, Column]:
     # running count of each (customer, day) up to and with its row; the past row with the most, then the earliest day, is the mode
-    mode = F.max(F.when(F.col("_born").isNotNull(), F.struct(F.col("_upto").alias("n"), (-F.col("_born")).alias("day")))).over(past("_c"))
+    mode = past("_c").greatest("mode", F.when(F.col("_born").isNotNull(), F.struct(F.col("_upto").alias("n"), (-F.col("_born")).alias("day"))))
     known = F.col("_born").isNotNull() & mode.isNotNull()
     off = F.when(known, F.col("_born") + mode["day"]).otherwise(F.lit(0))
     return {
         "customer_creation_day_deviation": off,
         "customer_creation_day_abs_deviation": F.abs(off),
-        "customer_creation_day_mode_share": F.when(known, mode["n"] / count(past("_c"))).otherwise(F.lit(0.0)),
+        "customer_creation_day_mode_share": F.when(known, mode["n"] / past("_c").count()).otherwise(F.lit(0.0)),
     }
 
 
@@ -207,8 +210,8 @@ FAMILIES: dict[str, Family] = {
         Family("customer_device", lambda: _pair("_c", "_d", "customer_device", None), "_c", ("customer_id", "device_id")),
         Family("customer_location", lambda: _pair("_c", "_l", "customer_location", None), "_c", ("customer_id", "location")),
         Family("device_global", _e3, "_d", ("customer_id", "device_id"), (("d", "c"),)),
-        Family("customer_velocity_1h", lambda: {"customer_prior_1h_count": count(trailing(HOUR, "_c"))}, "_c", ("customer_id",)),
-        Family("device_velocity_1h", lambda: {"device_prior_1h_count": count(trailing(HOUR, "_d"))}, "_d", ("device_id",)),
+        Family("customer_velocity_1h", lambda: {"customer_prior_1h_count": trailing(HOUR, "_c").count()}, "_c", ("customer_id",)),
+        Family("device_velocity_1h", lambda: {"device_prior_1h_count": trailing(HOUR, "_d").count()}, "_d", ("device_id",)),
         Family("customer_velocity", lambda: _broad("_c", "customer"), "_c", ("customer_id",)),
         Family("device_velocity", lambda: _broad("_d", "device"), "_d", ("device_id",)),
         Family("amount_30d", _e6, "_c", ("customer_id", "amount")),
@@ -220,7 +223,7 @@ FAMILIES: dict[str, Family] = {
         Family("customer_new_merchants", _e12, "_c", ("customer_id", "merchant_id"), (("c", "m"),)),
         Family("merchant_new_customers", _e13, "_m", ("customer_id", "merchant_id"), (("m", "c"),), (("m_open_24h", DAY, True), ("m_open_7d", 7 * DAY, True))),
         Family("device_location", lambda: _pair("_d", "_l", "device_location", None, "is_new"), "_d", ("device_id", "location")),
-        Family("temporal_habits", lambda: {"customer_daypart_share": share(count(past("_c", "_part")), count(past("_c")), 0), "customer_weekday_share": share(count(past("_c", "_wday")), count(past("_c")), 0)}, "_c", ("customer_id",)),
+        Family("temporal_habits", lambda: {"customer_daypart_share": share(past("_c", "_part").count(), past("_c").count(), 0), "customer_weekday_share": share(past("_c", "_wday").count(), past("_c").count(), 0)}, "_c", ("customer_id",)),
         Family("device_merchant", lambda: _pair("_d", "_m", "device_merchant", 0, None, False), "_d", ("device_id", "merchant_id")),
         Family("merchant_location", lambda: _pair("_m", "_l", "merchant_location", 0, None, False), "_m", ("merchant_id", "location")),
         Family("merchant_acceleration", _e18, "_m", ("merchant_id",)),
@@ -229,12 +232,21 @@ FAMILIES: dict[str, Family] = {
 }
 
 
-def features(df: DataFrame, families: Sequence[str], time: str = "timestamp", amount: str = "amount", age: str = "account_age_days") -> DataFrame:
+#: Rows of a key from which it is read chunk by chunk.
+SPLIT_OVER = 5_000_000
+#: How far back each family's trailing frames go.
+REACH = {"customer_velocity_1h": HOUR, "device_velocity_1h": HOUR, "customer_velocity": 7 * DAY, "device_velocity": 7 * DAY, "amount_30d": 30 * DAY, "merchant_history": DAY, "device_sharing": 7 * DAY, "customer_new_merchants": 30 * DAY, "merchant_new_customers": 7 * DAY, "merchant_acceleration": 2 * HOUR}
+LEADS = ("_d", "_m", "_c")
+
+
+def features(df: DataFrame, families: Sequence[str], time: str = "timestamp", amount: str = "amount", age: str = "account_age_days", split_over: int = SPLIT_OVER) -> DataFrame:
     """``df`` with the columns of the families.
 
     Windows are grouped by the key that leads them and made key by key, so rows
     are dealt once for each of customer, device and merchant, however many
-    families there are.
+    families there are. Keys of more than ``split_over`` rows are dealt by time as
+    well and read chunk by chunk (see ``frames``); they are found by a count of the
+    keys, which is left out where the table has no more rows than that.
     """
     unknown = [f for f in families if f not in FAMILIES]
     if unknown:
@@ -245,29 +257,94 @@ def features(df: DataFrame, families: Sequence[str], time: str = "timestamp", am
     # what no family reads isn't carried along, nor checked
     out = out.drop(*(("_x", "_y") if "amount" not in needs else ()), *(("_age", "_born") if "account_age_days" not in needs else ()))
     made: list[str] = []
-    # a pair's first row is marked where the pair's first key leads; which row of a tie it is doesn't matter
-    for lead in ("_d", "_m", "_c"):
+    done = False
+    heavy = _heavy(out, [k for k in LEADS if any(f.lead == k for f in chosen)], split_over)
+    for lead in LEADS:
         own = [f for f in chosen if f.lead == lead]
-        pairs = dict.fromkeys(p for f in chosen for p in f.flags if f"_{p[0]}" == lead)
-        upto = any(f.name == "account_consistency" for f in own)
-        kinds = {f"_kinds_{n}": (width, open_left) for f in own for n, width, open_left in f.kinds}
-        if pairs or upto or kinds:
-            out = out.repartition(lead)  # by the key alone: the windows over pairs and over the key all fit
-        if pairs:
-            out = out.withColumns({_flag(*p): first_of(f"_{p[0]}", f"_{p[1]}") for p in pairs})
-        if kinds:
-            out = with_distinct(out, lead, "_c", kinds)
-        if upto:
-            running = Window.partitionBy("_c", "_born").orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
-            out = out.withColumn("_upto", F.count(F.lit(1)).over(running))
-        cols = {n: c for f in own for n, c in f.columns().items()}
-        if cols:
-            out = out.withColumns(cols)
+        pairs = list(dict.fromkeys(p for f in chosen for p in f.flags if f"_{p[0]}" == lead))
+        if not own and not pairs:
+            continue
+        if lead in heavy:
+            if done:  # it is read twice; the columns of other keys aren't made again
+                out = stored(out)
+            keys = F.broadcast(heavy[lead])  # a key for each ``split_over`` rows at most
+            rest = _whole(out.join(keys, lead, "left_anti"), lead, own, pairs)
+            out = rest.unionByName(_split(out.join(keys, lead, "left_semi"), lead, own, pairs).select(*rest.columns))
+        else:
+            out = _whole(out, lead, own, pairs)
+        done = True
     for f in chosen:
         made += list(f.columns())
     return out.select(*[F.col(f"`{c}`") for c in keep], *dict.fromkeys(made))
 
 
+def _heavy(df: DataFrame, leads: Sequence[str], over: int) -> dict[str, DataFrame]:
+    """The keys of more than ``over`` rows, for those of the leads that have any."""
+    if not leads or df.count() <= over:
+        return {}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("lead"), F.col(k).alias("key")) for k in leads]))
+    counts = df.select(each.alias("r")).groupBy("r.lead", "r.key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > over)
+    found: dict[str, list] = {}
+    for r in counts.select("lead", "key").collect():
+        found.setdefault(r["lead"], []).append((r["key"],))
+    return {k: df.sparkSession.createDataFrame(v, f"{k} string") for k, v in found.items()}
+
+
+def _parts(own: Sequence[Family]) -> tuple[dict, bool]:
+    kinds = {f"_kinds_{n}": (width, open_left) for f in own for n, width, open_left in f.kinds}
+    return kinds, any(f.name == "account_consistency" for f in own)
+
+
+def _whole(out: DataFrame, lead: str, own: Sequence[Family], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """The families of a key, each key in one task."""
+    kinds, upto = _parts(own)
+    if pairs or upto or kinds:
+        out = out.repartition(lead)  # by the key alone: the windows over pairs and over the key all fit
+    # a pair's first row is marked where the pair's first key leads; which row of a tie it is doesn't matter
+    if pairs:
+        out = out.withColumns({_flag(*p): first_of(f"_{p[0]}", f"_{p[1]}") for p in pairs})
+    if kinds:
+        out = with_distinct(out, lead, "_c", kinds)
+    if upto:
+        running = Window.partitionBy("_c", "_born").orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
+        out = out.withColumn("_upto", F.count(F.lit(1)).over(running))
+    cols = {n: c for f in own for n, c in f.columns().items()}
+    return out.withColumns(cols).drop("_upto", *kinds) if cols else out
+
+
+def _split(out: DataFrame, lead: str, own: Sequence[Family], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """The same for heavy keys: each key and chunk of time in one task."""
+    kinds, upto = _parts(own)
+    reach = max([REACH.get(f.name, 0) for f in own] + ([30 * DAY] if pairs else []))
+    length = max(reach, DAY)
+    rows = frames.in_chunks(out, length)
+    with frames.noting() as first:  # a pair's mark needs to know whether an earlier chunk has the pair
+        for a, b in pairs:
+            past(f"_{a}", f"_{b}").count()
+        if upto:
+            past("_c", "_born").count()
+    if first:
+        rows = frames.carry(stored(rows), first)
+    if pairs:
+        alone = lambda a, b: first_of(f"_{a}", f"_{b}", frames.CHUNK)
+        rows = rows.withColumns({_flag(a, b): F.when(F.coalesce(f"_sum_n_{a}_{b}", F.lit(0)) == 0, alone(a, b)).otherwise(0) for a, b in pairs})
+    if upto:
+        running = Window.partitionBy("_c", "_born", frames.CHUNK).orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("_upto", F.count(F.lit(1)).over(running) + F.coalesce("_sum_n_c_born", F.lit(0)))
+    rows = rows.drop(*[m for measures in first.values() for m in measures])
+    rows = frames.with_copies(stored(rows) if reach else rows, length, reach)
+    if kinds:
+        rows = with_distinct(rows, lead, "_c", kinds, more=(frames.CHUNK,))
+    with frames.noting() as wanted:
+        for f in own:
+            f.columns()
+    rows = frames.carry(stored(rows), wanted)
+    with frames.by_chunk():
+        cols = {n: c for f in own for n, c in f.columns().items()}
+    done = rows.withColumns(cols) if cols else rows
+    return done.filter(frames.OWN)
+
+
 def build(df: DataFrame, family: str | Sequence[str], requested: Sequence[str], **how) -> DataFrame:
     """The requested columns of one or several families, in that order, after the columns of ``df``."""
     names = [family] if isinstance(family, str) else list(family)

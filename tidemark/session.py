@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tidemark", master: str | None = None, **conf) -> SparkSession:
@@ -22,6 +22,14 @@ def session(app: str = "tidemark", master: str | None = None, **conf) -> SparkSe
     return b.config(map=settings).getOrCreate()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, written once as a table in the shared folder: lineage ends there."""
+    spark = df.sparkSession
+    path = shared_path(spark, "rows")
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
