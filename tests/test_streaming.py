@@ -6,7 +6,7 @@ import random
 import pytest
 
 from tidemark.operators import history
-from tidemark.streaming.history import stream_features
+from tidemark.streaming.history import late_rows, stream_features
 
 SCHEMA = "transaction_id string, customer_id string, device_id string, merchant_id string, merchant_category string, location string, amount double, timestamp timestamp, account_age_days int"
 LEADS = {}
@@ -36,3 +36,18 @@ def test_stream_equals_batch(spark, tmp_path, lead, seeded):
     for c in a.columns.drop("us"):
         x, y = a[c].astype(float), b[c].astype(float)
         assert (x.isna() == y.isna()).all() and not ((x - y).abs() > 1e-6).any(), c
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    """A row behind the watermark changes nothing and is told of."""
+    at = lambda h: dt.datetime(2027, 3, 1) + dt.timedelta(hours=h)
+    row = lambda i, h: (str(i), "a", "d", "m", "x", "l", 5.0, at(h), 1)
+    for k, rows in enumerate(([row(0, 0), row(1, 10)], [row(2, 20)], [row(3, 1), row(4, 30)], [row(5, 1000)])):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        events = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        q = stream_features(events, ["customer_history"]).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination()
+        if k == 2:
+            assert late_rows(q) == 1
+    got = spark.read.parquet(f"{tmp_path}/out").orderBy("us").collect()
+    assert [(r["transaction_id"], r["customer_prior_count"]) for r in got] == [("0", 0), ("1", 1), ("2", 2), ("4", 3)]

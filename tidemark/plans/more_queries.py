@@ -126,6 +126,36 @@ def column_roles(spark, d):
     return audit.roles_table(transactions.event_stream(spark, d))
 
 
+# --- the stream ---------------------------------------------------------------------
+
+_STREAMED = ("customer_history", "customer_merchant", "customer_velocity", "account_consistency")
+
+
+def _stream_sql() -> str:
+    extra, source = fo._extra("account_consistency")
+    cols = ", ".join(fo.rounded(c, e, D) for f in _STREAMED for c, e in fo.FAMILY_SQL[f].items())
+    return f"with {fo.EVENTS}, {fo.MORE}{extra} select cast(transaction_id as varchar) as transaction_id, us, {cols} from {source} where cast(c as integer) % 25 = 3"
+
+
+@query(_stream_sql())
+def stream_history(spark, d):
+    """The events of some customers as a stream of files: features equal to those of the batch."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    path = shared_path(spark, "stream")
+    e = transactions.event_stream(spark, d).filter(F.col("customer_id").cast("int") % 25 == 3).drop("device_type").withColumn("transaction_id", F.col("transaction_id").cast("string"))
+    e.repartitionByRange(3, "timestamp").write.parquet(f"{path}/in")
+    end = e.limit(1).withColumns({"transaction_id": F.lit("end"), "customer_id": F.lit("end"), "timestamp": _at("2100-01-01")})
+    end.write.mode("append").parquet(f"{path}/in")
+    from tidemark.streaming.history import stream_features
+
+    events = spark.readStream.schema(e.schema).parquet(f"{path}/in")
+    q = stream_features(events, _STREAMED).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = spark.read.parquet(f"{path}/out")
+    cols = [c for f in _STREAMED for c in fo.FAMILY_SQL[f]]
+    return out.select("transaction_id", "us", *[F.round(F.col(c) + fo.NUDGE, fo.digits_of(c, D)).alias(c) if fo.is_float(c) else F.col(c).cast("long").alias(c) for c in cols])
+
+
 # --- subsets and profiles of features ------------------------------------------
 
 

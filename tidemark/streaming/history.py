@@ -6,9 +6,11 @@ are there; then each reads the state, and only afterwards all of them join it.
 An event-time timer at a row's time does the waking up. The last tie of a
 stream comes out once a later time has been seen, such as a closing row.
 
-State of a key: lifetime sums, counts and last times of its partners, and the
-rows of the longest window that the families read; older rows are dropped.
-Rows behind the watermark are dropped by the engine, which counts them.
+State of a key: a small head (lifetime sums, numbers of partners), a map of its
+partners' counts and last times, of which a row touches its own, and the rows of
+the longest window that the families read in buckets of time; older buckets are
+dropped. Waiting rows lie in a map by their time. Rows behind the watermark are
+dropped by the engine; ``late_rows`` tells how many.
 """
 
 from __future__ import annotations
@@ -35,25 +37,112 @@ PARTNERS = {"customer_device": "_d", "customer_location": "_l", "device_global":
 PAIRS = {"customer_device": ("new", True, None), "customer_location": ("new", True, None), "customer_merchant": ("is_new", True, 0.0), "customer_category": ("is_new", True, 0.0), "device_location": ("is_new", True, None), "device_merchant": (None, False, 0.0), "merchant_location": (None, False, 0.0)}
 
 
+class Held:
+    """A key's state in plain dictionaries: what a processor's handle keeps in maps."""
+
+    def __init__(self) -> None:
+        self.head: str | None = None
+        self.partners: dict[tuple[str, str], tuple[int, int]] = {}
+        self.buckets: dict[int, str] = {}
+
+    def read_head(self) -> str | None:
+        return self.head
+
+    def write_head(self, value: str) -> None:
+        self.head = value
+
+    def partner(self, kind: str, value: str) -> tuple[int, int] | None:
+        return self.partners.get((kind, value))
+
+    def set_partner(self, kind: str, value: str, n: int, last: int) -> None:
+        self.partners[kind, value] = (n, last)
+
+    def bucket(self, at: int) -> str | None:
+        return self.buckets.get(at)
+
+    def set_bucket(self, at: int, rows: str | None) -> None:
+        if rows is None:
+            self.buckets.pop(at, None)
+        else:
+            self.buckets[at] = rows
+
+
+class InHandle(Held):
+    """The same in the state store."""
+
+    def __init__(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("head", "value string")
+        self.map = handle.getMapState("partners", "kind string, value string", "n long, last long")
+        self.rows = handle.getMapState("recent", "at long", "rows string")
+
+    def read_head(self) -> str | None:
+        return self.value.get()[0] if self.value.exists() else None
+
+    def write_head(self, value: str) -> None:
+        self.value.update((value,))
+
+    def partner(self, kind: str, value: str) -> tuple[int, int] | None:
+        return self.map.getValue((kind, value))
+
+    def set_partner(self, kind: str, value: str, n: int, last: int) -> None:
+        self.map.updateValue((kind, value), (n, last))
+
+    def bucket(self, at: int) -> str | None:
+        found = self.rows.getValue((at,))
+        return found[0] if found else None
+
+    def set_bucket(self, at: int, rows: str | None) -> None:
+        if rows is None:
+            self.rows.removeKey((at,))
+        else:
+            self.rows.updateValue((at,), (rows,))
+
+
 class KeyState:
-    """What is remembered of one key."""
+    """What is remembered of one key; ``save`` writes what has changed."""
 
-    def __init__(self, families: Sequence[str], raw: str | None = None):
-        self.families = families
+    def __init__(self, families: Sequence[str], held: Held):
+        self.families, self.held = families, held
         self.reach = max([REACH.get(f, 0) for f in families], default=0)
+        self.width = DAY if self.reach > 2 * DAY else HOUR
         self.kinds = sorted({PARTNERS[f] for f in families if f in PARTNERS} | ({"_part", "_wday"} if "temporal_habits" in families else set()))
+        raw = held.read_head()
         s = json.loads(raw) if raw else {}
         self.sums = s.get("sums", [0, None, None, 0.0, 0.0, 0.0])  # n, first, last, x, y, y squared
-        self.partners = s.get("partners", {k: {} for k in self.kinds})  # kind -> value -> [n, last]
+        self.numbers = s.get("numbers", {k: 0 for k in self.kinds})  # of partners, by kind
         self.news = s.get("news", {})  # kind -> last time of a new partner
-        self.recent = s.get("recent", [])  # [us, x, y, partner, was new] within reach
-
-    def dump(self) -> str:
-        return json.dumps({"sums": self.sums, "partners": self.partners, "news": self.news, "recent": self.recent})
+        self.mode = s.get("mode")  # rows and day of the most frequent creation day, the earliest on ties
+        self.places = s.get("places", [])  # buckets that there are, in order
+        self.buckets: dict[int, list] = {}  # those read: rows of us, x, y, partners, kinds that were new
+        self.changed: set[int] = set()
+        self.known: dict[tuple[str, str], tuple[int, int | None]] = {}
+
+    def save(self) -> None:
+        for at in self.changed:
+            self.held.set_bucket(at, json.dumps(self.buckets[at]))
+        if self.places and self.sums[2] is not None:
+            old = [at for at in self.places if (at + 1) * self.width <= self.sums[2] - self.reach]
+            for at in old:
+                self.held.set_bucket(at, None)
+            self.places = self.places[len(old) :]
+        self.held.write_head(json.dumps({"sums": self.sums, "numbers": self.numbers, "news": self.news, "mode": self.mode, "places": self.places}))
+
+    def _bucket(self, at: int) -> list:
+        if at not in self.buckets:
+            raw = self.held.bucket(at) if at in self.places else None
+            self.buckets[at] = json.loads(raw) if raw else []
+        return self.buckets[at]
+
+    def _partner(self, kind: str, value) -> tuple[int, int | None]:
+        """Rows with the partner and the time of the last."""
+        key = (kind, str(value))
+        if key not in self.known:
+            self.known[key] = tuple(self.held.partner(*key) or (0, None))
+        return self.known[key]
 
     def _rows(self, t: int, width: int, open_left: bool = False, until: int = 0) -> list:
         low = t - width + int(open_left)
-        return [r for r in self.recent if low <= r[0] < t - until]
+        return [r for at in self.places if low // self.width <= at <= t // self.width for r in self._bucket(at) if low <= r[0] < t - until]
 
     def read(self, row: dict) -> dict[str, Any]:
         out: dict[str, Any] = {}
@@ -74,7 +163,7 @@ class KeyState:
         t, (n, first, last, sx, sy, _) = row["us"], self.sums
         if f in PAIRS:
             new, recency, empty = PAIRS[f]
-            own, at = self.partners[PARTNERS[f]].get(str(row[PARTNERS[f]]), (0, None))
+            own, at = self._partner(PARTNERS[f], row[PARTNERS[f]])
             out = {f"{f}_prior_count": own, f"{f}_count_share": own / n if n else empty}
             if new:
                 out[f"{f}_{new}"] = int(own == 0)
@@ -86,7 +175,7 @@ class KeyState:
         if f == "merchant_amount":
             return self._amounts("merchant", row)
         if f == "device_global":
-            kinds, own = len(self.partners["_c"]), self.partners["_c"].get(row["_c"], (0, None))[0]
+            kinds, own = self.numbers["_c"], self._partner("_c", row["_c"])[0]
             return {"device_prior_count": n, "device_prior_distinct_customer_count": kinds, "device_prior_distinct_customer_count_excluding_current": kinds - int(own > 0), "device_seconds_since_last": self._since(t, last), "device_observed_age_seconds": self._since(t, first), "device_prior_other_customer_transaction_count": n - own, "customer_share_of_device_prior_transactions": own / n if n else None}
         if f.endswith("velocity_1h"):
             return {f"{f.split('_')[0]}_prior_1h_count": len(self._rows(t, HOUR))}
@@ -100,13 +189,13 @@ class KeyState:
             return {"customer_30d_count": len(rows), "customer_30d_mean_amount": mean, "customer_30d_mean_log_amount": log_mean, "customer_amount_to_30d_mean": row["_x"] / (mean + 1) if rows else None, "customer_log_amount_minus_30d_mean": row["_y"] - log_mean if rows else None, "customer_30d_to_lifetime_mean_ratio": (mean + 1) / (sx / n + 1) if rows else None}
         if f == "merchant_history":
             rows = self._rows(t, DAY)
-            return {"merchant_prior_transaction_count": n, "merchant_seconds_since_last": self._since(t, last), "merchant_prior_unique_customers": len(self.partners["_c"]), "merchant_transactions_24h": len(rows), "merchant_unique_customers_24h": len({r[3]["_c"] for r in rows})}
+            return {"merchant_prior_transaction_count": n, "merchant_seconds_since_last": self._since(t, last), "merchant_prior_unique_customers": self.numbers["_c"], "merchant_transactions_24h": len(rows), "merchant_unique_customers_24h": len({r[3]["_c"] for r in rows})}
         if f == "device_sharing":
             out = {}
             for name, w in (("24h", DAY), ("7d", 7 * DAY)):
                 kinds = {r[3]["_c"] for r in self._rows(t, w)}
                 out |= {f"device_unique_customers_{name}": len(kinds), f"device_other_customers_{name}": len(kinds) - int(row["_c"] in kinds)}
-            return out | {"device_7d_unique_to_lifetime_unique_ratio": out["device_unique_customers_7d"] / max(len(self.partners["_c"]), 1)}
+            return out | {"device_7d_unique_to_lifetime_unique_ratio": out["device_unique_customers_7d"] / max(self.numbers["_c"], 1)}
         if f == "customer_new_merchants":
             out = {}
             for name, d in (("7d", 7), ("30d", 30)):
@@ -122,17 +211,16 @@ class KeyState:
                 out |= {f"merchant_new_customers_{name}": new, f"merchant_new_customer_share_{name}": new / kinds if kinds else 0.0}
             return out | {"merchant_seconds_since_last_new_customer": self._since(t, self.news.get("_c"))}
         if f == "temporal_habits":
-            of = lambda k: self.partners[k].get(str(row[k]), (0, None))[0] / n if n else 0.0
+            of = lambda k: self._partner(k, row[k])[0] / n if n else 0.0
             return {"customer_daypart_share": of("_part"), "customer_weekday_share": of("_wday")}
         if f == "merchant_acceleration":
             a, b = len(self._rows(t, HOUR)), len(self._rows(t, 2 * HOUR, until=HOUR))
             return {"merchant_transactions_1h": a, "merchant_log_rate_change_1h_vs_previous_1h": math.log1p(a) - math.log1p(b)}
         if f == "account_consistency":
-            days = self.partners["_born"]
-            if row["_born"] is None or not days:
+            if row["_born"] is None or not self.mode:
                 return {"customer_creation_day_deviation": 0, "customer_creation_day_abs_deviation": 0, "customer_creation_day_mode_share": 0.0}
-            day, (k, _) = min(days.items(), key=lambda kv: (-kv[1][0], int(kv[0])))
-            off = int(row["_born"]) - int(day)
+            k, day = self.mode
+            off = int(row["_born"]) - day
             return {"customer_creation_day_deviation": off, "customer_creation_day_abs_deviation": abs(off), "customer_creation_day_mode_share": k / n}
         raise ValueError(f)
 
@@ -147,16 +235,21 @@ class KeyState:
             for k in self.kinds:
                 if r[k] is None:
                     continue
-                p = self.partners[k].get(str(r[k]))
-                if p is None:
+                before, _ = self._partner(k, r[k])
+                if not before:
                     new.append(k)
                     self.news[k] = t
-                self.partners[k][str(r[k])] = [p[0] + 1 if p else 1, t]
+                    self.numbers[k] += 1
+                self.known[k, str(r[k])] = (before + 1, t)
+                self.held.set_partner(k, str(r[k]), before + 1, t)
+                if k == "_born" and (self.mode is None or (before + 1, -int(r[k])) > (self.mode[0], -self.mode[1])):
+                    self.mode = [before + 1, int(r[k])]
             if self.reach:
-                self.recent.append([t, r["_x"], r["_y"], {k: str(r[k]) for k in self.kinds}, new])
-        if self.reach and rows:
-            low = rows[-1]["us"] - self.reach
-            self.recent = [r for r in self.recent if r[0] >= low]
+                at = t // self.width
+                self._bucket(at).append([t, r["_x"], r["_y"], {k: str(r[k]) for k in self.kinds}, new])
+                self.changed.add(at)
+                if not self.places or self.places[-1] != at:
+                    self.places.append(at)
 
 
 def _internal(row: dict) -> dict:
@@ -172,40 +265,40 @@ class HistoryProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "value string")
-        self.waiting = handle.getListState("waiting", "row string")
+        self.held = InHandle(handle)
+        self.waiting = handle.getMapState("waiting", "at long", "rows string")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """Rows of an earlier stream go into the state at once."""
-        state = KeyState(self.families, self.state.get()[0] if self.state.exists() else None)
+        state = KeyState(self.families, self.held)
         rows = sorted((_internal(r) for r in json.loads(initialState.to_json(orient="records", date_format="iso"))), key=lambda r: r["us"])
         for _, tie in itertools.groupby(rows, key=lambda r: r["us"]):
             state.add(list(tie))
-        self.state.update((state.dump(),))
+        state.save()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
+            new: dict[int, list] = {}
             for r in json.loads(pdf.to_json(orient="records", date_format="iso")):
-                self.waiting.appendValue((json.dumps(_internal(r)),))
-                self.handle.registerTimer(r["us"] // 1000 + 1)
+                new.setdefault(r["us"] // 1000 + 1, []).append(_internal(r))
+            for at, own in new.items():
+                before = self.waiting.getValue((at,))
+                self.waiting.updateValue((at,), (json.dumps([*json.loads(before[0]), *own] if before else own),))
+                self.handle.registerTimer(at)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        done = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        rows = [json.loads(r[0]) for r in self.waiting.get()]
-        ready = sorted((r for r in rows if r["us"] < done), key=lambda r: r["us"])
-        if not ready:
+        at = expiredTimerInfo.getExpiryTimeInMs()  # timers come in the order of their times
+        found = self.waiting.getValue((at,))
+        if not found:
             return
-        rest = [(json.dumps(r),) for r in rows if r["us"] >= done]
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        state = KeyState(self.families, self.state.get()[0] if self.state.exists() else None)
-        out, at = [], 0
-        while at < len(ready):
-            tie = [r for r in ready[at:] if r["us"] == ready[at]["us"]]
+        self.waiting.removeKey((at,))
+        state, out = KeyState(self.families, self.held), []
+        for _, tie in itertools.groupby(sorted(json.loads(found[0]), key=lambda r: r["us"]), key=lambda r: r["us"]):
+            tie = list(tie)
             out += [{**{c: r[c] for c in self.payload}, **state.read(r)} for r in tie]
             state.add(tie)
-            at += len(tie)
-        self.state.update((state.dump(),))
+        state.save()
         yield pd.DataFrame(out, columns=[*self.payload, *self.columns], dtype=object)
 
     def close(self) -> None:
@@ -242,3 +335,8 @@ def column_types(families: Sequence[str]) -> dict[str, T.DataType]:
     """Types of the families' columns: counts and flags are whole."""
     real = ("seconds", "mean", "share", "ratio", "std", "zscore", "log")
     return {c: T.DoubleType() if any(w in c for w in real) and not c.endswith("transaction_count") else T.LongType() for f in families for c in FAMILIES[f].columns()}
+
+
+def late_rows(query) -> int:
+    """Rows that a streaming query has dropped so far because they were behind its watermark, by its progress reports."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
