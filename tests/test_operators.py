@@ -233,8 +233,17 @@ def test_multiclass_metrics(spark):
     assert abs(loss + sum(math.log(r[at[r[0]]]) for r in rows) / 7) < 1e-12
     with pytest.raises(Exception, match="no probability"):
         metrics.multiclass_log_loss(df, "y", {"a": "pa", "b": "pb"}).collect()
-    assert metrics.stops_early([0.1, 0.2], [0.3, 0.3, 0.9]) and not metrics.stops_early([0.1, 0.4], [0.3, 0.3]) and not metrics.stops_early([], [0.3])
-    assert metrics.stops_early([0.4], [0.3], higher_is_better=False)
+
+
+def test_early_screen(spark):
+    df = spark.createDataFrame([(1, 0.9, "a"), (0, 0.5, "a"), (1, 0.1, "a"), (0, 0.8, "b"), (1, 0.2, "b")], "y int, p double, w string")
+    windows = {"all": F.lit(True), "b": F.col("w") == "b", "none": F.col("w") == "z"}
+    got = {r["window"]: r for r in metrics.early_screen(df, "y", "p", windows, {"all": 0.71, "b": 0.6, "none": 0.1}, {"all": 0.02, "b": 0.05, "none": 1.0}).collect()}
+    ap = (1 + 2 / 4 + 3 / 5) / 3
+    assert abs(got["all"]["score"] - ap) < 1e-12 and not got["all"]["failed"]
+    assert got["b"]["score"] == 0.5 and got["b"]["failed"] and got["none"]["failed"] and got["none"]["score"] is None
+    with pytest.raises(ValueError):
+        metrics.early_screen(df, "y", "p", windows, {"all": 1.0}, {"all": 0.0})
 
 
 def test_class_rank_averages_and_saved_blends(spark, tmp_path):

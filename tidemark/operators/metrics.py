@@ -117,13 +117,6 @@ def multiclass_roc_auc(df: DataFrame, label: str, probabilities: dict[str, str],
     return pair.agg(mean.alias("roc_auc")).crossJoin(df.agg(F.count(F.lit(1)).alias("n"))).select("n", "roc_auc")  # one row each
 
 
-def stops_early(scores: Sequence[float], best: Sequence[float], higher_is_better: bool = True, margin: float = 0.0) -> bool:
-    """Whether an experiment is hopeless: every fold seen so far is worse than the best one's by more than ``margin``."""
-    sign = 1 if higher_is_better else -1
-    seen = [sign * (s - b) for s, b in zip(scores, best)]
-    return bool(seen) and all(d < -margin for d in seen)
-
-
 def log_loss(df: DataFrame, label: str, probability: str, by: Sequence[str] = ()) -> DataFrame:
     p = F.least(F.greatest(F.col(probability), F.lit(EPSILON)), F.lit(1 - EPSILON))
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(-F.when(F.col(label) == 1, F.log(p)).otherwise(F.log(1 - p))).alias("log_loss"))
@@ -144,6 +137,19 @@ def windowed(df: DataFrame, windows: dict[str, Column], metric: Callable[..., Da
     return metric(df.withColumn("window", F.explode(member)), *args, by=("window",), **how)
 
 
+def early_screen(df: DataFrame, label: str, score: str, windows: dict[str, Column], references: dict[str, float], drops: dict[str, float], metric: Callable[..., DataFrame] = average_precision, value: str = "average_precision") -> DataFrame:
+    """``window, score, reference, delta, failed`` of each window: failed if the score is below its reference by more than its drop, or there is none.
+
+    An experiment of which a window failed isn't worth fitting on further folds.
+    """
+    if set(windows) != set(references) or set(windows) != set(drops):
+        raise ValueError("each window needs a reference and a drop")
+    named = df.sparkSession.createDataFrame([(w, float(references[w]), float(drops[w])) for w in windows], "window string, reference double, _drop double")
+    got = windowed(df, windows, metric, label, score).select("window", F.col(value).alias("score"))
+    both = named.join(got, "window", "left").withColumn("delta", F.col("score") - F.col("reference"))
+    return both.select("window", "score", "reference", "delta", F.coalesce(F.col("delta") < -F.col("_drop"), F.lit(True)).alias("failed"))
+
+
 def custom(df: DataFrame, metric: Callable, columns: Sequence[str], by: Sequence[str], name: str = "score") -> DataFrame:
     """A user's function of pandas columns, once for each group; a group must fit a worker."""
     def run(pdf):

@@ -113,7 +113,7 @@ def screen(df: DataFrame, spec: Spec, fold: int, best: float, margin: float = 0.
     """The candidate's score on one fold, and whether it is worth running the others: not worse than ``best`` by more than ``margin``."""
     families = (*PROFILES[spec.parent], *spec.families)
     score = _scored(df, dataclasses.replace(spec, folds=(spec.folds[fold],)), families)[1].get(0)
-    return score, score is not None and not metrics.stops_early([score], [best], margin=margin)
+    return score, score is not None and score - best >= -margin
 
 
 def _scored(df: DataFrame, spec: Spec, families: Sequence[str]) -> tuple[DataFrame, dict]:

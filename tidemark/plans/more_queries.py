@@ -348,6 +348,20 @@ def window_verdict(spark, d):
     return out.select("window", *[F.round(c, k).alias(c) for c, k in (("first", D), ("second", D), ("delta", 3))], "verdict")
 
 
+_REFERENCES = {"early": 0.25, "late": 0.15, "all": 0.3}
+
+
+@query(f"""with {SCORED}, w as (select *, unnest([{', '.join(f"case when timestamp >= timestamp '{a}' and timestamp < timestamp '{b}' then '{n}' end" for n, (a, b) in WINDOWS.items())}]) as win from sc),
+v as (select y, s1, win as "window" from w where win is not null), {_ap_sql('v', 's1', '"window"')},
+k as (select * from (values {', '.join(f"('{w}', {x})" for w, x in _REFERENCES.items())}) t("window", reference))
+select "window", average_precision as score, cast(reference as double) as reference, round(average_precision - reference, 3) as delta, average_precision - reference < -0.02 as failed from r join k using ("window")""")
+def early_screen(spark, d):
+    """Scores of windows against references given beforehand, and which of them stop an experiment."""
+    conditions = {n: (F.col("timestamp") >= _at(a)) & (F.col("timestamp") < _at(b)) for n, (a, b) in WINDOWS.items()}
+    out = metrics.early_screen(_scored(spark, d), "y", "s1", conditions, _REFERENCES, dict.fromkeys(_REFERENCES, 0.02))
+    return out.select("window", F.round("score", D).alias("score"), "reference", F.round("delta", 3).alias("delta"), "failed")
+
+
 @query(f"with {SCORED}, {OOF}, v as (select y, p, __fold__ from oof where __fold__ >= 0), {_ap_sql('v', 'p', '__fold__')} select __fold__, average_precision from r")
 def replayed_scores(spark, d):
     """Scores of a saved table, recomputed after its content was verified and held against those stored."""
