@@ -309,11 +309,11 @@ def saved_blend(spark, d):
 
 @query(f"""with {SCORED}, {OOF}, v as (select * from oof where __fold__ >= 0), r as (select __row__, {', '.join(f'(rank() over (order by {e}) + (count(*) over (partition by {e}) - 1) / 2) as {n}' for n, e in (('a', 'p'), ('b', 's1 / 1000'), ('c', '1 - p'), ('e', '1 - s1 / 1000')))} from v),
 m as (select __row__, (a + b) / 2 as u, (c + e) / 2 as v from r)
-select o.__row__, o.__fold__, round(u / (u + v), {D}) as pred_0, round(v / (u + v), {D}) as pred_1 from oof o left join m using (__row__)""")
+select o.__row__, o.__fold__, round(u / (u + v) + {fo.NUDGE}, {D}) as pred_0, round(v / (u + v) + {fo.NUDGE}, {D}) as pred_1 from oof o left join m using (__row__)""")
 def rank_average_classes(spark, d):
     """Two models' class probabilities as rank averages that add up to 1."""
     both = [_oof(spark, d, s).drop("y").withColumn("pred_0", F.col("pred_0") / k).withColumn("pred_1", 1 - F.col("pred_0")) for s, k in (("p", 1), ("s1", 1000))]
-    return rounded(blend.rank_average_classes(both))
+    return rounded(blend.rank_average_classes(both).withColumns({c: F.col(c) + fo.NUDGE for c in ("pred_0", "pred_1")}))
 
 
 @query("select s_suppkey as experiment, s_nationkey as contract, s_acctbal as score, row_number() over (order by s_acctbal desc, s_suppkey) as place from supplier where s_nationkey = 3")
