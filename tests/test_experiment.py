@@ -17,7 +17,7 @@ def test_certification(spark, family):
 
 
 def test_certification_sees_a_leak(spark, monkeypatch):
-    leaky = history.Family("leaky", lambda: {"x": F.sum("_x").over(history.Window.partitionBy("_c"))}, "_c", ("customer_id",))
+    leaky = history.Family("leaky", lambda: {"x": F.sum("_x").over(history.Window.partitionBy("_c"))}, "_c", ("customer_id", "amount"))
     monkeypatch.setitem(history.FAMILIES, "leaky", leaky)
     got = experiment.certify(spark, "leaky")
     assert not got["strict_past"] and not got["future_independence"]
