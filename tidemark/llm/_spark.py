@@ -45,11 +45,12 @@ def clean_up(spark: SparkSession) -> int:
     return sum(store.delete(f.getPath(), True) for f in found)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written once as a table in the shared folder: lineage ends there."""
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """The rows of ``df``, written once as a table in the shared folder (in a part for each value of its last column ``by``): lineage ends there."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

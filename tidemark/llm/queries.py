@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, language_id, near_dedup, pfair, quality_ranking, quality_rules, substring_dedup, token_files, toxicity, url_cascade
+from tidemark.llm import decontaminate, exact_dedup, language_id, near_dedup, pfair, quality_ranking, quality_rules, substring_dedup, token_files, toxicity, url_cascade
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_decontaminate": decontaminate.query,
         "op9_token_files": token_files.query,
         "op10_quality_rules": quality_rules.query,
+        "op11_exact_dedup": exact_dedup.query,
     }
 
 
@@ -24,4 +25,5 @@ def oracle_sql():
     return {
         "op5_url_bloom_cascade": url_cascade.oracle(),
         "op10_quality_rules": quality_rules.oracle(),
+        "op11_exact_dedup": exact_dedup.oracle(),
     }
