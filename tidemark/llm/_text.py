@@ -71,6 +71,26 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE):
         at = to
 
 
+def pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The strings at the given places of ``data``; they must be UTF-8."""
+    size = end - start
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    take = np.arange(bounds[-1]) + np.repeat(start - bounds[:-1], size)
+    return pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(data[take].tobytes())])
+
+
+def sums(keys, *values: np.ndarray):
+    """Distinct rows of the arrays ``keys`` in order, the sums of the values over each, and the place of one of each."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    at = np.flatnonzero(new)
+    return [k[order[at]] for k in keys], [np.add.reduceat(v[order], at) if len(at) else v for v in values], order[at]
+
+
 class Words:
     """The words of a batch of documents.
 
@@ -78,9 +98,10 @@ class Words:
     document (and the number of all words at its end), ``doc`` each word's row.
     """
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, letters_only: bool = False):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, letters_only: bool = False, gaps: np.ndarray | None = None):
+        """``gaps``: which of the 256 bytes part words, in place of white space."""
         n = len(data)
-        full = ~(_PUNCT if letters_only else _SPACE)[data]
+        full = ~((_PUNCT if letters_only else _SPACE) if gaps is None else gaps)[data]
         before, after = np.zeros(n, bool), np.zeros(n, bool)
         if n:
             before[1:], after[:-1] = full[:-1], full[1:]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, exact_dedup, language_id, near_dedup, pfair, quality_ranking, quality_rules, substring_dedup, token_files, toxicity, url_cascade
+from tidemark.llm import decontaminate, exact_dedup, language_id, near_dedup, pfair, phrases, quality_ranking, quality_rules, source_divergence, substring_dedup, token_files, toxicity, url_cascade
 
 
 def queries():
@@ -18,6 +18,8 @@ def queries():
         "op9_token_files": token_files.query,
         "op10_quality_rules": quality_rules.query,
         "op11_exact_dedup": exact_dedup.query,
+        "op12_phrases": phrases.query,
+        "op13_source_divergence": source_divergence.query,
     }
 
 
@@ -26,4 +28,6 @@ def oracle_sql():
         "op5_url_bloom_cascade": url_cascade.oracle(),
         "op10_quality_rules": quality_rules.oracle(),
         "op11_exact_dedup": exact_dedup.oracle(),
+        "op12_phrases": phrases.oracle(),
+        "op13_source_divergence": source_divergence.oracle(),
     }
