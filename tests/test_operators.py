@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import ranges
-from tidemark.operators import audit, blend, learning, metrics, splits, static
+from tidemark.operators import audit, blend, intervals, learning, metrics, splits, static
 from tidemark.sources import tables
 
 
@@ -137,7 +137,7 @@ def test_estimators(spark):
         p = learning.build_pipeline(kind, ["x"], ["c"], "t")
         got = learning.predict(p.fit(df), df.withColumn("c", F.lit("new")))
         assert got.count() == 60 and got.filter("pred_0 between 0 and 1").count() == 60
-    oof = learning.out_of_fold(df, learning.build_pipeline("logistic", ["x"]), [1, 2])
+    oof = learning.out_of_fold(df, learning.build_pipeline("logistic", ["x"]), intervals.Assigned((0, 1, 2)))
     assert oof.filter("__fold__ < 0 and pred_0 is not null").count() == 0
     with pytest.raises(ValueError):
         learning.build_pipeline("catboost", ["x"])
@@ -174,7 +174,7 @@ def test_ranges_stay_the_same(spark, tmp_path):
     assert held.filter((F.col("split") == "valid") != (F.col("u") >= 320_000)).count() == 0 and held.columns == [*df.columns, "split"]
     splits.time_folds(df, 4, ["t", "u"], 50).write.parquet(f"{tmp_path}/f")
     folds = spark.read.parquet(f"{tmp_path}/f")
-    want = F.when(F.col("u") < 79_950, -1).when(F.col("u") < 80_000, -2).otherwise(F.floor((F.col("u") - 80_000) / 80_000))
+    want = F.when(F.col("u") < 80_000, -1).otherwise(F.floor((F.col("u") - 80_000) / 80_000))
     assert folds.filter(F.col(splits.FOLD) != want).count() == 0
     ranges.number(df, ["t", "u"], "place").write.parquet(f"{tmp_path}/o")
     assert spark.read.parquet(f"{tmp_path}/o").filter("place <> u").count() == 0

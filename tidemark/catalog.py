@@ -12,6 +12,7 @@ from tidemark.operators import history
 from tidemark.plans import feature_oracles as fo
 from tidemark.plans import more_queries  # noqa: F401  registers its queries with the others
 from tidemark.plans import queries as others
+from tidemark.plans import tree_queries  # noqa: F401  likewise
 from tidemark.plans import transactions
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

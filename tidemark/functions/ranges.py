@@ -78,7 +78,13 @@ def at_ranks(df: DataFrame, order: Sequence[str], ranks: Sequence[int]) -> dict[
 
 def reached(df: DataFrame, order: Sequence[str], values: tuple) -> Column:
     """Whether a row comes at or after ``values`` (as :func:`at_ranks` gives them) in ``order``."""
-    kinds = [df.schema[c].dataType.simpleString() for c in order]
+    return at_or_after(order, [df.schema[c].dataType.simpleString() for c in order], values)
+
+
+def at_or_after(order: Sequence[str], kinds: Sequence[str], values: Sequence) -> Column:
+    """:func:`reached` with the SQL types of the columns. A single column is compared as it is, so that a scan can use it; where it is null, so is the result."""
+    if len(order) == 1 and values[0] is not None:
+        return F.expr(f"`{order[0]}` >= {_literal(values[0], kinds[0])}")
     left = ", ".join(f"`{c}` as _{i}" for i, c in enumerate(order))
     right = ", ".join(f"{_literal(v, k)} as _{i}" for i, (v, k) in enumerate(zip(values, kinds, strict=True)))
     return F.expr(f"struct({left}) >= struct({right})")

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
-from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, OneHotEncoder, RegexTokenizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, HashingTF, IDF, Normalizer, OneHotEncoder, RegexTokenizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranges import quantiles
+from tidemark.trees.extra import ExtraTrees
+from tidemark.trees.leafwise import LeafwiseBoosting
+from tidemark.trees.newton import NewtonBoosting
+from tidemark.trees.ordered import OrderedBoosting
 
 MISSING = "__MISSING__"
+VOCABULARY = 262_144  # different words of a text
 
 
 def fit_imputer(df: DataFrame, numbers: Sequence[str], categories: Sequence[str]) -> dict:
@@ -46,7 +51,12 @@ ESTIMATORS = {
     "linear": lambda seed, **p: R.LinearRegression(labelCol="label", **p),
     "logistic": lambda seed, **p: C.LogisticRegression(labelCol="label", **p),
     "svm": lambda seed, **p: C.LinearSVC(labelCol="label", **p),
-    "svr": lambda seed, **p: R.LinearRegression(labelCol="label", loss="huber", **p),  # robust linear regression
+    "huber": lambda seed, **p: R.LinearRegression(labelCol="label", loss="huber", **p),
+    "ordered_boosting": None,  # these read columns as they are, see ``build_pipeline``
+    "leafwise_boosting": None,
+    "newton_boosting": None,
+    "extra_trees": None,
+    "extra_trees_regressor": None,
     "forest": lambda seed, **p: C.RandomForestClassifier(labelCol="label", seed=seed, **p),
     "boosted": lambda seed, **p: C.GBTClassifier(labelCol="label", seed=seed, **p),
     "forest_regressor": lambda seed, **p: R.RandomForestRegressor(labelCol="label", seed=seed, **p),
@@ -54,15 +64,85 @@ ESTIMATORS = {
 }
 
 
-def build_pipeline(kind: str, numbers: Sequence[str], categories: Sequence[str] = (), text: str | None = None, seed: int = 42, **params) -> Pipeline:
+def build_pipeline(kind: str, numbers: Sequence[str], categories: Sequence[str] = (), text: str | None = None, seed: int = 42, vocabulary: int = VOCABULARY, hashed: bool = False, **params) -> Pipeline:
     """One-hot categories (unknown values are all zeros), TF-IDF of a text, numbers as they are, then the estimator."""
     if kind not in ESTIMATORS:
         raise ValueError(f"unknown estimator {kind!r}; known: {sorted(ESTIMATORS)}")
-    return Pipeline(stages=[*encoding(numbers, categories, text), ESTIMATORS[kind](seed, **params)])
+    if ESTIMATORS[kind] is None:
+        if text:
+            raise ValueError(f"{kind} reads numbers and categories, not texts")
+        return Pipeline(stages=_trees(kind, numbers, categories, seed, params))
+    return Pipeline(stages=[*encoding(numbers, categories, text, vocabulary, hashed), ESTIMATORS[kind](seed, **params)])
 
 
-def encoding(numbers: Sequence[str], categories: Sequence[str] = (), text: str | None = None) -> list:
-    """The stages that make the column ``features``."""
+class OneHotColumns(Estimator):
+    """A column of 0 and 1 for each value of the categories; more than ``limit`` values of one are an error. Unknown values are all zeros."""
+
+    def __init__(self, categories: Sequence[str], limit: int = 1_000):
+        super().__init__()
+        self.categories, self.limit = list(categories), limit
+
+    def _fit(self, df: DataFrame) -> OneHotColumnsModel:
+        values = []
+        for c in self.categories:
+            found = [r[0] for r in df.select(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(MISSING))).distinct().limit(self.limit + 1).collect()]
+            if len(found) > self.limit:
+                raise ValueError(f"{c} has more than {self.limit} values")
+            values += [(c, v) for v in sorted(found)]
+        return OneHotColumnsModel(values)
+
+
+class OneHotColumnsModel(Model):
+    def __init__(self, values: Sequence[tuple[str, str]]):
+        super().__init__()
+        self.values = list(values)
+        self.names = [f"__hot_{i}" for i in range(len(self.values))]
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        hot = {n: (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(MISSING)) == v).cast("double") for n, (c, v) in zip(self.names, self.values, strict=True)}
+        return df.withColumns(hot) if hot else df
+
+
+class _AfterOneHot(Estimator):
+    """One-hot columns and then a learner of numbers, which is told their names."""
+
+    def __init__(self, numbers: Sequence[str], categories: Sequence[str], learner):
+        super().__init__()
+        self.numbers, self.categories, self.learner = list(numbers), list(categories), learner
+
+    def _fit(self, df: DataFrame) -> PipelineModel:
+        hot = OneHotColumns(self.categories).fit(df)
+        return PipelineModel([hot, self.learner([*self.numbers, *hot.names]).fit(hot.transform(df))])
+
+
+def _trees(kind: str, numbers: Sequence[str], categories: Sequence[str], seed: int, params: dict) -> list:
+    if kind == "ordered_boosting":  # categories become statistics of earlier rows
+        return [OrderedBoosting(numbers, categories, seed=seed, **params)]
+    made = {
+        "leafwise_boosting": lambda names: LeafwiseBoosting(names, seed=seed, **params),
+        "newton_boosting": lambda names: NewtonBoosting(names, **params),
+        "extra_trees": lambda names: ExtraTrees(names, seed=seed, **params),
+        "extra_trees_regressor": lambda names: ExtraTrees(names, impurity="variance", seed=seed, **params),
+    }[kind]
+    return [_AfterOneHot(numbers, categories, made)]
+
+
+class _Counted(CountVectorizer):
+    """A vocabulary that is an error, not cut, where the words are more than its limit."""
+
+    def _fit(self, dataset):
+        model = super()._fit(dataset)
+        if len(model.vocabulary) >= self.getVocabSize():
+            raise ValueError(f"more than {self.getVocabSize() - 1} words: give a larger vocabulary, or hash them")
+        return model
+
+
+def encoding(numbers: Sequence[str], categories: Sequence[str] = (), text: str | None = None, vocabulary: int = VOCABULARY, hashed: bool = False) -> list:
+    """The stages that make the column ``features``.
+
+    Words of a text are two letters or digits of any script, or more. More different words than ``vocabulary`` are an
+    error; ``hashed`` words share that many places instead.
+    """
     stages, parts = [], list(numbers)
     if categories:
         index, hot = [f"_i_{c}" for c in categories], [f"_h_{c}" for c in categories]
@@ -70,7 +150,8 @@ def encoding(numbers: Sequence[str], categories: Sequence[str] = (), text: str |
         stages.append(OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True))  # the last is the unknown
         parts += hot
     if text:
-        stages += [RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"\w\w+", gaps=False), CountVectorizer(inputCol="_tokens", outputCol="_tf"), IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_tfidf")]
+        words = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=vocabulary) if hashed else _Counted(inputCol="_tokens", outputCol="_tf", vocabSize=vocabulary + 1)
+        stages += [RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"(?U)\w\w+", gaps=False), words, IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_tfidf")]
         parts.append("_tfidf")
     return [*stages, VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="keep")]
 
@@ -89,15 +170,16 @@ def predict_mean(models: Sequence[PipelineModel], df: DataFrame, name: str = "pr
     return out.withColumn(name, sum((F.col(f"_m{i}") for i in range(len(models))), F.lit(0.0)) / len(models)).drop(*[f"_m{i}" for i in range(len(models))])
 
 
-def out_of_fold(df: DataFrame, pipeline: Pipeline, folds: Sequence[int], fold: str = "__fold__", expanding: bool = True) -> DataFrame:
-    """Predictions of each fold by a model that hasn't seen it: of earlier folds (``expanding``), or of all others. Fold -1 stays NULL."""
-    parts = [df.filter(F.col(fold) < 0).withColumn("pred_0", F.lit(None).cast("double"))]
-    for k in folds:
-        train = df.filter(F.col(fold) < k) if expanding else df.filter((F.col(fold) != k) & (F.col(fold) >= 0))
-        parts.append(predict(pipeline.fit(train), df.filter(F.col(fold) == k)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def out_of_fold(df: DataFrame, pipeline: Pipeline, folds, fold: str = "__fold__") -> DataFrame:
+    """Predictions of each fold's validation rows by a model of its training rows alone; NULL for rows that no fold validates.
+
+    ``folds``: what has ``numbers``, ``train``, ``valid`` and ``unvalidated``, as ``Intervals`` and ``Assigned`` of
+    :mod:`tidemark.operators.intervals`. ``fold`` is the column that tells a row's fold.
+    """
+    out = folds.unvalidated(df).withColumns({fold: F.lit(-1), "pred_0": F.lit(None).cast("double")})
+    for k in folds.numbers:
+        model = pipeline.fit(folds.train(df, k))
+        out = out.unionByName(predict(model, folds.valid(df, k).withColumn(fold, F.lit(k))))
     return out
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.ranges import at_ranks, number, reached
 from tidemark.functions.windows import DAY, event_us
-
-FOLD = "__fold__"
+from tidemark.operators import intervals
+from tidemark.operators.intervals import FOLD
 
 
 def calendar_folds(df: DataFrame, bounds: Sequence[tuple[str, str]], time: str = "timestamp") -> DataFrame:
@@ -64,18 +64,11 @@ def group_fold(df: DataFrame, k: int, group: str, seed: int = 42, stratify: str
 
 
 def time_folds(df: DataFrame, k: int, order: Sequence[str], gap: int = 0) -> DataFrame:
-    """Row-count folds in time order: the last ``k`` equal parts validate, with ``gap`` rows before them left out (-2).
+    """``__fold__``: which of the last ``k`` equal parts of the order holds a row, -1 before them.
 
-    ``order`` must tell rows apart (rows equal in it go to one side of a cut). Only
-    the rows at the cuts are looked up; all others are compared with them in place.
+    Only what validates a row; what a fold trains on, and its gap, are in :func:`tidemark.operators.intervals.by_rows`.
     """
-    total = df.count()
-    size = total // (k + 1)
-    first = total - k * size
-    cuts = {first + f * size: f for f in range(k)} if size else {}
-    if gap and size:
-        cuts[max(first - gap, 0)] = -2
-    return _cut(df, order, cuts, -1, FOLD, "int")
+    return intervals.by_rows(df, k, order, gap).assigned(df)
 
 
 def _cut(df: DataFrame, order: Sequence[str], cuts: dict, start, name: str, kind: str) -> DataFrame:
@@ -126,32 +119,56 @@ def recency_weight(df: DataFrame, half_life_days: float = 60.0, time: str = "tim
 KINDS = ("kfold", "stratified", "group", "stratified_group", "time", "time_holdout", "calendar_time")
 
 
-def make_splits(df: DataFrame, kind: str, key: Sequence[str], k: int = 5, seed: int = 42, label: str | None = None, group: str | None = None, time: str = "timestamp", fraction: float = 0.2, gap: int = 0, bounds: Sequence[tuple[str, str]] = ()) -> tuple[DataFrame, str]:
-    """The table with its fold column, checked, and a signature of settings and assignment.
+def make_splits(df: DataFrame, kind: str, key: Sequence[str], k: int = 5, seed: int = 42, label: str | None = None, group: str | None = None, time: str = "timestamp", fraction: float = 0.2, gap: int = 0, bounds: Sequence[Sequence[str]] = (), classes: Sequence | None = None) -> tuple[DataFrame, str]:
+    """The table with its fold column, checked, and a signature of settings and assignment (see :func:`plan_splits`)."""
+    out, _, record = plan_splits(df, kind, key, k, seed, label, group, time, fraction, gap, bounds, classes)
+    return out, record["signature"]
+
+
+def plan_splits(df: DataFrame, kind: str, key: Sequence[str], k: int = 5, seed: int = 42, label: str | None = None, group: str | None = None, time: str = "timestamp", fraction: float = 0.2, gap: int = 0, bounds: Sequence[Sequence[str]] = (), classes: Sequence | None = None, reuse: dict | None = None):
+    """The table with its fold column, the folds' parts (``train``, ``valid``), and a record of both.
 
-    Every row gets one fold; a group lies in one fold; folds in time don't start
-    before their training rows end.
+    In time, folds are :class:`~tidemark.operators.intervals.Intervals`: both parts have rows, and training ends before
+    validation begins, or it is an error. Otherwise every row has one fold, and a group lies in one. ``classes``: what
+    each fold's training must contain. ``reuse``: a record made before for the same settings and rows; its ranges are used.
     """
     from tidemark.sources.tables import content_hash, object_hash
 
     if kind not in KINDS:
         raise ValueError(f"unknown kind {kind!r}; known: {KINDS}")
-    if kind == "kfold":
-        out = kfold(df, k, key, seed)
-    elif kind == "stratified":
-        out = kfold(df, k, key, seed, label)
-    elif kind in ("group", "stratified_group"):
-        out = group_fold(df, k, group, seed, label if kind == "stratified_group" else None)
-    elif kind == "time":
-        out = time_folds(df, k, [time, *key], gap)
-    elif kind == "time_holdout":
-        held = time_holdout(df, fraction, [time, *key], gap)
-        out = held.withColumn(FOLD, F.when(F.col("split") == "valid", 0).when(F.col("split") == "gap", -2).otherwise(-1)).drop("split")
+    settings = [kind, list(key), k, seed, label, group, time, fraction, gap, [list(b) for b in bounds]]
+    in_time = kind in ("time", "time_holdout", "calendar_time")
+    rows = content_hash(df, [*key, *([time] if in_time else [])])
+    if reuse and (reuse["settings"] != settings or reuse["rows"] != rows):
+        raise ValueError("saved splits do not match these rows or settings")
+    if in_time:
+        if df.filter(F.col(time).isNull()).limit(1).count():
+            raise ValueError(f"{time} has missing values")
+        if reuse:
+            folds = intervals.Intervals.from_json(reuse["folds"])
+        elif kind == "time":
+            folds = intervals.by_rows(df, k, [time, *key], gap)
+        elif kind == "time_holdout":
+            folds = intervals.holdout(df, fraction, [time, *key], gap)
+        else:
+            folds = intervals.calendar(bounds, time, df.schema[time].dataType.simpleString())
+        parts = folds.check(df, time, label, classes)
+        out, written = folds.assigned(df), folds.to_json()
     else:
-        out = calendar_folds(df, bounds, time)
-    if kind in ("time", "time_holdout", "calendar_time"):
-        edges = out.groupBy(FOLD).agg(F.min(time).alias("a"), F.max(time).alias("b")).filter(f"{FOLD} >= 0").collect()
-        for e in edges:
-            check_boundary(out.filter((F.col(FOLD) < e[FOLD]) & (F.col(time) <= e["b"]) & (F.col(FOLD) != -2)), out.filter(F.col(FOLD) == e[FOLD]), time)
-    settings = [kind, list(key), k, seed, label, group, time, fraction, gap, list(map(list, bounds))]
-    return out, object_hash([settings, content_hash(out, [*key, FOLD])])
+        if kind in ("group", "stratified_group"):
+            found = df.agg(F.count_if(F.col(group).isNull()).alias("missing"), F.count_distinct(group).alias("n")).first()
+            if found["missing"] or found["n"] < k:
+                raise ValueError(f"groups must not be missing, and there must be {k} or more")
+        if kind in ("stratified", "stratified_group") and (df.groupBy(label).count().agg(F.min("count")).first()[0] or 0) < k:
+            raise ValueError(f"every class must have {k} rows or more")
+        out = kfold(df, k, key, seed, label if kind == "stratified" else None) if kind in ("kfold", "stratified") else group_fold(df, k, group, seed, label if kind == "stratified_group" else None)
+        sizes = {r[FOLD]: r["count"] for r in out.groupBy(FOLD).count().collect()}  # one row a fold
+        parts = [{"fold": f, "n_train": sum(sizes.values()) - sizes.get(f, 0), "n_valid": sizes.get(f, 0)} for f in range(k)]
+        if any(not p["n_train"] or not p["n_valid"] for p in parts):
+            raise ValueError("a fold leaves empty training or validation data")
+        folds, written = intervals.Assigned(tuple(range(k))), None
+    record = {"settings": settings, "rows": rows, "folds": written, "parts": parts, "assignment": content_hash(out, [*key, FOLD])}
+    record["signature"] = object_hash([settings, rows, written, record["assignment"]])
+    if reuse and reuse["signature"] != record["signature"]:
+        raise ValueError("saved splits fail their integrity check")
+    return out, folds, record

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import blend, history, learning, metrics, splits
+from tidemark.operators import blend, history, intervals, learning, metrics, splits
 from tidemark.operators.static import PROFILES, add_static
 
 PROPERTIES = ("strict_past", "tie_isolation", "tie_order", "duplicate_in_tie", "future_independence", "label_independence", "continuation")
@@ -31,12 +31,13 @@ class Spec:
     name: str
     parent: str
     families: tuple[str, ...]
-    folds: tuple[tuple[str, str], ...]
+    folds: tuple[tuple[str, ...], ...]  # (valid from, valid until), or (train before, valid from, valid until)
     estimator: str = "logistic"
     target: str = "fraud"
     time: str = "timestamp"
     min_delta: float = 0.0005
     seed: int = 42
+    params: dict = dataclasses.field(default_factory=dict)  # of the estimator
 
     def __post_init__(self):
         if self.parent not in PROFILES:
@@ -45,8 +46,8 @@ class Spec:
             raise ValueError(f"unknown families {unknown}")
         if again := [f for f in self.families if f in PROFILES[self.parent]]:
             raise ValueError(f"the parent has {again} already")
-        if any(a >= b for a, b in self.folds) or list(self.folds) != sorted(self.folds):
-            raise ValueError("folds must be half-open intervals in order")
+        if any(f[-2] >= f[-1] or f[0] > f[-2] for f in self.folds) or list(self.folds) != sorted(self.folds):
+            raise ValueError("folds must be half-open intervals in order, and train before they validate")
 
     @classmethod
     def load(cls, text: str) -> Spec:
@@ -55,10 +56,10 @@ class Spec:
         fields = {f.name: f for f in dataclasses.fields(cls)}
         if unknown := sorted(set(raw) - set(fields)):
             raise ValueError(f"unknown keys: {unknown}")
-        if missing := sorted(n for n, f in fields.items() if f.default is dataclasses.MISSING and n not in raw):
+        if missing := sorted(n for n, f in fields.items() if f.default is f.default_factory is dataclasses.MISSING and n not in raw):
             raise ValueError(f"missing keys: {missing}")
         raw["families"] = tuple(raw["families"])
-        raw["folds"] = tuple((a, b) for a, b in raw["folds"])
+        raw["folds"] = tuple(tuple(f) for f in raw["folds"])
         return cls(**raw)
 
 
@@ -118,14 +119,13 @@ def screen(df: DataFrame, spec: Spec, fold: int, best: float, margin: float = 0.
 
 def _scored(df: DataFrame, spec: Spec, families: Sequence[str]) -> tuple[DataFrame, dict]:
     """Out-of-fold predictions with these families, and their scores by fold."""
-    base = add_static(splits.calendar_folds(df, spec.folds, spec.time), spec.time)
+    folds = intervals.calendar(spec.folds, spec.time, df.schema[spec.time].dataType.simpleString())
+    base = add_static(df, spec.time)
     frame = history.features(base, families, spec.time) if families else base
     columns = ["log_amount", "hour", "weekday", *[c for f in families for c in history.FAMILIES[f].columns()]]
     filled = learning.impute(frame.withColumns({c: F.col(c).cast("double") for c in columns}), {c: 0.0 for c in columns}).withColumn("label", F.col(spec.target).cast("double"))
-    # rows before the first fold are the first model's training; those after the last stay without a prediction
-    early = F.when((F.col(splits.FOLD) < 0) & (F.col(spec.time) >= F.lit(spec.folds[0][0]).cast("timestamp_ntz")), None).otherwise(F.col(splits.FOLD))
-    pipeline = learning.build_pipeline(spec.estimator, columns, seed=spec.seed) if spec.estimator in ("forest", "boosted") else learning.build_pipeline(spec.estimator, columns)
-    out = learning.out_of_fold(filled.withColumn(splits.FOLD, early).filter(f"{splits.FOLD} is not null"), pipeline, range(len(spec.folds)))
+    pipeline = learning.build_pipeline(spec.estimator, columns, seed=spec.seed, **spec.params)
+    out = learning.out_of_fold(filled, pipeline, folds)  # rows of gaps and after the last fold stay without a prediction
     return out, score_folds(out, spec.target)
 
 

@@ -7,10 +7,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import parse_time
-from tidemark.operators import audit, blend, history, learning, metrics, splits, static
+from tidemark.operators import audit, blend, history, intervals, learning, metrics, splits, static
 from tidemark.plans import experiment, transactions
 from tidemark.plans import feature_oracles as fo
-from tidemark.plans.queries import D, EVENT_FOLDS, OOF, SCORED, WINDOWS, _ap_sql, _at, _oof, _read, _scored, query, rounded
+from tidemark.plans.queries import D, EVENT_FOLDS, OOF, SCORED, WINDOWS, _STARTS, _ap_sql, _at, _oof, _read, _scored, query, rounded
 from tidemark.session import shared_path
 from tidemark.sources import tables
 
@@ -216,7 +216,7 @@ def time_holdout_wide(spark, d):
 
 @query("""with n as (select count(*) as n from events), o as (select *, row_number() over (order by ts, event_id) - 1 as i from events),
 f as (select n // 6 as size, n - 5 * (n // 6) as first from n)
-select event_id, user_id, event_type, value, props, cast(case when i < first and first - i <= 20 then -2 when i < first then -1 else (i - first) // size end as integer) as __fold__ from o, f""")
+select event_id, user_id, event_type, value, props, cast(case when i < first then -1 else (i - first) // size end as integer) as __fold__ from o, f""")
 def time_folds_wide(spark, d):
     return splits.time_folds(_read(spark, d, "events"), 5, ("ts", "event_id"), 20).drop("ts")
 
@@ -412,12 +412,14 @@ def importances(spark, d):
     return rounded(learning.importances(learning.build_pipeline("linear", ["l_quantity"]).fit(line), line), 2)
 
 
-@query(f"with {SCORED}, {OOF} select __fold__, count(*) as n, case when __fold__ < 0 then 0 else count(*) end as predicted, cast(0 as bigint) as out_of_range from oof group by 1")
+@query(f"""with {_STARTS}, m as (select f, start, size, regr_slope(value, user_id) as slope, regr_intercept(value, user_id) as icept from o, f where i < start - 20 group by all)
+select event_id, cast(coalesce(f, -1) as integer) as __fold__, round(icept + slope * user_id, 4) as pred_0 from o left join m on i >= start and i < start + size""")
 def out_of_fold(spark, d):
-    """Each fold predicted by a model of the rows before it; coverage and range of the predictions."""
-    rows = splits.calendar_folds(_scored(spark, d), EVENT_FOLDS).withColumn("label", F.col("y").cast("double")).withColumn("s2", F.col("s2").cast("double"))
-    out = learning.out_of_fold(rows, learning.build_pipeline("logistic", ["s2"]), range(len(EVENT_FOLDS)))
-    return out.groupBy("__fold__").agg(F.count(F.lit(1)).alias("n"), F.count("pred_0").alias("predicted"), F.count_if((F.col("pred_0") < 0) | (F.col("pred_0") > 1)).alias("out_of_range"))
+    """Each fold predicted by a line through the rows before its gap; the gap's rows play no part."""
+    e = _read(spark, d, "events").select("event_id", "ts", F.col("user_id").cast("double").alias("x"), F.col("value").alias("label"))
+    folds = intervals.by_rows(e, 5, ("ts", "event_id"), 20)
+    out = learning.out_of_fold(e, learning.build_pipeline("linear", ["x"]), folds)
+    return rounded(out.select("event_id", "__fold__", "pred_0"), 4)
 
 
 @query(" union all ".join(f"select '{k}' as kind, count(*) as n, cast(0 as bigint) as missing from part" for k in ("forest", "boosted", "forest_regressor", "boosted_regressor", "svm")))

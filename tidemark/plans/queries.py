@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import DAY, split_past, split_trailing, windowed_distinct
-from tidemark.operators import audit, blend, history, learning, metrics, splits, static
+from tidemark.operators import audit, blend, history, intervals, learning, metrics, splits, static
 from tidemark.plans import feature_oracles as fo
 from tidemark.plans import transactions
 
@@ -167,7 +167,7 @@ def time_holdout(spark, d):
 
 @query("""with n as (select count(*) as n from events), o as (select event_id, row_number() over (order by ts, event_id) - 1 as i from events),
 f as (select n // 6 as size, n - 5 * (n // 6) as first from n)
-select event_id, cast(case when i < first and first - i <= 20 then -2 when i < first then -1 else (i - first) // size end as integer) as __fold__ from o, f""")
+select event_id, cast(case when i < first then -1 else (i - first) // size end as integer) as __fold__ from o, f""")
 def time_series_folds(spark, d):
     return splits.time_folds(_read(spark, d, "events").select("event_id", "ts"), 5, ("ts", "event_id"), 20).select("event_id", "__fold__")
 
@@ -187,6 +187,41 @@ def group_folds(spark, d):
     return e.groupBy("user_id").agg(F.count_distinct("__fold__").alias("folds"), F.count(F.lit(1)).alias("n"))
 
 
+# Folds with a gap between training and validation, and some that share training rows.
+GAP_FOLDS = (("2024-01-09", "2024-01-11", "2024-01-18"), ("2024-01-15", "2024-01-18", "2024-01-25"), ("2024-01-25", "2024-01-25", "2024-01-28"))
+_PLACED = "o as (select *, row_number() over (order by ts, event_id) - 1 as i from events), n as (select count(*) as n from events)"
+_STARTS = f"{_PLACED}, f as (select f, n - (5 - f) * (n // 6) as start, n // 6 as size from n, (select unnest(range(5)) as f))"
+
+
+@query(f"""with {_STARTS} select cast(f as integer) as fold, count(*) filter (i < start - 20) as n_train, count(*) filter (i >= start - 20 and i < start) as n_gap,
+count(*) filter (i >= start and i < start + size) as n_valid, max(ts) filter (i < start - 20) as train_last, min(ts) filter (i >= start) as valid_first from o, f group by f""")
+def fold_intervals(spark, d):
+    """Folds of equal rows with a gap of 20 before each: rows and edges of both parts."""
+    e = _read(spark, d, "events").select("event_id", "ts")
+    folds = intervals.by_rows(e, 5, ("ts", "event_id"), 20)
+    return folds.summary(e, "ts").select("fold", "n_train", "n_gap", "n_valid", "train_last", "valid_first")
+
+
+@query(f"with {_STARTS} select event_id, cast(f as integer) as fold, case when i < start - 20 then 'train' when i < start then 'gap' else 'valid' end as part from o, f where i < start + size")
+def fold_membership(spark, d):
+    """Every part that every row has in every fold."""
+    e = _read(spark, d, "events").select("event_id", "ts")
+    return intervals.by_rows(e, 5, ("ts", "event_id"), 20).membership(e).select("event_id", "fold", "part")
+
+
+@query(" union all ".join(f"select {k} as fold, count(*) filter (ts < timestamp '{a}') as n_train, count(*) filter (ts >= timestamp '{a}' and ts < timestamp '{b}') as n_gap, count(*) filter (ts >= timestamp '{b}' and ts < timestamp '{c}') as n_valid from events" for k, (a, b, c) in enumerate(GAP_FOLDS)))
+def calendar_intervals(spark, d):
+    e = _read(spark, d, "events").select("ts")
+    return intervals.calendar(GAP_FOLDS, "ts").summary(e).select("fold", "n_train", "n_gap", "n_valid")
+
+
+@query(f"""with {_PLACED}, k as (select n - cast(ceil(n * 0.2) as bigint) as start from n)
+select count(*) filter (i < start - 50) as n_train, count(*) filter (i >= start - 50 and i < start) as n_gap, count(*) filter (i >= start) as n_valid from o, k""")
+def holdout_interval(spark, d):
+    e = _read(spark, d, "events").select("event_id", "ts")
+    return intervals.holdout(e, 0.2, ("ts", "event_id"), 50).summary(e).select("n_train", "n_gap", "n_valid")
+
+
 # --- metrics -------------------------------------------------------------------
 
 
