@@ -99,3 +99,29 @@ def test_query(spark, data):
     want = brute([r["text"] for r in docs], 35)
     got = substring_dedup.query(spark, data).orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == [(d["doc_id"], n, k, hashlib.sha256(t.encode()).hexdigest()) for d, (n, k, t) in zip(docs, want)]
+
+
+@pytest.mark.parametrize("one_id", [None, 7])
+def test_a_hundred_thousand_equal_rows(spark, one_id):
+    """In linear time; another document that shares a window with them loses it, and short equal rows keep their words."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    words = [f"w{i}" for i in range(45)]
+    rows = [(1, " ".join(words[:40] + ["x"] * 5)), (2, " ".join(f"v{i}" for i in range(50)))]
+    few = spark.createDataFrame(rows, "doc_id long, text string")
+    many = spark.range(150_000).select(F.lit(one_id).cast("long").alias("doc_id"), F.when(F.col("id") < 100_000, " ".join(words)).otherwise("too short").alias("text"))
+    began = time.time()
+    got = {(r.doc_id, r.n_words, r.n_removed): r["count"] for r in substring_dedup.remove(few.unionByName(many)).groupBy("doc_id", "n_words", "n_removed").count().collect()}
+    assert got == {(one_id, 45, 45): 100_000, (one_id, 2, 0): 50_000, (1, 45, 40): 1, (2, 50, 0): 1}
+    assert time.time() - began < 120
+
+
+def test_rows_repeated_less_often(spark):
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"w{i}" for i in range(300))
+    many = spark.range(900).select(F.lit(3).cast("long").alias("doc_id"), F.lit(text).alias("text")).repartition(5)
+    got = substring_dedup.remove(many.unionByName(spark.createDataFrame([(3, "other " + text), (4, "short")], "doc_id long, text string"))).groupBy("n_words", "n_removed").count().collect()
+    assert {(r.n_words, r.n_removed): r["count"] for r in got} == {(300, 300): 900, (301, 300): 1, (1, 0): 1}

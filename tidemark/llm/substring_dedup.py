@@ -30,8 +30,11 @@ of depth ``WINDOW`` holds only windows that agree in it.
 Null and empty texts have no words and keep none. Repeated rows count as rows:
 their windows repeat. Rows are told apart by a 64-bit hash of id and text, so
 null ids, ids of any type and different texts under one id are compared like
-others. Other columns of the input may have any name. An empty table gives an
-empty result.
+others. Rows of one hash that are more than ``EQUAL`` and a thousandth of all (a
+thousand such hashes at most, which are broadcast) lose all their windows at once;
+one row stands for them in the comparison with others. Rows repeated less often have
+their places and stretches as sets. Other columns of the input may have any name. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,6 +53,8 @@ ANCHOR = 8
 HELD = 800_000  # windows that a map task compares with each other
 HEAVY = 5_000  # places of an anchor from which its windows are dealt by all their words
 BATCH = 300_000  # windows of a subtree batch, more only for one prefix
+EQUAL = 1_000  # equal rows from which one stands for all
+SHARE = 1_000  # and they are more than this part of all rows
 
 
 def anchors(w: _text.Words, h: np.ndarray, window: int, anchor: int):
@@ -82,6 +87,23 @@ def _base(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame
     return rows, own().filter("_text is null")
 
 
+def _equal(rows: DataFrame) -> DataFrame | None:
+    """``_key`` of rows that are repeated very often: ``SHARE`` keys at most."""
+    sizes = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > EQUAL)
+    total = rows.count()
+    found = [r["_key"] for r in sizes.filter(F.col("n") > total // SHARE).collect()]
+    return rows.sparkSession.createDataFrame([(k,) for k in found], "_key long") if found else None
+
+
+def _compared(rows: DataFrame, equal: DataFrame | None) -> DataFrame:
+    """The rows that are compared: all, but of those repeated very often one."""
+    if equal is None:
+        return rows
+    hot = F.broadcast(equal)  # SHARE rows at most
+    one = rows.join(hot, "_key", "left_semi").groupBy("_key").agg(F.first("_doc").alias("_doc"), F.first("_text").alias("_text"))
+    return rows.join(hot, "_key", "left_anti").unionByName(one.select("_doc", "_text", "_key"))
+
+
 def anchor_places(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     """``prefix, places``: where each anchor is, one row for each map task's share of it."""
 
@@ -259,11 +281,15 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
         raise ValueError("the anchor must be shorter than the window, by 61 words at most")
     _spark.small_batches(docs.sparkSession)
     rows, _ = _base(docs, doc_id, text)
+    return _repeats(_compared(rows, _equal(rows)), window, anchor)
+
+
+def _repeats(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     # made twice: hashing the texts again costs less than a table of all anchors
     places = anchor_places(rows, window, anchor)
     counts = places.groupBy("prefix").agg(F.sum(F.size("places").cast("long")).alias("n")).filter("n > 1")
     shared = places.join(counts, "prefix").select(F.explode("places").alias("p"), (F.col("n") > HEAVY).alias("heavy"))
-    marks = shared.groupBy(F.col("p._id").alias("_id")).agg(F.collect_list(F.struct(F.col("p.word").alias("word"), "heavy")).alias("_marks"))
+    marks = shared.groupBy(F.col("p._id").alias("_id")).agg(F.collect_set(F.struct(F.col("p.word").alias("word"), "heavy")).alias("_marks"))
     marked = rows.join(marks, F.col("_key") == F.col("_id")).select("_id", "_text", "_marks", "_doc")  # the id only so that the texts' exchange is the same as in ``remove``
     made = fragments(marked, window, anchor)
     # what is known already only has to find its document
@@ -299,11 +325,21 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` of every row: ``kept`` has the words left, joined by one space."""
-    found = repeats(docs, doc_id, text, window, anchor)
-    spans = found.groupBy("_id").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
-    rows, others = _base(docs, doc_id, text)
+    if not 0 <= window - anchor < 62 or anchor < 1:
+        raise ValueError("the anchor must be shorter than the window, by 61 words at most")
+    _spark.small_batches(docs.sparkSession)
+    everything, others = _base(docs, doc_id, text)
+    equal = _equal(everything)
+    rows = _compared(everything, equal)
+    found = _repeats(rows, window, anchor)
+    spans = found.groupBy("_id").agg(F.collect_set(F.struct("first", "last")).alias("_spans"))
+    if equal is not None:  # the one that stands for them has no row of its own in the result
+        rows = everything.join(F.broadcast(equal), "_key", "left_anti")
     joined = rows.join(spans, F.col("_key") == F.col("_id"), "left").select("_doc", "_text", "_spans")
     joined = joined.unionByName(others.withColumn("_spans", F.lit(None).cast("array<struct<first: long, last: long>>")))
+    if equal is not None:
+        hot = everything.join(F.broadcast(equal), "_key", "left_semi").select("_doc", "_text")
+        joined = joined.unionByName(hot.withColumn("_spans", F.expr("array(named_struct('first', 0L, 'last', -1L))")))
 
     def run(batches):
         for batch in batches:
@@ -317,7 +353,10 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
                 words = raw[offs[i] : offs[i + 1]].split()
                 a, b = bounds[i], bounds[i + 1]
                 gone = 0
-                if b > a:
+                if b > a and last[a] < 0:  # all windows, where there is one
+                    gone = len(words) if len(words) >= window else 0
+                    kept = words if not gone else []
+                elif b > a:
                     level = np.zeros(len(words) + 1, np.int64)
                     np.add.at(level, np.minimum(first[a:b], len(words)), 1)
                     np.add.at(level, np.minimum(last[a:b], len(words)), -1)
