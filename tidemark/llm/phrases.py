@@ -43,11 +43,11 @@ LONGEST = 4
 TOP = 2_000
 INSIDE = (80, 100)  # a phrase goes if a longer one around it has this share of its occurrences
 SCALE = 2_000_000
-HELD = 3_000_000  # words that a map task combines before they leave it
+HELD = 1_500_000  # words that a map task combines before they leave it
 HOT = 200_000  # occurrences of a word from which prefixes that end in it are made longer
 SHARE = 100_000  # hot words have more than this part of all words, so they are no more than this
 DENSE = 1 << 22
-BUCKET = 2_000_000  # words of the text for each bucket of prefixes
+BUCKET = 1_000_000  # words of the text for each bucket of prefixes
 UNKNOWN = "und"
 
 _GAPS = np.zeros(256, bool)
