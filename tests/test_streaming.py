@@ -51,3 +51,127 @@ def test_late_rows_are_counted(spark, tmp_path):
             assert late_rows(q) == 1
     got = spark.read.parquet(f"{tmp_path}/out").orderBy("us").collect()
     assert [(r["transaction_id"], r["customer_prior_count"]) for r in got] == [("0", 0), ("1", 1), ("2", 2), ("4", 3)]
+
+
+def _rows(n, seed=3):
+    r, t, rows = random.Random(seed), 0, []
+    for i in range(n):
+        t += r.choice([0, 0, 1, 1800, 3600, 86400, 200000])
+        rows.append((str(i), r.choice("abc"), r.choice(["d", None]), r.choice("mn"), r.choice(["x", None]), r.choice(["l", "k"]), float(r.randint(1, 99)), dt.datetime(2026, 1, 1) + dt.timedelta(seconds=t), r.choice([1, 2, 5])))
+    return rows
+
+
+END = ("end", *["z"] * 5, 1.0, dt.datetime(2030, 1, 1), 1)
+
+
+def _written(spark, path, rows, each=15):
+    for k in range(0, len(rows), each):
+        spark.createDataFrame(rows[k : k + each], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+
+
+def _ran(spark, tmp_path, families, name, **how):
+    events = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in{name}")
+    q = stream_features(events, families, **how).writeStream.format("parquet").option("path", f"{tmp_path}/out{name}").option("checkpointLocation", f"{tmp_path}/c{name}").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{tmp_path}/out{name}").toPandas().set_index("transaction_id").sort_index()
+
+
+def _equal(a, b, columns):
+    assert list(a.index) == list(b.index)
+    for c in columns:
+        x, y = a[c].astype(float), b[c].astype(float)
+        assert (x.isna() == y.isna()).all() and not ((x - y).abs() > 1e-6).any(), c
+
+
+MIXED = ["device_sharing", "customer_history", "merchant_new_customers", "customer_merchant", "amount_30d", "merchant_acceleration"]
+
+
+def test_families_of_several_keys_in_one_stream(spark, tmp_path):
+    rows = _rows(60)
+    _written(spark, f"{tmp_path}/in", [*rows, END])
+    a = _ran(spark, tmp_path, MIXED, "")
+    b = history.features(spark.createDataFrame(rows, SCHEMA), MIXED).toPandas().set_index("transaction_id").sort_index()
+    _equal(a, b, [c for f in MIXED for c in history.FAMILIES[f].columns()])
+
+
+@pytest.mark.parametrize("families", [["customer_history"], ["customer_history", "merchant_amount"]])
+def test_late_rows_come_out_with_their_reason(spark, tmp_path, families):
+    at = lambda h: dt.datetime(2027, 3, 1) + dt.timedelta(hours=h)
+    row = lambda i, h: (str(i), "a", "d", "m", "x", "l", 5.0, at(h), 1)
+    for rows in ([row(0, 0), row(1, 10)], [row(2, 20)], [row(3, 1), row(4, 30)], [row(5, 2), row(6, 1000)], [row(7, 3)]):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        got = _ran(spark, tmp_path, families, "", late="mark")
+    late = got[got["late"].notna()]
+    assert sorted(late.index) == ["3", "5", "7"] and late["customer_prior_count"].isna().all()
+    assert late.loc["3", "late"] == f"{(20 - 1) * 3600 * 10**6} us behind the watermark"
+    on_time = got[got["late"].isna()].sort_values("us")
+    assert list(on_time.index) == ["0", "1", "2", "4"] and list(on_time["customer_prior_count"]) == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("families", [["customer_history", "amount_30d", "customer_new_merchants", "account_consistency"], MIXED])
+def test_another_query_goes_on_from_a_snapshot(spark, tmp_path, families):
+    from tidemark.streaming.history import snapshot
+
+    rows = _rows(60, 8)
+    cut = next(i for i in range(30, 60) if rows[i][7] > rows[i - 1][7])
+    _written(spark, f"{tmp_path}/in1", rows[:cut])
+    first = _ran(spark, tmp_path, families, "1")
+    states = {}
+    for lead, df in snapshot(spark, f"{tmp_path}/c1", families).items():
+        df.write.parquet(f"{tmp_path}/state{lead}")
+        states[lead] = spark.read.parquet(f"{tmp_path}/state{lead}")
+        assert states[lead].filter("map = 'head'").count() <= 3
+        assert states[lead].filter("map = 'log'").count() <= cut
+    _written(spark, f"{tmp_path}/in2", [*rows[cut:], END])
+    second = _ran(spark, tmp_path, families, "2", snapshots=states)
+    assert len(first) + len(second) == 60  # rows that waited come out of the second
+    import pandas as pd
+
+    b = history.features(spark.createDataFrame(rows, SCHEMA), families).toPandas().set_index("transaction_id").sort_index()
+    _equal(pd.concat([first, second]).sort_index(), b, [c for f in families for c in history.FAMILIES[f].columns()])
+
+
+def _dense(n, per_day):
+    r = random.Random(n)
+    step = 86_400_000_000 // per_day
+    return [{"us": 10**15 + i * step, "_x": float(r.randint(0, 9)), "_y": r.random() * 5, "_c": f"c{r.randrange(50)}", "_d": "d", "_m": f"m{r.randrange(20)}", "_l": "l", "_g": "g", "_part": 1, "_wday": 2, "_born": 3} for i in range(n)]
+
+
+def test_work_of_a_row_does_not_grow_with_its_key():
+    """Entries of the state that a row reads and writes, for a key with few and with very many rows a day; and the results."""
+    from tidemark.functions.windows import DAY
+    from tidemark.streaming.history import KeyState
+    from tidemark.streaming.state import Held
+
+    families, cost = ["merchant_new_customers", "merchant_history"], {}
+    for per_day in (50, 100_000):
+        held, rows, touched = Held(), _dense(4_000, per_day), []
+        for i, r in enumerate(rows):
+            before = held.touched
+            state = KeyState(families, held)
+            got = state.read(r)
+            state.add([r])
+            state.save()
+            touched.append(held.touched - before)
+            if i % 997 == 0:
+                week, day = ([x for x in rows[:i] if x["us"] > r["us"] - w] for w in (7 * DAY, DAY))
+                assert got["merchant_unique_customers_24h"] == len({x["_c"] for x in rows[:i] if x["us"] >= r["us"] - DAY})
+                first = {}
+                for x in rows[:i]:
+                    first.setdefault(x["_c"], x["us"])
+                assert got["merchant_new_customers_7d"] == sum(t > r["us"] - 7 * DAY for t in first.values())
+                assert abs(got["merchant_new_customer_share_24h"] - (sum(t > r["us"] - DAY for t in first.values()) / len({x["_c"] for x in day}) if day else 0.0)) < 1e-12 and len(week) >= len(day)
+        cost[per_day] = sum(touched[2_000:]) / 2_000
+    assert cost[100_000] <= cost[50] * 1.05 and cost[50] < 60
+    state = KeyState(families, held)
+    state.log.passed(rows[-1]["us"] + 8 * DAY)
+    state.save()
+    assert not held.maps["log"] and not held.maps["inside"]
+
+
+def test_deviation_of_equal_amounts_is_zero():
+    from tidemark.streaming.state import deviation, mean_of, whole
+
+    for x in (1e9, 0.1, 20.723265836946414):
+        n, y = 999, whole(x)
+        assert deviation(n, n * y, n * y * y) == 0.0 and mean_of(n * y, n) == x

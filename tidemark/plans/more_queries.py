@@ -10,7 +10,7 @@ from tidemark.functions.windows import parse_time
 from tidemark.operators import audit, blend, history, intervals, learning, metrics, splits, static
 from tidemark.plans import experiment, transactions
 from tidemark.plans import feature_oracles as fo
-from tidemark.plans.queries import D, EVENT_FOLDS, OOF, SCORED, WINDOWS, _STARTS, _ap_sql, _at, _oof, _read, _scored, query, rounded
+from tidemark.plans.queries import D, EVENT_FOLDS, OOF, SCORED, SPLIT, WINDOWS, _STARTS, _ap_sql, _at, _oof, _read, _scored, query, rounded
 from tidemark.session import shared_path
 from tidemark.sources import tables
 
@@ -129,33 +129,68 @@ def column_roles(spark, d):
 # --- the stream ---------------------------------------------------------------------
 
 _STREAMED = ("customer_history", "customer_merchant", "customer_velocity", "account_consistency")
+_SEVERAL = ("merchant_new_customers", "customer_history", "device_sharing", "amount_30d")
 
 
-def _stream_sql() -> str:
-    extra, source = fo._extra("account_consistency")
-    cols = ", ".join(fo.rounded(c, e, D) for f in _STREAMED for c, e in fo.FAMILY_SQL[f].items())
-    return f"with {fo.EVENTS}, {fo.MORE}{extra} select cast(transaction_id as varchar) as transaction_id, us, {cols} from {source} where cast(c as integer) % 25 = 3"
+def _stream_sql(families) -> str:
+    more, source = "", "t"
+    if "account_consistency" in families:
+        more, source = fo._extra("account_consistency")
+    cols = ", ".join(fo.rounded(c, e, D) for f in families for c, e in fo.FAMILY_SQL[f].items())
+    return f"with {fo.EVENTS}, {fo.MORE}{more} select cast(transaction_id as varchar) as transaction_id, us, {cols} from {source}"
 
 
-@query(_stream_sql())
-def stream_history(spark, d):
-    """The events of some customers as a stream of files: features equal to those of the batch."""
+def _stream_in(spark, d, path, condition=None, closing=True):
+    """The events as files of a stream, in the order of their times, with a closing row."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    path = shared_path(spark, "stream")
-    e = transactions.event_stream(spark, d).filter(F.col("customer_id").cast("int") % 25 == 3).drop("device_type").withColumn("transaction_id", F.col("transaction_id").cast("string"))
-    e.repartitionByRange(3, "timestamp").write.parquet(f"{path}/in")
-    end = e.limit(1).withColumns({"transaction_id": F.lit("end"), "customer_id": F.lit("end"), "timestamp": _at("2100-01-01")})
-    end.write.mode("append").parquet(f"{path}/in")
+    e = transactions.event_stream(spark, d).drop("device_type").withColumn("transaction_id", F.col("transaction_id").cast("string"))
+    own = e if condition is None else e.filter(condition)
+    own.repartitionByRange(3, "timestamp").write.parquet(path)
+    if closing:
+        end = e.limit(1).withColumns({"transaction_id": F.lit("end"), "customer_id": F.lit("end"), "merchant_id": F.lit("end"), "device_id": F.lit("end"), "timestamp": _at("2100-01-01")})
+        end.write.mode("append").parquet(path)
+    return spark.readStream.schema(e.schema).parquet(path)
+
+
+def _streamed(spark, events, families, path, **how):
     from tidemark.streaming.history import stream_features
 
-    events = spark.readStream.schema(e.schema).parquet(f"{path}/in")
-    q = stream_features(events, _STREAMED).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q = stream_features(events, families, **how).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
+    cols = [c for f in families for c in fo.FAMILY_SQL[f]]
     out = spark.read.parquet(f"{path}/out")
-    cols = [c for f in _STREAMED for c in fo.FAMILY_SQL[f]]
     return out.select("transaction_id", "us", *[F.round(F.col(c) + fo.NUDGE, fo.digits_of(c, D)).alias(c) if fo.is_float(c) else F.col(c).cast("long").alias(c) for c in cols])
 
 
+@query(_stream_sql(_STREAMED))
+def stream_history(spark, d):
+    """The events as a stream of files: features equal to those of the batch."""
+    path = shared_path(spark, "stream")
+    return _streamed(spark, _stream_in(spark, d, f"{path}/in"), _STREAMED, path)
+
+
+@query(_stream_sql(_SEVERAL))
+def stream_several_keys(spark, d):
+    """Families of merchants, customers and devices from one streaming query."""
+    path = shared_path(spark, "stream")
+    return _streamed(spark, _stream_in(spark, d, f"{path}/in"), _SEVERAL, path)
+
+
+@query(_stream_sql(_STREAMED))
+def stream_continued(spark, d):
+    """A query that stops in the middle of the events, a snapshot of its state, and another that goes on from it."""
+    from tidemark.streaming.history import snapshot
+
+    path = shared_path(spark, "stream")
+    first = _streamed(spark, _stream_in(spark, d, f"{path}/1/in", F.col("timestamp") < _at(SPLIT), closing=False), _STREAMED, f"{path}/1")
+    states = {}
+    for lead, df in snapshot(spark, f"{path}/1/state", _STREAMED).items():
+        df.write.parquet(f"{path}/snapshot{lead}")
+        states[lead] = spark.read.parquet(f"{path}/snapshot{lead}")
+    second = _streamed(spark, _stream_in(spark, d, f"{path}/2/in", F.col("timestamp") >= _at(SPLIT)), _STREAMED, f"{path}/2", snapshots=states)
+    return first.unionByName(second)
+
+
 # --- subsets and profiles of features ------------------------------------------
 
 

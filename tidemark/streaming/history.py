@@ -1,16 +1,22 @@
 """The history families over a stream, equal to the batch ones.
 
-One stateful processor runs for each leading key (customer, device, merchant).
-Rows wait until the watermark has passed their time, so that all rows of a tie
-are there; then each reads the state, and only afterwards all of them join it.
-An event-time timer at a row's time does the waking up. The last tie of a
-stream comes out once a later time has been seen, such as a closing row.
-
-State of a key: a small head (lifetime sums, numbers of partners), a map of its
-partners' counts and last times, of which a row touches its own, and the rows of
-the longest window that the families read in buckets of time; older buckets are
-dropped. Waiting rows lie in a map by their time. Rows behind the watermark are
-dropped by the engine; ``late_rows`` tells how many.
+One stateful operator runs for each leading key (customer, device, merchant); families of
+several keys are operators one after the other, each adding its columns, in one query.
+Rows wait until the watermark has passed their time, so that all rows of a tie are there;
+then each reads the state, and only afterwards all of them join it. An event-time timer
+at a row's time does the waking up. The last tie of a stream comes out once a later time
+has been seen, such as a closing row.
+
+A key's state (:mod:`tidemark.streaming.state`) is a head with lifetime sums, a map of its
+partners' counts and last times, of which a row touches its own, and a log of recent rows
+with a cursor for each window. What a row costs doesn't depend on how busy its key is.
+
+Rows behind the watermark can't be given features any more. ``late="drop"`` leaves them to
+the engine, which counts them; ``late="mark"`` lets the first operator return them at
+once, without features, with what was wrong in a column ``late``.
+
+``snapshot`` reads a query's state into a table, one row for each entry, and another query
+goes on from it: rows that were still waiting come out there.
 """
 
 from __future__ import annotations
@@ -22,127 +28,65 @@ from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions.windows import DAY, HOUR, SECOND
 from tidemark.operators.history import FAMILIES, prepare
+from tidemark.streaming.state import HEAD, MAPS, Held, Log, Stored, Trailing, deviation, dumped, loaded, mean_of, whole
 
 FIELDS = ("us", "_x", "_y", "_c", "_d", "_m", "_l", "_g", "_part", "_wday", "_born")
-#: How long each family looks back, and the partner columns that it counts.
-REACH = {"customer_velocity_1h": HOUR, "device_velocity_1h": HOUR, "customer_velocity": 7 * DAY, "device_velocity": 7 * DAY, "amount_30d": 30 * DAY, "merchant_history": DAY, "device_sharing": 7 * DAY, "customer_new_merchants": 30 * DAY, "merchant_new_customers": 7 * DAY, "merchant_acceleration": 2 * HOUR}
+WHOLE = ("us", "_part", "_wday", "_born")
+TIME = "event_time"
+KEYS = 1_000  # whose state a task remembers within a batch
+_HOUR, _DAY, _WEEK = Trailing(HOUR), Trailing(DAY), Trailing(7 * DAY)
+#: The windows that each family reads, and the partner columns that it counts.
+WINDOWS = {
+    "customer_velocity_1h": (_HOUR,), "device_velocity_1h": (_HOUR,), "customer_velocity": (_HOUR, _DAY, _WEEK), "device_velocity": (_HOUR, _DAY, _WEEK),
+    "amount_30d": (Trailing(30 * DAY),), "merchant_history": (Trailing(DAY, kind="_c"),), "device_sharing": (Trailing(DAY, kind="_c"), Trailing(7 * DAY, kind="_c")),
+    "customer_new_merchants": (Trailing(7 * DAY, True, "_m"), Trailing(30 * DAY, True, "_m")), "merchant_new_customers": (Trailing(DAY, True, "_c"), Trailing(7 * DAY, True, "_c")),
+    "merchant_acceleration": (_HOUR, Trailing(2 * HOUR)),
+}
 PARTNERS = {"customer_device": "_d", "customer_location": "_l", "device_global": "_c", "customer_merchant": "_m", "customer_category": "_g", "merchant_history": "_c", "device_sharing": "_c", "customer_new_merchants": "_m", "merchant_new_customers": "_c", "device_location": "_l", "device_merchant": "_m", "merchant_location": "_l", "account_consistency": "_born"}
 PAIRS = {"customer_device": ("new", True, None), "customer_location": ("new", True, None), "customer_merchant": ("is_new", True, 0.0), "customer_category": ("is_new", True, 0.0), "device_location": ("is_new", True, None), "device_merchant": (None, False, 0.0), "merchant_location": (None, False, 0.0)}
 
 
-class Held:
-    """A key's state in plain dictionaries: what a processor's handle keeps in maps."""
-
-    def __init__(self) -> None:
-        self.head: str | None = None
-        self.partners: dict[tuple[str, str], tuple[int, int]] = {}
-        self.buckets: dict[int, str] = {}
-
-    def read_head(self) -> str | None:
-        return self.head
-
-    def write_head(self, value: str) -> None:
-        self.head = value
-
-    def partner(self, kind: str, value: str) -> tuple[int, int] | None:
-        return self.partners.get((kind, value))
-
-    def set_partner(self, kind: str, value: str, n: int, last: int) -> None:
-        self.partners[kind, value] = (n, last)
-
-    def bucket(self, at: int) -> str | None:
-        return self.buckets.get(at)
-
-    def set_bucket(self, at: int, rows: str | None) -> None:
-        if rows is None:
-            self.buckets.pop(at, None)
-        else:
-            self.buckets[at] = rows
-
-
-class InHandle(Held):
-    """The same in the state store."""
-
-    def __init__(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("head", "value string")
-        self.map = handle.getMapState("partners", "kind string, value string", "n long, last long")
-        self.rows = handle.getMapState("recent", "at long", "rows string")
-
-    def read_head(self) -> str | None:
-        return self.value.get()[0] if self.value.exists() else None
-
-    def write_head(self, value: str) -> None:
-        self.value.update((value,))
-
-    def partner(self, kind: str, value: str) -> tuple[int, int] | None:
-        return self.map.getValue((kind, value))
-
-    def set_partner(self, kind: str, value: str, n: int, last: int) -> None:
-        self.map.updateValue((kind, value), (n, last))
-
-    def bucket(self, at: int) -> str | None:
-        found = self.rows.getValue((at,))
-        return found[0] if found else None
-
-    def set_bucket(self, at: int, rows: str | None) -> None:
-        if rows is None:
-            self.rows.removeKey((at,))
-        else:
-            self.rows.updateValue((at,), (rows,))
-
-
 class KeyState:
     """What is remembered of one key; ``save`` writes what has changed."""
 
     def __init__(self, families: Sequence[str], held: Held):
         self.families, self.held = families, held
-        self.reach = max([REACH.get(f, 0) for f in families], default=0)
-        self.width = DAY if self.reach > 2 * DAY else HOUR
         self.kinds = sorted({PARTNERS[f] for f in families if f in PARTNERS} | ({"_part", "_wday"} if "temporal_habits" in families else set()))
-        raw = held.read_head()
-        s = json.loads(raw) if raw else {}
-        self.sums = s.get("sums", [0, None, None, 0.0, 0.0, 0.0])  # n, first, last, x, y, y squared
-        self.numbers = s.get("numbers", {k: 0 for k in self.kinds})  # of partners, by kind
-        self.news = s.get("news", {})  # kind -> last time of a new partner
-        self.mode = s.get("mode")  # rows and day of the most frequent creation day, the earliest on ties
-        self.places = s.get("places", [])  # buckets that there are, in order
-        self.buckets: dict[int, list] = {}  # those read: rows of us, x, y, partners, kinds that were new
-        self.changed: set[int] = set()
+        self.n, self.first, self.last, x, y, yy, *mode, following, oldest, self.purge = held.get_head()
+        self.x, self.y, self.yy, self.mode = int(x), int(y), int(yy), mode  # rows and day of the most frequent creation day, the earliest on ties
+        self.log = Log(held, sorted({w for f in families for w in WINDOWS.get(f, ())}, key=lambda w: w.name), following, oldest)
         self.known: dict[tuple[str, str], tuple[int, int | None]] = {}
+        self.numbers: dict[str, tuple[int, int | None]] = {}  # of partners, and the time of the last new one
+        self.changed: set[tuple] = set()
 
     def save(self) -> None:
-        for at in self.changed:
-            self.held.set_bucket(at, json.dumps(self.buckets[at]))
-        if self.places and self.sums[2] is not None:
-            old = [at for at in self.places if (at + 1) * self.width <= self.sums[2] - self.reach]
-            for at in old:
-                self.held.set_bucket(at, None)
-            self.places = self.places[len(old) :]
-        self.held.write_head(json.dumps({"sums": self.sums, "numbers": self.numbers, "news": self.news, "mode": self.mode, "places": self.places}))
-
-    def _bucket(self, at: int) -> list:
-        if at not in self.buckets:
-            raw = self.held.bucket(at) if at in self.places else None
-            self.buckets[at] = json.loads(raw) if raw else []
-        return self.buckets[at]
+        self.log.save()
+        for key in self.changed:
+            if len(key) == 1:
+                self.held.put("kinds", key, self.numbers[key[0]])
+            else:
+                self.held.put("partners", key, self.known[key])
+        self.changed = set()
+        self.held.set_head((self.n, self.first, self.last, str(self.x), str(self.y), str(self.yy), *self.mode, self.log.next, self.log.oldest, self.purge))
 
     def _partner(self, kind: str, value) -> tuple[int, int | None]:
         """Rows with the partner and the time of the last."""
         key = (kind, str(value))
         if key not in self.known:
-            self.known[key] = tuple(self.held.partner(*key) or (0, None))
+            self.known[key] = self.held.get("partners", *key) or (0, None)
         return self.known[key]
 
-    def _rows(self, t: int, width: int, open_left: bool = False, until: int = 0) -> list:
-        low = t - width + int(open_left)
-        return [r for at in self.places if low // self.width <= at <= t // self.width for r in self._bucket(at) if low <= r[0] < t - until]
+    def _number(self, kind: str) -> tuple[int, int | None]:
+        if kind not in self.numbers:
+            self.numbers[kind] = self.held.get("kinds", kind) or (0, None)
+        return self.numbers[kind]
 
     def read(self, row: dict) -> dict[str, Any]:
         out: dict[str, Any] = {}
@@ -154,13 +98,13 @@ class KeyState:
         return None if at is None else (t - at) / SECOND
 
     def _amounts(self, p: str, row: dict) -> dict[str, Any]:
-        n, _, _, sx, sy, sq = self.sums
-        mean, log_mean = (sx / n, sy / n) if n else (None, None)
-        std = math.sqrt(max(sq / n - log_mean**2, 0.0)) if n else None
+        n = self.n
+        mean, log_mean, std = (mean_of(self.x, n), mean_of(self.y, n), deviation(n, self.y, self.yy)) if n else (None, None, None)
         return {f"{p}_prior_mean_amount": mean, f"{p}_prior_mean_log_amount": log_mean, f"{p}_prior_std_log_amount": std, f"{p}_amount_to_prior_mean": row["_x"] / (mean + 1) if n else None, f"{p}_log_amount_zscore": (row["_y"] - log_mean) / max(std, 0.1) if n >= 5 else None}
 
     def _family(self, f: str, row: dict) -> dict[str, Any]:
-        t, (n, first, last, sx, sy, _) = row["us"], self.sums
+        t, n, first, last = row["us"], self.n, self.first, self.last
+        frames = [self.log.until(w, t) for w in WINDOWS.get(f, ())]
         if f in PAIRS:
             new, recency, empty = PAIRS[f]
             own, at = self._partner(PARTNERS[f], row[PARTNERS[f]])
@@ -171,164 +115,261 @@ class KeyState:
                 out[f"{f}_seconds_since_last"] = self._since(t, at)
             return out
         if f == "customer_history":
-            return {"customer_prior_count": n, "customer_first_seen": int(n == 0), "customer_seconds_since_last": self._since(t, last), "customer_observed_age_seconds": self._since(t, first), **self._amounts("customer", row), "customer_log_amount_minus_prior_mean": row["_y"] - sy / n if n else None}
+            return {"customer_prior_count": n, "customer_first_seen": int(n == 0), "customer_seconds_since_last": self._since(t, last), "customer_observed_age_seconds": self._since(t, first), **self._amounts("customer", row), "customer_log_amount_minus_prior_mean": row["_y"] - mean_of(self.y, n) if n else None}
         if f == "merchant_amount":
             return self._amounts("merchant", row)
         if f == "device_global":
-            kinds, own = self.numbers["_c"], self._partner("_c", row["_c"])[0]
+            kinds, own = self._number("_c")[0], self._partner("_c", row["_c"])[0]
             return {"device_prior_count": n, "device_prior_distinct_customer_count": kinds, "device_prior_distinct_customer_count_excluding_current": kinds - int(own > 0), "device_seconds_since_last": self._since(t, last), "device_observed_age_seconds": self._since(t, first), "device_prior_other_customer_transaction_count": n - own, "customer_share_of_device_prior_transactions": own / n if n else None}
         if f.endswith("velocity_1h"):
-            return {f"{f.split('_')[0]}_prior_1h_count": len(self._rows(t, HOUR))}
+            return {f"{f.split('_')[0]}_prior_1h_count": frames[0][1]}
         if f in ("customer_velocity", "device_velocity"):
             p = f.split("_")[0]
-            a, b, c = (len(self._rows(t, w)) for w in (HOUR, DAY, 7 * DAY))
+            a, b, c = (w[1] for w in frames)
             return {f"{p}_prior_1h_count": a, f"{p}_prior_24h_count": b, f"{p}_prior_7d_count": c, f"{p}_1h_vs_7d_rate_ratio": (a + 1) / (c / 168 + 1)}
         if f == "amount_30d":
-            rows = self._rows(t, 30 * DAY)
-            mean, log_mean = (math.fsum(r[i] for r in rows) / len(rows) for i in (1, 2)) if rows else (None, None)
-            return {"customer_30d_count": len(rows), "customer_30d_mean_amount": mean, "customer_30d_mean_log_amount": log_mean, "customer_amount_to_30d_mean": row["_x"] / (mean + 1) if rows else None, "customer_log_amount_minus_30d_mean": row["_y"] - log_mean if rows else None, "customer_30d_to_lifetime_mean_ratio": (mean + 1) / (sx / n + 1) if rows else None}
+            _, k, x, y, *_ = frames[0]
+            mean, log_mean = (mean_of(x, k), mean_of(y, k)) if k else (None, None)
+            return {"customer_30d_count": k, "customer_30d_mean_amount": mean, "customer_30d_mean_log_amount": log_mean, "customer_amount_to_30d_mean": row["_x"] / (mean + 1) if k else None, "customer_log_amount_minus_30d_mean": row["_y"] - log_mean if k else None, "customer_30d_to_lifetime_mean_ratio": (mean + 1) / (mean_of(self.x, n) + 1) if k else None}
         if f == "merchant_history":
-            rows = self._rows(t, DAY)
-            return {"merchant_prior_transaction_count": n, "merchant_seconds_since_last": self._since(t, last), "merchant_prior_unique_customers": self.numbers["_c"], "merchant_transactions_24h": len(rows), "merchant_unique_customers_24h": len({r[3]["_c"] for r in rows})}
+            return {"merchant_prior_transaction_count": n, "merchant_seconds_since_last": self._since(t, last), "merchant_prior_unique_customers": self._number("_c")[0], "merchant_transactions_24h": frames[0][1], "merchant_unique_customers_24h": frames[0][5]}
         if f == "device_sharing":
             out = {}
-            for name, w in (("24h", DAY), ("7d", 7 * DAY)):
-                kinds = {r[3]["_c"] for r in self._rows(t, w)}
-                out |= {f"device_unique_customers_{name}": len(kinds), f"device_other_customers_{name}": len(kinds) - int(row["_c"] in kinds)}
-            return out | {"device_7d_unique_to_lifetime_unique_ratio": out["device_unique_customers_7d"] / max(self.numbers["_c"], 1)}
+            for name, w, frame in zip(("24h", "7d"), WINDOWS[f], frames, strict=True):
+                out |= {f"device_unique_customers_{name}": frame[5], f"device_other_customers_{name}": frame[5] - int(self.log.holds(w, t, str(row["_c"])))}
+            return out | {"device_7d_unique_to_lifetime_unique_ratio": out["device_unique_customers_7d"] / max(self._number("_c")[0], 1)}
         if f == "customer_new_merchants":
             out = {}
-            for name, d in (("7d", 7), ("30d", 30)):
-                rows = self._rows(t, d * DAY, True)
-                new = sum("_m" in r[4] for r in rows)
-                out |= {f"customer_new_merchants_{name}": new, f"customer_new_merchant_share_{name}": new / len(rows) if rows else 0.0}
-            return out | {"customer_seconds_since_last_new_merchant": self._since(t, self.news.get("_m"))}
+            for name, frame in zip(("7d", "30d"), frames, strict=True):
+                out |= {f"customer_new_merchants_{name}": frame[4], f"customer_new_merchant_share_{name}": frame[4] / frame[1] if frame[1] else 0.0}
+            return out | {"customer_seconds_since_last_new_merchant": self._since(t, self._number("_m")[1])}
         if f == "merchant_new_customers":
             out = {}
-            for name, d in (("24h", 1), ("7d", 7)):
-                rows = self._rows(t, d * DAY, True)
-                new, kinds = sum("_c" in r[4] for r in rows), len({r[3]["_c"] for r in rows})
-                out |= {f"merchant_new_customers_{name}": new, f"merchant_new_customer_share_{name}": new / kinds if kinds else 0.0}
-            return out | {"merchant_seconds_since_last_new_customer": self._since(t, self.news.get("_c"))}
+            for name, frame in zip(("24h", "7d"), frames, strict=True):
+                out |= {f"merchant_new_customers_{name}": frame[4], f"merchant_new_customer_share_{name}": frame[4] / frame[5] if frame[5] else 0.0}
+            return out | {"merchant_seconds_since_last_new_customer": self._since(t, self._number("_c")[1])}
         if f == "temporal_habits":
             of = lambda k: self._partner(k, row[k])[0] / n if n else 0.0
             return {"customer_daypart_share": of("_part"), "customer_weekday_share": of("_wday")}
         if f == "merchant_acceleration":
-            a, b = len(self._rows(t, HOUR)), len(self._rows(t, 2 * HOUR, until=HOUR))
-            return {"merchant_transactions_1h": a, "merchant_log_rate_change_1h_vs_previous_1h": math.log1p(a) - math.log1p(b)}
+            hour, two = frames[0][1], frames[1][1]
+            return {"merchant_transactions_1h": hour, "merchant_log_rate_change_1h_vs_previous_1h": math.log1p(hour) - math.log1p(two - hour)}
         if f == "account_consistency":
-            if row["_born"] is None or not self.mode:
+            if row["_born"] is None or not self.mode[0]:
                 return {"customer_creation_day_deviation": 0, "customer_creation_day_abs_deviation": 0, "customer_creation_day_mode_share": 0.0}
             k, day = self.mode
-            off = int(row["_born"]) - day
+            off = row["_born"] - day
             return {"customer_creation_day_deviation": off, "customer_creation_day_abs_deviation": abs(off), "customer_creation_day_mode_share": k / n}
         raise ValueError(f)
 
     def add(self, rows: list[dict]) -> None:
         """A whole tie joins the state."""
         for r in rows:
-            s, t = self.sums, r["us"]
-            s[0], s[1], s[2] = s[0] + 1, t if s[1] is None else s[1], t
-            if r["_x"] is not None:
-                s[3], s[4], s[5] = s[3] + r["_x"], s[4] + r["_y"], s[5] + r["_y"] ** 2
-            new = []
+            t, y = r["us"], whole(r["_y"])
+            self.n, self.first, self.last = self.n + 1, t if self.first is None else self.first, t
+            self.x, self.y, self.yy = self.x + whole(r["_x"]), self.y + y, self.yy + y * y
+            fresh = []
             for k in self.kinds:
                 if r[k] is None:
                     continue
                 before, _ = self._partner(k, r[k])
                 if not before:
-                    new.append(k)
-                    self.news[k] = t
-                    self.numbers[k] += 1
+                    fresh.append(k)
+                    self.numbers[k] = (self._number(k)[0] + 1, t)
+                    self.changed.add((k,))
                 self.known[k, str(r[k])] = (before + 1, t)
-                self.held.set_partner(k, str(r[k]), before + 1, t)
-                if k == "_born" and (self.mode is None or (before + 1, -int(r[k])) > (self.mode[0], -self.mode[1])):
-                    self.mode = [before + 1, int(r[k])]
-            if self.reach:
-                at = t // self.width
-                self._bucket(at).append([t, r["_x"], r["_y"], {k: str(r[k]) for k in self.kinds}, new])
-                self.changed.add(at)
-                if not self.places or self.places[-1] != at:
-                    self.places.append(at)
+                self.changed.add((k, str(r[k])))
+                if k == "_born" and (before + 1, -r[k]) > (self.mode[0], -self.mode[1] if self.mode[0] else 0):
+                    self.mode = [before + 1, r[k]]
+            if self.log.windows:
+                self.log.append(t, r["_x"], r["_y"], str(r["_c"]), str(r["_m"]), fresh)
 
 
-def _internal(row: dict) -> dict:
-    """Names with ``_`` in front don't reach a processor; they come with ``of_``."""
-    return {"_" + c[3:] if c.startswith("of_") else c: v for c, v in row.items()}
+def _plain(pdf: pd.DataFrame) -> list[dict]:
+    """Rows with Python's own values; names with ``_`` in front don't reach an operator, they come with ``of_``."""
+    out: dict[str, list] = {}
+    for c in pdf.columns:
+        if c == TIME:
+            continue
+        name = "_" + c[3:] if c.startswith("of_") else c
+        values = [None if v is None or v != v else v.item() if hasattr(v, "item") else v for v in pdf[c]]
+        out[name] = [None if v is None else int(v) for v in values] if name in WHOLE else values
+    return [dict(zip(out, row, strict=True)) for row in zip(*out.values(), strict=True)]
 
 
 class HistoryProcessor(StatefulProcessor):
-    """Holds rows back until their time is complete, then emits them with their features."""
+    """Holds rows back until their time is complete, then emits them with their features.
+
+    ``payload``: columns that go on as they are; ``timed``: whether another operator follows; ``mark``: whether rows behind the
+    watermark come out at once, as the ``first`` operator finds them.
+    """
 
-    def __init__(self, families: Sequence[str], payload: Sequence[str], columns: Sequence[str]):
-        self.families, self.payload, self.columns = list(families), list(payload), list(columns)
+    def __init__(self, families: Sequence[str], payload: Sequence[str], columns: Sequence[str], timed: bool, mark: bool, first: bool):
+        self.families, self.payload, self.columns, self.timed, self.mark, self.first = list(families), list(payload), list(columns), timed, mark, first
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = InHandle(handle)
-        self.waiting = handle.getMapState("waiting", "at long", "rows string")
+        self.held = Stored(handle)
+        self.batch, self.read = None, {}  # keys read in this batch; all that changes is written at once
+
+    def _state(self, key: tuple, passed: int) -> KeyState:
+        if passed != self.batch or len(self.read) >= KEYS:
+            self.batch, self.read = passed, {}
+        if key not in self.read:
+            self.read[key] = KeyState(self.families, self.held)
+        return self.read[key]
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        """Rows of an earlier stream go into the state at once."""
-        state = KeyState(self.families, self.held)
-        rows = sorted((_internal(r) for r in json.loads(initialState.to_json(orient="records", date_format="iso"))), key=lambda r: r["us"])
-        for _, tie in itertools.groupby(rows, key=lambda r: r["us"]):
-            state.add(list(tie))
+        """Rows of an earlier stream, or the entries of a snapshot, go into the state at once."""
+        if "entry" in initialState.columns:
+            for at in loaded(self.held, initialState[["map", "entry", "content"]].itertuples(index=False, name=None)):
+                self.handle.registerTimer(at)
+            state = KeyState(self.families, self.held)
+        else:
+            state = KeyState(self.families, self.held)
+            for _, tie in itertools.groupby(sorted(_plain(initialState), key=lambda r: r["us"]), key=lambda r: r["us"]):
+                state.add(list(tie))
+            state.purge = 0
+        self._forget_later(state, anew=True)
         state.save()
 
+    def _forget_later(self, state: KeyState, anew: bool = False) -> None:
+        """One timer for when the oldest row that is kept has left every window."""
+        if state.log.windows and state.last is not None and state.log.oldest < state.log.next and (anew or not state.purge):
+            state.purge = (state.last + max(w.width for w in state.log.windows)) // 1000 + 2
+            self.handle.registerTimer(state.purge)
+
+    def _out(self, rows: list[dict], passed: int) -> pd.DataFrame:
+        """For another operator rows are of the time just after the watermark: all that it has passed come in one batch."""
+        names = [*self.payload, *([TIME] if self.timed else []), *self.columns, *(["late"] if self.mark else [])]
+        made = {c: [r.get("_" + c[3:] if c.startswith("of_") else c) for r in rows] for c in names}
+        if self.timed:
+            made[TIME] = pd.to_datetime([passed + 1] * len(rows), unit="ms")
+        return pd.DataFrame({c: v if c == TIME else pd.Series(v, dtype=object) for c, v in made.items()}, columns=names)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
         for pdf in rows:
             new: dict[int, list] = {}
-            for r in json.loads(pdf.to_json(orient="records", date_format="iso")):
-                new.setdefault(r["us"] // 1000 + 1, []).append(_internal(r))
+            behind = []
+            for r in _plain(pdf):
+                if self.mark and self.first and r["us"] // 1000 < passed:
+                    r["late"] = f"{passed * 1000 - r['us']} us behind the watermark"
+                if self.mark and r.get("late"):
+                    behind.append(r)
+                else:
+                    new.setdefault(r["us"] // 1000 + 1, []).append(r)
             for at, own in new.items():
-                before = self.waiting.getValue((at,))
-                self.waiting.updateValue((at,), (json.dumps([*json.loads(before[0]), *own] if before else own),))
+                before = self.held.get("waiting", at)
+                self.held.put("waiting", (at,), (json.dumps([*json.loads(before[0]), *own] if before else own),))
                 self.handle.registerTimer(at)
-        yield from ()
+            if behind:
+                yield self._out(behind, passed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs()  # timers come in the order of their times
-        found = self.waiting.getValue((at,))
-        if not found:
+        found = self.held.get("waiting", at)
+        passed = timerValues.getCurrentWatermarkInMs()
+        state, out = self._state(tuple(key), passed), []
+        if found:
+            self.held.put("waiting", (at,), None)
+            for _, tie in itertools.groupby(sorted(json.loads(found[0]), key=lambda r: r["us"]), key=lambda r: r["us"]):
+                tie = list(tie)
+                out += [{**r, **state.read(r)} for r in tie]
+                state.add(tie)
+        elif at != state.purge:
             return
-        self.waiting.removeKey((at,))
-        state, out = KeyState(self.families, self.held), []
-        for _, tie in itertools.groupby(sorted(json.loads(found[0]), key=lambda r: r["us"]), key=lambda r: r["us"]):
-            tie = list(tie)
-            out += [{**{c: r[c] for c in self.payload}, **state.read(r)} for r in tie]
-            state.add(tie)
+        if at == state.purge:
+            state.log.passed(at * 1000)
+            state.log.save()
+            state.purge = 0
+        self._forget_later(state)
         state.save()
-        yield pd.DataFrame(out, columns=[*self.payload, *self.columns], dtype=object)
+        if out:
+            yield self._out(out, passed)
 
     def close(self) -> None:
         pass
 
 
-def stream_features(events: DataFrame, families: Sequence[str], row_id: str = "transaction_id", time: str = "timestamp", prior: DataFrame | None = None, **how) -> DataFrame:
-    """``row_id, us`` and the columns of the families, which must share their leading key.
+def _leads(families: Sequence[str]) -> list[tuple[str, list[str]]]:
+    """Families by leading key, in the order in which the keys come."""
+    out: dict[str, list[str]] = {}
+    for f in families:
+        out.setdefault(FAMILIES[f].lead, []).append(f)
+    return list(out.items())
 
-    Families of different keys run as streams of their own and join on ``row_id``.
-    ``prior`` has the rows of an earlier stream, all before the events; histories
-    begin with them. Needs the RocksDB state store
-    (``spark.sql.streaming.stateStore.providerClass``).
-    """
-    leads = {FAMILIES[f].lead for f in families}
-    if len(leads) != 1:
-        raise ValueError("the families must have one leading key")
-    (lead,) = leads
 
-    def rows_of(df: DataFrame, *more: str) -> DataFrame:
-        return prepare(df, time, **how).select(F.col(row_id).cast("string").alias(row_id), *more, F.col(lead).alias("key"), *[F.col(c).alias(c.replace("_", "of_", 1)) for c in FIELDS])
+def _rows(df: DataFrame, row_id: str, time: str, more: Sequence[str] = (), **how) -> DataFrame:
+    return prepare(df, time, **how).select(F.col(row_id).cast("string").alias(row_id), *more, F.col("us"), *[F.col(c).alias("of" + c) for c in FIELDS if c != "us"])
+
 
-    base = events.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", "0 seconds")
-    names = [c for f in families for c in FAMILIES[f].columns()]
+def stream_features(events: DataFrame, families: Sequence[str], row_id: str = "transaction_id", time: str = "timestamp", prior: DataFrame | None = None, late: str = "drop", delay: str = "0 seconds", snapshots: dict[str, DataFrame] | None = None, **how) -> DataFrame:
+    """``row_id, us`` and the columns of the families, in the families' order by leading key.
+
+    ``prior`` has the rows of an earlier stream, all before the events; histories begin with them. ``snapshots`` has the
+    state of an earlier query for each leading key instead, as :func:`snapshot` reads it. ``late``: ``drop`` or ``mark``.
+    ``delay``: how long a row may be late. Needs the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    if late not in ("drop", "mark"):
+        raise ValueError("late rows are dropped or marked")
+    if prior is not None and snapshots is not None:
+        raise ValueError("histories begin with rows or with a snapshot")
+    base = events.withColumn(TIME, F.col(time).cast("timestamp")).withWatermark(TIME, delay)
+    flow = _rows(base, row_id, time, [TIME], **how)
+    of = {f.name: f.dataType for f in flow.schema.fields}
+    done: list[str] = []
     kinds = column_types(families)
-    schema = T.StructType([T.StructField(row_id, T.StringType()), T.StructField("us", T.LongType()), *[T.StructField(n, kinds[n]) for n in names]])
-    return rows_of(base, "_time").groupBy("key").transformWithStateInPandas(
-        HistoryProcessor(families, [row_id, "us"], names), outputStructType=schema, outputMode="Append", timeMode="EventTime",
-        initialState=None if prior is None else rows_of(prior).groupBy("key"),
-    )
+    steps = _leads(families)
+    for i, (lead, own) in enumerate(steps):
+        last, names = i == len(steps) - 1, [c for f in own for c in FAMILIES[f].columns()]
+        carried = [row_id, "us", *([] if last else ["of" + c for c in FIELDS if c != "us"]), *done]
+        mark = late == "mark"
+        fields = [T.StructField(c, kinds.get(c) or of[c]) for c in carried] + ([] if last else [T.StructField(TIME, T.TimestampType())]) + [T.StructField(c, kinds[c]) for c in names] + ([T.StructField("late", T.StringType())] if mark else [])
+        start = None
+        if prior is not None:
+            start = _rows(prior, row_id, time, **how).withColumn("key", F.col("of" + lead)).groupBy("key")
+        elif snapshots is not None:
+            start = snapshots[lead].select("key", "map", "entry", "content").groupBy("key")
+        flow = flow.withColumn("key", F.col("of" + lead))
+        if mark:  # without the column that carries the watermark the engine drops nothing
+            flow = flow.drop(TIME)
+        flow = flow.groupBy("key").transformWithStateInPandas(
+            HistoryProcessor(own, carried, names, not last, mark, i == 0), outputStructType=T.StructType(fields), outputMode="Append", timeMode="EventTime",
+            initialState=start, eventTimeColumnName="" if last else TIME,
+        )
+        done += names
+    return flow
+
+
+def snapshot(spark: SparkSession, checkpoint: str, families: Sequence[str]) -> dict[str, DataFrame]:
+    """The state of a stopped query by leading key: ``key, map, entry, content``, an entry of a map a row.
+
+    Its size follows the keys, their partners and the rows of their longest window, not the rows of the stream. Write it to a
+    table to keep it. The query must have had the same families.
+    """
+    steps = _leads(families)
+    out = {}
+    for i, (lead, _) in enumerate(steps):
+        operator = len(steps) - 1 - i  # the last operator of a query has number 0
+        read = lambda name: spark.read.format("statestore").option("path", checkpoint).option("operatorId", operator).option("stateVarName", name).load()  # noqa: B023, E731
+        head = [c.split()[0] for c in HEAD.split(", ")]
+        parts = [read("head").select(F.col("key.key").alias("key"), F.lit("head").alias("map"), F.lit("[]").alias("entry"), _listed("value", head).alias("content"))]
+        for name, (key, value) in MAPS.items():
+            entry, content = ([c.split()[0] for c in x.split(", ")] for x in (key, value))
+            parts.append(read(name).select(F.col("key.key").alias("key"), F.lit(name).alias("map"), _listed("user_map_key", entry).alias("entry"), _listed("user_map_value", content).alias("content")))
+        found = parts[0]
+        for p in parts[1:]:
+            found = found.unionByName(p)
+        out[lead] = found
+    return out
+
+
+def _listed(struct: str, names: Sequence[str]):
+    """The fields of a struct as a JSON list."""
+    each = [F.coalesce(F.regexp_replace(F.to_json(F.struct(F.col(f"{struct}.{n}").alias("v")), {"ignoreNullFields": "false"}), r'^\{"v":(.*)\}$', "$1"), F.lit("null")) for n in names]
+    return F.concat(F.lit("["), F.concat_ws(",", *each), F.lit("]"))
 
 
 def column_types(families: Sequence[str]) -> dict[str, T.DataType]:
@@ -338,5 +379,5 @@ def column_types(families: Sequence[str]) -> dict[str, T.DataType]:
 
 
 def late_rows(query) -> int:
-    """Rows that a streaming query has dropped so far because they were behind its watermark, by its progress reports."""
+    """Rows that a streaming query has dropped in its last batches because they were behind its watermark, by its progress reports."""
     return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
