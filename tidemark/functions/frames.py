@@ -10,6 +10,7 @@ and the rows that a trailing frame still reaches are copied into the next chunk.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -22,6 +23,7 @@ from tidemark.functions.windows import past as past_window
 from tidemark.functions.windows import trailing as trailing_window
 
 CHUNK, OWN = "_chunk", "_own"
+MEAN = "_mean"  # and a column: its mean over a heavy key's rows, which any number near could stand for
 
 
 @dataclass(frozen=True)
@@ -33,13 +35,16 @@ class Carried:
     value: Column | None = None
 
 
-class _Mode:
-    """How frames are read just now: whole, only noted, or by chunk."""
+class _Modes(threading.local):
+    """How frames are read just now, by this thread: whole, only noted, or by chunk."""
 
     wanted: dict[tuple[str, ...], dict[str, Carried]] | None = None
     chunked = False
 
 
+_Mode = _Modes()
+
+
 @contextmanager
 def noting() -> Iterator[dict[tuple[str, ...], dict[str, Carried]]]:
     """Notes what frames of the past are asked for, by their keys."""
@@ -96,12 +101,14 @@ class Frame:
         return self._measure("sum", f"of{column}", F.col(column)) / F.when(n > 0, n)
 
     def std(self, column: str) -> Column:
-        """Population standard deviation."""
+        """Population standard deviation; by chunk, sums are of what is over the key's mean, so that squares don't cancel."""
         if not _Mode.chunked and _Mode.wanted is None or self.width is not None:
             return F.stddev_pop(column).over(self._window())
         n = self._measure("sum", f"has{column}", F.col(column).isNotNull().cast("long"))
-        squares = self._measure("sum", f"squares{column}", F.col(column) * F.col(column)) / F.when(n > 0, n)
-        return F.when(n > 0, F.sqrt(F.greatest(squares - F.pow(self.mean(column), 2), F.lit(0.0))))
+        over = F.col(column) - F.col(f"{MEAN}{column}")
+        squares = self._measure("sum", f"squares{column}", over * over) / F.when(n > 0, n)
+        mean = self._measure("sum", f"over{column}", over) / F.when(n > 0, n)
+        return F.when(n > 0, F.sqrt(F.greatest(squares - F.pow(mean, 2), F.lit(0.0))))
 
     def age(self) -> Column:
         """Seconds since the first row of the frame."""

@@ -8,6 +8,7 @@ says 0.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import frames
 from tidemark.functions.frames import past, trailing
+from tidemark.functions.ranges import number, running
 from tidemark.functions.windows import DAY, HOUR, event_us, first_of, share, with_distinct
 from tidemark.session import stored
 
@@ -252,7 +254,12 @@ def features(df: DataFrame, families: Sequence[str], time: str = "timestamp", am
     if unknown:
         raise ValueError(f"unknown families: {unknown}")
     chosen = [FAMILIES[f] for f in dict.fromkeys(families)]
-    out, keep = prepare(df, time, amount, age), list(df.columns)
+    keep = list(df.columns)
+    # the caller's columns of names that are used here travel as one struct
+    taken, whole = [c for c in keep if (c == "us" or c.startswith("_")) and c not in (time, amount, age)], f"row{uuid.uuid4().hex}"
+    if taken:
+        df = df.withColumn(whole, F.struct(*[F.col(f"`{c}`") for c in taken])).drop(*taken)
+    out = prepare(df, time, amount, age)
     made: list[str] = []
     done = False
     heavy = _heavy(out, [k for k in LEADS if any(f.lead == k for f in chosen)], split_over)
@@ -269,13 +276,13 @@ def features(df: DataFrame, families: Sequence[str], time: str = "timestamp", am
                 out = stored(out)
             keys = F.broadcast(heavy[lead])  # a key for each ``split_over`` rows at most
             rest = _whole(out.join(keys, lead, "left_anti"), lead, own, pairs)
-            out = rest.unionByName(_split(out.join(keys, lead, "left_semi"), lead, own, pairs).select(*rest.columns))
+            out = rest.unionByName(_split(out.join(keys, lead), lead, own, pairs).select(*rest.columns))
         else:
             out = _whole(out, lead, own, pairs)
         done = True
     for f in chosen:
         made += list(f.columns())
-    return out.select(*[F.col(f"`{c}`") for c in keep], *dict.fromkeys(made))
+    return out.select(*[F.col(whole).getField(c).alias(c) if c in taken else F.col(f"`{c}`") for c in keep], *dict.fromkeys(made))
 
 
 def _heavy(df: DataFrame, leads: Sequence[str], over: int) -> dict[str, DataFrame]:
@@ -283,11 +290,13 @@ def _heavy(df: DataFrame, leads: Sequence[str], over: int) -> dict[str, DataFram
     if not leads or df.count() <= over:
         return {}
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("lead"), F.col(k).alias("key")) for k in leads]))
-    counts = df.select(each.alias("r")).groupBy("r.lead", "r.key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > over)
+    mean = F.avg("_y") if "_y" in df.columns else F.lit(None).cast("double")
+    y = ["_y"] if "_y" in df.columns else []
+    counts = df.select(each.alias("r"), *y).groupBy("r.lead", "r.key").agg(F.count(F.lit(1)).alias("n"), mean.alias("mean")).filter(F.col("n") > over)
     found: dict[str, list] = {}
-    for r in counts.select("lead", "key").collect():
-        found.setdefault(r["lead"], []).append((r["key"],))
-    return {k: df.sparkSession.createDataFrame(v, f"{k} string") for k, v in found.items()}
+    for r in counts.collect():
+        found.setdefault(r["lead"], []).append((r["key"], r["mean"]))
+    return {k: df.sparkSession.createDataFrame(v, f"{k} string, {frames.MEAN}_y double") for k, v in found.items()}
 
 
 def _parts(own: Sequence[Family]) -> tuple[dict, bool]:
@@ -362,9 +371,16 @@ def build(df: DataFrame, family: str | Sequence[str], requested: Sequence[str],
 
 def past_group(df: DataFrame, group: str, order: Sequence[str], value: str | None = None) -> DataFrame:
     """Row-based helper: rows of the group before this one in ``order``, and their mean ``value``."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.withColumn("past_group_count", F.count(F.lit(1)).over(w))
-    return out if value is None else out.withColumn("past_group_mean", F.avg(value).over(w))
+    # places in the order, then sums over ranges of places: a group with most of the rows is in no single task
+    place, one, own = (f"{n}{uuid.uuid4().hex}" for n in ("place", "one", "own"))
+    rows = number(df, order, place).withColumns({one: F.lit(1), own: F.col(f"`{value}`").cast("double") if value else F.lit(None).cast("double")})
+    has = F.col(own).isNotNull().cast("long")
+    steps = rows.withColumns({f"{own}n": has, f"{own}s": F.coalesce(own, F.lit(0.0))})
+    past_rows = running(steps, [group], place, [one, f"{own}n", f"{own}s"])
+    n, total = F.col(f"c_{own}n") - F.col(f"{own}n"), F.col(f"c_{own}s") - F.col(f"{own}s")
+    out = past_rows.withColumn("past_group_count", F.col(f"c_{one}") - 1)
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    return out.select(*keep, "past_group_count", *([F.when(n > 0, total / n).alias("past_group_mean")] if value else []))
 
 
 def seeded(prior: DataFrame, current: DataFrame, families: Sequence[str], time: str = "timestamp", **how) -> DataFrame:
@@ -373,5 +389,6 @@ def seeded(prior: DataFrame, current: DataFrame, families: Sequence[str], time:
     end, begin = prior.agg(F.max(us)).first()[0], current.agg(F.min(us)).first()[0]
     if end is not None and begin is not None and end >= begin:
         raise ValueError("the prior stream must end before the current one begins")
-    both = prior.withColumn("_now", F.lit(False)).unionByName(current.withColumn("_now", F.lit(True)), allowMissingColumns=True)
-    return features(both, families, time, **how).filter("_now").drop("_now")
+    now = f"now{uuid.uuid4().hex}"
+    both = prior.withColumn(now, F.lit(False)).unionByName(current.withColumn(now, F.lit(True)), allowMissingColumns=True)
+    return features(both, families, time, **how).filter(now).drop(now)

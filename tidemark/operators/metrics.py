@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.mergeable import Aggregate, aggregate
 from tidemark.functions.ranges import running
 
 EPSILON = 1e-15
@@ -151,7 +152,10 @@ def early_screen(df: DataFrame, label: str, score: str, windows: dict[str, Colum
 
 
 def custom(df: DataFrame, metric: Callable, columns: Sequence[str], by: Sequence[str], name: str = "score") -> DataFrame:
-    """A user's function of pandas columns, once for each group; a group must fit a worker."""
+    """A user's function of pandas columns, once for each group, which must fit a worker; or an :class:`~tidemark.operators.mergeable.Aggregate`, for groups of any size."""
+    if isinstance(metric, Aggregate):
+        return aggregate(df, metric, columns, by, name)
+
     def run(pdf):
         return pdf[list(by)].head(1).assign(**{name: float(metric(*[pdf[c] for c in columns]))})
 
@@ -170,12 +174,17 @@ REGISTRY: dict[str, tuple[Callable[..., DataFrame], bool, str]] = {
 
 
 def score(df: DataFrame, metric: str, label: str, prediction: str, average: str | None = None) -> float | None:
-    """One metric of the whole table. ``f1``, ``precision`` and ``recall`` need an ``average``; ``module:function`` is a user's own."""
+    """One metric of the whole table. ``f1``, ``precision`` and ``recall`` need an ``average``; ``module:function`` is a user's own (a function needs the table in one worker, a mergeable aggregate doesn't)."""
     if ":" in metric:
         import importlib
 
         module, _, name = metric.partition(":")
         own = getattr(importlib.import_module(module), name)
+        if isinstance(own, type) and issubclass(own, Aggregate):
+            own = own()
+        if isinstance(own, Aggregate):
+            found = aggregate(df, own, [label, prediction]).first()
+            return found["score"] if found else None
         return custom(df.withColumn("_all", F.lit(1)), own, [label, prediction], ["_all"]).first()["score"]
     if metric not in REGISTRY:
         raise ValueError(f"unknown metric {metric!r}; known: {sorted(REGISTRY)}")

@@ -66,6 +66,7 @@ PROFILES: dict[str, tuple[str, ...]] = {
     "device_global": _BASE[:4],
     "velocity": _BASE,
     "broad_velocity": (*_BASE[:4], "customer_velocity", "device_velocity"),
+    "merchant_onehot": _BASE,  # with the merchant itself as a category
     "amount_30d": (*_BASE, "amount_30d"),
     "customer_merchant": _PAIRS,
     "customer_category": (*_PAIRS, "customer_category"),
@@ -79,6 +80,8 @@ PROFILES: dict[str, tuple[str, ...]] = {
 }
 FORBIDDEN = ("transaction_id", "customer_id", "merchant_id", "device_id", "timestamp")
 MAX_CATEGORIES = 64
+#: Ids that a profile may have among its categories, and how many values they may have.
+ALLOWED = {"merchant_onehot": {"merchant_id": 5_000}}
 
 
 def add_profile(df: DataFrame, profile: str, **how) -> DataFrame:
@@ -88,23 +91,25 @@ def add_profile(df: DataFrame, profile: str, **how) -> DataFrame:
     return features(out, PROFILES[profile], **how) if PROFILES[profile] else out
 
 
-def check_profile(df: DataFrame, feature_columns: Sequence[str], categories: Sequence[str] = (), target: str | None = None, limit: int = MAX_CATEGORIES) -> None:
+def check_profile(df: DataFrame, feature_columns: Sequence[str], categories: Sequence[str] = (), target: str | None = None, limit: int = MAX_CATEGORIES, profile: str | None = None) -> None:
     """Raises for ids, times or the target among the features, and for categories with too many values (null counts)."""
-    bad = [c for c in feature_columns if c in FORBIDDEN or c == target]
+    allowed = ALLOWED.get(profile, {})
+    bad = [c for c in feature_columns if (c in FORBIDDEN and c not in allowed) or c == target]
     if bad:
         raise ValueError(f"not allowed as features: {sorted(bad)}")
     if categories:
         counts = df.agg(*[(F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(c) for c in categories]).first()
-        if many := {c: counts[c] for c in categories if (counts[c] or 0) > limit}:
+        if many := {c: counts[c] for c in categories if (counts[c] or 0) > allowed.get(c, limit)}:
             raise ValueError(f"more than {limit} values: {many}")
 
 
-def training_frame(df: DataFrame, target: str, categories: Sequence[str] = ()) -> DataFrame:
-    """The columns to learn from and the target: ids and times are left out, and the rest is checked."""
+def training_frame(df: DataFrame, target: str, categories: Sequence[str] = (), profile: str | None = None) -> DataFrame:
+    """The columns to learn from and the target: ids and times are left out (but those that the profile allows), and the rest is checked."""
     if target not in df.columns:
         raise ValueError(f"no column {target}")
-    columns = [c for c in df.columns if c not in FORBIDDEN and c != target]
-    check_profile(df, columns, categories, target)
+    allowed = [c for c in ALLOWED.get(profile, {}) if c in df.columns]
+    columns = [c for c in df.columns if (c not in FORBIDDEN or c in allowed) and c != target]
+    check_profile(df, columns, [*categories, *[c for c in allowed if c not in categories]], target, profile=profile)
     return df.select(*columns, target)
 
 

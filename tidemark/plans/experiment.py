@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import blend, history, intervals, learning, metrics, splits
 from tidemark.operators.static import PROFILES, add_static
+from tidemark.session import stored
 
 PROPERTIES = ("strict_past", "tie_isolation", "tie_order", "duplicate_in_tie", "future_independence", "label_independence", "continuation")
 
@@ -104,6 +105,49 @@ def certify(spark: SparkSession, family: str, seed: int = 1) -> dict[str, bool]:
     }
 
 
+def certify_table(df: DataFrame, family: str, cut: str, row_id: str = "transaction_id", target: str = "fraud", time: str = "timestamp") -> DataFrame:
+    """``property, rows, differing``: the same properties on a user's own table, as joins of its features with those of changed copies.
+
+    ``cut``: where past and future are parted. ``differing`` counts rows whose features should be the same and aren't.
+    """
+    names = list(history.FAMILIES[family].columns())
+    at = F.lit(cut).cast("timestamp_ntz")
+    early, late = df.filter(F.col(time) < at), df.filter(F.col(time) >= at)
+    # values of the same rows, to nine digits of their own size
+    close = lambda a, b: a.eqNullSafe(b) | (F.abs(a - b) <= F.greatest(F.lit(1.0), F.abs(a)) * 1e-9)
+
+    def made(rows: DataFrame) -> DataFrame:
+        return history.features(rows, [family], time).select(F.col(row_id).alias("id"), F.col(time).alias("at"), *[F.col(c).cast("double").alias(c) for c in names])
+
+    base = stored(made(df))
+    strings = [f.name for f in df.schema.fields if f.dataType.typeName() == "string" and f.name != row_id]
+    other = late.withColumns({c: F.lit("another") for c in strings})
+    last = df.agg(F.max(time)).first()[0]
+    tied = df.filter(F.col(time) == F.lit(last))
+    one = tied.orderBy(row_id).limit(1)  # of the last tie
+    again = one.withColumn(row_id, F.lit(-1).cast(df.schema[row_id].dataType))
+    variants = {
+        "strict_past": made(early),
+        "tie_isolation": made(df.filter(F.col(time) < F.lit(last)).unionByName(one)).filter(F.col("at") == F.lit(last)),
+        "tie_order": made(df.repartition(7, F.xxhash64(row_id)).sortWithinPartitions(F.xxhash64(row_id))),
+        "duplicate_in_tie": made(df.unionByName(again)).filter(F.col("id") != F.lit(-1).cast(df.schema[row_id].dataType)),
+        "future_independence": made(early.unionByName(other)).filter(F.col("at") < at),
+        "label_independence": made(df.withColumn(target, 1 - F.col(target))) if target in df.columns else base,
+        "continuation": history.seeded(early, late, [family], time).select(F.col(row_id).alias("id"), F.col(time).alias("at"), *[F.col(c).cast("double").alias(c) for c in names]),
+    }
+    parts = []
+    for name in PROPERTIES:
+        both = variants[name].alias("a").join(base.alias("b"), F.col("a.id") == F.col("b.id"), "left")
+        equal = F.col("b.id").isNotNull()
+        for c in names:
+            equal = equal & close(F.col(f"a.{c}"), F.col(f"b.{c}"))
+        parts.append(both.agg(F.lit(name).alias("property"), F.count(F.lit(1)).alias("rows"), F.count_if(~F.coalesce(equal, F.lit(False))).alias("differing")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def score_folds(df: DataFrame, label: str, prediction: str = "pred_0") -> dict[int, float | None]:
     """Average precision of each validated fold."""
     rows = metrics.average_precision(df.filter(F.col(splits.FOLD) >= 0), label, prediction, by=(splits.FOLD,)).collect()

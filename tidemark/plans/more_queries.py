@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import parse_time
+from tidemark.functions.windows import event_us, parse_time
 from tidemark.operators import audit, blend, history, intervals, learning, metrics, splits, static
 from tidemark.plans import experiment, transactions
 from tidemark.plans import feature_oracles as fo
@@ -472,7 +472,55 @@ def estimators(spark, d):
     return out
 
 
-@query(" union all ".join(f"select '{p}' as property, true as holds" for p in experiment.PROPERTIES))
+_CERTIFIED = f"""with e as (select event_id, ts from events), n as (select count(*) as n, count(*) filter (ts < timestamp '{SPLIT}') as early from e)
+{' union all '.join(f"select '{p}' as property, cast({x} as bigint) as rows, cast(0 as bigint) as differing from n" for p, x in zip(experiment.PROPERTIES, ("early", "1", "n", "n", "early", "n", "n - early"), strict=True))}"""
+
+
+@query(_CERTIFIED)
 def certification(spark, d):
-    got = experiment.certify(spark, "customer_merchant")
-    return spark.createDataFrame(list(got.items()), "property string, holds boolean")
+    """The properties of a family on the events: how many rows were compared, and how many differ."""
+    e = transactions.event_stream(spark, d).withColumn("fraud", F.coalesce((F.col("merchant_category") == "purchase").cast("int"), F.lit(0)))
+    return experiment.certify_table(e, "customer_merchant", SPLIT)
+
+
+@query(f"with {SCORED}, v as (select y, s1, cast(user_id % 7 as bigint) as part from sc), {_ap_sql('v', 's1', 'part')} select part, average_precision as score from r")
+def mergeable_metric(spark, d):
+    """Average precision as a user's own aggregate: states of map tasks that merge."""
+    from tidemark.operators.mergeable import BinnedPrecision
+
+    rows = _scored(spark, d).select("y", F.col("s1").cast("double").alias("s1"), (F.col("user_id") % 7).alias("part"))
+    return rounded(metrics.custom(rows, BinnedPrecision(100_000, 0.0, 100_000.0), ["y", "s1"], ["part"]))
+
+
+@query("""select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) as net, l_shipdate > timestamp '1996-01-01' as late from lineitem""")
+def matrix_parts(spark, d):
+    """Row-local columns from a cache of parts: a second call finds all of them by the digests of its files."""
+    from tidemark.sources.matrix import cached
+
+    path = shared_path(spark, "matrix")
+    _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_shipdate").repartition(5).write.parquet(f"{path}/in")
+    make = lambda df: df.select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4).alias("net"), (F.col("l_shipdate") > _at("1996-01-01")).alias("late"))
+    _, first = cached(spark, f"{path}/in", {"net": 1}, make, f"{path}/made", 8)
+    out, second = cached(spark, f"{path}/in", {"net": 1}, make, f"{path}/made", 8)
+    if not first or second:
+        raise RuntimeError("the cache didn't find what it had made")
+    return out
+
+
+@query("select s_nationkey, count(*) as n, cast(1 as bigint) as ones from supplier group by 1")
+def one_hot_columns(spark, d):
+    """A column of 0 and 1 for each nation of the suppliers; every row has one of them."""
+    s = _read(spark, d, "supplier").select("s_nationkey")
+    model = learning.OneHotColumns(["s_nationkey"], 5_000).fit(s)
+    hot = model.transform(s)
+    total = sum((F.col(c) for c in model.names), F.lit(0.0))
+    return hot.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.max(total).cast("long").alias("ones"))
+
+
+@query(f"with {fo.ORDER_LINES}, {fo.MORE} select transaction_id, us, {', '.join(fo.rounded(c, e, D) for c, e in fo.FAMILY_SQL['merchant_amount'].items())} from t")
+def heavy_key_features(spark, d):
+    """A family for which every merchant of more than 100 rows is read chunk by chunk."""
+    rows = transactions.order_lines(spark, d).select("transaction_id", "customer_id", "merchant_id", "amount", "timestamp")
+    out = history.features(rows, ["merchant_amount"], split_over=100)
+    cols = list(fo.FAMILY_SQL["merchant_amount"])
+    return out.select("transaction_id", event_us(F.col("timestamp")).alias("us"), *[F.round(F.col(c) + fo.NUDGE, fo.digits_of(c, D)).alias(c) if fo.is_float(c) else F.col(c).cast("long").alias(c) for c in cols])
