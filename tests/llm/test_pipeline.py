@@ -60,3 +60,15 @@ def test_empty(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_contaminated_rows_go_by_row(spark, tmp_path):
+    """Copies of an item go with no id or a shared one; clean rows that share the id stay."""
+    r = random.Random(24)
+    item = " ".join(f"w{r.randrange(10**6)}" for _ in range(25))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean, copy = prose(r, 60), f"{prose(r, 30)} {item} {prose(r, 30)}"
+    rows = [(None, copy), (5, copy + " more"), (5, clean), (6, clean), (None, clean), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    kept = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
+    assert sorted((x["doc_id"] or -1, x["text"] or "") for x in kept) == sorted([(5, clean), (6, clean), (-1, clean), (7, "")])

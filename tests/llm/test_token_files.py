@@ -98,3 +98,15 @@ def test_words_one_by_one():
         part = words[at : at + 100]
         got = enc([w.encode() for w in part])
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(w, add_special_tokens=False).ids for w in part]
+
+
+def test_rows_without_ids_are_dealt_among_files(spark, tmp_path):
+    """Null ids, or one id, don't make one file."""
+    from tidemark.llm import token_files as tf
+
+    for one in ("null", "7"):
+        docs = spark.range(4_000).selectExpr(f"cast({one} as long) as doc_id", "concat('text number ', id) as text")
+        manifest = tf.write(docs, f"file://{tmp_path}/{one}", files=8)
+        sizes = sorted(r.n_docs for r in manifest.collect())
+        assert len(sizes) == 8 and sum(sizes) == 4_000 and sizes[-1] < 1_500
+        assert tf.read(spark, f"file://{tmp_path}/{one}", manifest).count() == 4_000

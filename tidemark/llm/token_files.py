@@ -249,7 +249,8 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int =
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = [f"_o{i}" for i in range(len(order))]
     rows = docs.select(*[F.col(f"`{c}`").alias(n) if isinstance(c, str) else c.alias(n) for c, n in zip(order, names, strict=True)], F.col(f"`{doc_id}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    rows = rows.repartitionByRange(files, *names).sortWithinPartitions(*names, F.xxhash64("_text")).select("_id", "_text")
+    # texts' hashes part rows of one id, or of none, among the files
+    rows = rows.withColumn("_tie", F.xxhash64("_text")).repartitionByRange(files, *names, "_tie").sortWithinPartitions(*names, "_tie").select("_id", "_text")
 
     def run(batches):
         encoder = encoder_of(tokenizer)
@@ -272,22 +273,24 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int =
             return pa.RecordBatch.from_pydict({"file": [name], "n_docs": [len(doc_ids)], "n_tokens": [len(ids)]})
 
         gc.disable()  # nothing here makes cycles, and the remembered words are long to walk
-        for batch in batches:
-            doc_ids += batch.column(0).to_pylist()
-            data, offs = _text.utf8(batch.column(1))
-            raw = data.tobytes()
-            for ids in encoder([raw[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]):
-                ids += end
-                counts.append(len(ids) // 4)
-                parts.append(np.frombuffer(ids, "<u4").astype(kind).tobytes())
-                size += len(parts[-1])
-            if size >= FILE_MB << 20:
+        try:
+            for batch in batches:
+                doc_ids += batch.column(0).to_pylist()
+                data, offs = _text.utf8(batch.column(1))
+                raw = data.tobytes()
+                for ids in encoder([raw[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]):
+                    ids += end
+                    counts.append(len(ids) // 4)
+                    parts.append(np.frombuffer(ids, "<u4").astype(kind).tobytes())
+                    size += len(parts[-1])
+                if size >= FILE_MB << 20:
+                    yield flush()
+                    files_made += 1
+                    doc_ids, counts, parts, size = [], [], [], 0
+            if doc_ids:
                 yield flush()
-                files_made += 1
-                doc_ids, counts, parts, size = [], [], [], 0
-        if doc_ids:
-            yield flush()
-        gc.enable()
+        finally:
+            gc.enable()
 
     made = rows.mapInArrow(run, "file string, n_docs long, n_tokens long").collect()  # one row per file
     before, out = 0, []
