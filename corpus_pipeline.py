@@ -10,14 +10,15 @@ Mixing keeps every document and decides their order, which is the order of rows
 in its files; the token files follow it (the place of a row in its file names
 it), or ascending ids where the input isn't read from files.
 
-Near duplicates are told apart by id and text, so rows with a null id and rows
-that share an id are compared like others; of equal rows one stays. A benchmark
-match is named by its id: rows with that id go, rows with a null id stay. Empty
-input gives an empty result.
+Near duplicates and matches with a benchmark are told apart by id and text, so rows
+with a null id and rows that share an id are judged like others; of equal rows one
+stays. Empty input gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,8 +49,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contaminated(docs, _spark.table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    name = f"name{uuid.uuid4().hex}"  # of a row: its id and text
+    own = docs.withColumn(name, F.xxhash64("doc_id", "text"))
+    found = decontaminate.contaminated(own.select(name, "text"), _spark.table(spark, sf_dir, "benchmark"), doc_id=name)
+    return own.join(found.select(F.col("doc_id").alias(name)).distinct(), name, "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
