@@ -71,7 +71,8 @@ def aggregate(df: DataFrame, how: Aggregate, columns: Sequence[str], by: Sequenc
     fields = [StructType().add(f"k{i}", own.schema[f"k{i}"].dataType)[0] for i in range(len(keys))]
     schema = StructType([*fields]).add("state", "binary").add("part", IntegerType())
     names = [f"k{i}" for i in range(len(keys))]
-    fan = max(1, math.isqrt(own.rdd.getNumPartitions()))
+    spark = df.sparkSession
+    fan = max(1, math.isqrt(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)))
 
     def batch_of(states: dict, part: int, batch_schema) -> pa.RecordBatch:
         cols = [pa.array([k[i] for k in states], batch_schema.field(i).type) for i in range(len(keys))]
