@@ -1,5 +1,5 @@
 import collections
-import itertools
+import heapq
 import math
 import random
 
@@ -11,41 +11,98 @@ from tidemark.llm import pfair
 IRRATIONAL = {"a": math.sqrt(2), "b": math.sqrt(3), "c": math.sqrt(5), "d": 0.001}
 
 
-def test_lag_against_given_weights_over_a_million_slots():
-    """Every source is less than a block from its share of the given weights at every slot."""
-    r = random.Random(4)
-    for weights, span in ((IRRATIONAL, 1_000_000), ({f"s{i}": r.random() ** 3 + 1e-4 for i in range(40)}, 200_000), ({f"s{i}": 1.0 for i in range(600)}, 60_000), ({f"s{i}": 2.0**-i for i in range(20)}, 50_000)):
-        total = math.fsum(weights.values())
-        place = {s: i for i, s in enumerate(weights)}
-        order = np.array([place[s] for s, _ in itertools.islice(pfair.schedule(weights, dict.fromkeys(weights, 10**9)), span)])
-        t = np.arange(1, span + 1)
-        for s, w in weights.items():
-            lag = np.abs(np.cumsum(order == place[s]) - t * (w / total)).max()
-            assert lag < 1 + 1e-6, (s, lag)
-
-
-def test_lag_when_sources_end():
-    """Sources that have had all their blocks leave; the others keep their proportions, within one block."""
+def edf(weights, blocks):
+    """The source and the number of the block that runs in each slot, slot by slot."""
+    ends = sorted((blocks[s] / weights[s], s) for s in weights)
+    active, gone, tau = math.fsum(weights.values()), 0, 0.0
+    waiting = [(0.0, 1 / w, s, 0) for s, w in weights.items()]
+    heapq.heapify(waiting)
+    ready = []
+    for _ in range(sum(blocks.values())):
+        room = 1.0
+        while gone < len(ends) - 1 and (ends[gone][0] - tau) * active <= room:
+            room -= max(0.0, ends[gone][0] - tau) * active
+            tau = max(tau, ends[gone][0])
+            gone += 1
+            active = math.fsum(weights[s] for _, s in ends[gone:])
+        tau += room / active
+        while waiting and (waiting[0][0] < tau or not ready):
+            _, due, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, s, j))
+        due, s, j = heapq.heappop(ready)
+        yield s, j
+        if j + 1 < blocks[s]:
+            heapq.heappush(waiting, (due, (j + 2) / weights[s], s, j + 1))
+
+
+def lags(order, weights, blocks):
+    """How far each source is from its share at most: the slot is shared out by weight among those that lack something."""
+    done, share, worst = collections.Counter(), dict.fromkeys(weights, 0.0), 0.0
+    for s, j in order:
+        assert j == done[s]
+        done[s] += 1
+        room = 1.0
+        while room > 1e-12:
+            own = [k for k in weights if share[k] < blocks[k] - 1e-9]
+            if not own:
+                break
+            all_of = sum(weights[k] for k in own)
+            step = min([room / all_of] + [(blocks[k] - share[k]) / weights[k] for k in own])
+            for k in own:
+                share[k] += step * weights[k]
+            room -= step * all_of
+        worst = max(worst, *(abs(done[k] - share[k]) for k in weights))
+    assert done == blocks
+    return worst
+
+
+def scheduled(spark, weights, blocks, length=None):
+    return [(r["key"], r["block"]) for r in pfair.slots(spark, weights, blocks, length).orderBy("slot").collect()]
+
+
+def test_lag_over_a_million_slots(spark):
+    """Every source is less than a block from its share of the given weights at every slot, also where some end."""
+    blocks = {"a": 200_000, "b": 100_000, "c": 690_000, "d": 10_000}
+    got = pfair.slots(spark, IRRATIONAL, blocks).toPandas().sort_values("slot")
+    assert (got["slot"].to_numpy() == np.arange(1_000_000)).all()
+    # the share by the slots' ends, from the times at which sources end
+    ends = sorted((blocks[s] / w, s) for s, w in IRRATIONAL.items())
+    taus = [0.0] + [e for e, _ in ends]
+    slots = [math.fsum(min(blocks[s], w * e) for s, w in IRRATIONAL.items()) for e in taus]
+    tau = np.interp(np.arange(1, 1_000_001), slots, taus)
+    for s, w in IRRATIONAL.items():
+        own = got["key"].to_numpy() == s
+        assert (got["block"].to_numpy()[own] == np.arange(blocks[s])).all()
+        lag = np.abs(np.cumsum(own) - np.minimum(w * tau, blocks[s])).max()
+        assert lag < 1 + 1e-6, (s, lag)
+
+
+def test_stretches_are_those_of_the_whole_schedule():
+    """At each border as many blocks of each source have run as in the schedule made slot by slot, whatever the length."""
     r = random.Random(6)
-    for _ in range(60):
+    for _ in range(150):
+        weights = {f"s{i:02}": r.random() ** 3 + 0.001 for i in range(r.randint(1, 12))}
+        blocks = {s: r.randint(1, 90) for s in weights}
+        want, ran = list(edf(weights, blocks)), collections.Counter()
+        for first, size, own, _ in pfair.stretches(weights, blocks, r.choice([1, 2, 7, 50])):
+            for s, w, lo, hi in own:
+                assert ran[s] == lo < hi and w == weights[s]
+                ran[s] = hi
+            assert ran == collections.Counter(s for s, _ in want[: first + size])
+        assert ran == blocks
+
+
+@pytest.mark.parametrize("length", [1, 7, 200, None])
+def test_slots_against_slot_by_slot(spark, length):
+    r = random.Random(length or 0)
+    for i in range(4):
         weights = {f"s{i}": r.random() + 0.01 for i in range(r.randint(1, 7))}
         blocks = {s: r.randint(1, 60) for s in weights}
-        done, share = collections.Counter(), dict.fromkeys(weights, 0.0)
-        for s, j in pfair.schedule(weights, blocks):
-            assert j == done[s]
-            done[s] += 1
-            room = 1.0
-            while room > 1e-12:  # the slot is shared out by weight among those that lack something
-                own = [k for k in weights if share[k] < blocks[k] - 1e-9]
-                if not own:
-                    break
-                all_of = sum(weights[k] for k in own)
-                step = min([room / all_of] + [(blocks[k] - share[k]) / weights[k] for k in own])
-                for k in own:
-                    share[k] += step * weights[k]
-                room -= step * all_of
-            assert all(abs(done[k] - share[k]) < 1 + 1e-6 for k in weights)
-        assert done == blocks
+        got = scheduled(spark, weights, blocks, length)
+        assert got == list(edf(weights, blocks)) and lags(got, weights, blocks) < 1 + 1e-6
+    for weights in ({f"t{i}": float(r.randint(1, 5)) for i in range(9)}, dict.fromkeys("abc", 1.0)):  # ties
+        blocks = {s: r.randint(1, 60) for s in weights}
+        assert lags(scheduled(spark, weights, blocks, length), weights, blocks) < 1 + 1e-6
 
 
 @pytest.mark.parametrize("weights", [None, {"a": 5, "b": 3, "c": 1}, {"a": math.sqrt(2), "b": 0.1, "c": math.pi, None: 1.0}])
@@ -58,22 +115,19 @@ def test_positions(docs_of, weights):
     got["k"] = ["n" if s is None or s != s else f"s{s}" for s in got["source"]]
     given = {("n" if s is None else f"s{s}"): w for s, w in (weights or {}).items()}
     w = {k: (given.get(k, min(given.values()) * pfair.UNWEIGHTED) if weights else math.sqrt(n)) for k, n in rows.items()}
-    want = list(pfair.schedule(w, {k: -(-n // 3) for k, n in rows.items()}))
+    want = list(edf(w, {k: -(-n // 3) for k, n in rows.items()}))
     order = got.sort_values("_position").drop_duplicates("_slot")
     assert list(zip(order["k"], order["_block"])) == want and order["_slot"].tolist() == list(range(len(want)))
     assert (got.sort_values("_position")["_slot"].diff().dropna() >= 0).all()
 
 
-def test_runs_of_blocks(docs_of, monkeypatch):
-    """With fewer slots than blocks a source is less than a run and a block from its share."""
-    monkeypatch.setattr(pfair, "ROUND", 10)
-    sources = ["a"] * 300 + ["b"] * 200 + ["c"] * 100
-    got = pfair.mix(docs_of(["t"] * 600, sources=sources), {"a": 3, "b": 2, "c": 1}, block_docs=1, max_slots=120).toPandas()
-    assert got["_position"].is_unique and got["_slot"].is_unique and got["_slot"].max() == 599
-    order = got.sort_values("_position")["source"].to_numpy()
-    for s, w in (("a", 1 / 2), ("b", 1 / 3), ("c", 1 / 6)):
-        lag = np.abs(np.cumsum(order == s) - np.arange(1, 601) * w)
-        assert lag.max() < 6  # a run has five blocks
+def test_sources_that_end_stay_near_their_share(docs_of):
+    """Two sources of weights 1 and sqrt 2 and one that ends early, single documents as blocks, several stretches."""
+    sources = ["a"] * 2000 + ["b"] * 2000 + ["c"] * 100
+    weights = {"a": 1.0, "b": math.sqrt(2), "c": 0.5}
+    got = pfair.mix(docs_of(["t"] * 4100, sources=sources), weights, block_docs=1).toPandas().sort_values("_position")
+    assert got["_position"].tolist() == list(range(4100))
+    assert lags(zip(got["source"], got["_block"]), weights, collections.Counter(sources)) < 1 + 1e-6
 
 
 def test_many_sources_and_null_ids(docs_of):
@@ -103,6 +157,18 @@ def test_odd_input(docs_of):
         pfair.mix(docs, {"a": 0.0})
 
 
+def test_columns_of_any_name_and_type(docs_of):
+    extra = "'own' as {0}"
+    names = ["__key", "__block", "__mixed", "key", "group", "block", "slot", "n", "ahead", "held", "row", "own", "first", "u"]
+    docs = docs_of(["t"] * 40, sources=["a", "b"] * 20)
+    docs = docs.selectExpr("*", *[extra.format(c) for c in names], "map('k', doc_id) as m", "array(1, null) as arr", "struct(doc_id) as st", "cast('b' as binary) as bin")
+    got = pfair.mix(docs, block_docs=3)
+    assert got.columns[:-3] == docs.columns
+    assert got.select(docs.columns).drop("m").exceptAll(docs.drop("m")).count() == 0
+    rows = got.collect()
+    assert all(r["m"] == {"k": r["doc_id"]} for r in rows) and len({r["_position"] for r in rows}) == 40
+
+
 def test_no_python_in_the_plan(spark, data):
     plan = pfair.query(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
