@@ -72,3 +72,31 @@ def test_contaminated_rows_go_by_row(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
     kept = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
     assert sorted((x["doc_id"] or -1, x["text"] or "") for x in kept) == sorted([(5, clean), (6, clean), (-1, clean), (7, "")])
+
+
+def test_columns_of_any_name_and_type(spark, tmp_path):
+    """Every stage gives back columns of whatever names and types as they were."""
+    r = random.Random(25)
+    names = ["__lang", "__score", "__cosine", "__text", "__name", "__place", "__key", "__block", "__mixed", "_id", "_name", "_text", "name", "place", "digest", "rep", "key", "node", "held_out", "_file", "_row"]
+    spark.createDataFrame([(1, prose(r, 25))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, prose(r, 80, k), k, f"s{i % 3}") for i, k in enumerate(["en", "de"] * 12)]
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string, lang string, source string")
+    docs = docs.selectExpr("*", *[f"'own' as {c}" for c in names], "map('k', doc_id) as m", "array(1, null) as arr", "struct(doc_id) as st", "cast('b' as binary) as bin")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = corpus_pipeline._spark.stored(stage(spark, kept, str(tmp_path)))
+        assert kept.columns == docs.columns, name
+    assert kept.drop("m").exceptAll(docs.drop("m")).count() == 0 and kept.count() == 24
+    assert all(x["m"] == {"k": x["doc_id"]} for x in kept.collect())
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 24
+
+
+def test_clean_up_keeps_to_its_own_folders(spark, tmp_path, monkeypatch):
+    other = tmp_path / "tidemark-other"
+    other.mkdir()
+    monkeypatch.setattr(corpus_pipeline._spark, "_made", [])
+    spark.range(3).write.parquet(f"{tmp_path}/tidemark-own")
+    corpus_pipeline._spark._made.append(f"file://{tmp_path}/tidemark-own")
+    assert corpus_pipeline._spark.clean_up(spark) == 1
+    assert [p.name for p in tmp_path.iterdir()] == ["tidemark-other"]

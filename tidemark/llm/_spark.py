@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_made: list[str] = []  # folders of this driver
 ARROW_ROWS = 512  # rows in an Arrow batch: with texts of up to some MB a batch still fits a worker
 
 
@@ -31,18 +32,21 @@ def shared_dir(spark: SparkSession) -> str:
         # a session without a cluster, as in tests
         top = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    _made.append(f"{top.rstrip('/')}/tidemark-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def clean_up(spark: SparkSession) -> int:
-    """Deletes what operators have written to the shared folder so far; results not yet read are lost. How many folders that were."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        return 0
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/tidemark-*")
-    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = store.globStatus(path) or []
-    return sum(store.delete(f.getPath(), True) for f in found)
+    """Deletes what this driver's operators have written to the shared folder so far; results not yet read are lost. How many folders that were."""
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in _made]
+    _made.clear()
+    return sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True) for p in paths)
+
+
+def comparable(df: DataFrame) -> list:
+    """The columns of ``df`` to hash or sort by, those of a type that has neither as JSON."""
+    odd = {f.name for f in df.schema.fields if any(t in f.dataType.simpleString() for t in ("map<", "variant"))}
+    return [F.to_json(F.struct(F.col(f"`{c}`").alias("c"))) if c in odd else F.col(f"`{c}`") for c in df.columns]
 
 
 def stored(df: DataFrame, by: str | None = None) -> DataFrame:

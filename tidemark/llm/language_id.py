@@ -19,6 +19,7 @@ text is ``und``. Repeated rows count as rows; other columns may have any name.
 from __future__ import annotations
 
 import functools
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -140,13 +141,13 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[s
     spark = docs.sparkSession
     _spark.small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+    kept, whole = docs.select(*[F.col(f"`{c}`") for c in keep]), f"text{uuid.uuid4().hex}"
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(whole))
 
     def predict(batches):
         langs, profiles = shared.value
         for batch in batches:
-            for part in _text.slices(batch, "__text"):
+            for part in _text.slices(batch, whole):
                 n = part.num_rows
                 lang, score, near = np.full(n, "und", object), np.zeros(n), np.zeros(n)
                 if langs:

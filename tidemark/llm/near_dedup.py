@@ -40,6 +40,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -589,10 +590,11 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` of each class, with the least id; of rows equal in id and text the one that sorts first."""
     _, texts = classed(docs, doc_id, text)
-    own = docs.withColumn("__name", _name(doc_id, text))
-    kept = own.join(texts.filter("keeper").select(F.col("_name").alias("__name")), "__name", "left_semi")
-    place = F.row_number().over(Window.partitionBy("__name").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
-    return kept.withColumn("__place", place).filter("__place = 1").drop("__name", "__place")
+    name, place = f"name{uuid.uuid4().hex}", f"place{uuid.uuid4().hex}"
+    own = docs.withColumn(name, _name(doc_id, text))
+    kept = own.join(texts.filter("keeper").select(F.col("_name").alias(name)), name, "left_semi")
+    kept = kept.withColumn(place, F.row_number().over(Window.partitionBy(name).orderBy(F.xxhash64(*_spark.comparable(docs)))))
+    return kept.filter(F.col(place) == 1).drop(name, place)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._spark import table
+from tidemark.llm._spark import comparable, table
 
 BLOCK_DOCS = 16
 GROUP_ROWS = 4_000
@@ -156,12 +156,6 @@ def slots(spark: SparkSession, weights: dict[str, float], blocks: dict[str, int]
     return ran.select(F.expr("own[ran.i].key").alias("key"), F.col("ran.block").alias("block"), (F.col("first") + F.col("u")).alias("slot"))
 
 
-def _comparable(docs: DataFrame) -> list:
-    """The columns, those of a type that has no hash as JSON."""
-    odd = {f.name for f in docs.schema.fields if any(t in f.dataType.simpleString() for t in ("map<", "variant"))}
-    return [F.to_json(F.struct(F.col(f"`{c}`").alias("c"))) if c in odd else F.col(f"`{c}`") for c in docs.columns]
-
-
 def mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS, source: str = "source", output: tuple[str, str, str] = OUTPUT) -> DataFrame:
     """The rows of ``docs`` with block, slot and position, as ``output`` (in place of columns of these names).
 
@@ -187,7 +181,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DO
     run = slots(spark, weight, {k: -(-n // block_docs) for k, n in rows.items()})
 
     groups = max(1, math.ceil(sum(rows.values()) / GROUP_ROWS))
-    keyed = keyed.withColumn(mixed, F.xxhash64(*_comparable(docs))).withColumn(group, F.pmod(mixed, F.lit(groups)))
+    keyed = keyed.withColumn(mixed, F.xxhash64(*comparable(docs))).withColumn(group, F.pmod(mixed, F.lit(groups)))
     sizes = keyed.groupBy(key, group).agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(key).orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(F.col(key).alias("key"), F.col(group).alias("group"), "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
