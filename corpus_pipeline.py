@@ -31,17 +31,18 @@ FAR = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = ("__lang", "__score", "__cosine")
+    names = tuple(f"{c}{uuid.uuid4().hex}" for c in ("lang", "score", "cosine"))
+    lang_of, _, near = names
     model = language_id.learn(docs)
     if not model[0]:  # no document has a language: there is nothing to judge by
         return docs
     seen = _spark.stored(language_id.identify(docs, model, keep=tuple(docs.columns), names=names))
-    known = F.when(F.col("lang") == F.col("__lang"), F.col("__cosine"))
-    least = {r["__lang"]: FAR * r["c"] for r in seen.groupBy("__lang").agg(F.percentile_approx(known, 0.01).alias("c")).collect() if r["c"] is not None}
+    known = F.when(F.col("lang") == F.col(lang_of), F.col(near))
+    least = {r[lang_of]: FAR * r["c"] for r in seen.groupBy(lang_of).agg(F.percentile_approx(known, 0.01).alias("c")).collect() if r["c"] is not None}
     enough = F.lit(0.0)
     for lang, cosine in least.items():  # one for each language
-        enough = F.when(F.col("__lang") == lang, cosine).otherwise(enough)
-    return seen.filter((F.col("__lang") != "und") & (F.col("__cosine") > 0) & (F.col("__cosine") >= enough)).select(docs.columns)
+        enough = F.when(F.col(lang_of) == lang, cosine).otherwise(enough)
+    return seen.filter((F.col(lang_of) != "und") & (F.col(near) > 0) & (F.col(near) >= enough)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +58,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = pfair.mix(docs, output=("__mix_block", "__mix_slot", "__mix_position"))
-    return placed.repartitionByRange(n, "__mix_position").sortWithinPartitions("__mix_position").select(docs.columns)
+    output = tuple(f"{c}{uuid.uuid4().hex}" for c in ("block", "slot", "position"))
+    placed = pfair.mix(docs, output=output)
+    return placed.repartitionByRange(n, output[2]).sortWithinPartitions(output[2]).select(docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
