@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import history
 
+
 def _trips(spark, n=400):
     made = spark.range(n).withColumn("t", F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.pmod(F.xxhash64("id"), F.lit(40 * 24 * 6)) * 600_000_000))
     key = lambda k, of: F.concat(F.lit(k), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(of)).cast("string"))
@@ -17,3 +18,10 @@ def test_large_tables_without_an_amount(spark, family):
     whole, split = (history.features(rows, [family], split_over=n).orderBy("id").collect() for n in (10_000, 60))
     for a, b in zip(whole, split, strict=True):
         assert [round(x, 9) if isinstance(x, float) else x for x in a] == [round(x, 9) if isinstance(x, float) else x for x in b]
+
+def test_trailing_counts_keep_sums_from_the_first_row(spark, capsys):
+    """Counts of trailing frames: no frame moves its begin along, or a key's rows would be added up for each of them."""
+    counted = ["customer_velocity_1h", "device_velocity", "merchant_history", "device_sharing", "customer_new_merchants", "merchant_new_customers", "merchant_acceleration"]
+    history.features(_trips(spark), counted).explain()
+    frames = [x for x in capsys.readouterr().out.split("specifiedwindowframe(")[1:] if x.startswith("RangeFrame")]
+    assert frames and all("unboundedpreceding" in x[:60] for x in frames)
