@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import history
+from tidemark.operators import history, splits
 
 
 def _trips(spark, n=400):
@@ -25,3 +25,21 @@ def test_trailing_counts_keep_sums_from_the_first_row(spark, capsys):
     history.features(_trips(spark), counted).explain()
     frames = [x for x in capsys.readouterr().out.split("specifiedwindowframe(")[1:] if x.startswith("RangeFrame")]
     assert frames and all("unboundedpreceding" in x[:60] for x in frames)
+
+
+def test_the_first_gap_is_marked(spark):
+    rows = spark.range(60).select("id", (F.col("id") * 3 % 60).alias("t"), F.col("id").alias("u"))
+    got = {(r["t"], r["u"]): r[splits.FOLD] for r in splits.time_folds(rows, 2, ["t", "u"], 7, mark=-2).collect()}
+    want = [*[-1] * 13, *[-2] * 7, *[0] * 20, *[1] * 20]
+    assert [got[k] for k in sorted(got)] == want
+    plain = {(r["t"], r["u"]): r[splits.FOLD] for r in splits.time_folds(rows, 2, ["t", "u"], 7).collect()}
+    assert [plain[k] for k in sorted(plain)] == [max(k, -1) for k in want]
+
+
+@pytest.mark.parametrize("name", ["time_series_folds", "time_folds_wide"])
+def test_fold_queries_mark_the_gap(name, spark, data, same):
+    from tidemark import catalog
+
+    fn = catalog.queries()[name]
+    same(fn, catalog.oracle_sql()[name])
+    assert fn(spark, data).filter(F.col("__fold__") == -2).count() == 20
