@@ -43,3 +43,18 @@ def test_fold_queries_mark_the_gap(name, spark, data, same):
     fn = catalog.queries()[name]
     same(fn, catalog.oracle_sql()[name])
     assert fn(spark, data).filter(F.col("__fold__") == -2).count() == 20
+
+
+def test_category_statistics_round_ties_as_sql_does(spark, tmp_path):
+    """Among means of whole labels over many counts, some end in a 5 after the digits that are kept."""
+    import duckdb
+
+    from tidemark import catalog
+
+    rows = spark.range(10_000).select(F.col("id").alias("event_id"), F.lit(1).cast("long").alias("user_id"), F.lit("view").alias("event_type"), F.when(F.pmod(F.xxhash64("id"), F.lit(14)) < 5, 60.0).otherwise(1.0).alias("value"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_id"]: r["by_type"] for r in catalog.queries()["category_statistics"](spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.sql(f"create view events as from '{tmp_path}/events.parquet/*.parquet'")
+    want = dict(c.sql(catalog.oracle_sql()["category_statistics"]).df()[["event_id", "by_type"]].itertuples(index=False))
+    assert [k for k in want if got[k] != want[k]] == []
