@@ -175,3 +175,44 @@ def test_deviation_of_equal_amounts_is_zero():
     for x in (1e9, 0.1, 20.723265836946414):
         n, y = 999, whole(x)
         assert deviation(n, n * y, n * y * y) == 0.0 and mean_of(n * y, n) == x
+
+
+@pytest.mark.parametrize("block", [7, 1_000])
+def test_rows_that_come_together_share_the_reads_of_their_key(spark, monkeypatch, block):
+    """Three batches whose times overlap: each row's features as row by row, with few timers and accesses of the state."""
+    import pandas as pd
+
+    from tidemark.streaming import history as streams
+    from tidemark.streaming.state import Held
+
+    monkeypatch.setattr(streams, "BLOCK", block)
+    families, rows = ["customer_merchant", "customer_velocity", "customer_new_merchants"], _dense(3_000, 400)
+    for r in rows:
+        r["us"] -= r["us"] % 2_000_000_000  # ties, also of one millisecond
+    names = [c for f in families for c in history.FAMILIES[f].columns()]
+    held = Held()
+    plain, want = streams.KeyState(families, Held()), {}
+    for us in sorted({r["us"] for r in rows}):
+        tie = [r for r in rows if r["us"] == us]
+        want |= {(us, r["_c"], r["_m"]): [plain.read(r)[c] for c in names] for r in tie}
+        plain.add(tie)
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    timers, fired, got = set(), 0, []
+    p = streams.HistoryProcessor(families, ["us", "of_c", "of_m"], names, False, False, True)
+    p.held, p.batch, p.read, p.handle = held, None, {}, type("Handle", (), {"registerTimer": staticmethod(timers.add)})
+    mixed = random.Random(1).sample(range(2_000), 2_000)
+    for own, ms in ((mixed[:1_200], 0), (mixed[1_200:], rows[1_000]["us"] // 1000), (range(2_000, 3_000), rows[-1]["us"] // 1000 + 40 * 86_400_000)):
+        list(p.handleInputRows(("k",), iter([pd.DataFrame([{c if c == "us" else "of" + c: rows[i][c] for c in rows[i]} for i in own])]), Now(0)))
+        while due := sorted(t for t in timers if t <= ms):
+            for out in p.handleExpiredTimer(("k",), Now(ms), Now(due[0])):
+                got += out.values.tolist()
+            timers.remove(due[0])
+            fired += 1
+    assert [r[0] for r in got] == sorted(r["us"] for r in rows) and not held.maps["waiting"]
+    assert all(want[tuple(r[:3])] == r[3:] for r in got)
+    if block == 1_000:
+        assert fired < 20 and held.touched < 3 * len(rows)

@@ -3,9 +3,12 @@
 One stateful operator runs for each leading key (customer, device, merchant); families of
 several keys are operators one after the other, each adding its columns, in one query.
 Rows wait until the watermark has passed their time, so that all rows of a tie are there;
-then each reads the state, and only afterwards all of them join it. An event-time timer
-at a row's time does the waking up. The last tie of a stream comes out once a later time
-has been seen, such as a closing row.
+then each reads the state, and only afterwards all of them join it. Waiting rows of a key
+lie in blocks, an entry of the state each; an event-time timer at the first row of a block
+does the waking up, and all of the key's rows that the watermark has passed come out at
+once, tie by tie: what is read of the state is read once, and what has changed is written
+once, not for each row. The last tie of a stream comes out once a later time has been
+seen, such as a closing row.
 
 A key's state (:mod:`tidemark.streaming.state`) is a head with lifetime sums, a map of its
 partners' counts and last times, of which a row touches its own, and a log of recent rows
@@ -21,6 +24,7 @@ goes on from it: rows that were still waiting come out there.
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import json
 import math
@@ -41,6 +45,8 @@ FIELDS = ("us", "_x", "_y", "_c", "_d", "_m", "_l", "_g", "_part", "_wday", "_bo
 WHOLE = ("us", "_part", "_wday", "_born")
 TIME = "event_time"
 KEYS = 1_000  # whose state a task remembers within a batch
+BLOCK = 1_000  # rows that wait in one entry of the state
+UNSAVED = 20_000  # rows of a key's windows in a task's memory, beyond which they are read from the state again
 _HOUR, _DAY, _WEEK = Trailing(HOUR), Trailing(DAY), Trailing(7 * DAY)
 #: The windows that each family reads, and the partner columns that it counts.
 WINDOWS = {
@@ -197,6 +203,11 @@ def _plain(pdf: pd.DataFrame) -> list[dict]:
     return [dict(zip(out, row, strict=True)) for row in zip(*out.values(), strict=True)]
 
 
+def _due(row: dict) -> int:
+    """The watermark, in milliseconds, at which no other row of its time can come."""
+    return row["us"] // 1000 + 1
+
+
 class HistoryProcessor(StatefulProcessor):
     """Holds rows back until their time is complete, then emits them with their features.
 
@@ -250,33 +261,61 @@ class HistoryProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
         for pdf in rows:
-            new: dict[int, list] = {}
-            behind = []
+            new, behind = [], []
             for r in _plain(pdf):
                 if self.mark and self.first and r["us"] // 1000 < passed:
                     r["late"] = f"{passed * 1000 - r['us']} us behind the watermark"
                 if self.mark and r.get("late"):
                     behind.append(r)
                 else:
-                    new.setdefault(r["us"] // 1000 + 1, []).append(r)
-            for at, own in new.items():
-                before = self.held.get("waiting", at)
-                self.held.put("waiting", (at,), (json.dumps([*json.loads(before[0]), *own] if before else own),))
-                self.handle.registerTimer(at)
+                    new.append(r)
+            self._wait(new)
             if behind:
                 yield self._out(behind, passed)
 
+    def _wait(self, rows: list[dict]) -> None:
+        """Rows join the waiting ones in blocks, with a timer at the first row of each; rows of one millisecond stay together."""
+        blocks: list[list[dict]] = []
+        for _, same in itertools.groupby(sorted(rows, key=_due), key=_due):
+            if not blocks or len(blocks[-1]) >= BLOCK:
+                blocks.append([])
+            blocks[-1] += same
+        for own in blocks:
+            at = _due(own[0])
+            before = self.held.get("waiting", at)
+            self.held.put("waiting", (at,), (json.dumps([*json.loads(before[0]), *own] if before else own),))
+            self.handle.registerTimer(at)
+
+    def _passed(self, passed: int) -> Iterator[list[dict]]:
+        """The key's waiting rows that the watermark has passed, in the order of their times, about a block at a time; the others wait on."""
+        ready: list[dict] = []
+        starts = sorted(at for (at,) in self.held.keys("waiting") if at <= passed)
+        for at, following in zip(starts, [*starts[1:], passed + 1], strict=True):
+            ready += json.loads(self.held.get("waiting", at)[0])
+            self.held.put("waiting", (at,), None)
+            ready.sort(key=lambda r: r["us"])
+            cut = bisect.bisect_left(ready, following, key=_due)  # no later block has a row before these
+            if cut:
+                yield ready[:cut]
+            ready = ready[cut:]
+        self._wait(ready)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs()  # timers come in the order of their times
         found = self.held.get("waiting", at)
         passed = timerValues.getCurrentWatermarkInMs()
-        state, out = self._state(tuple(key), passed), []
+        state = self._state(tuple(key), passed)
         if found:
-            self.held.put("waiting", (at,), None)
-            for _, tie in itertools.groupby(sorted(json.loads(found[0]), key=lambda r: r["us"]), key=lambda r: r["us"]):
-                tie = list(tie)
-                out += [{**r, **state.read(r)} for r in tie]
-                state.add(tie)
+            for rows in self._passed(passed):
+                out = []
+                for _, tie in itertools.groupby(rows, key=lambda r: r["us"]):
+                    tie = list(tie)
+                    out += [{**r, **state.read(r)} for r in tie]
+                    state.add(tie)
+                if len(state.log.rows) > UNSAVED:
+                    state.save()
+                    state.log.rows.clear()
+                yield self._out(out, passed)
         elif at != state.purge:
             return
         if at == state.purge:
@@ -285,8 +324,6 @@ class HistoryProcessor(StatefulProcessor):
             state.purge = 0
         self._forget_later(state)
         state.save()
-        if out:
-            yield self._out(out, passed)
 
     def close(self) -> None:
         pass

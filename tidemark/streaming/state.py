@@ -77,6 +77,10 @@ class Held:
         self.touched += 1
         return self.maps[name].get(key)
 
+    def keys(self, name: str) -> list[tuple]:
+        self.touched += 1
+        return list(self.maps[name])
+
     def put(self, name: str, key: tuple, value: tuple | None) -> None:
         self.touched += 1
         if value is None:
@@ -103,6 +107,9 @@ class Stored(Held):
         found = self.maps[name].getValue(key)
         return None if found is None else tuple(found)
 
+    def keys(self, name: str) -> list[tuple]:
+        return [tuple(k) for k in self.maps[name].keys()]
+
     def put(self, name: str, key: tuple, value: tuple | None) -> None:
         if value is None:
             self.maps[name].removeKey(key)
@@ -115,6 +122,7 @@ class Log:
 
     def __init__(self, held: Held, windows: Sequence[Trailing], following: int, oldest: int):
         self.held, self.windows, self.next, self.oldest = held, list(windows), following, oldest
+        self.written = following  # rows from this number on aren't in the state yet
         self.records: dict[str, list] = {}
         self.counts: dict[tuple[str, str], int] = {}
         self.rows: dict[int, tuple] = {}
@@ -173,7 +181,6 @@ class Log:
         for w in self.windows:
             self.until(w, us)
         self.rows[self.next] = row
-        self.held.put("log", (self.next,), row)
         for w in self.windows:
             self._shift(w, row, 1)
         self.next += 1
@@ -186,9 +193,13 @@ class Log:
     def save(self) -> None:
         first = min([self._record(w)[0] for w in self.windows], default=self.next)
         while self.oldest < first:
-            self.held.put("log", (self.oldest,), None)
+            if self.oldest < self.written:
+                self.held.put("log", (self.oldest,), None)
             self.rows.pop(self.oldest, None)
             self.oldest += 1
+        for number in range(max(self.written, self.oldest), self.next):
+            self.held.put("log", (number,), self.rows[number])
+        self.written = self.next
         for name in self.changed:
             tail, n, x, y, fresh, kinds = self.records[name]
             self.held.put("windows", (name,), (tail, n, str(x), str(y), fresh, kinds))
