@@ -74,6 +74,31 @@ def test_growth_enters_frequent_prefixes_only():
     assert not len(first) or set(length.tolist()) == {2}
 
 
+@pytest.mark.parametrize("buckets", [1, 40])
+def test_each_phrase_leaves_one_task(spark, corpus, buckets):
+    """Hot words alone: their phrases' pointers go to many tasks, but one of them tells the phrase, with all its occurrences."""
+    docs = spark.createDataFrame(corpus, "lang string, text string").repartition(6)
+    texts = ph._texts(docs, "text", "lang")
+    counts = ph.word_counts(texts).groupBy("lang", "word").sum("count").filter("word is not null").collect()
+    seeds, h = {}, {}
+    for lang, word, n in counts:
+        if n >= 6:
+            part = docs.sparkSession.createDataFrame([(lang, word)], "lang string, text string").toArrow().to_batches()[0]
+            h[lang, word] = ph._words(part, seeds)[1][0]
+    table = np.sort(np.array(list(h.values()), np.uint64))
+    symbols = spark.sparkContext.broadcast(ph._Symbols(table, table[::2]))
+    got = [tuple(r)[1:] for r in ph.frequent_phrases(texts, symbols, buckets, 6).collect()]
+    assert len(got) == len({r[:4] for r in got}) and min(r[4] for r in got) >= 6
+    name = {int(v.view(np.int64)): k[1] for k, v in h.items()}
+    f = Counter()
+    for lang, text in corpus:
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", (text or "").translate(UPPER)):
+            ws = re.findall(r"[^\x20\x09]+", piece)
+            f.update((lang or "und", *ws[i : i + k]) for k in range(2, 5) for i in range(len(ws) - k + 1))
+    of = {int(v.view(np.int64)): k[0] for k, v in h.items()}
+    assert {(of[r[0]], *(name[x] for x in r[:4] if x)): r[4] for r in got} == {k: n for k, n in f.items() if n >= 6}
+
+
 def test_pieces_and_infrequent_words_end_a_pointer():
     cells = ph.followers(np.array([1, 2, 0, 3, 4, 5], np.uint32), np.array([True, True, True, False, True]))
     assert [c.tolist() for c in cells] == [[1, 2, 0, 3, 4, 5], [2, 0, 0, 0, 5, 0], [0] * 6, [0] * 6]

@@ -9,10 +9,13 @@
    word of the prefix is hot (over ``HOT`` occurrences), one word more. A prefix so has
    no more occurrences than a word that isn't hot, however many its first word has;
    prefixes of hot words alone are dealt by all four, and are summed in the map tasks.
+   Phrases of hot words alone whose pointers so go to several tasks are counted apart:
+   the map tasks' sums of them travel as pointers of their own, which meet in one task.
 3. Growth. A task takes the pointers of its prefixes, in order, and extends a prefix
    to the right depth-first: the pointers of each extension are a slice of those of
-   the prefix, and only frequent extensions are entered. Where a phrase of hot words is
-   spread over several tasks its counts are sums over them, so it is entered in any case.
+   the prefix, and only frequent extensions are entered. A phrase of hot words that is
+   spread over several tasks is entered in any case, but told only by the task where its
+   sums meet: a task gives frequent phrases alone, however many tasks there are.
 4. Scores. Phrases ask for the counts of the parts of all their cuts by an equi-join;
    hot words are asked for by a broadcast of at most ``SHARE`` rows. Phrases nearly
    always inside a longer one are dropped, and each language's first ``TOP`` are ranked.
@@ -70,7 +73,7 @@ def _words(part: pa.RecordBatch, seeds: dict[str, np.uint64]):
     lang = np.array([number[k] for k in langs], np.int64)
     salt = np.array([seeds[k] for k in langs], np.uint64)
     h = _text.mix(w.hashes() ^ salt[w.doc]) if len(w.start) else np.zeros(0, np.uint64)
-    h[h == 0] = 1  # 0 is the end of a piece
+    h = np.clip(h, 1, np.iinfo(np.uint64).max - np.uint64(1))  # 0 is the end of a piece, the greatest marks sums
     return w, h, lang
 
 
@@ -132,6 +135,11 @@ class _Symbols:
             return symbols.view(np.int64)
         return np.append(np.zeros(1, np.uint64), self.table)[symbols].view(np.int64)
 
+    @property
+    def sums(self):
+        """In the place after a phrase: the pointer has the phrase's sum, not a next word."""
+        return np.iinfo(self.kind).max
+
     def is_hot(self, symbols: np.ndarray) -> np.ndarray:
         if not len(self.hot):
             return np.zeros(len(symbols), bool)
@@ -150,6 +158,18 @@ def followers(symbols: np.ndarray, joined: np.ndarray) -> list[np.ndarray]:
     return cells
 
 
+def with_sums(cells: list[np.ndarray], count: np.ndarray, lang: np.ndarray, is_hot, sums):
+    """The pointers, and one for each phrase of two or three hot words at their begin, with its number of occurrences."""
+    out, alone = [(cells, count, lang)], is_hot(cells[0])
+    for k in range(2, LONGEST):
+        alone = alone & is_hot(cells[k - 1])
+        if alone.any():
+            of, (n,), at = _text.sums([c[alone] for c in cells[:k]], count[alone])
+            more = [np.full(len(n), sums if i == k else 0, cells[0].dtype) for i in range(k, LONGEST)]
+            out.append(([*of, *more], n, lang[alone][at]))
+    return [np.concatenate(c) for c in zip(*(o[0] for o in out), strict=True)], *(np.concatenate([o[i] for o in out]) for i in (1, 2))
+
+
 def pointers(texts: DataFrame, symbols, buckets: int) -> DataFrame:
     """``lang, bucket, cells, counts``: a map task's pointers of a bucket's prefixes, in order, one column after the other."""
 
@@ -157,9 +177,10 @@ def pointers(texts: DataFrame, symbols, buckets: int) -> DataFrame:
         *cells, lang = [np.concatenate(x) for x in zip(*held, strict=True)]
         cells, (count,), at = _text.sums(cells, np.ones(len(lang), np.int64))
         lang = lang[at]  # a word's symbol tells its language
+        cells, count, lang = with_sums(cells, count, lang, symbols.value.is_hot, symbols.value.sums)
         to, longer = _text.mix(cells[0].astype(np.uint64)), np.ones(len(count), bool)
         for a, b in zip(cells, cells[1:], strict=False):
-            longer &= symbols.value.is_hot(a)
+            longer &= symbols.value.is_hot(a)  # sums end in a symbol that isn't hot, so all of a phrase's go the same way
             to = np.where(longer, _text.mix(to ^ b.astype(np.uint64)), to)
         bucket = (to % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket * len(names) + lang, kind="stable")
@@ -194,10 +215,10 @@ def pointers(texts: DataFrame, symbols, buckets: int) -> DataFrame:
     return texts.mapInArrow(run, "lang string, bucket long, cells binary, counts binary")
 
 
-def grow(cells: list[np.ndarray], count: np.ndarray, is_hot, least: int):
+def grow(cells: list[np.ndarray], count: np.ndarray, is_hot, least: int, sums: int | None = None):
     """Frequent extensions of the prefixes of ordered pointers: the first pointer of each, its length and its occurrences.
 
-    Phrases of hot words alone are given whatever their count, as other tasks have more of them.
+    Phrases of hot words alone, of which other tasks have more, are given by the pointers that end in ``sums``.
     """
     total = np.append(0, np.cumsum(count))
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -209,8 +230,13 @@ def grow(cells: list[np.ndarray], count: np.ndarray, is_hot, least: int):
         n = total[lo + end] - total[lo + begin]
         more = is_hot(own[begin]) & spread & (depth + 1 < LONGEST)
         go = np.flatnonzero((own[begin] != 0) & (more | (n >= least)))
+        if spread and depth and sums is not None:
+            told = go[own[begin[go]] == sums]
+            found.append((lo + begin[told], np.full(len(told), depth), n[told]))
+            go = go[own[begin[go]] != sums]
         if depth:
-            found.append((lo + begin[go], np.full(len(go), depth + 1), n[go]))
+            own_go = go[~more[go]]
+            found.append((lo + begin[own_go], np.full(len(own_go), depth + 1), n[own_go]))
         if depth + 1 < LONGEST:
             for k in go.tolist():
                 extend(lo + int(begin[k]), lo + int(end[k]), depth + 1, bool(more[k]))
@@ -228,15 +254,14 @@ def frequent_phrases(texts: DataFrame, symbols, buckets: int, least: int) -> Dat
         count = [np.frombuffer(b, np.uint32) for b in rows.column("counts").to_pylist()]
         parts = [np.frombuffer(b, kind).reshape(LONGEST, len(c)) for b, c in zip(rows.column("cells").to_pylist(), count, strict=True)]
         cells, (count,), _ = _text.sums(list(np.concatenate(parts, 1)), np.concatenate(count).astype(np.int64))
-        first, length, n = grow(cells, count, symbols.value.is_hot, least)
+        first, length, n = grow(cells, count, symbols.value.is_hot, least, symbols.value.sums)
         out = {"lang": pa.array([key[1].as_py()] * len(first), pa.string())}
         for i, name in enumerate(_H):
-            out[name] = np.where(i < length, symbols.value.hashes(cells[i][first]), 0)
+            out[name] = symbols.value.hashes(np.where(i < length, cells[i][first], 0).astype(kind))
         return pa.table(out | {"f": n})
 
     dealt = pointers(texts, symbols, buckets)
-    grown = dealt.groupBy("bucket", "lang").applyInArrow(task, f"lang string, {', '.join(f'{h} long' for h in _H)}, f long")
-    return grown.groupBy(*_H).agg(F.max("lang").alias("lang"), F.sum("f").alias("f")).filter(F.col("f") >= least)
+    return dealt.groupBy("bucket", "lang").applyInArrow(task, f"lang string, {', '.join(f'{h} long' for h in _H)}, f long")
 
 
 def _part(of: list, start: int, length: int, names: list[str]) -> Column:
