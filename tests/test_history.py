@@ -181,3 +181,16 @@ def test_few_shuffles(spark, data):
     assert plan.count("Exchange hashpartitioning") == 1
     plan = history.features(df, ALL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 3
+
+
+def test_each_measure_is_one_window(spark):
+    rows = frame(spark, [3600 * i for i in range(24)])
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    try:
+        out = history.features(rows, ["customer_history", "customer_device", "customer_velocity", "customer_velocity_1h"])
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    # by customer: count, last, first, mean amount, mean and deviation of logs, counts up to an hour, a day and a week before;
+    # by pair: count and last
+    assert plan.count("windowspecdefinition(") == 11
