@@ -74,3 +74,10 @@ def test_chunks_of_heavy_keys_hold_rows(spark):
     whole, split = (history.features(rows, ["merchant_amount"], split_over=n).orderBy("id").collect() for n in (10_000, 100))
     for a, b in zip(whole, split, strict=True):
         assert [round(x, 9) if isinstance(x, float) else x for x in a] == [round(x, 9) if isinstance(x, float) else x for x in b]
+
+
+@pytest.mark.parametrize("name", ["impute_and_scale"])
+def test_order_lines_are_joined_once(spark, data, name):
+    from tidemark import catalog
+
+    assert not [f for f in catalog.queries()[name](spark, data).inputFiles() if "lineitem" in f]  # the result reads the joined rows
