@@ -76,7 +76,7 @@ def test_chunks_of_heavy_keys_hold_rows(spark):
         assert [round(x, 9) if isinstance(x, float) else x for x in a] == [round(x, 9) if isinstance(x, float) else x for x in b]
 
 
-@pytest.mark.parametrize("name", ["impute_and_scale"])
+@pytest.mark.parametrize("name", ["impute_and_scale", "customer_history", "merchant_amount", "split_key_history", "split_key_trailing"])
 def test_order_lines_are_joined_once(spark, data, name):
     from tidemark import catalog
 

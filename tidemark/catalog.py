@@ -14,6 +14,7 @@ from tidemark.plans import more_queries  # noqa: F401  registers its queries wit
 from tidemark.plans import queries as others
 from tidemark.plans import tree_queries  # noqa: F401  likewise
 from tidemark.plans import transactions
+from tidemark.session import stored
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -38,6 +39,8 @@ def _family(name: str, view) -> Callable[[SparkSession, str], DataFrame]:
         family = history.FAMILIES[name]
         need = [c for c in transactions.COLUMNS if c in (*family.needs, "transaction_id", "customer_id", "timestamp")]
         rows = view(spark, sf_dir).select(*need)
+        if view is transactions.order_lines:
+            rows = stored(rows)  # read for the count of heavy keys and for the features, joined once
         out = history.features(rows, [name])
         cols = [F.round(F.col(c) + fo.NUDGE, fo.digits_of(c, DIGITS)).alias(c) if fo.is_float(c) else F.col(c).cast("long").alias(c) for c in family.columns()]
         return out.select("transaction_id", F.col("customer_id").alias("customer_key"), event_us(F.col("timestamp")).alias("us"), *cols)
