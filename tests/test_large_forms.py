@@ -81,3 +81,17 @@ def test_order_lines_are_joined_once(spark, data, name):
     from tidemark import catalog
 
     assert not [f for f in catalog.queries()[name](spark, data).inputFiles() if "lineitem" in f]  # the result reads the joined rows
+
+
+def test_learners_get_their_rows_in_bounded_parts(spark, monkeypatch):
+    from tidemark.operators import learning
+
+    class Parts(learning.Estimator):
+        def _fit(self, df):
+            return df.rdd.getNumPartitions()
+
+    monkeypatch.setattr(learning, "ROWS_A_TASK", 10)
+    monkeypatch.setitem(learning.ESTIMATORS, "forest", lambda seed: Parts())
+    rows = spark.range(0, 100, 1, 1).select(F.col("id").cast("double").alias("x"), F.lit(1.0).alias("label"))
+    learner = learning.build_pipeline("forest", ["x"]).getStages()[-1]
+    assert learner._fit(rows) == 10
