@@ -216,3 +216,121 @@ def test_rows_that_come_together_share_the_reads_of_their_key(spark, monkeypatch
     assert all(want[tuple(r[:3])] == r[3:] for r in got)
     if block == 1_000:
         assert fired < 20 and held.touched < 3 * len(rows)
+
+
+class _Store:
+    """A group's state in plain dictionaries, in pages as in the state store."""
+
+    def __new__(cls):
+        from tidemark.streaming.state import STORED, Held, Paged
+
+        class Store(Held):
+            def __init__(self):
+                super().__init__()
+                self.maps = {n: {} for n in STORED}
+
+            def of(self, key):
+                return Paged(self, key or "")
+
+        return Store()
+
+
+def _in_groups(families, lead, batches):
+    """Rows through the operator of one group of keys: its output by key and time, and its state."""
+    import pandas as pd
+
+    from tidemark.streaming import history as streams
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    names, timers, got = [c for f in families for c in history.FAMILIES[f].columns()], set(), {}
+    p = streams.HistoryProcessor(families, ["us", "of_c", "of_m"], names, False, False, True, lead)
+    p.held, p.handle = _Store(), type("Handle", (), {"registerTimer": staticmethod(timers.add)})
+    for own, ms in batches:
+        list(p.handleInputRows(("g",), iter([pd.DataFrame([{c if c == "us" else "of" + c: r[c] for c in r} for r in own])] if own else []), Now(0)))
+        for t in sorted(t for t in timers if t <= ms):
+            for out in p.handleExpiredTimer(("g",), Now(ms), Now(t)):
+                got |= {tuple(r[:3]): r[3:] for r in out.values.tolist()}
+            timers.remove(t)
+    return got, p.held
+
+
+def _each_key(families, lead, rows):
+    from tidemark.streaming.history import KeyState
+    from tidemark.streaming.state import Held
+
+    names, want, states = [c for f in families for c in history.FAMILIES[f].columns()], {}, {}
+    for us in sorted({r["us"] for r in rows}):
+        tie = [r for r in rows if r["us"] == us]
+        for k in {r[lead] for r in tie}:
+            state, own = states.setdefault(k, KeyState(families, Held())), [r for r in tie if r[lead] == k]
+            want |= {(us, r["_c"], r["_m"]): [state.read(r)[c] for c in names] for r in own}
+            state.add(own)
+    return want
+
+
+@pytest.mark.parametrize("rounds", [50, 100_000])
+def test_keys_of_a_group_share_calls_and_keep_their_states(spark, monkeypatch, rounds):
+    """What a key costs of the state store: its page read and written once a round; rows are as key by key, also in small rounds."""
+    from tidemark.streaming import history as streams
+
+    monkeypatch.setattr(streams, "ROUND", rounds)
+    families, rows = ["customer_history", "customer_merchant", "customer_velocity", "account_consistency", "amount_30d", "customer_new_merchants"], _dense(1_500, 300)
+    late = rows[-1]["us"] // 1000
+    got, held = _in_groups(families, "_c", [(rows[:700][::-1], rows[500]["us"] // 1000), (rows[700:], late + 1)])
+    assert got == _each_key(families, "_c", rows)
+    assert len(held.maps["head"]) == len({r["_c"] for r in rows}) and not held.maps["waiting"]
+    if rounds == 100_000:
+        assert held.touched < 5 * len(held.maps["head"]) + 40
+
+
+def test_a_silent_key_of_a_group_forgets_its_rows(spark):
+    families, rows = ["customer_velocity"], _dense(400, 300)
+    week = 7 * 86_400_000
+    _, held = _in_groups(families, "_c", [(rows, rows[-1]["us"] // 1000 + 1)])
+    assert any('"log"' in head[-1] for head in held.maps["head"].values()) and held.maps["leaving"]
+    _, held = _in_groups(families, "_c", [(rows, rows[-1]["us"] // 1000 + 1), ([], rows[-1]["us"] // 1000 + 2 * week)])
+    assert not any('"log"' in head[-1] for head in held.maps["head"].values()) and not held.maps["leaving"]
+
+
+@pytest.mark.parametrize("lead", ["_d", "_m"])
+def test_a_busy_key_of_a_group_has_pages(spark, monkeypatch, lead):
+    from tidemark.streaming import history as streams
+    from tidemark.streaming import state
+
+    monkeypatch.setattr(state, "PAGE", 16)
+    monkeypatch.setattr(streams, "ROUND", 300)
+    families, rows = (["device_sharing", "device_merchant"] if lead == "_d" else ["merchant_new_customers", "merchant_history"]), _dense(2_000, 400)
+    got, held = _in_groups(families, lead, [(rows[:900], rows[800]["us"] // 1000), (rows[900:], rows[-1]["us"] // 1000 + 1)])
+    assert got == _each_key(families, lead, rows)
+    assert len(held.maps["page"]) > 4 if lead == "_d" else held.maps["page"]
+    assert max(len(p[0]) for p in held.maps["page"].values()) < 100 * 16 * 8
+
+
+def test_entries_move_to_more_pages(monkeypatch):
+    from tidemark.streaming import state
+
+    store, want = _Store(), {}
+    for n in (5, 300, 301, 9_000):
+        one = store.of("k")
+        for i in range(n):
+            for entry, value in ((("partners", "_c", str(i)), (i, None)), (("log", i), (i, 0.5, None, "c", "m", ""))):
+                one.put(entry[0], entry[1:], value)
+                want[entry] = value
+        one.put("partners", ("_c", "0"), None)
+        want.pop(("partners", "_c", "0"), None)
+        one.set_head((n, *state.START[1:]))
+        one.flush()
+        again = store.of("k")
+        assert again.get_head()[0] == n and again.entries == len(want) and again.get("partners", "_c", "0") is None
+        assert all(again.get(*e) == v for e, v in want.items())
+    assert again.pages == 256 and len(store.maps["page"]) > 200
+
+
+def test_waiting_rows_come_back():
+    from tidemark.streaming.state import packed, unpacked
+
+    rows = [{"us": 10**15 + i, "_x": None if i == 2 else i / 3, "_c": str(i), "n": None if i == 1 else i, "mixed": 1 if i else 0.5} for i in range(4)] + [{"us": 1, "prior": True}]
+    assert unpacked(packed(rows)) == [{c: r.get(c) for c in [*rows[0], "prior"]} for r in rows]

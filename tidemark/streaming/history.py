@@ -3,12 +3,15 @@
 One stateful operator runs for each leading key (customer, device, merchant); families of
 several keys are operators one after the other, each adding its columns, in one query.
 Rows wait until the watermark has passed their time, so that all rows of a tie are there;
-then each reads the state, and only afterwards all of them join it. Waiting rows of a key
-lie in blocks, an entry of the state each; an event-time timer at the first row of a block
-does the waking up, and all of the key's rows that the watermark has passed come out at
-once, tie by tie: what is read of the state is read once, and what has changed is written
-once, not for each row. The last tie of a stream comes out once a later time has been
-seen, such as a closing row.
+then each reads the state, and only afterwards all of them join it.
+
+An operator's groups are ``GROUPS`` parts of the keys by a hash, not single keys, as each call
+of the engine and each access of the state store costs more than many rows. Waiting rows of a
+group lie in blocks, an entry of the state each; an event-time timer at the first row of a
+block does the waking up, and the group's rows that the watermark has passed come out in
+rounds of about ``ROUND`` rows, key by key and tie by tie: what a round reads of a key's state
+is read once, and what has changed is written once, not for each row. The last tie of a stream
+comes out once a later time has been seen, such as a closing row.
 
 A key's state (:mod:`tidemark.streaming.state`) is a head with lifetime sums, a map of its
 partners' counts and last times, of which a row touches its own, and a log of recent rows
@@ -28,6 +31,7 @@ import bisect
 import itertools
 import json
 import math
+import operator
 from collections.abc import Iterator, Sequence
 from typing import Any
 
@@ -39,23 +43,24 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tidemark.functions.windows import DAY, HOUR, SECOND
 from tidemark.operators.history import FAMILIES, prepare
-from tidemark.streaming.state import HEAD, MAPS, Held, Log, Stored, Trailing, deviation, dumped, loaded, mean_of, whole
+from tidemark.streaming.state import STORED, Held, Log, Stored, Trailing, deviation, loaded, mean_of, packed, unpacked, whole
 
 FIELDS = ("us", "_x", "_y", "_c", "_d", "_m", "_l", "_g", "_part", "_wday", "_born")
 WHOLE = ("us", "_part", "_wday", "_born")
 TIME = "event_time"
-KEYS = 1_000  # whose state a task remembers within a batch
+GROUPS = 1_024  # of keys; a checkpoint or snapshot goes on with the number that it began with
 BLOCK = 1_000  # rows that wait in one entry of the state
-UNSAVED = 20_000  # rows of a key's windows in a task's memory, beyond which they are read from the state again
+ROUND = 100_000  # rows that a task holds at once, about
 _HOUR, _DAY, _WEEK = Trailing(HOUR), Trailing(DAY), Trailing(7 * DAY)
 #: The windows that each family reads, and the partner columns that it counts.
 WINDOWS = {
     "customer_velocity_1h": (_HOUR,), "device_velocity_1h": (_HOUR,), "customer_velocity": (_HOUR, _DAY, _WEEK), "device_velocity": (_HOUR, _DAY, _WEEK),
-    "amount_30d": (Trailing(30 * DAY),), "merchant_history": (Trailing(DAY, kind="_c"),), "device_sharing": (Trailing(DAY, kind="_c"), Trailing(7 * DAY, kind="_c")),
+    "amount_30d": (Trailing(30 * DAY, sums=True),), "merchant_history": (Trailing(DAY, kind="_c"),), "device_sharing": (Trailing(DAY, kind="_c"), Trailing(7 * DAY, kind="_c")),
     "customer_new_merchants": (Trailing(7 * DAY, True, "_m"), Trailing(30 * DAY, True, "_m")), "merchant_new_customers": (Trailing(DAY, True, "_c"), Trailing(7 * DAY, True, "_c")),
     "merchant_acceleration": (_HOUR, Trailing(2 * HOUR)),
 }
 PARTNERS = {"customer_device": "_d", "customer_location": "_l", "device_global": "_c", "customer_merchant": "_m", "customer_category": "_g", "merchant_history": "_c", "device_sharing": "_c", "customer_new_merchants": "_m", "merchant_new_customers": "_c", "device_location": "_l", "device_merchant": "_m", "merchant_location": "_l", "account_consistency": "_born"}
+AMOUNTS = {"customer_history", "merchant_amount", "amount_30d"}  # that read sums over all rows
 PAIRS = {"customer_device": ("new", True, None), "customer_location": ("new", True, None), "customer_merchant": ("is_new", True, 0.0), "customer_category": ("is_new", True, 0.0), "device_location": ("is_new", True, None), "device_merchant": (None, False, 0.0), "merchant_location": (None, False, 0.0)}
 
 
@@ -67,6 +72,8 @@ class KeyState:
         self.kinds = sorted({PARTNERS[f] for f in families if f in PARTNERS} | ({"_part", "_wday"} if "temporal_habits" in families else set()))
         self.n, self.first, self.last, x, y, yy, *mode, following, oldest, self.purge = held.get_head()
         self.x, self.y, self.yy, self.mode = int(x), int(y), int(yy), mode  # rows and day of the most frequent creation day, the earliest on ties
+        self.asked = [(f, WINDOWS.get(f, ())) for f in families]
+        self.summed = not AMOUNTS.isdisjoint(families)
         self.log = Log(held, sorted({w for f in families for w in WINDOWS.get(f, ())}, key=lambda w: w.name), following, oldest)
         self.known: dict[tuple[str, str], tuple[int, int | None]] = {}
         self.numbers: dict[str, tuple[int, int | None]] = {}  # of partners, and the time of the last new one
@@ -85,9 +92,10 @@ class KeyState:
     def _partner(self, kind: str, value) -> tuple[int, int | None]:
         """Rows with the partner and the time of the last."""
         key = (kind, str(value))
-        if key not in self.known:
-            self.known[key] = self.held.get("partners", *key) or (0, None)
-        return self.known[key]
+        found = self.known.get(key)
+        if found is None:
+            found = self.known[key] = self.held.get("partners", *key) or (0, None)
+        return found
 
     def _number(self, kind: str) -> tuple[int, int | None]:
         if kind not in self.numbers:
@@ -96,8 +104,8 @@ class KeyState:
 
     def read(self, row: dict) -> dict[str, Any]:
         out: dict[str, Any] = {}
-        for f in self.families:
-            out.update(self._family(f, row))
+        for f, windows in self.asked:
+            out.update(self._family(f, windows, row))
         return out
 
     def _since(self, t, at):
@@ -108,9 +116,9 @@ class KeyState:
         mean, log_mean, std = (mean_of(self.x, n), mean_of(self.y, n), deviation(n, self.y, self.yy)) if n else (None, None, None)
         return {f"{p}_prior_mean_amount": mean, f"{p}_prior_mean_log_amount": log_mean, f"{p}_prior_std_log_amount": std, f"{p}_amount_to_prior_mean": row["_x"] / (mean + 1) if n else None, f"{p}_log_amount_zscore": (row["_y"] - log_mean) / max(std, 0.1) if n >= 5 else None}
 
-    def _family(self, f: str, row: dict) -> dict[str, Any]:
+    def _family(self, f: str, windows: Sequence[Trailing], row: dict) -> dict[str, Any]:
         t, n, first, last = row["us"], self.n, self.first, self.last
-        frames = [self.log.until(w, t) for w in WINDOWS.get(f, ())]
+        frames = [self.log.until(w, t) for w in windows]
         if f in PAIRS:
             new, recency, empty = PAIRS[f]
             own, at = self._partner(PARTNERS[f], row[PARTNERS[f]])
@@ -171,20 +179,23 @@ class KeyState:
     def add(self, rows: list[dict]) -> None:
         """A whole tie joins the state."""
         for r in rows:
-            t, y = r["us"], whole(r["_y"])
+            t = r["us"]
             self.n, self.first, self.last = self.n + 1, t if self.first is None else self.first, t
-            self.x, self.y, self.yy = self.x + whole(r["_x"]), self.y + y, self.yy + y * y
+            if self.summed:
+                y = whole(r["_y"])
+                self.x, self.y, self.yy = self.x + whole(r["_x"]), self.y + y, self.yy + y * y
             fresh = []
             for k in self.kinds:
                 if r[k] is None:
                     continue
-                before, _ = self._partner(k, r[k])
+                key = (k, str(r[k]))
+                before, _ = self._partner(*key)
                 if not before:
                     fresh.append(k)
                     self.numbers[k] = (self._number(k)[0] + 1, t)
                     self.changed.add((k,))
-                self.known[k, str(r[k])] = (before + 1, t)
-                self.changed.add((k, str(r[k])))
+                self.known[key] = (before + 1, t)
+                self.changed.add(key)
                 if k == "_born" and (before + 1, -r[k]) > (self.mode[0], -self.mode[1] if self.mode[0] else 0):
                     self.mode = [before + 1, r[k]]
             if self.log.windows:
@@ -198,11 +209,16 @@ def _plain(pdf: pd.DataFrame) -> list[dict]:
         if c == TIME:
             continue
         name = "_" + c[3:] if c.startswith("of_") else c
-        values = [None if v is None or v != v else v.item() if hasattr(v, "item") else v for v in pdf[c]]
+        values = pdf[c].tolist()
+        if pdf[c].dtype == object or pdf[c].hasnans:
+            values = [None if v is None or v != v else v for v in values]
         out[name] = [None if v is None else int(v) for v in values] if name in WHOLE else values
     return [dict(zip(out, row, strict=True)) for row in zip(*out.values(), strict=True)]
 
 
+_US = operator.itemgetter("us")
+
+
 def _due(row: dict) -> int:
     """The watermark, in milliseconds, at which no other row of its time can come."""
     return row["us"] // 1000 + 1
@@ -212,56 +228,43 @@ class HistoryProcessor(StatefulProcessor):
     """Holds rows back until their time is complete, then emits them with their features.
 
     ``payload``: columns that go on as they are; ``timed``: whether another operator follows; ``mark``: whether rows behind the
-    watermark come out at once, as the ``first`` operator finds them.
+    watermark come out at once, as the ``first`` operator finds them; ``lead``: the field that tells the keys of a group apart
+    (none: a group is one key).
     """
 
-    def __init__(self, families: Sequence[str], payload: Sequence[str], columns: Sequence[str], timed: bool, mark: bool, first: bool):
-        self.families, self.payload, self.columns, self.timed, self.mark, self.first = list(families), list(payload), list(columns), timed, mark, first
+    def __init__(self, families: Sequence[str], payload: Sequence[str], columns: Sequence[str], timed: bool, mark: bool, first: bool, lead: str | None = None):
+        self.families, self.payload, self.columns, self.timed, self.mark, self.first, self.lead = list(families), list(payload), list(columns), timed, mark, first, lead
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = Stored(handle)
-        self.batch, self.read = None, {}  # keys read in this batch; all that changes is written at once
-
-    def _state(self, key: tuple, passed: int) -> KeyState:
-        if passed != self.batch or len(self.read) >= KEYS:
-            self.batch, self.read = passed, {}
-        if key not in self.read:
-            self.read[key] = KeyState(self.families, self.held)
-        return self.read[key]
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        """Rows of an earlier stream, or the entries of a snapshot, go into the state at once."""
+        """The entries of a snapshot go into the state at once; rows of an earlier stream wait like others, but never come out."""
         if "entry" in initialState.columns:
+            if (was := int(key[0].split("/")[1])) != GROUPS:
+                raise ValueError(f"the snapshot has {was} groups of keys, not {GROUPS}")
             for at in loaded(self.held, initialState[["map", "entry", "content"]].itertuples(index=False, name=None)):
                 self.handle.registerTimer(at)
-            state = KeyState(self.families, self.held)
         else:
-            state = KeyState(self.families, self.held)
-            for _, tie in itertools.groupby(sorted(_plain(initialState), key=lambda r: r["us"]), key=lambda r: r["us"]):
-                state.add(list(tie))
-            state.purge = 0
-        self._forget_later(state, anew=True)
-        state.save()
-
-    def _forget_later(self, state: KeyState, anew: bool = False) -> None:
-        """One timer for when the oldest row that is kept has left every window."""
-        if state.log.windows and state.last is not None and state.log.oldest < state.log.next and (anew or not state.purge):
-            state.purge = (state.last + max(w.width for w in state.log.windows)) // 1000 + 2
-            self.handle.registerTimer(state.purge)
+            self._wait([{**r, "prior": True} for r in _plain(initialState)])
 
     def _out(self, rows: list[dict], passed: int) -> pd.DataFrame:
         """For another operator rows are of the time just after the watermark: all that it has passed come in one batch."""
         names = [*self.payload, *([TIME] if self.timed else []), *self.columns, *(["late"] if self.mark else [])]
-        made = {c: [r.get("_" + c[3:] if c.startswith("of_") else c) for r in rows] for c in names}
+        made = {}
+        for c in names:
+            own = "_" + c[3:] if c.startswith("of_") else c
+            made[c] = [r.get(own) for r in rows]
         if self.timed:
             made[TIME] = pd.to_datetime([passed + 1] * len(rows), unit="ms")
         return pd.DataFrame({c: v if c == TIME else pd.Series(v, dtype=object) for c, v in made.items()}, columns=names)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
+        new: list[dict] = []
         for pdf in rows:
-            new, behind = [], []
+            behind = []
             for r in _plain(pdf):
                 if self.mark and self.first and r["us"] // 1000 < passed:
                     r["late"] = f"{passed * 1000 - r['us']} us behind the watermark"
@@ -269,61 +272,101 @@ class HistoryProcessor(StatefulProcessor):
                     behind.append(r)
                 else:
                     new.append(r)
-            self._wait(new)
+            if len(new) >= ROUND:
+                self._wait(new)
+                new = []
             if behind:
                 yield self._out(behind, passed)
+        self._wait(new)
 
     def _wait(self, rows: list[dict]) -> None:
         """Rows join the waiting ones in blocks, with a timer at the first row of each; rows of one millisecond stay together."""
         blocks: list[list[dict]] = []
-        for _, same in itertools.groupby(sorted(rows, key=_due), key=_due):
+        for _, same in itertools.groupby(sorted(rows, key=_US), key=_due):
             if not blocks or len(blocks[-1]) >= BLOCK:
                 blocks.append([])
             blocks[-1] += same
         for own in blocks:
             at = _due(own[0])
             before = self.held.get("waiting", at)
-            self.held.put("waiting", (at,), (json.dumps([*json.loads(before[0]), *own] if before else own),))
+            self.held.put("waiting", (at,), (packed([*unpacked(before[0]), *own] if before else own),))
             self.handle.registerTimer(at)
 
-    def _passed(self, passed: int) -> Iterator[list[dict]]:
-        """The key's waiting rows that the watermark has passed, in the order of their times, about a block at a time; the others wait on."""
+    def _passed(self, passed: int) -> Iterator[tuple[list[dict], int]]:
+        """The group's waiting rows that the watermark has passed, in the order of their times, about a round at a time; the others wait on.
+
+        With each round comes the time in milliseconds before which no other row becomes due.
+        """
         ready: list[dict] = []
         starts = sorted(at for (at,) in self.held.keys("waiting") if at <= passed)
         for at, following in zip(starts, [*starts[1:], passed + 1], strict=True):
-            ready += json.loads(self.held.get("waiting", at)[0])
+            ready += unpacked(self.held.get("waiting", at)[0])
             self.held.put("waiting", (at,), None)
-            ready.sort(key=lambda r: r["us"])
+            if len(ready) < ROUND and following <= passed:
+                continue
+            ready.sort(key=_US)
             cut = bisect.bisect_left(ready, following, key=_due)  # no later block has a row before these
             if cut:
-                yield ready[:cut]
+                yield ready[:cut], following
             ready = ready[cut:]
         self._wait(ready)
 
+    def _with_features(self, rows: list[dict], upto: int) -> list[dict]:
+        """Rows of one round, key by key; all rows due before ``upto`` are among them or were before."""
+        keys: dict[str | None, list[dict]] = {}
+        for r in rows:
+            keys.setdefault(r[self.lead] if self.lead else None, []).append(r)
+        out: list[dict] = []
+        leaving: dict[int, list] = {}
+        for key, own in keys.items():
+            state = KeyState(self.families, self.held.of(key))
+            for _, tie in itertools.groupby(own, key=_US):
+                tie = list(tie)
+                for r in tie:
+                    if not r.get("prior"):
+                        r.update(state.read(r))
+                        out.append(r)
+                state.add(tie)
+            self._leave(state, key, upto, leaving)
+        self._leave_later(leaving)
+        return out
+
+    def _leave(self, state: KeyState, key: str | None, upto: int, leaving: dict[int, list]) -> None:
+        """Writes the state; of a silent key the rows that are kept leave once the last of them has left every window, at the end of that day."""
+        state.log.save()
+        if state.log.oldest < state.log.next:
+            at = -(-(state.last + max(w.width for w in state.log.windows) + 2_000) // DAY) * DAY // 1000
+            if at < upto:
+                state.log.passed(at * 1000)
+            elif not state.purge:
+                state.purge = at
+                leaving.setdefault(at, []).append(key)
+        state.save()
+        state.held.flush()
+
+    def _leave_later(self, leaving: dict[int, list]) -> None:
+        """Keys for which a timer is set, by its time."""
+        for at, keys in leaving.items():
+            before = self.held.get("leaving", at)
+            self.held.put("leaving", (at,), (json.dumps([*(json.loads(before[0]) if before else []), *keys]),))
+            self.handle.registerTimer(at)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs()  # timers come in the order of their times
-        found = self.held.get("waiting", at)
         passed = timerValues.getCurrentWatermarkInMs()
-        state = self._state(tuple(key), passed)
-        if found:
-            for rows in self._passed(passed):
-                out = []
-                for _, tie in itertools.groupby(rows, key=lambda r: r["us"]):
-                    tie = list(tie)
-                    out += [{**r, **state.read(r)} for r in tie]
-                    state.add(tie)
-                if len(state.log.rows) > UNSAVED:
-                    state.save()
-                    state.log.rows.clear()
-                yield self._out(out, passed)
-        elif at != state.purge:
-            return
-        if at == state.purge:
-            state.log.passed(at * 1000)
-            state.log.save()
-            state.purge = 0
-        self._forget_later(state)
-        state.save()
+        if self.held.get("waiting", at):
+            for rows, upto in self._passed(passed):
+                if out := self._with_features(rows, upto):
+                    yield self._out(out, passed)
+        if found := self.held.get("leaving", at):
+            self.held.put("leaving", (at,), None)
+            leaving: dict[int, list] = {}
+            for own in json.loads(found[0]):
+                state = KeyState(self.families, self.held.of(own))
+                state.log.passed(at * 1000)
+                state.purge = 0
+                self._leave(state, own, at, leaving)
+            self._leave_later(leaving)
 
     def close(self) -> None:
         pass
@@ -337,8 +380,19 @@ def _leads(families: Sequence[str]) -> list[tuple[str, list[str]]]:
     return list(out.items())
 
 
-def _rows(df: DataFrame, row_id: str, time: str, more: Sequence[str] = (), **how) -> DataFrame:
-    return prepare(df, time, **how).select(F.col(row_id).cast("string").alias(row_id), *more, F.col("us"), *[F.col(c).alias("of" + c) for c in FIELDS if c != "us"])
+def _fields(families: Sequence[str]) -> list[str]:
+    """What the families' operators read of a row beside its time."""
+    read = {"_x", "_y", "_c", "_m", *[FAMILIES[f].lead for f in families], *[PARTNERS[f] for f in families if f in PARTNERS], *(("_part", "_wday") if "temporal_habits" in families else ())}
+    return [c for c in FIELDS if c in read]
+
+
+def _group(lead: str):
+    """The part of the keys that a row belongs to."""
+    return F.concat(F.pmod(F.xxhash64("of" + lead), F.lit(GROUPS)).cast("string"), F.lit(f"/{GROUPS}"))
+
+
+def _rows(df: DataFrame, row_id: str, time: str, families: Sequence[str], more: Sequence[str] = (), **how) -> DataFrame:
+    return prepare(df, time, **how).select(F.col(row_id).cast("string").alias(row_id), *more, F.col("us"), *[F.col(c).alias("of" + c) for c in _fields(families)])
 
 
 def stream_features(events: DataFrame, families: Sequence[str], row_id: str = "transaction_id", time: str = "timestamp", prior: DataFrame | None = None, late: str = "drop", delay: str = "0 seconds", snapshots: dict[str, DataFrame] | None = None, **how) -> DataFrame:
@@ -354,26 +408,27 @@ def stream_features(events: DataFrame, families: Sequence[str], row_id: str = "t
     if prior is not None and snapshots is not None:
         raise ValueError("histories begin with rows or with a snapshot")
     base = events.withColumn(TIME, F.col(time).cast("timestamp")).withWatermark(TIME, delay)
-    flow = _rows(base, row_id, time, [TIME], **how)
+    flow = _rows(base, row_id, time, families, [TIME], **how)
     of = {f.name: f.dataType for f in flow.schema.fields}
     done: list[str] = []
     kinds = column_types(families)
     steps = _leads(families)
     for i, (lead, own) in enumerate(steps):
         last, names = i == len(steps) - 1, [c for f in own for c in FAMILIES[f].columns()]
-        carried = [row_id, "us", *([] if last else ["of" + c for c in FIELDS if c != "us"]), *done]
+        later = [f for _, more in steps[i + 1 :] for f in more]
+        carried = [row_id, "us", *["of" + c for c in (_fields(later) if later else ())], *done]
         mark = late == "mark"
         fields = [T.StructField(c, kinds.get(c) or of[c]) for c in carried] + ([] if last else [T.StructField(TIME, T.TimestampType())]) + [T.StructField(c, kinds[c]) for c in names] + ([T.StructField("late", T.StringType())] if mark else [])
         start = None
         if prior is not None:
-            start = _rows(prior, row_id, time, **how).withColumn("key", F.col("of" + lead)).groupBy("key")
+            start = _rows(prior, row_id, time, own, **how).withColumn("key", _group(lead)).groupBy("key")
         elif snapshots is not None:
             start = snapshots[lead].select("key", "map", "entry", "content").groupBy("key")
-        flow = flow.withColumn("key", F.col("of" + lead))
+        flow = flow.withColumn("key", _group(lead))
         if mark:  # without the column that carries the watermark the engine drops nothing
             flow = flow.drop(TIME)
         flow = flow.groupBy("key").transformWithStateInPandas(
-            HistoryProcessor(own, carried, names, not last, mark, i == 0), outputStructType=T.StructType(fields), outputMode="Append", timeMode="EventTime",
+            HistoryProcessor(own, carried, names, not last, mark, i == 0, lead), outputStructType=T.StructType(fields), outputMode="Append", timeMode="EventTime",
             initialState=start, eventTimeColumnName="" if last else TIME,
         )
         done += names
@@ -381,7 +436,7 @@ def stream_features(events: DataFrame, families: Sequence[str], row_id: str = "t
 
 
 def snapshot(spark: SparkSession, checkpoint: str, families: Sequence[str]) -> dict[str, DataFrame]:
-    """The state of a stopped query by leading key: ``key, map, entry, content``, an entry of a map a row.
+    """The state of a stopped query by leading key: ``key`` (a group of keys)``, map, entry, content``, an entry of a map a row.
 
     Its size follows the keys, their partners and the rows of their longest window, not the rows of the stream. Write it to a
     table to keep it. The query must have had the same families.
@@ -391,9 +446,8 @@ def snapshot(spark: SparkSession, checkpoint: str, families: Sequence[str]) -> d
     for i, (lead, _) in enumerate(steps):
         operator = len(steps) - 1 - i  # the last operator of a query has number 0
         read = lambda name: spark.read.format("statestore").option("path", checkpoint).option("operatorId", operator).option("stateVarName", name).load()  # noqa: B023, E731
-        head = [c.split()[0] for c in HEAD.split(", ")]
-        parts = [read("head").select(F.col("key.key").alias("key"), F.lit("head").alias("map"), F.lit("[]").alias("entry"), _listed("value", head).alias("content"))]
-        for name, (key, value) in MAPS.items():
+        parts = []
+        for name, (key, value) in STORED.items():
             entry, content = ([c.split()[0] for c in x.split(", ")] for x in (key, value))
             parts.append(read(name).select(F.col("key.key").alias("key"), F.lit(name).alias("map"), _listed("user_map_key", entry).alias("entry"), _listed("user_map_value", content).alias("content")))
         found = parts[0]
