@@ -194,3 +194,26 @@ def test_each_measure_is_one_window(spark):
     # by customer: count, last, first, mean amount, mean and deviation of logs, counts up to an hour, a day and a week before;
     # by pair: count and last
     assert plan.count("windowspecdefinition(") == 11
+
+
+@pytest.mark.parametrize("over", [10**6, 20])
+def test_many_rows_are_dealt_into_tasks_of_their_number(spark, monkeypatch, over):
+    """However few bytes are shuffled; and windows keep a part of a busy key's rows on disk. Results are the same."""
+    df = spark.createDataFrame(stream(31, 150), SCHEMA)
+    families = [f for f in history.FAMILIES if not f.endswith("velocity_1h")]
+    want = history.features(df, families)
+    monkeypatch.setattr(history, "TASK_ROWS", 10)
+    monkeypatch.setattr(history, "WINDOW_ROWS", 25)
+    try:
+        got = history.features(df, families, split_over=over)
+        assert spark.conf.get(history._SPILL) == "25"
+        a, b = (x.toPandas().set_index("i").sort_index() for x in (got, want))
+        if over > 150:
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            assert history.features(df, families).rdd.getNumPartitions() == 15
+    finally:
+        spark.conf.unset(history._SPILL)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for c in (c for f in families for c in history.FAMILIES[f].columns()):
+        x, y = a[c].astype(float), b[c].astype(float)
+        assert (x.isna() == y.isna()).all() and not ((x - y).abs() > 1e-6).any(), c
