@@ -334,3 +334,16 @@ def test_waiting_rows_come_back():
 
     rows = [{"us": 10**15 + i, "_x": None if i == 2 else i / 3, "_c": str(i), "n": None if i == 1 else i, "mixed": 1 if i else 0.5} for i in range(4)] + [{"us": 1, "prior": True}]
     assert unpacked(packed(rows)) == [{c: r.get(c) for c in [*rows[0], "prior"]} for r in rows]
+
+
+def test_a_snapshot_of_other_groups_is_refused():
+    """Keys would be looked for in groups that don't have them."""
+    import pandas as pd
+
+    from tidemark.streaming import history as streams
+
+    p = streams.HistoryProcessor(["customer_history"], ["us"], [], False, False, True, "_c")
+    p.held = _Store()
+    entry = pd.DataFrame({"map": ["leaving"], "entry": ["[5]"], "content": ['["[]"]']})
+    with pytest.raises(ValueError):
+        p.handleInitialState(("3/7",), entry, None)
